@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, line_dedup
+from . import bpe, fingerprints, line_dedup
 from .common import table
 
 
@@ -18,8 +19,13 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_fingerprints": op3_fingerprints,
+    "op4_bpe": op4_bpe,
 }
 ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL}
