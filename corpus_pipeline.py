@@ -1,8 +1,61 @@
-"""Corpus cleaning pipeline; stages are added as their operators come."""
+"""Corpus cleaning: five stages over documents, each an operator of the llm subpackage.
 
-STAGES: list = []
+Each stage takes all that its predecessor kept; every stage but the last returns
+the columns of documents. Stages are written as Parquet in the shared folder and
+read again, so a lost executor never costs more than a stage.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
+from tidewater.llm.common import materialize, table
+
+#: Not expressible in SQL (learned lexicon, edit distances, BPE): tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored under 0.5."""
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    rated = toxicity.score(docs, lexicon, column="__toxicity")
+    return rated.where(F.col("__toxicity") < 0.5).drop("__toxicity")
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stand in at least five of them, but in the last; n_chars follows."""
+    own = line_dedup.OWN
+    out = line_dedup.dedup_lines(docs)
+    changed = F.col(f"{own}dropped") > 0
+    new = {"text": F.when(changed, F.col(f"{own}kept")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length(f"{own}kept")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
+    return out.withColumns(new).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles."""
+    return ngram_join.keep_one(docs, n=5, percent=80).select(*docs.columns)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document."""
+    return bpe.bpe_digest(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("ngram_join", drop_near_copies), ("decontamination", drop_benchmark), ("bpe", encode)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -171,6 +171,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without those that hold a benchmark item; all columns kept. Only the ids of the others are joined."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    hits = contaminated(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, rate, block_bytes=block_bytes)
-    return restrict(keyed, hits.select(F.col("doc_id").alias("_row")).distinct(), "left_anti").drop("_row")
+    keyed = docs.withColumn("__leak_row", F.xxhash64("doc_id", "text"))
+    hits = contaminated(keyed.select(F.col("__leak_row").alias("doc_id"), "text"), benchmark, rate, block_bytes=block_bytes)
+    return restrict(keyed, hits.select(F.col("doc_id").alias("__leak_row")).distinct(), "left_anti").drop("__leak_row")

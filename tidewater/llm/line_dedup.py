@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from .common import WHITE, let, lower_ascii, materialize
 
 
+#: Prefix of the columns that dedup_lines adds to those of its input.
+OWN = "__lines_"
+
+
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
@@ -67,26 +71,26 @@ def _kept(lines: Column, runs: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, all columns kept, with _lines_total, _lines_dropped, _kept_text and _runs added."""
-    maps = keep_bitmaps(docs, min_chars, min_docs, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("runs").alias("_runs"))
-    joined = docs.join(maps, F.col(doc_id).eqNullSafe(F.col("_id")) & (_version(F.col(text)) == F.col("_version")), "left")
+    """docs, all columns kept, with total, dropped, kept and runs, each prefixed by OWN, added."""
+    maps = keep_bitmaps(docs, min_chars, min_docs, doc_id, text).select(F.col("doc_id").alias(f"{OWN}id"), F.col("version").alias(f"{OWN}version"), F.col("runs").alias(f"{OWN}runs"))
+    joined = docs.join(maps, F.col(doc_id).eqNullSafe(F.col(f"{OWN}id")) & (_version(F.col(text)) == F.col(f"{OWN}version")), "left")
     plain = F.coalesce(F.col(text), F.lit(""))
-    kept = F.when(F.col("_runs").isNull(), plain).otherwise(let(_lines(F.col(text)), lambda lines: F.array_join(_kept(lines, F.col("_runs")), "\n")))
-    dropped = F.coalesce(F.aggregate("_runs", F.lit(0), lambda a, r: a + r["length"]), F.lit(0))
+    kept = F.when(F.col(f"{OWN}runs").isNull(), plain).otherwise(let(_lines(F.col(text)), lambda lines: F.array_join(_kept(lines, F.col(f"{OWN}runs")), "\n")))
+    dropped = F.coalesce(F.aggregate(f"{OWN}runs", F.lit(0), lambda a, r: a + r["length"]), F.lit(0))
     n_lines = F.length(plain) - F.length(F.replace(plain, F.lit("\n"), F.lit(""))) + 1
-    return joined.withColumns({"_lines_total": n_lines.cast("long"), "_lines_dropped": dropped.cast("long"), "_kept_text": kept}).drop("_id", "_version")
+    return joined.withColumns({f"{OWN}total": n_lines.cast("long"), f"{OWN}dropped": dropped.cast("long"), f"{OWN}kept": kept}).drop(f"{OWN}id", f"{OWN}version")
 
 
 def line_dedup_digest(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped, kept_sha256, keep_runs (run lengths: kept, dropped, kept, ...)."""
     out = dedup_lines(docs.select("doc_id", "text"), min_chars, min_docs)
     def lengths(run: Column, i: Column) -> Column:
-        before = F.get(F.col("_runs"), i - 1)
+        before = F.get(F.col(f"{OWN}runs"), i - 1)
         return F.array(run["start"] - F.when(i == 0, F.lit(0)).otherwise(before["start"] + before["length"]), run["length"])
 
-    runs = F.coalesce(F.flatten(F.transform("_runs", lengths)), F.array().cast("array<int>"))
-    rest = F.col("_lines_total").cast("int") - F.aggregate(runs, F.lit(0), lambda a, x: a + x)
-    return out.select("doc_id", F.col("_lines_total").alias("n_lines"), F.col("_lines_dropped").alias("n_dropped"), F.sha2(F.col("_kept_text").cast("binary"), 256).alias("kept_sha256"), F.concat(runs, F.array(rest)).alias("keep_runs"))
+    runs = F.coalesce(F.flatten(F.transform(f"{OWN}runs", lengths)), F.array().cast("array<int>"))
+    rest = F.col(f"{OWN}total").cast("int") - F.aggregate(runs, F.lit(0), lambda a, x: a + x)
+    return out.select("doc_id", F.col(f"{OWN}total").alias("n_lines"), F.col(f"{OWN}dropped").alias("n_dropped"), F.sha2(F.col(f"{OWN}kept").cast("binary"), 256).alias("kept_sha256"), F.concat(runs, F.array(rest)).alias("keep_runs"))
 
 
 ORACLE_SQL = r"""

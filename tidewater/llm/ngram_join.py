@@ -250,3 +250,16 @@ def jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 def component_ids(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     return jaccard_join(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "__join_rid") -> DataFrame:
+    """docs, all columns kept, with one document of each component: its smallest (doc_id, rid). Texts without words stay."""
+    found = jaccard_join(docs.select("doc_id", "text"), n, percent).where("n_shingles > 0").select("component", "rid", F.col("doc_id").alias("doc"))
+    found = materialize(found, "components")
+    keepers = found.groupBy("component").agg(F.min(F.struct(F.coalesce("doc", F.lit(2**63 - 1)), "rid"))["rid"].alias("keeper"))
+    lost = found.join(keepers, "component").where("rid <> keeper").select(F.col("rid").alias(key)).distinct()
+    kept = restrict(docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))), lost, "left_anti")
+    repeated = materialize(found.groupBy("rid").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("rid").alias(key)), "repeated")
+    if repeated.isEmpty():
+        return kept.drop(key)
+    return restrict(kept, repeated, "left_anti").unionByName(restrict(kept, repeated, "left_semi").dropDuplicates([key])).drop(key)
