@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-N, RATE = F.count(F.lit(1)), F.avg(F.col("is_attributed").cast("double"))
 COLUMNS = ("ip", "app", "device", "os", "channel")
 
 
+def _n() -> Column:
+    return F.count(F.lit(1))
+
+
+def _rate() -> Column:
+    return F.avg(F.col("is_attributed").cast("double"))
+
+
 def class_balance(clicks: DataFrame) -> DataFrame:
     """Overall, by day and by hour of day, from one scan."""
     base = clicks.select("is_attributed", F.to_date("click_time").alias("day"), F.hour("click_time").alias("hour_of_day"))
     sets = base.groupingSets([[], ["day"], ["hour_of_day"]], "day", "hour_of_day")
-    out = sets.agg(F.grouping_id().alias("g"), N.alias("n_clicks"), F.sum("is_attributed").cast("long").alias("n_attributed"), RATE.alias("positive_rate"))
+    out = sets.agg(F.grouping_id().alias("g"), _n().alias("n_clicks"), F.sum("is_attributed").cast("long").alias("n_attributed"), _rate().alias("positive_rate"))
     level = F.when(F.col("g") == 3, "overall").when(F.col("g") == 1, "by_day").otherwise("by_hour_of_day")
     # Grouping sets over an empty table give no overall row; no clicks, no balance.
     return out.select(level.alias("level"), "day", "hour_of_day", "n_clicks", "n_attributed", "positive_rate").orderBy("level", F.asc_nulls_first("day"), F.asc_nulls_first("hour_of_day"))
@@ -27,14 +34,14 @@ def cardinality(clicks: DataFrame) -> DataFrame:
 def top_values(clicks: DataFrame, k: int = 20) -> DataFrame:
     """The k most frequent values of each column; ties by value."""
     long = clicks.select("is_attributed", F.inline(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("long").alias("value")) for c in COLUMNS])))
-    counted = long.groupBy("col", "value").agg(N.alias("n_clicks"), RATE.alias("positive_rate"))
+    counted = long.groupBy("col", "value").agg(_n().alias("n_clicks"), _rate().alias("positive_rate"))
     w = Window.partitionBy("col").orderBy(F.desc("n_clicks"), "value")
     return counted.withColumn("at", F.row_number().over(w)).where(F.col("at") <= k).drop("at").orderBy("col", F.desc("n_clicks"), "value")
 
 
 def temporal(clicks: DataFrame) -> DataFrame:
     hour = F.date_trunc("hour", "click_time").cast("timestamp_ntz")
-    return clicks.groupBy(hour.alias("hour")).agg(N.alias("n_clicks"), F.sum("is_attributed").cast("long").alias("n_attributed"), RATE.alias("positive_rate")).orderBy("hour")
+    return clicks.groupBy(hour.alias("hour")).agg(_n().alias("n_clicks"), F.sum("is_attributed").cast("long").alias("n_attributed"), _rate().alias("positive_rate")).orderBy("hour")
 
 
 def band(value: Column, bands: list[tuple[Column, str]], rest: str) -> Column:
@@ -55,15 +62,15 @@ def rate_band(r: Column) -> Column:
 
 
 def ip_concentration(clicks: DataFrame) -> DataFrame:
-    ips = clicks.groupBy("ip").agg(N.alias("n"), RATE.alias("rate"))
-    out = ips.groupBy(count_band(F.col("n")).alias("clicks_bucket")).agg(N.alias("n_ips"), F.sum("n").alias("n_clicks_total"), F.avg("rate").alias("mean_ip_positive_rate"))
+    ips = clicks.groupBy("ip").agg(_n().alias("n"), _rate().alias("rate"))
+    out = ips.groupBy(count_band(F.col("n")).alias("clicks_bucket")).agg(_n().alias("n_ips"), F.sum("n").alias("n_clicks_total"), F.avg("rate").alias("mean_ip_positive_rate"))
     share = F.col("n_clicks_total") / F.sum("n_clicks_total").over(Window.partitionBy())  # five rows
     return out.select("clicks_bucket", "n_ips", "n_clicks_total", share.alias("fraction_of_all_clicks"), "mean_ip_positive_rate").orderBy("clicks_bucket")
 
 
 def ip_app_pairs(clicks: DataFrame, least: int = 5) -> DataFrame:
-    pairs = clicks.groupBy("ip", "app").agg(N.alias("n"), F.sum("is_attributed").alias("y"), RATE.alias("rate")).where(F.col("n") >= least)
-    return pairs.groupBy(rate_band(F.col("rate")).alias("positive_rate_bucket")).agg(N.alias("n_pairs"), F.sum("n").alias("n_clicks_total"), F.sum("y").cast("long").alias("n_attributed_total")).orderBy("positive_rate_bucket")
+    pairs = clicks.groupBy("ip", "app").agg(_n().alias("n"), F.sum("is_attributed").alias("y"), _rate().alias("rate")).where(F.col("n") >= least)
+    return pairs.groupBy(rate_band(F.col("rate")).alias("positive_rate_bucket")).agg(_n().alias("n_pairs"), F.sum("n").alias("n_clicks_total"), F.sum("y").cast("long").alias("n_attributed_total")).orderBy("positive_rate_bucket")
 
 
 QUANTILES = {"p01": 0.01, "p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
@@ -75,7 +82,7 @@ def statistics(values: DataFrame, value: str) -> DataFrame:
     The percentile aggregate keeps distinct values with counts; for continuous values of a very large table use percentile_approx.
     """
     x = F.col(value)
-    one = values.where(x.isNotNull()).agg(N.cast("double").alias("count"), F.min(x).alias("min"), F.percentile(x, F.array(*map(F.lit, QUANTILES.values()))).alias("q"), F.avg(x).alias("mean"), F.max(x).alias("max"))
+    one = values.where(x.isNotNull()).agg(_n().cast("double").alias("count"), F.min(x).alias("min"), F.percentile(x, F.array(*map(F.lit, QUANTILES.values()))).alias("q"), F.avg(x).alias("mean"), F.max(x).alias("max"))
     wide = one.select("count", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(QUANTILES)], "mean", "max")
     return wide.unpivot([], wide.columns, "stat", "value")
 
@@ -97,12 +104,12 @@ def attributed_lag(clicks: DataFrame) -> DataFrame:
 
 def null_patterns(clicks: DataFrame) -> DataFrame:
     missing = F.col("attributed_time").isNull()
-    return clicks.groupBy("is_attributed").agg(N.alias("n_clicks"), F.count_if(missing).alias("n_null_attributed"), F.count_if(~missing).alias("n_nonnull_attributed")).orderBy("is_attributed")
+    return clicks.groupBy("is_attributed").agg(_n().alias("n_clicks"), F.count_if(missing).alias("n_null_attributed"), F.count_if(~missing).alias("n_nonnull_attributed")).orderBy("is_attributed")
 
 
 def anomalies(clicks: DataFrame, clicks_over: int = 500, apps_from: int = 10, k: int = 50) -> DataFrame:
     """The k heaviest and the k widest ips; ties by ip."""
-    ips = clicks.groupBy(F.col("ip").cast("long").alias("ip")).agg(N.alias("n_clicks"), F.count_distinct("app").alias("n_distinct_apps"), F.count_distinct("channel").alias("n_distinct_channels"), RATE.alias("positive_rate"))
+    ips = clicks.groupBy(F.col("ip").cast("long").alias("ip")).agg(_n().alias("n_clicks"), F.count_distinct("app").alias("n_distinct_apps"), F.count_distinct("channel").alias("n_distinct_channels"), _rate().alias("positive_rate"))
     heavy = ips.where(F.col("n_clicks") > clicks_over).orderBy(F.desc("n_clicks"), "ip").limit(k)
     wide = ips.where(F.col("n_distinct_apps") >= apps_from).orderBy(F.desc("n_distinct_apps"), F.desc("n_clicks"), "ip").limit(k)
     return heavy.select(F.lit("high_click_count").alias("bucket"), "*").unionByName(wide.select(F.lit("high_distinct_apps").alias("bucket"), "*")).orderBy("bucket", F.desc("n_clicks"), "ip")

@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CONTRIBUTION = "array<struct<feature_name:string,value:string,shap_contribution:double>>"
-AUDIT = T.StructType.fromDDL(
-    f"event_id string, event_timestamp timestamp, case_id string, click_timestamp timestamp_ntz, model_version string, policy_version string, "
-    f"raw_score double, calibrated_score double, threshold_block double, threshold_review double, action string, top_features {CONTRIBUTION}, "
-    f"reviewer_disposition string, reviewer_timestamp timestamp, notes string"
-)
+CONTRIBUTION = T.ArrayType(T.StructType([T.StructField("feature_name", T.StringType()), T.StructField("value", T.StringType()), T.StructField("shap_contribution", T.DoubleType())]))
+_KINDS = {
+    T.StringType(): ("event_id", "case_id", "model_version", "policy_version", "action", "reviewer_disposition", "notes"),
+    T.DoubleType(): ("raw_score", "calibrated_score", "threshold_block", "threshold_review"),
+    T.TimestampType(): ("event_timestamp", "reviewer_timestamp"),
+    T.TimestampNTZType(): ("click_timestamp",),
+    CONTRIBUTION: ("top_features",),
+}
+_ORDER = ("event_id", "event_timestamp", "case_id", "click_timestamp", "model_version", "policy_version", "raw_score", "calibrated_score", "threshold_block", "threshold_review", "action", "top_features", "reviewer_disposition", "reviewer_timestamp", "notes")
+AUDIT = T.StructType([T.StructField(n, next(k for k, names in _KINDS.items() if n in names)) for n in _ORDER])
 ACTIONS = ("AUTO_BLOCK", "HUMAN_REVIEW", "QA_SAMPLE", "ALLOW")
 OPTIONAL = ("reviewer_disposition", "reviewer_timestamp", "notes")
 
