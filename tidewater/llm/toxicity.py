@@ -2,8 +2,9 @@
 
 Folding lower-cases, maps homoglyphs and full-width letters to Latin ones and
 digits or signs that stand for letters to those letters. The lexicon is learned
-from a bounded sample of labelled rows: terms that are much likelier in toxic
-documents, weighted by log odds. A hit inside an exception phrase (the term with
+from a bounded sample of labelled rows: words and word beginnings that are much
+likelier in toxic documents, weighted by log odds; of those at one place the
+heaviest counts. A hit inside an exception phrase (the term with
 a neighbouring word, learned from non-toxic documents, or given) does not
 count. The score is a logistic function of the hits' weight, normalised by the
 square root of the text's words, and of whether there is any hit.
@@ -40,6 +41,7 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 #: Rows that the lexicon may be learned from: the labelled rows with the smallest hashes.
 SAMPLE_ROWS = 20_000
 MAX_TERMS = 2_000
+STEMS = (4, 5, 6)
 INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
 FOLDED = str.maketrans(HOMOGLYPHS | SUBSTITUTES)
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -52,6 +54,12 @@ def fold(text: str) -> str:
     return text.translate(FOLDED)
 
 
+def _terms(words: list[str]) -> set[str]:
+    """The words, and as stem* their beginnings of STEMS letters: insults come in many forms."""
+    own = set(words)
+    return own | {f"{w[:k]}*" for w in own for k in STEMS if len(w) > k}
+
+
 @dataclass
 class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)
@@ -60,10 +68,15 @@ class Lexicon:
     #: Bias, and the factors of the normalised weight and of any hit.
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
+    def _of(self, stem: str) -> tuple[float, float]:
+        """The weights of the word itself and of any word that begins with it."""
+        return self.weights.get(stem, 0.0), self.weights.get(f"{stem}*", 0.0)
+
     def automaton(self):
         found = ahocorasick.Automaton()
         for term, w in self.weights.items():
-            found.add_word(term, (len(term), w))
+            stem = term.rstrip("*")
+            found.add_word(stem, (len(stem), *self._of(stem)))
         found.make_automaton()
         return found
 
@@ -71,18 +84,23 @@ class Lexicon:
 def features(text: str, lexicon: Lexicon, automaton) -> tuple[float, float]:
     """The hits' weight over the square root of the words, and whether there is a hit."""
     folded = fold(text)
-    total, n = 0.0, len(folded)
-    for end, (length, weight) in automaton.iter(folded) if lexicon.weights else ():
+    hits: dict[int, float] = {}  # the heaviest term at each word's start
+    n = len(folded)
+    for end, (length, whole, stem) in automaton.iter(folded) if lexicon.weights else ():
         start = end + 1 - length
-        if (start and folded[start - 1].isalpha()) or (end + 1 < n and folded[end + 1].isalpha()):
+        if start and folded[start - 1].isalpha():
+            continue
+        weight = stem if end + 1 < n and folded[end + 1].isalpha() else max(whole, stem)
+        if weight <= hits.get(start, 0.0):
             continue
         if lexicon.exceptions:
             before = LETTERS.findall(folded[max(0, start - 40) : start])[-1:]
-            after = LETTERS.findall(folded[end + 1 : end + 41])[:1]
-            term = folded[start : end + 1]
-            if (before and f"{before[0]} {term}" in lexicon.exceptions) or (after and f"{term} {after[0]}" in lexicon.exceptions):
+            own = LETTERS.match(folded, start)[0]
+            after = LETTERS.findall(folded[start + len(own) : start + len(own) + 40])[:1]
+            if (before and f"{before[0]} {own}" in lexicon.exceptions) or (after and f"{own} {after[0]}" in lexicon.exceptions):
                 continue
-        total += weight
+        hits[start] = weight
+    total = sum(hits.values())
     words = max(1, len(text.split()))
     return total / math.sqrt(words), float(total > 0)
 
@@ -105,7 +123,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return beta
 
 
-def learn(docs: DataFrame, labels: DataFrame, exceptions: frozenset[str] = frozenset(), folds: int = 5, held_out: int = 0, sample_rows: int = SAMPLE_ROWS, min_share: float = 0.03, min_lift: float = 20.0) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, exceptions: frozenset[str] = frozenset(), folds: int = 5, held_out: int = 0, sample_rows: int = SAMPLE_ROWS, min_share: float = 0.02, min_lift: float = 20.0) -> Lexicon:
     """A lexicon from labelled rows outside the held-out fold.
 
     A term enters if at least min_share of the toxic sample holds it and it is min_lift times likelier there. Near copies (equal
@@ -132,24 +150,25 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: frozenset[str] = froze
         prior = float(toxic > 0)
         return Lexicon(prior=prior, curve=(30.0 if prior else -30.0, 0.0, 0.0), exceptions=exceptions)
 
-    def tokens(batches):
-        for b in batches:
-            count: Counter = Counter()
-            for t, y in zip(b["text"], b["toxic"], strict=True):
-                words = LETTERS.findall(fold(t or ""))
-                count.update((w, y) for w in set(words))
-                count.update((p, y) for p in {f"{a} {c}" for a, c in zip(words, words[1:])})
-            yield {"term": [k[0] for k in count], "toxic": [k[1] for k in count], "n": list(count.values())}
-
-    counted = map_rows(once.select("text", "toxic"), tokens, "term string, toxic int, n long").groupBy("term").agg(
-        F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("n"))), F.lit(0)).alias("pos"), F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("n"))), F.lit(0)).alias("neg"))
-    counted = materialize(counted.where((F.col("pos") >= max(3, min_share * toxic)) | (F.col("neg") >= max(3, min_share * clean / 10))), "terms")
+    def counted(part) -> DataFrame:
+        """(term, pos, neg): sampled documents of each label that hold a term; part gives a text's terms."""
+        def work(batches):
+            for b in batches:
+                count: Counter = Counter()
+                for t, y in zip(b["text"], b["toxic"], strict=True):
+                    count.update((w, y) for w in part(LETTERS.findall(fold(t or ""))))
+                yield {"term": [k[0] for k in count], "toxic": [k[1] for k in count], "n": list(count.values())}
+
+        of = lambda y, name: F.coalesce(F.sum(F.when(F.col("toxic") == y, F.col("n"))), F.lit(0)).alias(name)
+        return map_rows(once.select("text", "toxic"), work, "term string, toxic int, n long").groupBy("term").agg(of(1, "pos"), of(0, "neg"))
+
     odds = F.log((F.col("pos") + 0.5) / (toxic + 1.0)) - F.log((F.col("neg") + 0.5) / (clean + 1.0))
-    listed = counted.where(~F.col("term").contains(" ") & (F.col("pos") >= max(3, min_share * toxic)) & (F.col("pos") / float(toxic) >= min_lift * F.col("neg") / float(clean)))
+    listed = counted(_terms).where((F.col("pos") >= max(3, min_share * toxic)) & (F.col("pos") / float(toxic) >= min_lift * F.col("neg") / float(clean)))
     weights = {r["term"]: r["w"] for r in listed.select("term", odds.alias("w")).orderBy(F.desc("w"), "term").limit(MAX_TERMS).collect()}
-    parts = F.split("term", " ")
-    mild = counted.where(F.col("term").contains(" ") & (F.col("neg") >= 5) & (F.col("pos") / float(toxic) <= F.col("neg") / float(clean)) & (parts[0].isin(*weights) | parts[1].isin(*weights))) if weights else counted.limit(0)
-    phrases = frozenset(r["term"] for r in mild.select("term").orderBy("term").limit(MAX_TERMS).collect())
+    known = lambda w: any(t in weights for t in _terms([w]))
+    beside = lambda words: {f"{a} {c}" for a, c in zip(words, words[1:]) if known(a) or known(c)}
+    mild = counted(beside).where((F.col("neg") >= 5) & (F.col("pos") / float(toxic) <= F.col("neg") / float(clean)))
+    phrases = frozenset(r["term"] for r in mild.select("term").orderBy("term").limit(MAX_TERMS).collect()) if weights else frozenset()
     lexicon = Lexicon(weights, exceptions | phrases, toxic / (toxic + clean))
 
     def measured(batches):
