@@ -135,13 +135,16 @@ def test_bpe_streams():
         word = "".join(r.choice(["a", "b", "the", "-", "=", "é", "ing"]) for _ in range(r.randint(1, 3000)))
         data = word.encode()
         pieces = [data[i : i + 37] for i in range(0, len(data), 37)]
-        ids = t.model.tokenize(t.pre_tokenizer.pre_tokenize_str(word)[0][0]) if False else b.encode_word(word)
-        assert list(b.stream(pieces)) == list(ids)
+        ids = list(b.stream(pieces))
+        assert ids == list(b.encode_word(word))
+        if not any(c in word for c in "-="):
+            assert ids == t.encode(word, add_special_tokens=False).ids
     seen = []
     source = (seen.append(1) or b"ab" * 200 for _ in range(100))
     first = next(b.stream(source))
     assert isinstance(first, int) and len(seen) < 10
-    assert list(b.decode([b.words["a"][0] if "a" in b.words else b.encode_word("a")[0]])) and "".join(b.decode(b.encode_word("é")[:1])) in ("é", "�")
+    broken = [i for i, x in b.bytes_of.items() if x == b"\xc3"]
+    assert "".join(b.decode(broken)) == "\ufffd" and "".join(b.decode(broken + [i for i, x in b.bytes_of.items() if x == b"\xa9"], block=1)) == "é"
 
 
 # 5 join
@@ -197,13 +200,14 @@ def test_toxicity(docs, labels, odd, nothing):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
     assert toxicity.toxicity_scores(odd, labels).count() == odd.count()
     assert toxicity.toxicity_scores(nothing, labels).count() == 0
-    assert {r["score"] for r in toxicity.toxicity_scores(docs, labels.limit(0)).collect()} < {r for r in [0.0, *[x / 1e13 for x in range(10)]]} or True
+    assert max(r["score"] for r in toxicity.toxicity_scores(docs, labels.limit(0)).collect()) < 1e-9
 
 
 def test_lexicon_and_exceptions():
     lexicon = toxicity.Lexicon({"trash": 5.0}, frozenset({"trash can"}), 0.1, (-3.0, 1.0, 6.0))
     a = lexicon.automaton()
     hit = lambda t: toxicity.features(t, lexicon, a)[1]
+    assert toxicity.features("trashing", stem := toxicity.Lexicon({"tras*": 5.0}), stem.automaton())[1]
     assert hit("you are TR4SH!") and not hit("the trash can is full") and not hit("trashy") and not hit("") and hit("trash can, and trash")
 
 
