@@ -6,14 +6,15 @@ every suffix costs over a microsecond a byte, so suffixes are first thinned
 without loss: of the K-grams of each string of `length` bytes the one with the
 smallest hash is its anchor, so equal strings have equal anchors.
 
-1. Anchors in at least two documents are kept (grouped by hash).
-2. An anchor's context is all bytes of strings that hold it. If an anchor has
-   one context everywhere, that is one interval: its smallest document is the
-   source, all others are covered. Interiors of long repeats end here.
-3. At the edges of repeats contexts differ. There the strings around the anchor
-   are the suffixes: those with an equal prefix of `length` bytes form an interval,
-   kept with its smallest document, its documents and the number of different
-   bytes to the left: more than one, or a text's start, makes it left-maximal.
+1. A run is a stretch of neighbouring strings with one anchor. Runs whose anchor
+   stands in at least two documents are kept.
+2. A run's context is all bytes of its strings. Equal contexts are one interval:
+   its smallest document is the source, all others are covered. Interiors of
+   long repeats end here.
+3. At the edges of repeats contexts differ. There the strings of the first run of
+   each context are the suffixes: those with an equal prefix of `length` bytes
+   form an interval, kept with its smallest document and the bytes to the left:
+   two different ones, or a text's start, make it left-maximal.
 
 Each group is aggregated before and after the shuffle (counts, smallest
 document), so a passage in a third of all documents gathers nowhere. Groups go
@@ -58,26 +59,39 @@ def _mix(parts: Iterable[np.ndarray]) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _slide(x: np.ndarray, w: int, f: np.ufunc) -> np.ndarray:
-    """f over each w neighbours, by blocks: a suffix of one block and a prefix of the next."""
+def _least(x: np.ndarray, w: int) -> np.ndarray:
+    """The smallest of each w neighbours, by blocks: a suffix of one block and a prefix of the next."""
     n = len(x) - w + 1
     pad = np.concatenate([x, np.repeat(x[-1:], -len(x) % w)]).reshape(-1, w)
-    before, after = f.accumulate(pad, 1).ravel(), f.accumulate(pad[:, ::-1], 1)[:, ::-1].ravel()
-    return f(after[:n], before[w - 1 : w - 1 + n])
+    before, after = np.minimum.accumulate(pad, 1).ravel(), np.minimum.accumulate(pad[:, ::-1], 1)[:, ::-1].ravel()
+    return np.minimum(after[:n], before[w - 1 : w - 1 + n])
 
 
-def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the K-grams that are smallest in some string of `length` bytes; ties all count."""
+def runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor's hash, first start, last start) of each stretch of strings whose smallest K-gram hash is the same."""
     if len(data) < length:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     g = _loads(data)
-    h = _mix((g[: -(K - 8)], g[8 : len(g) - (K - 16)], g[16:]))
-    w = length - K + 1
-    least = _slide(h, w, np.minimum)
-    zero = np.zeros(w - 1, np.uint64)
-    reach = _slide(np.concatenate([zero, least, zero]), w, np.maximum)
-    at = np.flatnonzero(reach == h)
-    return at, h[at]
+    h = g[: -(K - 8)] * _A
+    h += g[8 : len(g) - (K - 16)] * _B
+    h += g[16:] * _C
+    h ^= h >> np.uint64(31)
+    h *= _A
+    h ^= h >> np.uint64(29)
+    least = _least(h, length - K + 1)
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    return least[first], first, np.append(first[1:] - 1, len(least) - 1)
+
+
+def contexts(raw: bytes, first: np.ndarray, last: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """A hash of all bytes of each run's strings."""
+    return np.array([xxhash.xxh3_64_intdigest(raw[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], np.uint64)
+
+
+def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All starts of the runs."""
+    n = last - first + 1
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
 
 
 def strings(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -86,25 +100,30 @@ def strings(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> np.ndarra
     return _mix([g[at + i] for i in [*range(0, length - 7, 8), length - 8]] + [np.uint64(length)])
 
 
-def around(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Starts of the strings of `length` bytes that hold the K-grams at the positions."""
-    starts = (at[:, None] - np.arange(length - K + 1)).ravel()
-    return np.unique(starts[(starts >= 0) & (starts <= len(data) - length)])
-
-
 class Lookup:
-    """Sorted keys with the smallest document of each."""
+    """Sorted keys with the smallest document of each. A table over the hashes' highest bits answers most misses."""
+
+    BITS = 24
 
     def __init__(self, keys, first):
         self.keys, self.first = np.asarray(keys, np.int64), np.asarray(first, np.int64)
+        self.some: np.ndarray | None = None
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         """The smallest document of each hash, or LAST where it is no key."""
+        out = np.full(len(h), LAST, np.int64)
         if not len(self.keys) or not len(h):
-            return np.full(len(h), LAST, np.int64)
-        h = h.view(np.int64)
-        k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[k] == h, self.first[k], LAST)
+            return out
+        at = np.arange(len(h))
+        if len(self.keys) > 1000:
+            if self.some is None:  # on the worker, once
+                self.some = np.zeros(1 << self.BITS, bool)
+                self.some[self.keys.view(np.uint64) >> np.uint64(64 - self.BITS)] = True
+            at = np.flatnonzero(self.some[h >> np.uint64(64 - self.BITS)])
+        own = h[at].view(np.int64)
+        k = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        out[at] = np.where(self.keys[k] == own, self.first[k], LAST)
+        return out
 
 
 Finder = Callable[[np.ndarray], np.ndarray]
@@ -117,7 +136,7 @@ class Keys:
         self.groups, self.few = bounded(groups, limit)
         if self.few:
             rows = self.groups.orderBy("h").toArrow()
-            self.shared = groups.sparkSession.sparkContext.broadcast((np.asarray(rows["h"]), np.asarray(rows["first"])))
+            self.shared = groups.sparkSession.sparkContext.broadcast(Lookup(rows["h"], rows["first"]))
 
     def attach(self, docs: DataFrame, emitted: DataFrame, name: str) -> DataFrame:
         """docs with the column `name`: a document's keys, or null if they are broadcast."""
@@ -129,7 +148,7 @@ class Keys:
     def finder(self) -> Callable[[list[dict] | None], Finder]:
         if self.few:
             shared = self.shared
-            return lambda _: Lookup(*shared.value)
+            return lambda _: shared.value
         return lambda own: Lookup([x["h"] for x in own or ()], [x["first"] for x in own or ()])
 
 
@@ -160,63 +179,64 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(h).view(np.int64)
 
 
-def repeat_groups(docs: DataFrame, length: int = LENGTH, limit: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, Keys, Keys]:
-    """For rows (doc, version, text): (docs with key columns, anchors with one context, strings at edges)."""
+def repeat_groups(docs: DataFrame, length: int = LENGTH, limit: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, dict[str, Keys]]:
+    """For rows (doc, version, text): docs with key columns; the keys of shared anchors, repeated contexts, mixed anchors, and strings at edges."""
     def own_anchors(data, doc, version, _):
-        h = np.unique(anchors(data, length)[1])
+        h = np.unique(runs(data, length)[0])
         return _signed(h), np.full(len(h), doc), np.full(len(h), version)
 
     each = _pass(docs, own_anchors, "h long, doc long, version long", {})
     shared = Keys(each.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "first"), limit)
     docs = shared.attach(docs, each, "shared")
 
-    def contexts(data, doc, version, found):
-        at, h = anchors(data, length)
+    def own_contexts(data, doc, version, found):
+        h, a, b = runs(data, length)
         hit = found[0](h) != LAST
-        at, h = at[hit], h[hit]
-        w = length - K
-        raw = data.tobytes()
-        c = np.array([xxhash.xxh64_intdigest(raw[max(0, p - w) : p + length], seed=max(0, w - p)) for p in at.tolist()], np.uint64)
+        h, a, b = h[hit], a[hit], b[hit]
+        c = contexts(data.tobytes(), a, b, length)
         return _signed(h), _signed(c), np.full(len(h), doc), np.full(len(h), version)
 
-    with_context = _pass(docs, contexts, "h long, c long, doc long, version long", {"shared": shared.finder()})
-    by_context = with_context.groupBy("h", "c").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    by_anchor = materialize(by_context.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"), F.min("first").alias("first"), F.max("last").alias("last")), "anchors")
-    plain = Keys(by_anchor.where("contexts = 1 AND first < last").select("h", "first"), limit)
-    mixed = Keys(by_anchor.where("contexts > 1").select("h", "first"), limit)
-    docs = mixed.attach(plain.attach(docs, each, "plain"), each, "mixed")
+    with_context = _pass(docs, own_contexts, "h long, c long, doc long, version long", {"shared": shared.finder()})
+    by_context = materialize(with_context.groupBy("h", "c").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "contexts")
+    several = by_context.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"), F.min("first").alias("first"), F.max("last").alias("last"))
+    repeated = Keys(by_context.where("first < last").groupBy(F.col("c").alias("h")).agg(F.min("first").alias("first")), limit)
+    mixed = Keys(several.where("contexts > 1 AND first < last").select("h", "first"), limit)
+    docs = mixed.attach(repeated.attach(docs, with_context.select(F.col("c").alias("h"), "doc", "version"), "repeated"), each, "mixed")
+    finders = {"shared": shared.finder(), "repeated": repeated.finder(), "mixed": mixed.finder()}
 
     def edges(data, doc, version, found):
-        at, h = anchors(data, length)
-        starts = around(data, at[found[0](h) != LAST], length)
-        if not len(starts):
-            return [np.empty(0, np.int64)] * 4
-        s = strings(data, starts, length)
-        left = np.where(starts > 0, data[np.maximum(starts - 1, 0)].astype(np.int64), -1)
-        keep = np.unique(_signed(s) ^ left << 56, return_index=True)[1]
-        return _signed(s[keep]), left[keep], np.full(len(keep), doc), np.full(len(keep), version)
-
-    suffixes = _pass(docs, edges, "h long, left long, doc long, version long", {"mixed": mixed.finder()})
-    by_left = suffixes.groupBy("h", "left").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    intervals = by_left.groupBy("h").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count(F.lit(1)).alias("lefts"), F.min("left").alias("least")).where("first < last")
-    strings_ = Keys(intervals.select("h", "first", ((F.col("lefts") > 1) | (F.col("least") < 0)).alias("maximal")), limit)
-    docs = strings_.attach(docs, suffixes, "strings")
-    return docs, plain, strings_, mixed
-
-
-def covered(data: np.ndarray, doc: int, plain: Finder, mixed: Finder, strings_: Finder, length: int = LENGTH) -> np.ndarray:
+        starts = _open(data, doc, *found, length)[2]
+        s = strings(data, starts, length) if len(starts) else np.empty(0, np.uint64)
+        left = np.where(starts > 0, data[np.maximum(starts - 1, 0)].astype(np.int64), -1) if len(starts) else starts
+        return _signed(s), left, np.full(len(s), doc), np.full(len(s), version)
+
+    suffixes = _pass(docs, edges, "h long, left long, doc long, version long", finders)
+    intervals = suffixes.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("left").alias("least"), F.max("left").alias("most")).where("first < last")
+    ends = Keys(intervals.select("h", "first", ((F.col("least") < F.col("most")) | (F.col("least") < 0)).alias("maximal")), limit)
+    return ends.attach(docs, suffixes, "ends"), {"shared": shared, "repeated": repeated, "mixed": mixed, "ends": ends}
+
+
+def _open(data: np.ndarray, doc: int, shared: Finder, repeated: Finder, mixed: Finder, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last start of the runs that an earlier document has whole; starts of the strings of the other runs with a mixed anchor)."""
+    h, a, b = runs(data, length)
+    hit = shared(h) != LAST
+    h, a, b = h[hit], a[hit], b[hit]
+    whole = repeated(contexts(data.tobytes(), a, b, length)) < doc
+    rest = ~whole & (mixed(h) != LAST)
+    return a[whole], b[whole], spread(a[rest], b[rest])
+
+
+def covered(data: np.ndarray, doc: int, shared: Finder, repeated: Finder, mixed: Finder, ends: Finder, length: int = LENGTH) -> np.ndarray:
     """Which bytes an earlier document covers."""
     n = len(data)
     if n < length:
         return np.zeros(n, bool)
-    at, h = anchors(data, length)
+    a, b, starts = _open(data, doc, shared, repeated, mixed, length)
     cover = np.zeros(n + 1, np.int32)
-    one = at[plain(h) < doc]
-    np.add.at(cover, np.maximum(one - (length - K), 0), 1)
-    np.add.at(cover, np.minimum(one + length, n), -1)
-    starts = around(data, at[mixed(h) != LAST], length)
+    np.add.at(cover, a, 1)
+    np.add.at(cover, b + length, -1)
     if len(starts):
-        own = starts[strings_(strings(data, starts, length)) < doc]
+        own = starts[ends(strings(data, starts, length)) < doc]
         np.add.at(cover, own, 1)
         np.add.at(cover, own + length, -1)
     return np.cumsum(cover[:-1]) > 0
@@ -234,8 +254,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, limit: int = MAX_BROAD
     keyed = keyed.withColumn("version", F.xxhash64(digest)).join(F.broadcast(copies) if few else copies, ["doc", "version"], "left")
     first = keyed.where(F.col("copy").isNull()).select("doc", "version", "text")
     rest = keyed.where(F.col("copy")).select("doc_id", "text")
-    found, plain, strings_, mixed = repeat_groups(first, length, limit)
-    finders = {"plain": plain.finder(), "mixed": mixed.finder(), "strings": strings_.finder()}
+    found, keys = repeat_groups(first, length, limit)
+    finders = {n: k.finder() for n, k in keys.items()}
 
     def cut(batches):
         for b in batches:
