@@ -90,3 +90,11 @@ def edits(item, text):
             new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != e)))
         row = new
     return min(row)
+
+
+def pairs(df):
+    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+
+
+def ordered(rows):
+    return sorted((tuple(r) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, *map(str, r[1:])))

@@ -27,11 +27,3 @@ def nothing(odd):
 @pytest.fixture(scope="session")
 def docs(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet")
-
-
-def pairs(df):
-    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
-
-
-def ordered(rows):
-    return sorted((tuple(r) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, *map(str, r[1:])))

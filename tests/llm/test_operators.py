@@ -7,7 +7,7 @@ import zlib
 import brute
 import public_tokenizers
 import pytest
-from conftest import ordered, pairs
+from brute import ordered, pairs
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 

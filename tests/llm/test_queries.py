@@ -3,7 +3,7 @@
 import brute
 import public_tokenizers
 import pytest
-from conftest import pairs
+from brute import pairs
 from tokenizers import Tokenizer
 
 import corpus_pipeline
