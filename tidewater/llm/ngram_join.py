@@ -6,11 +6,12 @@ and the first |x| - ceil(t * |x|) + SHARE of a set's are kept: two sets with
 Jaccard t or more share SHARE of these.
 
 Similar documents are first partitioned into groups: each set is compared with
-the first holder of each of its kept tokens, and sets that link form a group.
+the most common holder of each of its kept tokens, and sets that link form a group.
 The matrix holds each group's union of kept tokens. A set's kept tokens then
 probe the other groups: a group with fewer than SHARE of them cannot hold a
-partner; only the others are opened, and their members with SHARE kept tokens in
-common are verified on whole sets. A group of G near copies so costs G
+partner; nor can one whose tokens known to be shared are too few. Only the others
+are opened, and their members with SHARE kept tokens in common are verified on
+whole sets. A group of G near copies so costs G
 comparisons, not G * G, and no link between groups is lost.
 
 Common tokens (the lowest quarter of hashes, and all hashes of the sets that
@@ -31,7 +32,7 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import MAX_BROADCAST_ROWS, map_rows, materialize, restrict
@@ -39,6 +40,7 @@ from .common import MAX_BROADCAST_ROWS, map_rows, materialize, restrict
 SHARE = 3
 MAX_COMMON = 1_000_000
 COMMON_SETS = 12
+CROWD = 30
 LOW = np.uint64(1 << 62)  # a quarter of all hashes
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -108,7 +110,7 @@ def _known(x: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def _kept(docs: DataFrame, low: DataFrame, n: int, t: float) -> DataFrame:
-    """(rid, size, tokens): the kept tokens of each set, in one global order.
+    """(rid, size, own, tokens): the kept tokens of each set, in one global order; own: its share of uncommon tokens, in thousandths.
 
     First come uncommon low tokens by hash; most sets have enough of them. All other tokens follow, by the number of sets among those
     that need them, then by hash. A set of the first kind keeps the same tokens whatever the order of the rest.
@@ -147,15 +149,18 @@ def _kept(docs: DataFrame, low: DataFrame, n: int, t: float) -> DataFrame:
 
     def second(batches):
         for b in batches:
-            out = {k: [] for k in ("rid", "size", "tokens")}
+            out = {k: [] for k in ("rid", "size", "own", "tokens")}
             for r, size, free, other in zip(b["rid"], b["size"], b["uncommon"], b["other"], strict=True):
                 x = np.array(other, np.int64)
-                order = np.lexsort((x.view(np.uint64), _known(x, again.value)))
-                for name, y in zip(out, (r, size, np.concatenate([np.array(free, np.int64), x[order]])[: prefix_size(size, t, SHARE)]), strict=True):
+                known = _known(x, again.value)
+                order = np.lexsort((x.view(np.uint64), known))
+                kept = np.concatenate([np.array(free, np.int64), x[order]])[: prefix_size(size, t, SHARE)]
+                for name, y in zip(out, (r, size, 1000 - 1000 * int((known > 0).sum()) // size, kept), strict=True):
                     out[name].append(y)
             yield out
 
-    return tried.where(F.col("tokens").isNotNull()).unionByName(map_rows(wide, second, "rid long, size long, tokens array<long>"))
+    enough = tried.where(F.col("tokens").isNotNull()).withColumn("own", F.lit(1000))
+    return enough.unionByName(map_rows(wide, second, "rid long, size long, own int, tokens array<long>"))
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -170,14 +175,8 @@ def _verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFram
 
     sets = materialize(map_rows(restrict(docs.select("rid", "text"), needed, "left_semi"), work, "rid long, tokens array<long>"), "whole")
     both = pairs.join(sets.withColumnsRenamed({"rid": "a", "tokens": "x"}), "a").join(sets.withColumnsRenamed({"rid": "b", "tokens": "y"}), "b")
-
-    def compare(batches):
-        for b in batches:
-            shared = [len(np.intersect1d(np.array(x, np.int64), np.array(y, np.int64), assume_unique=True)) for x, y in zip(b["x"], b["y"], strict=True)]
-            ok = [100 * k >= percent * (len(x) + len(y) - k) for k, x, y in zip(shared, b["x"], b["y"], strict=True)]
-            yield {c: [v for v, good in zip(b[c], ok, strict=True) if good] for c in ("a", "b")}
-
-    return materialize(map_rows(both.select("a", "b", "x", "y"), compare, "a long, b long").distinct(), "links")
+    k = F.size(F.array_intersect("x", "y"))
+    return materialize(both.where(k * 100 >= (F.size("x") + F.size("y") - k) * percent).select("a", "b").distinct(), "links")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -199,29 +198,85 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _possible(overlap: Column, a: Column, b: Column, percent: int) -> Column:
+    """Whether sets of sizes a and b with at most this overlap can link."""
+    return overlap * 100 >= (a + b - overlap) * percent
+
+
+def _rest(size: Column, percent: int) -> Column:
+    """The tokens of a set that are not kept. Of two sets' common tokens, at most the larger rest are not among their common kept ones."""
+    return F.greatest(F.floor((size * percent + 99) / 100) - SHARE, F.lit(0))
+
+
+def _shared_tokens(kept: DataFrame) -> DataFrame:
+    """(token, rid, size, own, first): kept tokens of at least two sets; first is the holder with the most common tokens."""
+    rows = kept.select("rid", "size", "own", F.explode("tokens").alias("token"))
+    held = rows.groupBy("token").agg(F.min(F.struct("own", "rid"))["rid"].alias("first"), F.min("rid").alias("low"), F.max("rid").alias("high")).where("low < high").select("token", "first")
+    held = materialize(held, "held")
+    if held.count() <= MAX_BROADCAST_ROWS:
+        few = kept.sparkSession.sparkContext.broadcast(np.sort(np.asarray(held.select("token").toArrow()["token"])))
+
+        def matching(batches):
+            for b in batches:
+                out = {k: [] for k in ("rid", "size", "own", "token")}
+                for r, size, own, tokens in zip(b["rid"], b["size"], b["own"], b["tokens"], strict=True):
+                    x = np.array(tokens, np.int64)
+                    x = x[few.value[np.minimum(np.searchsorted(few.value, x), len(few.value) - 1)] == x].tolist() if len(few.value) else []
+                    for name, y in zip(out, ([r] * len(x), [size] * len(x), [own] * len(x), x), strict=True):
+                        out[name] += y
+                yield out
+
+        rows = map_rows(kept, matching, "rid long, size long, own int, token long")
+    return materialize(rows.join(held, "token"), "shared")
+
+
+def _crowded(docs: DataFrame, placed: DataFrame, n: int) -> DataFrame:
+    """(rid, reach) of the sets with a kept token that over CROWD groups hold: how many of all their tokens another of these sets holds.
+
+    No two of these sets have more in common than the smaller reach.
+    """
+    crowd = placed.groupBy("token").agg(F.count_distinct("grp").alias("groups")).where(F.col("groups") > CROWD).select("token")
+    members = materialize(placed.join(crowd, "token", "left_semi").select("rid").distinct(), "crowd")
+
+    def work(batches):
+        hashes = _Hashes()
+        for b in batches:
+            for r, text in zip(b["rid"], b["text"], strict=True):
+                x = shingles(text, n, hashes).view(np.int64)
+                yield {"rid": [r] * len(x), "token": x}
+
+    tokens = materialize(map_rows(restrict(docs.select("rid", "text"), members, "left_semi").dropDuplicates(["rid"]), work, "rid long, token long"), "crowd")
+    several = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
+    return materialize(members.join(tokens.join(several, "token", "left_semi").groupBy("rid").agg(F.count(F.lit(1)).alias("reach")), "rid", "left").select("rid", F.coalesce("reach", F.lit(0)).alias("reach")), "reach")
+
+
 def _links(docs: DataFrame, kept: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b): links between representatives; all links between groups, and enough within each group to connect it."""
-    rows = kept.select("rid", "size", F.explode("tokens").alias("token"))
-    held = materialize(rows.groupBy("token").agg(F.min("rid").alias("first"), F.max("rid").alias("last")).where("first < last").select("token", "first"), "held")
-    few = held.count() <= MAX_BROADCAST_ROWS
-    shared = materialize(rows.join(F.broadcast(held) if few else held, "token"), "shared")  # (token, rid, size, first)
-    fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+    shared = _shared_tokens(kept)
 
-    # Groups: sets that link with the first holder of their kept tokens.
+    # Groups: sets that link with the first holder of some kept tokens.
     star = shared.where("rid <> first").groupBy(F.col("first").alias("a"), F.col("rid").alias("b")).agg(F.count(F.lit(1)).alias("k")).where("k >= 2")
     near = _verify(docs, star, n, percent)
     groups = components(near)
     placed = shared.join(groups.withColumnRenamed("node", "rid"), "rid", "left").select("token", "rid", "size", F.coalesce("component", "rid").alias("grp"))
     placed = materialize(placed.distinct(), "placed")
+    placed = materialize(placed.join(_crowded(docs, placed, n), "rid", "left"), "placed")
 
-    # The matrix: each group's union of kept tokens, and the span of its sizes.
-    matrix = placed.groupBy("token", "grp").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    # The matrix: each group's union of kept tokens, its sizes and reach. A query may reach what both sides reach, if both are crowded.
+    matrix = placed.groupBy("token", "grp").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max(F.coalesce("reach", "size")).alias("far"), F.count_if(F.col("reach").isNull()).alias("free"))
     query = placed.withColumnRenamed("grp", "own")
-    bound = query.join(matrix, "token").where((F.col("own") != F.col("grp")) & (F.col("high") * 100 >= F.col("size") * percent) & (F.col("size") * 100 >= F.col("low") * percent))
-    opened = bound.groupBy("rid", "grp").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= SHARE).select("rid", "grp")
-    inside = placed.select("token", F.col("rid").alias("m"), F.col("size").alias("m_size"), "grp")
-    met = placed.select("token", "rid", "size").join(opened, "rid").join(inside, ["token", "grp"]).where(fits("size", "m_size"))
-    pairs = met.groupBy(F.least("rid", "m").alias("a"), F.greatest("rid", "m").alias("b")).agg(F.count_distinct("token").alias("k")).where(F.col("k") >= SHARE)
+    size, low, high = F.col("size"), F.col("low"), F.col("high")
+    most = F.when(F.col("reach").isNotNull() & (F.col("free") == 0), F.least("reach", "far")).otherwise(F.least(size, high))
+    partner = F.greatest(low, F.least(most, high))  # the size that suits best
+    bound = query.join(matrix, "token").where((F.col("own") != F.col("grp")) & _possible(F.least(most, partner, size), size, partner, percent))
+    counted = bound.groupBy("rid", "grp").agg(F.count(F.lit(1)).alias("k"), F.max("size").alias("size"), F.min("low").alias("low"), F.max("high").alias("high"))
+    upper = F.col("k") + F.greatest(_rest(size, percent), _rest(high, percent))
+    opened = counted.where((F.col("k") >= SHARE) & _possible(upper, size, low, percent)).select("rid", "grp")
+    inside = placed.select("token", F.col("rid").alias("m"), F.col("size").alias("m_size"), F.col("reach").alias("m_reach"), "grp")
+    overlap = F.least("size", "m_size", F.when(F.col("reach").isNotNull() & F.col("m_reach").isNotNull(), F.least("reach", "m_reach")))
+    met = placed.select("token", "rid", "size", "reach").join(opened, "rid").join(inside, ["token", "grp"]).where(_possible(overlap, F.col("size"), F.col("m_size"), percent))
+    pairs = met.groupBy(F.least("rid", "m").alias("a"), F.greatest("rid", "m").alias("b")).agg(F.count_distinct("token").alias("k"), F.max(size + F.col("m_size")).alias("both"), F.max(F.greatest("size", "m_size")).alias("larger"))
+    pairs = pairs.where((F.col("k") >= SHARE) & _possible(F.col("k") + _rest(F.col("larger"), percent), F.col("both"), F.lit(0), percent))
     return near.unionByName(_verify(docs, pairs, n, percent))
 
 
