@@ -1,5 +1,6 @@
 """Compares a Spark result with DuckDB's, rows in any order."""
 
+import numbers
 import os
 
 import duckdb
@@ -18,7 +19,9 @@ def normal(df):
     def text(v):
         if v is None or v is pd.NaT or v is pd.NA or v != v:
             return "NULL"
-        return f"{v:.6f}" if isinstance(v, float) else str(v)
+        if isinstance(v, numbers.Number) and not isinstance(v, bool):  # pandas turns whole numbers with nulls into floats
+            return f"{float(v):.6f}"
+        return str(v)
 
     df = df[sorted(df.columns)]
     return sorted(tuple(map(text, row)) for row in df.itertuples(index=False))
