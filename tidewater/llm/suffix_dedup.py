@@ -42,6 +42,8 @@ from .common import MAX_BROADCAST_ROWS, bounded, map_rows, materialize
 LENGTH = 50
 K = 24
 LAST = 2**63 - 1
+#: Bytes of text that are looked at together.
+CHUNK = 500_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -67,20 +69,45 @@ def _least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[:n], before[w - 1 : w - 1 + n])
 
 
-def runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor's hash, first start, last start) of each stretch of strings whose smallest K-gram hash is the same."""
-    if len(data) < length:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    g = _loads(data)
-    h = g[: -(K - 8)] * _A
-    h += g[8 : len(g) - (K - 16)] * _B
-    h += g[16:] * _C
-    h ^= h >> np.uint64(31)
-    h *= _A
-    h ^= h >> np.uint64(29)
-    least = _least(h, length - K + 1)
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return least[first], first, np.append(first[1:] - 1, len(least) - 1)
+class Chunk:
+    """Texts laid end to end, so that a few array operations serve many documents; no string crosses from one to the next."""
+
+    def __init__(self, texts: list[str | None], docs: list[int]):
+        raw = [(t or "").encode() for t in texts]
+        self.raw = b"".join(raw)
+        self.data = np.frombuffer(self.raw, np.uint8)
+        self.end = np.cumsum([len(x) for x in raw])
+        self.start = self.end - [len(x) for x in raw]
+        self.docs = np.array(docs, np.int64)
+
+    def doc(self, at: np.ndarray) -> np.ndarray:
+        """The document of each position."""
+        return self.docs[np.searchsorted(self.end, at, "right")]
+
+    def runs(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor's hash, first start, last start) of each stretch of a text's strings whose smallest K-gram hash is the same."""
+        if len(self.data) < length:
+            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        g = _loads(self.data)
+        h = g[: -(K - 8)] * _A
+        h += g[8 : len(g) - (K - 16)] * _B
+        h += g[16:] * _C
+        h ^= h >> np.uint64(31)
+        h *= _A
+        h ^= h >> np.uint64(29)
+        least = _least(h, length - K + 1)
+        valid = np.zeros(len(least) + 1, np.int8)
+        real = self.end - self.start >= length
+        begin, stop = self.start[real], self.end[real] - length + 1
+        np.add.at(valid, begin, 1)
+        np.add.at(valid, stop, -1)
+        valid = np.cumsum(valid[:-1], dtype=np.int8) > 0
+        new = valid.copy()
+        new[1:] &= (least[1:] != least[:-1]) | ~valid[:-1]
+        new[begin] = True
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(least)) - 1
+        return least[first], first, np.minimum(last, self.end[np.searchsorted(self.end, first, "right")] - length)
 
 
 def contexts(raw: bytes, first: np.ndarray, last: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -96,6 +123,8 @@ def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 def strings(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Hashes of the strings of `length` bytes that start at the positions."""
+    if not len(at):
+        return np.empty(0, np.uint64)
     g = _loads(data)
     return _mix([g[at + i] for i in [*range(0, length - 7, 8), length - 8]] + [np.uint64(length)])
 
@@ -152,25 +181,28 @@ class Keys:
         return lambda own: Lookup([x["h"] for x in own or ()], [x["first"] for x in own or ()])
 
 
+def _chunks(batch: dict[str, list], finders: dict[str, Callable]) -> Iterator[tuple[int, int, list[Finder]]]:
+    """(first row, end row, finders) of each chunk: about CHUNK bytes, or one row where a row has its own keys."""
+    n, start, size = len(batch["text"]), 0, 0
+    for i in range(n):
+        size += len(batch["text"][i] or "")
+        alone = any(batch[f][i] is not None for f in finders)
+        if size >= CHUNK or alone or i + 1 == n or any(batch[f][i + 1] is not None for f in finders):
+            yield start, i + 1, [f(batch[name][i]) for name, f in finders.items()]
+            start, size = i + 1, 0
+
+
 def _pass(docs: DataFrame, emit, schema: str, finders: dict[str, Callable]) -> DataFrame:
-    """emit(data, doc, finders) -> columns of rows, for each document."""
+    """emit(chunk, finders) -> (a position of each row, its other columns); doc and version are added."""
     names = [n.split()[0] for n in schema.split(", ")]
 
     def work(batches):
         for b in batches:
-            held: dict[str, list] = {n: [] for n in names}
-            size = 0
-            for i, t in enumerate(b["text"]):
-                data = np.frombuffer((t or "").encode(), np.uint8)
-                rows = emit(data, b["doc"][i], b["version"][i], [f(b[n][i]) for n, f in finders.items()])
-                for n, r in zip(names, rows, strict=True):
-                    held[n].append(np.asarray(r))
-                size += len(rows[0])
-                if size > 200_000:
-                    yield {n: np.concatenate(x) for n, x in held.items()}
-                    held, size = {n: [] for n in names}, 0
-            if held[names[0]]:
-                yield {n: np.concatenate(x) for n, x in held.items()}
+            version = np.array(b["version"], np.int64)
+            for start, end, found in _chunks(b, finders):
+                chunk = Chunk(b["text"][start:end], b["doc"][start:end])
+                at, *columns = emit(chunk, found)
+                yield dict(zip(names, [*columns, chunk.doc(at), version[start:end][np.searchsorted(chunk.end, at, "right")]], strict=True))
 
     return map_rows(docs.select("text", "doc", "version", *finders), work, schema)
 
@@ -181,20 +213,19 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 def repeat_groups(docs: DataFrame, length: int = LENGTH, limit: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, dict[str, Keys]]:
     """For rows (doc, version, text): docs with key columns; the keys of shared anchors, repeated contexts, mixed anchors, and strings at edges."""
-    def own_anchors(data, doc, version, _):
-        h = np.unique(runs(data, length)[0])
-        return _signed(h), np.full(len(h), doc), np.full(len(h), version)
+    def own_anchors(chunk, _):
+        h, a, _ = chunk.runs(length)
+        return a, _signed(h)
 
     each = _pass(docs, own_anchors, "h long, doc long, version long", {})
     shared = Keys(each.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "first"), limit)
     docs = shared.attach(docs, each, "shared")
 
-    def own_contexts(data, doc, version, found):
-        h, a, b = runs(data, length)
+    def own_contexts(chunk, found):
+        h, a, b = chunk.runs(length)
         hit = found[0](h) != LAST
         h, a, b = h[hit], a[hit], b[hit]
-        c = contexts(data.tobytes(), a, b, length)
-        return _signed(h), _signed(c), np.full(len(h), doc), np.full(len(h), version)
+        return a, _signed(h), _signed(contexts(chunk.raw, a, b, length))
 
     with_context = _pass(docs, own_contexts, "h long, c long, doc long, version long", {"shared": shared.finder()})
     by_context = materialize(with_context.groupBy("h", "c").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "contexts")
@@ -204,11 +235,11 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, limit: int = MAX_BROADC
     docs = mixed.attach(repeated.attach(docs, with_context.select(F.col("c").alias("h"), "doc", "version"), "repeated"), each, "mixed")
     finders = {"shared": shared.finder(), "repeated": repeated.finder(), "mixed": mixed.finder()}
 
-    def edges(data, doc, version, found):
-        starts = _open(data, doc, *found, length)[2]
-        s = strings(data, starts, length) if len(starts) else np.empty(0, np.uint64)
-        left = np.where(starts > 0, data[np.maximum(starts - 1, 0)].astype(np.int64), -1) if len(starts) else starts
-        return _signed(s), left, np.full(len(s), doc), np.full(len(s), version)
+    def edges(chunk, found):
+        starts = _open(chunk, *found, length)[2]
+        own = chunk.start[np.searchsorted(chunk.end, starts, "right")]
+        left = np.where(starts > own, chunk.data[np.maximum(starts - 1, 0)].astype(np.int64), -1) if len(starts) else starts
+        return starts, _signed(strings(chunk.data, starts, length)), left
 
     suffixes = _pass(docs, edges, "h long, left long, doc long, version long", finders)
     intervals = suffixes.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("left").alias("least"), F.max("left").alias("most")).where("first < last")
@@ -216,29 +247,25 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, limit: int = MAX_BROADC
     return ends.attach(docs, suffixes, "ends"), {"shared": shared, "repeated": repeated, "mixed": mixed, "ends": ends}
 
 
-def _open(data: np.ndarray, doc: int, shared: Finder, repeated: Finder, mixed: Finder, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _open(chunk: Chunk, shared: Finder, repeated: Finder, mixed: Finder, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, last start of the runs that an earlier document has whole; starts of the strings of the other runs with a mixed anchor)."""
-    h, a, b = runs(data, length)
+    h, a, b = chunk.runs(length)
     hit = shared(h) != LAST
     h, a, b = h[hit], a[hit], b[hit]
-    whole = repeated(contexts(data.tobytes(), a, b, length)) < doc
+    whole = repeated(contexts(chunk.raw, a, b, length)) < chunk.doc(a)
     rest = ~whole & (mixed(h) != LAST)
     return a[whole], b[whole], spread(a[rest], b[rest])
 
 
-def covered(data: np.ndarray, doc: int, shared: Finder, repeated: Finder, mixed: Finder, ends: Finder, length: int = LENGTH) -> np.ndarray:
+def covered(chunk: Chunk, shared: Finder, repeated: Finder, mixed: Finder, ends: Finder, length: int = LENGTH) -> np.ndarray:
     """Which bytes an earlier document covers."""
-    n = len(data)
-    if n < length:
-        return np.zeros(n, bool)
-    a, b, starts = _open(data, doc, shared, repeated, mixed, length)
-    cover = np.zeros(n + 1, np.int32)
+    a, b, starts = _open(chunk, shared, repeated, mixed, length)
+    cover = np.zeros(len(chunk.data) + 1, np.int32)
     np.add.at(cover, a, 1)
     np.add.at(cover, b + length, -1)
-    if len(starts):
-        own = starts[ends(strings(data, starts, length)) < doc]
-        np.add.at(cover, own, 1)
-        np.add.at(cover, own + length, -1)
+    own = starts[ends(strings(chunk.data, starts, length)) < chunk.doc(starts)]
+    np.add.at(cover, own, 1)
+    np.add.at(cover, own + length, -1)
     return np.cumsum(cover[:-1]) > 0
 
 
@@ -258,17 +285,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, limit: int = MAX_BROAD
     finders = {n: k.finder() for n, k in keys.items()}
 
     def cut(batches):
-        for b in batches:
-            out = {n: [] for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept")}
-            for i, t in enumerate(b["text"]):
-                data = np.frombuffer((t or "").encode(), np.uint8)
-                gone = covered(data, b["doc"][i], *[f(b[n][i]) for n, f in finders.items()], length)
-                out["doc_id"].append(b["doc_id"][i])
-                out["n_bytes"].append(len(data))
-                out["n_removed"].append(int(gone.sum()))
-                out["n_spans"].append(int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()))
-                out["kept"].append(data[~gone].tobytes())
-            yield out
+        for batch in batches:
+            for start, end, found in _chunks(batch, finders):
+                chunk = Chunk(batch["text"][start:end], batch["doc"][start:end])
+                gone = covered(chunk, *found, length)
+                kept = [chunk.data[a:b][~gone[a:b]].tobytes() for a, b in zip(chunk.start.tolist(), chunk.end.tolist(), strict=True)]
+                size = chunk.end - chunk.start
+                opened = gone.copy()
+                opened[1:] &= ~gone[:-1]
+                opened[chunk.start[size > 0]] = gone[chunk.start[size > 0]]
+                spans = np.concatenate([[0], np.cumsum(opened)])
+                yield {"doc_id": batch["doc_id"][start:end], "n_bytes": size, "n_removed": size - [len(x) for x in kept], "n_spans": spans[chunk.end] - spans[chunk.start], "kept": kept}
 
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary"
     own_id = F.when(F.col("doc") != LAST - 1, F.col("doc")).cast(kind).alias("doc_id")
