@@ -129,7 +129,7 @@ def test_bpe_is_the_tokenizers_encoding(odd, nothing, docs):
 
 def test_bpe_streams():
     """Pieces of any size give the same tokens, emitted before the word ends, with bounded state."""
-    b, r = bpe.load(BPE), random.Random(1)
+    b, r = bpe.Bpe(BPE), random.Random(1)
     t = Tokenizer.from_file(BPE)
     for _ in range(60):
         word = "".join(r.choice(["a", "b", "the", "-", "=", "é", "ing"]) for _ in range(r.randint(1, 3000)))

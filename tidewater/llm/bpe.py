@@ -25,7 +25,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property
 from itertools import chain
 
 import regex
@@ -49,7 +49,7 @@ def _characters() -> dict[str, int]:
 class Bpe:
     """One tokenizer file, with the tables of the transducer. cache_words bounds the memory of encoded words."""
 
-    def __init__(self, path: str, cache_words: int = 250_000):
+    def __init__(self, path: str, cache_words: int = 100_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte_of = _characters()
@@ -65,13 +65,9 @@ class Bpe:
             pair = vocab[a], vocab[b]
             self.rank[pair] = r
             self.made.setdefault(vocab[a + b], (r, *pair))
-        #: Tries of the tokens' bytes, first to last and last to first; key -1: the token.
-        self.forward, self.reversed = {}, {}
-        for i in vocab.values():
-            for trie, data in ((self.forward, self.bytes_of[i]), (self.reversed, self.bytes_of[i][::-1])):
-                for x in data:
-                    trie = trie.setdefault(x, {})
-                trie[-1] = i
+        #: Trie of the tokens' bytes, first to last; key -1: the token.
+        self.ids = list(vocab.values())
+        self.forward = self._trie(1)
         self.longest = max(len(self.bytes_of[i]) for i in vocab.values())
         self.lookahead = self._lookahead()
         self.fits: dict[tuple[int, int], bool] = {}
@@ -83,6 +79,20 @@ class Bpe:
         self.cut = regex.compile(WORDS)
         self.cut_ascii = re.compile(ASCII_WORDS, re.ASCII)
 
+    def _trie(self, step: int) -> dict:
+        root: dict = {}
+        for i in self.ids:
+            node = root
+            for x in self.bytes_of[i][::step]:
+                node = node.setdefault(x, {})
+            node[-1] = i
+        return root
+
+    @cached_property
+    def reversed(self) -> dict:
+        """Only words longer than the lookahead need it."""
+        return self._trie(-1)
+
     def _lookahead(self) -> int:
         """How many bytes after a boundary can still decide whether a merge crosses it.
 
@@ -114,7 +124,7 @@ class Bpe:
                     before, x = rx, self.made[x][2]
                 else:
                     before, y = ry + 1, self.made[y][1]
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 250_000:
                 self.fits.clear()
             known = self.fits[a, b] = fits
         return known
@@ -247,15 +257,10 @@ class Bpe:
         yield machine.decode(b"", True)
 
 
-@lru_cache(maxsize=2)
-def load(path: str) -> Bpe:
-    return Bpe(path)
-
-
 def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, ids) of each row."""
     def work(batches):
-        bpe = load(path)
+        bpe = Bpe(path)  # goes with its caches when the task ends: workers live on, and other operators need the memory
         for b in batches:
             yield {key: b[key], "ids": [bpe.encode(t or "") for t in b[text]]}
 
@@ -265,7 +270,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str =
 def decode_documents(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     """(key, text) of each row of ids."""
     def work(batches):
-        bpe = load(path)
+        bpe = Bpe(path)
         for b in batches:
             yield {key: b[key], "text": ["".join(bpe.decode(x or [])) for x in b["ids"]]}
 
@@ -275,7 +280,7 @@ def decode_documents(encoded: DataFrame, path: str, key: str = "doc_id") -> Data
 def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256; encoding and decoding share one pass."""
     def work(batches):
-        bpe = load(path)
+        bpe = Bpe(path)
         names = {i: str(i) for i in bpe.bytes_of}
         for b in batches:
             out = {"doc_id": b["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
