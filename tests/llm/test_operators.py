@@ -284,6 +284,17 @@ def test_lm_filter_and_gain(docs, nothing, spark):
     assert lm_score.lm_scores(nothing).count() == 0
 
 
+def test_lm_filter_is_never_saturated(docs, odd, spark):
+    """Bits an entry do not shrink beyond max_bits: the same scores from shards that are asked by a shuffle."""
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6))
+    for df in (docs, odd):
+        near = sorted(map(key, lm_score.lm_scores(df).collect()))
+        for words in (10**6, 1):
+            assert sorted(map(key, lm_score.lm_scores(df, max_broadcast=words, max_bits=64).collect())) == near
+    f = lm_score.load(lm_score.fill(spark.range(1, 200_001).select((F.xxhash64("id").bitwiseOR(1)).alias("h"), F.lit(2).cast("long").alias("n"))))
+    assert 8 * len(f.bytes) >= lm_score.BITS_PER_ENTRY * 400_000
+
+
 # 10 benchmark
 
 

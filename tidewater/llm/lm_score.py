@@ -3,12 +3,13 @@
 Words (and the end of each text) and word pairs of the learning rows are counted
 in Spark. A count n becomes the level 1 + floor(log_b n); the filter holds each
 n-gram once for every level up to its own, so a few membership probes, level by
-level until one fails, give its quantised count. The filter is blocked: an
-n-gram's bits lie in one block, so blocks are built where their n-grams are
-shuffled to, and only finished bits go to the workers. Pairs seen once stay out:
+level until one fails, give its quantised count. The filter is sharded: the top
+bits of an n-gram's hash name its shard, which has BITS_PER_ENTRY bits for each
+of its entries, so shards are built where their n-grams are shuffled to, and the
+false-positive rate does not depend on the corpus. Pairs seen once stay out:
 they say less than the filter's error. The model mixes the pair's and the
-word's relative frequencies. The filter has at most MAX_BITS bits, whatever the
-corpus; with more n-grams its false-positive rate rises.
+word's relative frequencies. A filter of at most `max_bits` bits is broadcast;
+with a larger one each text's distinct n-grams are shuffled to the shards.
 
 The base score takes exact counts: a broadcast table while the vocabulary has
 at most `max_broadcast` words, else a shuffle join.
@@ -26,8 +27,9 @@ import math
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import MAX_BROADCAST_ROWS, fold_remainder, map_rows, materialize
@@ -36,9 +38,12 @@ BASE = 2.0
 PROBES = 4
 BITS_PER_ENTRY = 12
 MAX_BITS = 1 << 31
-BLOCK_BITS = 1 << 20
+#: Filter shards a shuffle partition, at least.
+SHARDS = 16
 PAIR_WEIGHT = 0.3
 FLUSH_TOKENS = 500_000
+#: Rows that a task gathers before it adds up the counts of equal n-grams.
+MERGE_ROWS = 4_000_000
 #: Words that a task remembers at once.
 MAX_WORDS = 150_000
 END = xxhash.xxh64_intdigest(b"\n")  # no word holds white space
@@ -96,50 +101,52 @@ def levels(n: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(n, 1)) / math.log(BASE) + 1e-9).astype(np.int64)
 
 
-def _block(h: np.ndarray, blocks: int) -> np.ndarray:
-    return (((h * _C) >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-
-
-def _probes(h: np.ndarray, level: int):
-    """The PROBES bit positions of the keys at a level, within their blocks, one array after the other."""
+def _probes(h: np.ndarray, level: int, size: np.ndarray | int):
+    """The PROBES bit positions of the keys at a level, within shards of the given sizes, one array after the other."""
     x = (h ^ np.uint64(level * int(_A) & 2**64 - 1)) * _B
     x ^= x >> np.uint64(32)
-    step = (x * _C) >> np.uint64(20) | np.uint64(1)
+    step = x * _C | np.uint64(1)
     for _ in range(PROBES):
-        yield (x >> np.uint64(7) & np.uint64(BLOCK_BITS - 1)).astype(np.int64)
+        yield ((x >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
         x = x + step
 
 
-class Filter:
-    def __init__(self, blocks: int, bits: Iterable[tuple[int, bytes]]):
-        self.blocks = blocks
-        self.bytes = np.zeros(blocks * (BLOCK_BITS // 8), np.uint8)
-        for k, v in bits:
-            self.bytes[k * (BLOCK_BITS // 8) : (k + 1) * (BLOCK_BITS // 8)] = np.frombuffer(v, np.uint8)
-
-    def holds(self, h: np.ndarray, level: int) -> np.ndarray:
-        """Indices of the keys that are there at the level."""
-        start = _block(h, self.blocks) * (BLOCK_BITS // 8)
-        at = np.arange(len(h))
-        for bit in _probes(h, level):
+def quantised(h: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The quantised counts: the middle of the highest level whose probes, and those of all before it, succeed.
+
+    A key's shard has `size` bits from the byte `start` of data on.
+    """
+    level, open_, k = np.zeros(len(h), np.int64), np.flatnonzero(size > 0), 1
+    while len(open_) and k < 100:
+        first, at = start[open_], np.arange(len(open_))
+        for bit in _probes(h[open_], k, size[open_]):
             bit = bit[at]
-            at = at[self.bytes[start[at] + (bit >> 3)] >> (bit & 7).astype(np.uint8) & 1 == 1]
+            at = at[data[first[at] + (bit >> 3)] >> (bit & 7).astype(np.uint8) & 1 == 1]
             if not len(at):
                 break
-        return at
+        open_ = open_[at]
+        level[open_] = k
+        k += 1
+    return np.where(level == 0, 0.0, np.where(level == 1, 1.0, BASE ** (level - 1) * (1 + BASE) / 2))
+
+
+class Filter:
+    def __init__(self, shift: int, n_bytes: int, shards: Iterable[tuple[int, bytes]]):
+        self.shift = np.uint64(shift)
+        self.start, self.size = (np.zeros(1 << 64 - shift, np.int64) for _ in range(2))
+        self.bytes, at = np.zeros(n_bytes, np.uint8), 0
+        for k, v in shards:
+            self.start[k], self.size[k] = at, len(v) * 8
+            self.bytes[at : at + len(v)] = np.frombuffer(v, np.uint8)
+            at += len(v)
 
     def counts(self, h: np.ndarray) -> np.ndarray:
-        """The quantised counts: the middle of the highest level whose probes, and those of all before it, succeed."""
-        level, open_, k = np.zeros(len(h), np.int64), np.arange(len(h)), 1
-        while len(open_) and k < 100:
-            open_ = open_[self.holds(h[open_], k)]
-            level[open_] = k
-            k += 1
-        return np.where(level == 0, 0.0, np.where(level == 1, 1.0, BASE ** (level - 1) * (1 + BASE) / 2))
+        shard = (h >> self.shift).astype(np.int64)
+        return quantised(h, self.bytes, self.start[shard], self.size[shard].astype(np.uint64))
 
 
 def count(docs: DataFrame) -> DataFrame:
-    """(h, n) of words and pairs; a pair seen once is left out. Chunks are counted before the shuffle."""
+    """(h, n) of words and pairs, counted within chunks: an n-gram has a row for each chunk that holds it."""
     def work(batches):
         totals, before = np.zeros(0, np.int64), None
 
@@ -161,51 +168,100 @@ def count(docs: DataFrame) -> DataFrame:
         if before is not None:
             yield flush()
 
-    # Chunks hold few equal keys, so hashing them again before the shuffle would be in vain.
-    counted = map_rows(docs.select("text"), work, "h long, n long").repartition("h").groupBy("h").agg(F.sum("n").alias("n"))
-    return materialize(counted.where((F.col("h").bitwiseAND(1) == 0) | (F.col("n") > 1)), "ngrams")
+    return map_rows(docs.select("text"), work, "h long, n long")
 
 
-def build(counted: DataFrame, max_bits: int = MAX_BITS) -> Filter:
-    entries = counted.agg(F.sum(1 + F.floor(F.log(F.col("n").cast("double")) / math.log(BASE) + 1e-9))).first()[0] or 0
-    blocks = max(1, math.ceil(min(max_bits, BITS_PER_ENTRY * entries) / BLOCK_BITS))
-
-    def place(batches):
-        for b in batches:
-            h = np.array(b["h"], np.int64)
-            yield {"block": _block(h.view(np.uint64), blocks), "h": h, "n": b["n"]}
+def _shards(spark: SparkSession) -> tuple[int, int]:
+    """(shuffle partitions, the shift that leaves an n-gram's shard of its hash)"""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return parts, 64 - max(4, min(20, (SHARDS * parts - 1).bit_length()))
 
-    def fill(group):
-        bits = np.zeros(BLOCK_BITS, np.uint8)
-        h, most = group["h"].to_numpy().view(np.uint64), levels(group["n"].to_numpy())
-        for k in range(1, int(most.max()) + 1):
-            for at in _probes(h[most >= k], k):
-                bits[at] = 1
-        return group.iloc[:1][["block"]].assign(bits=np.packbits(bits, bitorder="little").tobytes())
 
-    built = map_rows(counted.select("h", "n"), place, "block int, h long, n long").groupBy("block").applyInPandas(fill, "block int, bits binary")
-    return Filter(blocks, ((r["block"], r["bits"]) for r in materialize(built, "filter").toLocalIterator()))
+def _merge(h: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their counts."""
+    h, n = np.concatenate(h), np.concatenate(n)
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
+    return h[first], np.add.reduceat(n, first) if len(h) else n
 
 
-def _share(counted: DataFrame, words: DataFrame | None):
-    """Broadcast (filter, words' hashes, their exact counts); the last two are empty without words."""
-    rows = words.orderBy("h").toArrow() if words is not None else None
-    keys, n = (np.asarray(rows["h"]), np.asarray(rows["n"])) if rows is not None else (np.empty(0, np.int64), np.empty(0, np.int64))
-    if len(n) and n.max() < 2**32:
-        n = n.astype(np.uint32)
-    return counted.sparkSession.sparkContext.broadcast((build(counted), keys, n))
+def fill(counted: DataFrame) -> DataFrame:
+    """One shuffle to the shards, written once: (h, n) of each word, shard null; (shard, bits) of each shard, n its bytes."""
+    parts, shift = _shards(counted.sparkSession)
+    schema = pa.schema([("shard", pa.int32()), ("h", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
 
+    def row_batch(shard, h, n, bits):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((shard, h, n, bits), schema.types, strict=True)], schema=schema)
 
-def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, pair_weight: float = PAIR_WEIGHT, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    def work(batches):
+        held, rows, least = ([], []), 0, MERGE_ROWS
+        for b in batches:
+            held[0].append(b.column("h").to_numpy().view(np.uint64))
+            held[1].append(b.column("n").to_numpy())
+            rows += b.num_rows
+            if rows >= least:
+                h, n = _merge(*held)
+                held, rows, least = ([h], [n]), len(h), len(h) + MERGE_ROWS
+        if not rows:
+            return
+        h, n = _merge(*held)
+        held = None
+        words = np.flatnonzero(h & _PAIR == 0)
+        for at in np.array_split(words, len(words) // 100_000 + 1):
+            yield row_batch(pa.nulls(len(at), pa.int32()), h[at].view(np.int64), n[at], pa.nulls(len(at), pa.binary()))
+        some = (h & _PAIR == 0) | (n > 1)
+        h, most = h[some], levels(n[some])
+        shard = (h >> np.uint64(shift)).astype(np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(h) else [0]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            own, top = h[a:b], most[a:b]
+            bits = np.zeros(-(-BITS_PER_ENTRY * int(top.sum()) // 8) * 8, np.uint8)
+            for k in range(1, int(top.max()) + 1):
+                for at in _probes(own[top >= k], k, len(bits)):
+                    bits[at] = 1
+            packed = np.packbits(bits, bitorder="little").tobytes()
+            yield row_batch([shard[a]], [None], [len(packed)], [packed])
+
+    dealt = counted.repartition(parts, F.shiftrightunsigned("h", shift)).select("h", "n")
+    return materialize(dealt.mapInArrow(work, "shard int, h long, n long, bits binary"), "model")
+
+
+def build(counted: DataFrame) -> Filter:
+    return load(fill(counted))
+
+
+def load(model: DataFrame) -> Filter:
+    shards = model.where("shard IS NOT NULL")
+    n_bytes = shards.agg(F.sum("n")).first()[0] or 0
+    return Filter(_shards(model.sparkSession)[1], n_bytes, ((r["shard"], r["bits"]) for r in shards.select("shard", "bits").toLocalIterator()))
+
+
+def _log_p(rough: np.ndarray, prior: np.ndarray, both: np.ndarray, floor: float, pair_weight: float) -> np.ndarray:
+    """log10 of each token's probability by the counts of the token, the one before it and the pair."""
+    p = (rough + 0.1) / floor
+    seen = prior > 0
+    p[seen] = (1 - pair_weight) * p[seen] + pair_weight * np.minimum(1.0, both[seen] / np.maximum(prior[seen], both[seen]))
+    return np.log10(p)
+
+
+def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, pair_weight: float = PAIR_WEIGHT, max_broadcast: int = MAX_BROADCAST_ROWS, max_bits: int = MAX_BITS) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
-    counted = count(docs.where(fold_remainder(F.col("doc_id"), folds) != held_out))
-    words = counted.where(F.col("h").bitwiseAND(1) == 0)
+    built = fill(count(docs.where(fold_remainder(F.col("doc_id"), folds) != held_out)))
+    words = built.where("shard IS NULL").select("h", "n")
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, n_words = total["n"] or 0, total["v"]
     floor = n_all + 0.1 * (n_words + 1)
     near = n_words <= max_broadcast
-    model = _share(counted, words if near else None)
+    small = 8 * (built.where("shard IS NOT NULL").agg(F.sum("n")).first()[0] or 0) <= max_bits
+    keys, exact_n = np.empty(0, np.int64), np.empty(0, np.int64)
+    if near:
+        rows = words.orderBy("h").toArrow()
+        keys, exact_n = np.asarray(rows["h"]), np.asarray(rows["n"])
+        if len(exact_n) and exact_n.max() < 2**32:
+            exact_n = exact_n.astype(np.uint32)
+    model = spark.sparkContext.broadcast((load(built) if small else None, keys, exact_n))
 
     def work(batches):
         filter_, keys, exact_n = model.value
@@ -214,19 +270,19 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, pair_weight:
             if known is not before:
                 before, rough, sure = known, np.zeros(0), np.zeros(0, np.int64)
             h = np.array(known.hashes, np.uint64)
-            new = h[len(rough) :]
-            rough = np.concatenate([rough, filter_.counts(new)])
-            both = filter_.counts(pairs(h[ids]))
-            prior = rough[np.concatenate([[0], ids[:-1]])]
-            p = ((rough + 0.1) / floor)[ids]
-            seen = prior > 0
-            p[seen] = (1 - pair_weight) * p[seen] + pair_weight * np.minimum(1.0, both[seen] / np.maximum(prior[seen], both[seen]))
-            out = rows | {"n_tokens": np.diff(np.append(first, len(ids))), "score": np.add.reduceat(np.log10(p), first)}
+            out = rows | {"n_tokens": np.diff(np.append(first, len(ids)))}
+            if small:
+                rough = np.concatenate([rough, filter_.counts(h[len(rough) :])])
+                each = _log_p(rough[ids], rough[np.concatenate([[0], ids[:-1]])], filter_.counts(pairs(h[ids])), floor, pair_weight)
+                out |= {"score": np.add.reduceat(each, first)}
+            else:
+                out |= {"score": [0.0] * len(first)}
             if near:
+                new = h[len(sure) :].view(np.int64)
                 c = np.zeros(len(new), np.int64)
                 if len(keys):
-                    k = np.minimum(np.searchsorted(keys, new.view(np.int64)), len(keys) - 1)
-                    c = np.where(keys[k] == new.view(np.int64), exact_n[k].astype(np.int64), 0)
+                    k = np.minimum(np.searchsorted(keys, new), len(keys) - 1)
+                    c = np.where(keys[k] == new, exact_n[k].astype(np.int64), 0)
                 sure = np.concatenate([sure, c])
                 out |= {"n_known": np.add.reduceat((sure > 0).astype(np.int64)[ids], first), "base_score": np.add.reduceat(np.log10((sure + 0.1) / floor)[ids], first)}
             else:
@@ -237,9 +293,62 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, pair_weight:
     scored = map_rows(source, work, f"doc_id {kind}, version long, n_tokens long, score double, n_known long, base_score double")
     if not near:
         scored = scored.drop("n_known", "base_score").join(exact_base(source, words, floor), ["version"])
+    if not small:
+        scored = scored.drop("score").join(far_scores(source, built, floor, pair_weight), ["version"])
     return scored.select("doc_id", (fold_remainder(F.col("doc_id"), folds) == held_out).alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def far_scores(source: DataFrame, built: DataFrame, floor: float, pair_weight: float) -> DataFrame:
+    """(version, score) by a shuffle of each text's distinct n-grams to the filter's shards and of the answers back to the text."""
+    parts, shift = _shards(source.sparkSession)
+    texts = source.dropDuplicates(["version"]).select("version", "text")
+
+    def ask(batches):
+        for rows, known, ids, first in chunks(batches, ("version",)):
+            h = np.array(known.hashes, np.uint64)[ids]
+            both = pairs(h)
+            for v, a, b in zip(rows["version"], first, [*first[1:], len(ids)], strict=True):
+                own = np.unique(np.concatenate([h[a:b], both[a:b]])).view(np.int64)
+                yield {"version": [v] * len(own), "h": own}
+
+    schema = pa.schema([("version", pa.int64()), ("h", pa.int64()), ("c", pa.float64())])
+
+    def answer(batches):
+        # A shard's bits come before its questions; a shard without bits has no entries.
+        at, data = -1, np.zeros(0, np.uint8)
+        for b in batches:
+            shard, bits = b.column("shard").to_numpy(), b.column("bits")
+            edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else [0]
+            for first, end in zip(edges[:-1], edges[1:], strict=True):
+                if bits[first].is_valid:
+                    at, data, first = shard[first], np.frombuffer(bits[first].as_py(), np.uint8), first + 1
+                n = end - first
+                if n:
+                    version, h = b.column("version").slice(first, n), b.column("h").slice(first, n)
+                    size = np.full(n, len(data) * 8 if shard[first] == at else 0, np.uint64)
+                    c = quantised(h.to_numpy().view(np.uint64), data, np.zeros(n, np.int64), size)
+                    yield pa.RecordBatch.from_arrays([version, h, pa.array(c)], schema=schema)
+
+    def score(batches):
+        for rows, known, ids, first in chunks(batches, ("version", "hs", "cs")):
+            h = np.array(known.hashes, np.uint64)[ids]
+            both, out = pairs(h).view(np.int64), []
+            for a, b, hs, cs in zip(first, [*first[1:], len(ids)], rows["hs"], rows["cs"], strict=True):
+                keys, c = np.array(hs, np.int64), np.array(cs)
+                order = np.argsort(keys)
+                keys, c = keys[order], c[order]
+                own, pair = (c[np.searchsorted(keys, k)] for k in (h[a:b].view(np.int64), both[a:b]))
+                # The token before the first is an end, as the last is.
+                out.append(_log_p(own, np.concatenate([own[-1:], own[:-1]]), pair, floor, pair_weight).sum())
+            yield {"version": rows["version"], "score": out}
+
+    asked = map_rows(texts, ask, "version long, h long").select(F.shiftrightunsigned("h", shift).cast("int").alias("shard"), "version", "h", F.lit(None).cast("binary").alias("bits"))
+    shards = built.where("shard IS NOT NULL").select("shard", F.lit(None).cast("long").alias("version"), F.lit(None).cast("long").alias("h"), "bits")
+    met = shards.unionByName(asked).repartition(parts, "shard").sortWithinPartitions("shard", F.col("bits").isNull())
+    answers = met.mapInArrow(answer, "version long, h long, c double").groupBy("version").agg(F.collect_list(F.struct("h", "c")).alias("k"))
+    return map_rows(texts.join(answers, "version").select("version", "text", F.col("k.h").alias("hs"), F.col("k.c").alias("cs")), score, "version long, score double")
+
+
 def exact_base(source: DataFrame, words: DataFrame, floor: float) -> DataFrame:
     """(version, n_known, base_score) by a shuffle join of each text's distinct words with the counts."""
     def work(batches):
