@@ -295,6 +295,16 @@ def test_lm_filter_is_never_saturated(docs, odd, spark):
     assert 8 * len(f.bytes) >= lm_score.BITS_PER_ENTRY * 400_000
 
 
+def test_lm_pairs_seen_once_count(spark):
+    """A word pair of one learning text lifts the score of a text that has it over one with its words in another order."""
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    learned = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 10][:3]
+    rows = [(learned[0], "alpha beta gamma delta"), (learned[1], "beta"), (learned[2], "gamma"), (held, "alpha beta"), (held, "beta alpha")]
+    got = [r["score"] for r in lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).where("held_out").collect()]
+    p = lambda w, prior, both: 0.7 * (w + 0.1) / (9 + 0.1 * 6) + 0.3 * both / prior
+    assert 10 ** got[0] == pytest.approx(p(1, 3, 1) * p(2, 1, 1) * p(3, 2, 1), rel=0.05) and got[0] > got[1] + 0.5
+
+
 # 10 benchmark
 
 

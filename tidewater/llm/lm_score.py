@@ -6,10 +6,10 @@ n-gram once for every level up to its own, so a few membership probes, level by
 level until one fails, give its quantised count. The filter is sharded: the top
 bits of an n-gram's hash name its shard, which has BITS_PER_ENTRY bits for each
 of its entries, so shards are built where their n-grams are shuffled to, and the
-false-positive rate does not depend on the corpus. Pairs seen once stay out:
-they say less than the filter's error. The model mixes the pair's and the
-word's relative frequencies. A filter of at most `max_bits` bits is broadcast;
-with a larger one each text's distinct n-grams are shuffled to the shards.
+false-positive rate does not depend on the corpus. All counted pairs go in, those
+seen once too. The model mixes the pair's and the word's relative frequencies.
+A filter of at most `max_bits` bits is broadcast; with a larger one each text's
+distinct n-grams are shuffled to the shards.
 
 The base score takes exact counts: a broadcast table while the vocabulary has
 at most `max_broadcast` words, else a shuffle join.
@@ -210,10 +210,8 @@ def fill(counted: DataFrame) -> DataFrame:
         words = np.flatnonzero(h & _PAIR == 0)
         for at in np.array_split(words, len(words) // 100_000 + 1):
             yield row_batch(pa.nulls(len(at), pa.int32()), h[at].view(np.int64), n[at], pa.nulls(len(at), pa.binary()))
-        some = (h & _PAIR == 0) | (n > 1)
-        h, most = h[some], levels(n[some])
-        shard = (h >> np.uint64(shift)).astype(np.int64)
-        edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(h) else [0]
+        most, shard = levels(n), (h >> np.uint64(shift)).astype(np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             own, top = h[a:b], most[a:b]
             bits = np.zeros(-(-BITS_PER_ENTRY * int(top.sum()) // 8) * 8, np.uint8)
