@@ -48,6 +48,14 @@ def test_html_edges(html, text):
     assert html_extract.main_text(html) == text
 
 
+@pytest.mark.parametrize("around", ["<body class='has-sidebar'>%s</body>", "<html class='modal-open'><body class='no-sidebar'>%s</body></html>", "<body><div class='article-with-sidebar'>%s</div></body>", "<body><form id='aspnetForm'>%s</form></body>", "<body class='sidebar'>%s</body>"])
+def test_html_page_wrappers(around):
+    """A name of the whole page takes nothing out; a part of it with such a name still goes, by a whole token or by its score."""
+    text = "The mill stood by the river for two hundred years and then fell in one night of rain."
+    page = f"<h1>The mill</h1><p>{text}</p><div class='cookie-notice'><p>We use some files here</p></div><div class='sidebar'>Other mills</div><p>{text}</p><div class='comment-list'><p>What a fine old mill that was</p></div>"
+    assert html_extract.main_text(around % page) == f"The mill\n\n{text}\n\n{text}"
+
+
 def test_html_query(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     out = html_extract.extract(pages.withColumn("text", F.lit("clash"))).collect()

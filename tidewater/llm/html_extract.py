@@ -1,11 +1,14 @@
 """Main text of HTML pages: the maximum-scoring subsequence of words and tags.
 
 A page is read once into blocks, each with its words, the tags before it and the
-names (tags, and words of class, id and role) of the elements around it. Log
-odds of the names, learned from the labelled pages below, tell blocks that are
-never content (menus, adverts, forms, comments, ...); those are taken out. Over
-the rest, words score positive and tags negative, and one linear scan finds the
-contiguous region with the largest sum. Its blocks are the main text.
+names (tags, and tokens of class, id and role) of the elements around it. Log
+odds of names and words are learned from the labelled pages below. Elements that
+are never content (menus, adverts, comments, ...) are taken out by their tag or
+a whole token. Over the rest, a word scores 1 plus the log odds of its block's
+elements, nearest first, and words, a tag scores negative, and one linear scan
+finds the contiguous region with the largest sum. Its blocks of positive score
+are the main text. What an element that holds most of the page's words is called
+does not count against them.
 
 Defined results: null, empty or tagless-empty html gives the empty text; plain
 text without tags is one block; equal sums go to the earlier, longer region;
@@ -36,34 +39,51 @@ HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidde
 WORD = re.compile(r"[a-z]+")
 
 WORD_SCORE, TAG_SCORE = 1.0, -0.2
-#: A block is never content if its names' log odds add up to less than this.
+#: The bounds of a word's score: a block that is no content is left out, so it need not part what is on both sides of it.
+LEAST, MOST = -0.5, 3.0
+#: Log odds that leave nothing to say for the elements further out, and those that are taken for even.
+SURE, EVEN = 3.0, 1.0
+#: An element with more than this share of the page's words is a wrapper.
+WRAPPER = 0.5
+#: A name with log odds below this is never content.
 NEVER = -1.0
+#: Elements whose names never tell against what they hold, and those that may hold a whole page, so that their tag alone is no veto.
+PAGE = frozenset(("html", "body", "main", "article"))
+SOFT = frozenset(("form", "fieldset"))
 
 
 @dataclass
 class Block:
     text: str
-    names: frozenset[str]
+    #: (number or None, tag, names) of the elements around it, nearest first.
+    around: tuple[tuple[int | None, str, frozenset[str]], ...]
     tags: int
 
+    @property
+    def names(self) -> frozenset[str]:
+        return frozenset().union(*(names for _, _, names in self.around))
 
-def _names(tag: str, attributes: str) -> set[str]:
+
+def _names(tag: str, attributes: str) -> frozenset[str]:
+    """The tag and the whole tokens of class, id and role, as their words joined by '-'."""
     found = {tag}
     if attributes:
         for m in NAMES.finditer(attributes):
-            found.update(f".{w}" for w in WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[1] or m[2] or m[3] or "").lower()))
+            for token in (m[1] or m[2] or m[3] or "").split():
+                if words := WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()):
+                    found.add("." + "-".join(words))
         if HIDDEN.search(attributes):
             found.add("hidden")
-    return found
+    return frozenset(found)
 
 
 def blocks(html: str) -> list[Block]:
     """The page's blocks in order; character references decoded, white space runs one space, ends trimmed."""
     out: list[Block] = []
-    stack: list[tuple[str, set[str]]] = []
+    stack: list[tuple[str, frozenset[str], int]] = []
     pieces: list[str] = []
-    own: set[str] = set()
-    tags = 0
+    own: tuple[tuple[None, str, frozenset[str]], ...] = ()
+    tags = opened = 0
 
     def flush() -> None:
         nonlocal tags
@@ -72,10 +92,10 @@ def blocks(html: str) -> list[Block]:
             pieces.clear()
             text = " ".join((unescape(text) if "&" in text else text).split())
             if text:
-                around = set().union(own, *(n for _, n in stack))
-                if "article" in around or "main" in around:
-                    around = {f"{n}@article" if n in ("header", "footer") else n for n in around}
-                out.append(Block(text, frozenset(around), tags))
+                around = own + tuple((k, tag, names) for tag, names, k in reversed(stack))
+                if any(tag in ("article", "main") for _, tag, _ in around):
+                    around = tuple((k, tag, frozenset(f"{n}@article" if n == tag else n for n in names) if tag in ("header", "footer") else names) for k, tag, names in around)
+                out.append(Block(text, around, tags))
                 tags = 0
 
     for m in TOKEN.finditer(html):
@@ -88,9 +108,9 @@ def blocks(html: str) -> list[Block]:
             if tag in BLOCKS:
                 flush()
                 if m[2]:
-                    own = set()
+                    own = ()
                 elif tag not in HOLDERS:
-                    own = _names(tag, m[4])
+                    own = ((None, tag, _names(tag, m[4])),)
             elif tag == "br":
                 pieces.append(" ")
             if tag in HOLDERS and (tag in BLOCKS or m[4]):
@@ -103,14 +123,15 @@ def blocks(html: str) -> list[Block]:
                             break
                 elif not m[4].endswith("/"):
                     names = _names(tag, m[4])
-                    if tag not in BLOCKS and len(names) > 1 and not names.isdisjoint(unwanted()):
+                    if tag not in BLOCKS and len(names) > 1 and _apart(names):
                         flush()
                     if tag in BLOCKS or len(names) > 1:
-                        stack.append((tag, names))
+                        opened += 1
+                        stack.append((tag, names, opened))
             elif m[2] and tag in HOLDERS:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
-                        if not stack[i][1].isdisjoint(unwanted()):
+                        if _apart(stack[i][1]):
                             flush()
                         del stack[i:]
                         break
@@ -143,21 +164,26 @@ MARK = re.compile(r"\[\[|\]\]")
 
 
 @lru_cache(maxsize=1)
-def weights() -> dict[str, float]:
-    """Log odds of each name: words of content against other words within elements of that name, over all labelled pages."""
+def _learned() -> tuple[dict[str, float], frozenset[str], dict[str, float]]:
+    """Log odds of each name (words of content against other words within elements of that name), names around other words alone, log odds of words."""
     inside: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
+    words: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
     total = [0.0, 0.0]
     for page in LABELLED:
         for b in _raw_blocks(page):
-            content = b.text.startswith("[[")
-            n = len(MARK.sub("", b.text).split())
-            total[not content] += n
+            other = not b.text.startswith("[[")
+            text = MARK.sub("", b.text).lower().split()
+            total[other] += len(text)
             for name in b.names:
-                inside[name][not content] += n
+                inside[name][other] += len(text)
+            for w in text:
+                words[w][other] += 1
     prior = math.log(total[0] / total[1])
-    learned = {k: math.log((c + 0.5) / (o + 0.5)) - prior for k, (c, o) in inside.items()}
-    # Names that stand around both kinds say little; those around one kind alone are kept.
-    return {k: w for k, w in learned.items() if min(inside[k]) == 0 and abs(w) > 1}
+    names = {k: math.log((c + 0.5) / (o + 0.5)) - prior for k, (c, o) in inside.items()}
+    # A few pages tell little about a single word: its odds are drawn to even ones.
+    share = total[0] / sum(total)
+    odds = {w: math.log((c + 8 * share) / (o + 8 * (1 - share))) - prior for w, (c, o) in words.items()}
+    return names, frozenset(k for k, (c, _) in inside.items() if c == 0), odds
 
 
 _learning = False
@@ -172,30 +198,68 @@ def _raw_blocks(page: str) -> list[Block]:
         _learning = False
 
 
-def unwanted() -> frozenset[str]:
-    """Names that alone tell that a block is not content."""
-    return frozenset() if _learning else _unwanted()
-
-
 @lru_cache(maxsize=1)
 def _unwanted() -> frozenset[str]:
-    return frozenset(k for k, w in weights().items() if w < NEVER and k not in ("body", "div", "section", "p", "h1", "h2", "h3", "li", "ul", "label", "a", "span"))
+    """Tags and whole tokens that alone tell that an element is not content."""
+    names, never, _ = _learned()
+    return frozenset(k for k in never if names[k] < NEVER and k not in SOFT and k not in ("body", "div", "section", "p", "h1", "h2", "h3", "li", "ul", "label", "a", "span"))
+
+
+@lru_cache(maxsize=20_000)
+def evidence(names: frozenset[str]) -> float:
+    """The strongest log odds among an element's names; a token of several words has the mean of those known."""
+    known = _learned()[0]
+    best = 0.0
+    for name in names:
+        value = known.get(name)
+        if value is None and name[0] == ".":
+            parts = [x for w in name[1:].split("-") if (x := known.get(f".{w}", known.get(w))) is not None]
+            value = sum(parts) / len(parts) if parts else None
+        if value is not None and abs(value) > abs(best):
+            best = value
+    return best if abs(best) > EVEN else 0.0
+
+
+def _apart(names: frozenset[str]) -> bool:
+    """An inline element that is a block of its own, as it may not be content."""
+    return not _learning and (not names.isdisjoint(_unwanted()) or evidence(names) < NEVER)
+
+
+def _score(b: Block, words: list[str], wrappers: frozenset[int]) -> float:
+    """What a word of the block scores."""
+    total, share = WORD_SCORE, 1.0
+    for k, tag, names in b.around:
+        e = evidence(names)
+        e = max(e, 0.0) if tag in PAGE or k in wrappers else e
+        total += share * e
+        share *= max(0.0, 1 - abs(e) / SURE)
+    odds = _learned()[2]
+    total += sum(odds.get(w.lower(), 0.0) for w in words) / len(words)
+    return max(LEAST, min(MOST, total))
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    bad = unwanted()
-    rest = [b for b in blocks(html) if b.names.isdisjoint(bad)]
+    bad = _unwanted()
+    rest = [(b, b.text.split(" ")) for b in blocks(html) if all(tag in PAGE or names.isdisjoint(bad) for _, tag, names in b.around)]
+    held: dict[int, int] = defaultdict(int)
+    for b, words in rest:
+        for k, _, _ in b.around:
+            if k is not None:
+                held[k] += len(words)
+    most = WRAPPER * sum(len(words) for _, words in rest)
+    wrappers = frozenset(k for k, n in held.items() if n > most)
+    scores = [_score(b, words, wrappers) for b, words in rest]
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
-    for i, b in enumerate(rest):
+    for i, (b, words) in enumerate(rest):
         total += TAG_SCORE * b.tags
         if total <= 0:
             total, start = 0.0, i
-        total += WORD_SCORE * (b.text.count(" ") + 1)
+        total += scores[i] * len(words)
         if total > best:
             best, best_at = total, (start, i + 1)
-    return "\n\n".join(b.text for b in rest[slice(*best_at)])
+    return "\n\n".join(b.text for (b, _), s in list(zip(rest, scores, strict=True))[slice(*best_at)] if s > 0)
 
 
 def extract(pages: DataFrame) -> DataFrame:
