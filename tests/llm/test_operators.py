@@ -351,5 +351,13 @@ def test_contamination(docs, benchmark, odd, nothing, spark):
     assert decontaminate.contaminated(odd, strange).count() >= 0
 
 
+def test_short_items_as_whole_words(spark):
+    items = spark.createDataFrame([(1, "Who wrote  Hamlet?"), (2, "a cat"), (3, "mat"), (4, "?!"), (5, None), (6, "a cat")], "item_id long, text string")
+    docs = spark.createDataFrame([(10, "Q: who wrote Hamlet, and when"), (11, "a cation on a mat"), (12, "a cat"), (13, "who wrote it"), (14, None)], "doc_id long, text string")
+    found = [tuple(r) for r in decontaminate.contaminated(docs, items).collect()]
+    assert sorted(found) == [(10, 1, 2, 18, 0), (11, 3, 14, 17, 0), (12, 2, 0, 5, 0), (12, 6, 0, 5, 0)]
+    assert {r["doc_id"] for r in decontaminate.clean(docs, items).collect()} == {13, 14}
+
+
 def test_shared_folder_is_the_sessions(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")

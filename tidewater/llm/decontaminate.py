@@ -9,8 +9,9 @@ region, and a banded alignment decides. q-grams that many items share count only
 for items that would lose their bound without them; the lemma holds for any
 subset of an item's q-grams.
 
-Defined results: null or empty texts match nothing; items shorter than min_bytes
-after folding are not searched for; equal items all match; repeated rows match
+Items shorter than min_bytes after folding are found only as they are, as whole words.
+
+Defined results: null or empty texts match nothing; equal items all match; repeated rows match
 alike; a null doc_id keeps its matches under null; empty tables give an empty
 result; other columns are not read.
 """
@@ -18,6 +19,7 @@ result; other columns are not read.
 from __future__ import annotations
 
 import math
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -54,7 +56,14 @@ class Index:
     """The q-grams of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE, min_bytes: int = MIN_BYTES):
-        kept = [(i, d) for i, t in items if len(d := folded(t)) >= max(min_bytes, Q)]
+        every = [(i, d) for i, t in items if (d := folded(t))]
+        kept = [(i, d) for i, d in every if len(d) >= max(min_bytes, Q)]
+        short = [(i, d, set(d.split())) for i, d in every if len(d) < max(min_bytes, Q)]
+        uses = Counter(w for _, _, words in short for w in words)
+        #: Short items by their word that the fewest short items have.
+        self.short: dict[bytes, list[tuple[int, bytes]]] = defaultdict(list)
+        for i, d, words in short:
+            self.short[min(words, key=lambda w: (uses[w], w))].append((i, b" %b " % d))
         self.ids = [i for i, _ in kept]
         self.data = [d for _, d in kept]
         self.budget = np.array([math.floor(rate * len(d)) for d in self.data], np.int64)
@@ -108,7 +117,14 @@ class Index:
             found = align(self.data[i], doc[start:end], e, low - start)
             if found is not None and (i not in best or found[2] < best[i][2]):
                 best[i] = found[0] + start, found[1] + start, found[2]
-        return [(self.ids[i], *v) for i, v in best.items()]
+        return [(self.ids[i], *v) for i, v in best.items()] + self.exact(doc)
+
+    def exact(self, doc: bytes) -> list[tuple[int, int, int, int]]:
+        """(item id, start, end, 0) of the first place of each short item."""
+        if not self.short:
+            return []
+        spaced = b" %b " % doc
+        return [(i, at, at + len(d) - 2, 0) for w in self.short.keys() & set(doc.split()) for i, d in self.short[w] if (at := spaced.find(d)) >= 0]
 
 
 def align(item: bytes, window: bytes, budget: int, low: int = 0) -> tuple[int, int, int] | None:
