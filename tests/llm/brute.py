@@ -64,6 +64,24 @@ def unigram_base(rows, learn):
     return n, [(len(t), sum(count[w] > 0 for w in t), sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)) for t in tokens]
 
 
+def pair_model(rows, learn, prior=100.0, false=1.0):
+    """A text's log10 probability by exact word counts and pair counts rounded down to a power of two."""
+    tokens = [words(t) + [b"\n"] for d, t in rows if learn(d)]
+    one = Counter(w for t in tokens for w in t)
+    two = Counter(p for t in tokens for p in zip([b"\n", *t], t))
+    floor = sum(one.values()) + 0.1 * (len(one) + 1)
+
+    def score(text):
+        t, total = words(text) + [b"\n"], 0.0
+        for u, w in zip([b"\n", *t], t):
+            base = (one[w] + 0.1) / floor
+            q = 1 << two[u, w].bit_length() - 1 if two[u, w] else 0
+            total += math.log10((q + prior * base) / (one[u] + prior + false) if one[u] else base)
+        return total
+
+    return score
+
+
 def keep_lines(rows, least=40, docs=5):
     """[(doc_id, n_lines, n_dropped, kept_sha256)]"""
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})

@@ -265,42 +265,64 @@ def test_language(docs, odd, nothing):
 # 9 LM
 
 
-@pytest.mark.parametrize("near", [10**6, 1])
-def test_lm_base_is_exact(docs, odd, near):
+LEARNED = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 != 0
+
+
+@pytest.mark.parametrize("far", [{}, {"max_broadcast": 1}, {"max_bits": 64}])
+def test_lm_scores_are_those_of_a_plain_model(docs, odd, nothing, far):
+    """Base scores are exact, scores differ by the false positives of the filter alone; by broadcast, and by joins beyond either bound."""
     for df in (docs, odd):
         rows = pairs(df)
-        learn = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 != 0
-        n, expected = brute.unigram_base(rows, learn)
-        got = lm_score.lm_scores(df, max_broadcast=near).collect()
+        n, expected = brute.unigram_base(rows, LEARNED)
+        built = lm_score.fill(lm_score.count(df.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 != 0)))
+        model = brute.pair_model(rows, LEARNED, false=lm_score.false_mass(built.where("shard IS NULL").count(), built.agg(F.avg("false")).first()[0]))
+        got = lm_score.lm_scores(df, **far).collect()
         key = lambda d, e: (d is None, d or 0, e[0], e[1], round(e[2], 6))
         assert all(r["train_tokens"] == n for r in got)
-        assert sorted(key(r["doc_id"], (r["n_tokens"], r["n_known"], r["base_score"])) for r in got) == sorted(key(d, e) for (d, _), e in zip(rows, expected))
+        got.sort(key=lambda r: (key(r["doc_id"], (r["n_tokens"], r["n_known"], r["base_score"])), r["score"]))
+        want = sorted((key(d, e), model(t)) for (d, t), e in zip(rows, expected))
+        assert [key(r["doc_id"], (r["n_tokens"], r["n_known"], r["base_score"])) for r in got] == [k for k, _ in want]
+        assert all(r["score"] == pytest.approx(s, rel=1e-3, abs=1e-3) for r, (_, s) in zip(got, want))
+    assert lm_score.lm_scores(nothing, **far).count() == 0
 
 
-def test_lm_filter_and_gain(docs, nothing, spark):
-    counts = spark.createDataFrame([(i * 7919 * 2, 1 + i % 100) for i in range(5000)], "h long, n long")
-    f = lm_score.build(counts)
+def test_lm_probabilities_add_up(docs):
+    """After 100 contexts of all frequencies, the probabilities of all words and of an unknown one, as the filter gives them, add up to 1 at most."""
     import numpy as np
 
-    h = np.array([i * 7919 * 2 for i in range(5000)], np.uint64)
-    true = np.array([1 + i % 100 for i in range(5000)])
+    learned = docs.where(F.crc32(F.col("doc_id").cast("string")) % 10 != 0)
+    built = lm_score.fill(lm_score.count(learned))
+    words = built.where("shard IS NULL").toPandas()
+    f, rate = lm_score.load(built), built.agg(F.avg("false")).first()[0]
+    h, c = words["h"].to_numpy().view(np.uint64), words["n"].to_numpy()
+    floor, false = c.sum() + 0.1 * (len(c) + 1), lm_score.false_mass(len(c), rate)
+    order = np.argsort(c)
+    for u in order[np.linspace(0, len(c) - 1, 100).astype(int)]:
+        both = np.empty(2 * len(h), np.uint64)
+        both[0::2], both[1::2] = h[u], h
+        q = f.counts(lm_score.pairs(both)[1::2])
+        q, own = np.append(q, 0.0), np.append(c, 0)
+        total = (10 ** lm_score._log_p(own, np.full(len(own), c[u]), q, floor, lm_score.PRIOR, false)[1]).sum()
+        assert 0.4 < total <= 1 + 1e-9
+
+
+def test_lm_filter(spark):
+    import numpy as np
+
+    h = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000, np.uint64) * np.uint64(2) | np.uint64(1))
+    true = np.array([1 + i % 100 for i in range(len(h))])
+    f = lm_score.build(spark.createDataFrame(list(zip(h.view(np.int64).tolist(), true.tolist())), "h long, n long"))
     rough = f.counts(h)
-    assert (rough > 0).all() and (np.abs(np.log2(rough / true)) <= 1).mean() > 0.95
-    assert (f.counts(h + np.uint64(1)) > 0).mean() < 0.05
-    held = lm_score.lm_scores(docs).where("held_out").agg(F.sum("score").alias("a"), F.sum("base_score").alias("b")).first()
-    assert held["a"] > held["b"]
-    assert lm_score.lm_scores(nothing).count() == 0
+    assert (rough <= true).all() and (rough * 2 > true).all()
+    other = np.random.default_rng(2).integers(0, 2**63, 200_000, np.uint64) * np.uint64(2) | np.uint64(1)
+    rate = (f.counts(other) > 0).mean()
+    assert rate < 3 * lm_score.false_rate(f.words) + 1e-4 and 64 * len(f.words) >= lm_score.BITS_PER_ENTRY * len(h)
 
 
-def test_lm_filter_is_never_saturated(docs, odd, spark):
-    """Bits an entry do not shrink beyond max_bits: the same scores from shards that are asked by a shuffle."""
-    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6))
-    for df in (docs, odd):
-        near = sorted(map(key, lm_score.lm_scores(df).collect()))
-        for words in (10**6, 1):
-            assert sorted(map(key, lm_score.lm_scores(df, max_broadcast=words, max_bits=64).collect())) == near
-    f = lm_score.load(lm_score.fill(spark.range(1, 200_001).select((F.xxhash64("id").bitwiseOR(1)).alias("h"), F.lit(2).cast("long").alias("n"))))
-    assert 8 * len(f.bytes) >= lm_score.BITS_PER_ENTRY * 400_000
+def test_lm_pairs_count(docs):
+    """The pairs tell more than the words alone about texts that were not learned from."""
+    held = lm_score.lm_scores(docs).where("held_out").agg(F.sum("score").alias("a"), F.sum("base_score").alias("b")).first()
+    assert held["a"] > held["b"]
 
 
 def test_lm_pairs_seen_once_count(spark):
@@ -309,8 +331,8 @@ def test_lm_pairs_seen_once_count(spark):
     learned = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 10][:3]
     rows = [(learned[0], "alpha beta gamma delta"), (learned[1], "beta"), (learned[2], "gamma"), (held, "alpha beta"), (held, "beta alpha")]
     got = [r["score"] for r in lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).where("held_out").collect()]
-    p = lambda w, prior, both: 0.7 * (w + 0.1) / (9 + 0.1 * 6) + 0.3 * both / prior
-    assert 10 ** got[0] == pytest.approx(p(1, 3, 1) * p(2, 1, 1) * p(3, 2, 1), rel=0.05) and got[0] > got[1] + 0.5
+    p = lambda w, prior, both: (both + 100 * (w + 0.1) / (9 + 0.1 * 6)) / (prior + 101)
+    assert 10 ** got[0] == pytest.approx(p(1, 3, 1) * p(2, 1, 1) * p(3, 2, 1), rel=0.05) and got[0] > got[1]
 
 
 # 10 benchmark

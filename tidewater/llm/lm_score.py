@@ -1,18 +1,29 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Words (and the end of each text) and word pairs of the learning rows are counted
-in Spark. A count n becomes the level 1 + floor(log_b n); the filter holds each
-n-gram once for every level up to its own, so a few membership probes, level by
-level until one fails, give its quantised count. The filter is sharded: the top
-bits of an n-gram's hash name its shard, which has BITS_PER_ENTRY bits for each
-of its entries, so shards are built where their n-grams are shuffled to, and the
-false-positive rate does not depend on the corpus. All counted pairs go in, those
-seen once too. The model mixes the pair's and the word's relative frequencies.
-A filter of at most `max_bits` bits is broadcast; with a larger one each text's
-distinct n-grams are shuffled to the shards.
-
-The base score takes exact counts: a broadcast table while the vocabulary has
-at most `max_broadcast` words, else a shuffle join.
+in Spark. The count n of a pair becomes the level 1 + floor(log2 n); the filter
+holds each pair once for every level up to its own, so membership probes, level
+by level until one fails, give its quantised count, 2^(level - 1): never more
+than the true one. A probe tests BITS bits in each of WORDS 64-bit words. The
+filter is sharded: the top bits of a pair's hash name its shard, which has
+BITS_PER_ENTRY bits for each of its entries, so shards are built where their
+pairs are shuffled to, and the false-positive rate does not depend on the
+corpus. All counted pairs go in, those seen once too.
+
+The model is a probability: with exact counts c of words, quantised counts q of
+pairs and the base model b,
+
+    p(w | u) = (q(u, w) + PRIOR * b(w)) / (c(u) + PRIOR + false)
+
+and b(w) after a word that was not learned. A word is followed by a token as
+often as it occurs, so the q of a context add up to c(u) at most; `false` bounds
+what false positives can add over the whole vocabulary, from the filter's measured
+rate. So the probabilities after any context add up to 1 at most (less only by
+quantising and `false`).
+
+A filter of at most `max_bits` bits is broadcast with the counts of at most
+`max_broadcast` words; beyond either, each text's distinct n-grams are joined
+with the counts that words and shards give.
 
 Defined results: a null or empty text is its end token alone; a null doc_id is
 in fold crc32('') and is scored like any other; repeated rows are learned from and
@@ -34,13 +45,13 @@ from pyspark.sql import functions as F
 
 from .common import MAX_BROADCAST_ROWS, fold_remainder, map_rows, materialize
 
-BASE = 2.0
-PROBES = 4
-BITS_PER_ENTRY = 12
+WORDS, BITS = 3, 5
+BITS_PER_ENTRY = 24
 MAX_BITS = 1 << 31
 #: Filter shards a shuffle partition, at least.
 SHARDS = 16
-PAIR_WEIGHT = 0.3
+#: The weight of the base model, in tokens seen after a word.
+PRIOR = 100.0
 FLUSH_TOKENS = 500_000
 #: Rows that a task gathers before it adds up the counts of equal n-grams.
 MERGE_ROWS = 4_000_000
@@ -98,51 +109,80 @@ def pairs(h: np.ndarray) -> np.ndarray:
 
 
 def levels(n: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log(np.maximum(n, 1)) / math.log(BASE) + 1e-9).astype(np.int64)
+    return 1 + np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
 
 
 def _probes(h: np.ndarray, level: int, size: np.ndarray | int):
-    """The PROBES bit positions of the keys at a level, within shards of the given sizes, one array after the other."""
+    """WORDS times: the positions of the keys' words at a level, within shards of `size` words, and hash bits that choose BITS bits of each."""
     x = (h ^ np.uint64(level * int(_A) & 2**64 - 1)) * _B
-    x ^= x >> np.uint64(32)
-    step = x * _C | np.uint64(1)
-    for _ in range(PROBES):
-        yield ((x >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
-        x = x + step
+    for _ in range(WORDS):
+        x = x ^ (x >> np.uint64(32))
+        yield ((x >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64), x
+        x = (x + _A) * _C
+
+
+def _mask(x: np.ndarray) -> np.ndarray:
+    out = np.uint64(1) << (x & np.uint64(63))
+    for i in range(1, BITS):
+        out |= np.uint64(1) << (x >> np.uint64(6 * i) & np.uint64(63))
+    return out
 
 
 def quantised(h: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The quantised counts: the middle of the highest level whose probes, and those of all before it, succeed.
+    """The quantised counts: the least count of the highest level whose probes, and those of all before it, succeed.
 
-    A key's shard has `size` bits from the byte `start` of data on.
+    A key's shard has `size` words from the index `start` of data on.
     """
     level, open_, k = np.zeros(len(h), np.int64), np.flatnonzero(size > 0), 1
-    while len(open_) and k < 100:
+    while len(open_) and k < 64:
         first, at = start[open_], np.arange(len(open_))
-        for bit in _probes(h[open_], k, size[open_]):
-            bit = bit[at]
-            at = at[data[first[at] + (bit >> 3)] >> (bit & 7).astype(np.uint8) & 1 == 1]
+        for word, x in _probes(h[open_], k, size[open_]):
+            mask = _mask(x[at])
+            at = at[data[first[at] + word[at]] & mask == mask]
             if not len(at):
                 break
         open_ = open_[at]
         level[open_] = k
         k += 1
-    return np.where(level == 0, 0.0, np.where(level == 1, 1.0, BASE ** (level - 1) * (1 + BASE) / 2))
+    return np.where(level == 0, 0.0, 2.0 ** (level - 1))
+
+
+def shard_bits(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The words of a shard that holds these distinct pairs with their counts."""
+    most = levels(n)
+    size = -(-BITS_PER_ENTRY * int(most.sum()) // 64)
+    bits = np.zeros(64 * size, np.uint8)
+    for k in range(1, int(most.max(initial=0)) + 1):
+        for word, x in _probes(h[most >= k], k, size):
+            for i in range(BITS):
+                bits[64 * word + (x >> np.uint64(6 * i) & np.uint64(63)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view("<u8")
+
+
+def false_rate(words: np.ndarray) -> float:
+    """How likely a pair that is not there passes the first level's probes."""
+    return float(np.mean((np.bitwise_count(words) / 64.0) ** BITS)) ** WORDS if len(words) else 0.0
+
+
+def false_mass(n_words: int, rate: float) -> float:
+    """A bound (mean and four deviations, at least one) of the counts that false positives add to a context over all words."""
+    mean = n_words * rate
+    return mean + 4 * math.sqrt(mean) + 1
 
 
 class Filter:
     def __init__(self, shift: int, n_bytes: int, shards: Iterable[tuple[int, bytes]]):
         self.shift = np.uint64(shift)
         self.start, self.size = (np.zeros(1 << 64 - shift, np.int64) for _ in range(2))
-        self.bytes, at = np.zeros(n_bytes, np.uint8), 0
+        self.words, at = np.zeros(n_bytes // 8, np.uint64), 0
         for k, v in shards:
-            self.start[k], self.size[k] = at, len(v) * 8
-            self.bytes[at : at + len(v)] = np.frombuffer(v, np.uint8)
-            at += len(v)
+            self.start[k], self.size[k] = at, len(v) // 8
+            self.words[at : at + len(v) // 8] = np.frombuffer(v, "<u8")
+            at += len(v) // 8
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         shard = (h >> self.shift).astype(np.int64)
-        return quantised(h, self.bytes, self.start[shard], self.size[shard].astype(np.uint64))
+        return quantised(h, self.words, self.start[shard], self.size[shard].astype(np.uint64))
 
 
 def count(docs: DataFrame) -> DataFrame:
@@ -187,12 +227,12 @@ def _merge(h: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.nda
 
 
 def fill(counted: DataFrame) -> DataFrame:
-    """One shuffle to the shards, written once: (h, n) of each word, shard null; (shard, bits) of each shard, n its bytes."""
+    """One shuffle to the shards, written once: (h, n) of each word, shard null; (shard, n: its bytes, bits, false: its false-positive rate) of each shard."""
     parts, shift = _shards(counted.sparkSession)
-    schema = pa.schema([("shard", pa.int32()), ("h", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
+    schema = pa.schema([("shard", pa.int32()), ("h", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("false", pa.float64())])
 
-    def row_batch(shard, h, n, bits):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((shard, h, n, bits), schema.types, strict=True)], schema=schema)
+    def row_batch(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     def work(batches):
         held, rows, least = ([], []), 0, MERGE_ROWS
@@ -209,20 +249,17 @@ def fill(counted: DataFrame) -> DataFrame:
         held = None
         words = np.flatnonzero(h & _PAIR == 0)
         for at in np.array_split(words, len(words) // 100_000 + 1):
-            yield row_batch(pa.nulls(len(at), pa.int32()), h[at].view(np.int64), n[at], pa.nulls(len(at), pa.binary()))
-        most, shard = levels(n), (h >> np.uint64(shift)).astype(np.int64)
-        edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
+            yield row_batch(pa.nulls(len(at), pa.int32()), h[at].view(np.int64), n[at], pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.float64()))
+        both = np.flatnonzero(h & _PAIR)
+        h, n = h[both], n[both]
+        shard = (h >> np.uint64(shift)).astype(np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(h) else [0]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            own, top = h[a:b], most[a:b]
-            bits = np.zeros(-(-BITS_PER_ENTRY * int(top.sum()) // 8) * 8, np.uint8)
-            for k in range(1, int(top.max()) + 1):
-                for at in _probes(own[top >= k], k, len(bits)):
-                    bits[at] = 1
-            packed = np.packbits(bits, bitorder="little").tobytes()
-            yield row_batch([shard[a]], [None], [len(packed)], [packed])
+            bits = shard_bits(h[a:b], n[a:b])
+            yield row_batch([shard[a]], [None], [8 * len(bits)], [bits.tobytes()], [false_rate(bits)])
 
     dealt = counted.repartition(parts, F.shiftrightunsigned("h", shift)).select("h", "n")
-    return materialize(dealt.mapInArrow(work, "shard int, h long, n long, bits binary"), "model")
+    return materialize(dealt.mapInArrow(work, "shard int, h long, n long, bits binary, false double"), "model")
 
 
 def build(counted: DataFrame) -> Filter:
@@ -235,71 +272,74 @@ def load(model: DataFrame) -> Filter:
     return Filter(_shards(model.sparkSession)[1], n_bytes, ((r["shard"], r["bits"]) for r in shards.select("shard", "bits").toLocalIterator()))
 
 
-def _log_p(rough: np.ndarray, prior: np.ndarray, both: np.ndarray, floor: float, pair_weight: float) -> np.ndarray:
-    """log10 of each token's probability by the counts of the token, the one before it and the pair."""
-    p = (rough + 0.1) / floor
-    seen = prior > 0
-    p[seen] = (1 - pair_weight) * p[seen] + pair_weight * np.minimum(1.0, both[seen] / np.maximum(prior[seen], both[seen]))
-    return np.log10(p)
+def _lookup(keys: np.ndarray, n: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The number at each hash among the sorted keys, 0 where it is none."""
+    if not len(keys):
+        return np.zeros(len(h), np.int64)
+    k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[k] == h, n[k].astype(np.int64), 0)
+
+
+def _log_p(c: np.ndarray, before: np.ndarray, both: np.ndarray, floor: float, prior: float, false: float) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of each token's base and model probability by the counts of the token, the one before it and the pair."""
+    base = (c + 0.1) / floor
+    return np.log10(base), np.log10(np.where(before > 0, (both + prior * base) / (before + prior + false), base))
+
 
+def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, first)
 
-def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, pair_weight: float = PAIR_WEIGHT, max_broadcast: int = MAX_BROADCAST_ROWS, max_bits: int = MAX_BITS) -> DataFrame:
+
+def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, prior: float = PRIOR, max_broadcast: int = MAX_BROADCAST_ROWS, max_bits: int = MAX_BITS) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
     built = fill(count(docs.where(fold_remainder(F.col("doc_id"), folds) != held_out)))
     words = built.where("shard IS NULL").select("h", "n")
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    pairs_ = built.where("shard IS NOT NULL").agg(F.sum("n").alias("bytes"), F.avg("false").alias("rate")).first()
     n_all, n_words = total["n"] or 0, total["v"]
-    floor = n_all + 0.1 * (n_words + 1)
-    near = n_words <= max_broadcast
-    small = 8 * (built.where("shard IS NOT NULL").agg(F.sum("n")).first()[0] or 0) <= max_bits
-    keys, exact_n = np.empty(0, np.int64), np.empty(0, np.int64)
-    if near:
-        rows = words.orderBy("h").toArrow()
-        keys, exact_n = np.asarray(rows["h"]), np.asarray(rows["n"])
-        if len(exact_n) and exact_n.max() < 2**32:
-            exact_n = exact_n.astype(np.uint32)
-    model = spark.sparkContext.broadcast((load(built) if small else None, keys, exact_n))
+    floor, false = n_all + 0.1 * (n_words + 1), false_mass(n_words, pairs_["rate"] or 0.0)
+    if n_words <= max_broadcast and 8 * (pairs_["bytes"] or 0) <= max_bits:
+        scored = near_scores(docs, built, words, floor, prior, false)
+    else:
+        version = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+        source = docs.select("doc_id", "text", version.alias("version"))
+        scored = source.select("doc_id", "version").join(far_scores(source, built, words, floor, prior, false), "version")
+    return scored.select(F.col("doc_id").cast(kind).alias("doc_id"), (fold_remainder(F.col("doc_id"), folds) == held_out).alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+SCORES = "n_tokens long, n_known long, base_score double, score double"
+
+
+def near_scores(docs: DataFrame, built: DataFrame, words: DataFrame, floor: float, prior: float, false: float) -> DataFrame:
+    """(doc_id, SCORES) by a broadcast filter and word counts."""
+    rows = words.orderBy("h").toArrow()
+    keys, exact = np.asarray(rows["h"]), np.asarray(rows["n"])
+    if len(exact) and exact.max() < 2**32:
+        exact = exact.astype(np.uint32)
+    model = docs.sparkSession.sparkContext.broadcast((load(built), keys, exact))
 
     def work(batches):
-        filter_, keys, exact_n = model.value
-        before, rough, sure = None, np.zeros(0), np.zeros(0, np.int64)
-        for rows, known, ids, first in chunks(batches, ("doc_id", "version")):
+        filter_, keys, exact = model.value
+        before, c = None, np.zeros(0, np.int64)
+        for rows, known, ids, first in chunks(batches, ("doc_id",)):
             if known is not before:
-                before, rough, sure = known, np.zeros(0), np.zeros(0, np.int64)
+                before, c = known, np.zeros(0, np.int64)
             h = np.array(known.hashes, np.uint64)
-            out = rows | {"n_tokens": np.diff(np.append(first, len(ids)))}
-            if small:
-                rough = np.concatenate([rough, filter_.counts(h[len(rough) :])])
-                each = _log_p(rough[ids], rough[np.concatenate([[0], ids[:-1]])], filter_.counts(pairs(h[ids])), floor, pair_weight)
-                out |= {"score": np.add.reduceat(each, first)}
-            else:
-                out |= {"score": [0.0] * len(first)}
-            if near:
-                new = h[len(sure) :].view(np.int64)
-                c = np.zeros(len(new), np.int64)
-                if len(keys):
-                    k = np.minimum(np.searchsorted(keys, new), len(keys) - 1)
-                    c = np.where(keys[k] == new, exact_n[k].astype(np.int64), 0)
-                sure = np.concatenate([sure, c])
-                out |= {"n_known": np.add.reduceat((sure > 0).astype(np.int64)[ids], first), "base_score": np.add.reduceat(np.log10((sure + 0.1) / floor)[ids], first)}
-            else:
-                out |= {"n_known": [0] * len(first), "base_score": [0.0] * len(first)}
-            yield out
+            c = np.concatenate([c, _lookup(keys, exact, h[len(c) :].view(np.int64))])
+            own, prev = c[ids], c[np.concatenate([[0], ids[:-1]])]  # a text's first token follows the end of the one before
+            both, at = np.zeros(len(ids)), np.flatnonzero((own > 0) & (prev > 0))
+            both[at] = filter_.counts(pairs(h[ids])[at])
+            base, score = _log_p(own, prev, both, floor, prior, false)
+            yield rows | {"n_tokens": np.diff(np.append(first, len(ids))), "n_known": _sums((own > 0).astype(np.int64), first), "base_score": _sums(base, first), "score": _sums(score, first)}
 
-    source = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"))
-    scored = map_rows(source, work, f"doc_id {kind}, version long, n_tokens long, score double, n_known long, base_score double")
-    if not near:
-        scored = scored.drop("n_known", "base_score").join(exact_base(source, words, floor), ["version"])
-    if not small:
-        scored = scored.drop("score").join(far_scores(source, built, floor, pair_weight), ["version"])
-    return scored.select("doc_id", (fold_remainder(F.col("doc_id"), folds) == held_out).alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
+    return map_rows(docs.select("doc_id", "text"), work, f"doc_id {dict(docs.dtypes)['doc_id']}, {SCORES}")
 
 
-def far_scores(source: DataFrame, built: DataFrame, floor: float, pair_weight: float) -> DataFrame:
-    """(version, score) by a shuffle of each text's distinct n-grams to the filter's shards and of the answers back to the text."""
+def far_scores(source: DataFrame, built: DataFrame, words: DataFrame, floor: float, prior: float, false: float) -> DataFrame:
+    """(version, SCORES): the shards answer each distinct pair that is asked for; each text's distinct n-grams are joined with the counts and gathered to the text."""
     parts, shift = _shards(source.sparkSession)
-    texts = source.dropDuplicates(["version"]).select("version", "text")
+    texts = materialize(source.select("version", "text").dropDuplicates(["version"]), "texts")
 
     def ask(batches):
         for rows, known, ids, first in chunks(batches, ("version",)):
@@ -309,54 +349,40 @@ def far_scores(source: DataFrame, built: DataFrame, floor: float, pair_weight: f
                 own = np.unique(np.concatenate([h[a:b], both[a:b]])).view(np.int64)
                 yield {"version": [v] * len(own), "h": own}
 
-    schema = pa.schema([("version", pa.int64()), ("h", pa.int64()), ("c", pa.float64())])
+    schema = pa.schema([("h", pa.int64()), ("c", pa.float64())])
 
     def answer(batches):
         # A shard's bits come before its questions; a shard without bits has no entries.
-        at, data = -1, np.zeros(0, np.uint8)
+        at, data = -1, np.zeros(0, np.uint64)
         for b in batches:
             shard, bits = b.column("shard").to_numpy(), b.column("bits")
             edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else [0]
             for first, end in zip(edges[:-1], edges[1:], strict=True):
                 if bits[first].is_valid:
-                    at, data, first = shard[first], np.frombuffer(bits[first].as_py(), np.uint8), first + 1
-                n = end - first
-                if n:
-                    version, h = b.column("version").slice(first, n), b.column("h").slice(first, n)
-                    size = np.full(n, len(data) * 8 if shard[first] == at else 0, np.uint64)
-                    c = quantised(h.to_numpy().view(np.uint64), data, np.zeros(n, np.int64), size)
-                    yield pa.RecordBatch.from_arrays([version, h, pa.array(c)], schema=schema)
+                    at, data, first = shard[first], np.frombuffer(bits[first].as_py(), "<u8"), first + 1
+                if end > first and shard[first] == at and len(data):
+                    h = b.column("h").slice(first, end - first).to_numpy()
+                    c = quantised(h.view(np.uint64), data, np.zeros(len(h), np.int64), np.full(len(h), len(data), np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(h[c > 0]), pa.array(c[c > 0])], schema=schema)
 
     def score(batches):
         for rows, known, ids, first in chunks(batches, ("version", "hs", "cs")):
             h = np.array(known.hashes, np.uint64)[ids]
-            both, out = pairs(h).view(np.int64), []
-            for a, b, hs, cs in zip(first, [*first[1:], len(ids)], rows["hs"], rows["cs"], strict=True):
-                keys, c = np.array(hs, np.int64), np.array(cs)
+            both, out = pairs(h).view(np.int64), {k: [] for k in ("version", "n_tokens", "n_known", "base_score", "score")}
+            for v, a, b, hs, cs in zip(rows["version"], first, [*first[1:], len(ids)], rows["hs"], rows["cs"], strict=True):
+                keys, c = np.array(hs or [], np.int64), np.array(cs or [], np.float64)
                 order = np.argsort(keys)
-                keys, c = keys[order], c[order]
-                own, pair = (c[np.searchsorted(keys, k)] for k in (h[a:b].view(np.int64), both[a:b]))
+                own, pair = (_lookup(keys[order], c[order], k) for k in (h[a:b].view(np.int64), both[a:b]))
                 # The token before the first is an end, as the last is.
-                out.append(_log_p(own, np.concatenate([own[-1:], own[:-1]]), pair, floor, pair_weight).sum())
-            yield {"version": rows["version"], "score": out}
-
-    asked = map_rows(texts, ask, "version long, h long").select(F.shiftrightunsigned("h", shift).cast("int").alias("shard"), "version", "h", F.lit(None).cast("binary").alias("bits"))
-    shards = built.where("shard IS NOT NULL").select("shard", F.lit(None).cast("long").alias("version"), F.lit(None).cast("long").alias("h"), "bits")
-    met = shards.unionByName(asked).repartition(parts, "shard").sortWithinPartitions("shard", F.col("bits").isNull())
-    answers = met.mapInArrow(answer, "version long, h long, c double").groupBy("version").agg(F.collect_list(F.struct("h", "c")).alias("k"))
-    return map_rows(texts.join(answers, "version").select("version", "text", F.col("k.h").alias("hs"), F.col("k.c").alias("cs")), score, "version long, score double")
-
+                base, each = _log_p(own, np.concatenate([own[-1:], own[:-1]]), pair, floor, prior, false)
+                for k, x in zip(out, (v, b - a, int((own > 0).sum()), base.sum(), each.sum()), strict=True):
+                    out[k].append(x)
+            yield out
 
-def exact_base(source: DataFrame, words: DataFrame, floor: float) -> DataFrame:
-    """(version, n_known, base_score) by a shuffle join of each text's distinct words with the counts."""
-    def work(batches):
-        for rows, known, ids, first in chunks(batches, ("version",)):
-            h = np.array(known.hashes, np.uint64).view(np.int64)
-            for i, v in enumerate(rows["version"]):
-                own, n = np.unique(ids[first[i] : first[i + 1] if i + 1 < len(first) else len(ids)], return_counts=True)
-                yield {"version": [v] * len(own), "h": h[own], "times": n}
-
-    each = map_rows(source.dropDuplicates(["version"]).select("version", "text"), work, "version long, h long, times long")
-    c = F.coalesce(F.col("n"), F.lit(0))
-    joined = each.join(words, "h", "left")
-    return joined.groupBy("version").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"), F.sum(F.col("times") * F.log10((c + 0.1) / floor)).alias("base_score"))
+    asked = map_rows(texts, ask, "version string, h long")
+    questions = asked.where(F.col("h").bitwiseAND(1) == 1).select("h").distinct()
+    shards = built.where("shard IS NOT NULL").select("shard", F.lit(None).cast("long").alias("h"), "bits")
+    met = shards.unionByName(questions.select(F.shiftrightunsigned("h", shift).cast("int").alias("shard"), "h", F.lit(None).cast("binary").alias("bits"))).repartition(parts, "shard").sortWithinPartitions("shard", F.col("bits").isNull())
+    counts = materialize(met.mapInArrow(answer, "h long, c double").unionByName(words.select("h", F.col("n").cast("double").alias("c"))), "answers")
+    answers = asked.join(counts, "h").groupBy("version").agg(F.collect_list(F.struct("h", "c")).alias("k"))
+    return map_rows(texts.join(answers, "version", "left").select("version", "text", F.col("k.h").alias("hs"), F.col("k.c").alias("cs")), score, f"version string, {SCORES}")
