@@ -52,7 +52,9 @@ MAX_BITS = 1 << 31
 SHARDS = 16
 #: The weight of the base model, in tokens seen after a word.
 PRIOR = 100.0
+#: Tokens that are counted at once, and those that are scored at once, beside the filter in memory.
 FLUSH_TOKENS = 500_000
+SCORE_TOKENS = 120_000
 #: Rows that a task gathers before it adds up the counts of equal n-grams.
 MERGE_ROWS = 4_000_000
 #: Words that a task remembers at once.
@@ -75,8 +77,8 @@ class Words(dict):
         return n
 
 
-def chunks(batches, columns: tuple[str, ...]):
-    """(rows' other columns, words, numbers of all tokens, first token of each row) for chunks of about FLUSH_TOKENS.
+def chunks(batches, columns: tuple[str, ...], tokens: int = FLUSH_TOKENS):
+    """(rows' other columns, words, numbers of all tokens, first token of each row) for chunks of about that many tokens.
 
     A text's tokens are its words and its end. The words are the same object until there are MAX_WORDS, then a new one.
     """
@@ -89,7 +91,7 @@ def chunks(batches, columns: tuple[str, ...]):
             held.append(0)
             sizes.append(len(words) + 1)
             n += len(words) + 1
-            if n >= FLUSH_TOKENS or i + 1 == len(b["text"]):
+            if n >= tokens or i + 1 == len(b["text"]):
                 size = np.array(sizes)
                 yield {c: b[c][start : i + 1] for c in columns}, known, np.array(held, np.int32), np.cumsum(size) - size
                 held, sizes, n, start = [], [], 0, i + 1
@@ -321,12 +323,12 @@ def near_scores(docs: DataFrame, built: DataFrame, words: DataFrame, floor: floa
 
     def work(batches):
         filter_, keys, exact = model.value
-        before, c = None, np.zeros(0, np.int64)
-        for rows, known, ids, first in chunks(batches, ("doc_id",)):
+        before, h, c = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for rows, known, ids, first in chunks(batches, ("doc_id",), SCORE_TOKENS):
             if known is not before:
-                before, c = known, np.zeros(0, np.int64)
-            h = np.array(known.hashes, np.uint64)
-            c = np.concatenate([c, _lookup(keys, exact, h[len(c) :].view(np.int64))])
+                before, h, c = known, h[:0], c[:0]
+            new = np.array(known.hashes[len(h) :], np.uint64)
+            h, c = np.concatenate([h, new]), np.concatenate([c, _lookup(keys, exact, new.view(np.int64))])
             own, prev = c[ids], c[np.concatenate([[0], ids[:-1]])]  # a text's first token follows the end of the one before
             both, at = np.zeros(len(ids)), np.flatnonzero((own > 0) & (prev > 0))
             both[at] = filter_.counts(pairs(h[ids])[at])
