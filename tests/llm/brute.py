@@ -76,7 +76,8 @@ def pair_model(rows, learn, prior=100.0, false=1.0):
         for u, w in zip([b"\n", *t], t):
             base = (one[w] + 0.1) / floor
             q = 1 << two[u, w].bit_length() - 1 if two[u, w] else 0
-            total += math.log10((q + prior * base) / (one[u] + prior + false) if one[u] else base)
+            share = one[u] / (one[u] + prior + false)
+            total += math.log10(share * q / (one[u] + false) + (1 - share) * base)
         return total
 
     return score

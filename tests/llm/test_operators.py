@@ -293,14 +293,14 @@ def test_lm_probabilities_add_up(docs):
     learned = docs.where(F.crc32(F.col("doc_id").cast("string")) % 10 != 0)
     built = lm_score.fill(lm_score.count(learned))
     words = built.where("shard IS NULL").toPandas()
-    f, rate = lm_score.load(built), built.agg(F.avg("false")).first()[0]
+    f, rate = list(lm_score.load(built)), built.agg(F.avg("false")).first()[0]
     h, c = words["h"].to_numpy().view(np.uint64), words["n"].to_numpy()
     floor, false = c.sum() + 0.1 * (len(c) + 1), lm_score.false_mass(len(c), rate)
     order = np.argsort(c)
     for u in order[np.linspace(0, len(c) - 1, 100).astype(int)]:
         both = np.empty(2 * len(h), np.uint64)
         both[0::2], both[1::2] = h[u], h
-        q = f.counts(lm_score.pairs(both)[1::2])
+        q = lm_score.by_segment(lm_score.pairs(both)[1::2], lambda k, x: f[k].counts(x))
         q, own = np.append(q, 0.0), np.append(c, 0)
         total = (10 ** lm_score._log_p(own, np.full(len(own), c[u]), q, floor, lm_score.PRIOR, false)[1]).sum()
         assert 0.4 < total <= 1 + 1e-9
@@ -311,12 +311,13 @@ def test_lm_filter(spark):
 
     h = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000, np.uint64) * np.uint64(2) | np.uint64(1))
     true = np.array([1 + i % 100 for i in range(len(h))])
-    f = lm_score.build(spark.createDataFrame(list(zip(h.view(np.int64).tolist(), true.tolist())), "h long, n long"))
-    rough = f.counts(h)
+    f = list(lm_score.load(lm_score.fill(spark.createDataFrame(list(zip(h.view(np.int64).tolist(), true.tolist())), "h long, n long"))))
+    count = lambda h: lm_score.by_segment(h, lambda k, x: f[k].counts(x))
+    rough = count(h)
     assert (rough <= true).all() and (rough * 2 > true).all()
     other = np.random.default_rng(2).integers(0, 2**63, 200_000, np.uint64) * np.uint64(2) | np.uint64(1)
-    rate = (f.counts(other) > 0).mean()
-    assert rate < 3 * lm_score.false_rate(f.words) + 1e-4 and 64 * len(f.words) >= lm_score.BITS_PER_ENTRY * len(h)
+    words = np.concatenate([x.words for x in f])
+    assert (count(other) > 0).mean() < 3 * lm_score.false_rate(words) + 1e-4 and 64 * len(words) >= lm_score.BITS_PER_ENTRY * len(h)
 
 
 def test_lm_pairs_count(docs):
@@ -331,7 +332,7 @@ def test_lm_pairs_seen_once_count(spark):
     learned = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 10][:3]
     rows = [(learned[0], "alpha beta gamma delta"), (learned[1], "beta"), (learned[2], "gamma"), (held, "alpha beta"), (held, "beta alpha")]
     got = [r["score"] for r in lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).where("held_out").collect()]
-    p = lambda w, prior, both: (both + 100 * (w + 0.1) / (9 + 0.1 * 6)) / (prior + 101)
+    p = lambda w, u, both: u / (u + 101) * both / (u + 1) + 101 / (u + 101) * (w + 0.1) / (9 + 0.1 * 6)
     assert 10 ** got[0] == pytest.approx(p(1, 3, 1) * p(2, 1, 1) * p(3, 2, 1), rel=0.05) and got[0] > got[1]
 
 

@@ -13,7 +13,7 @@ corpus. All counted pairs go in, those seen once too.
 The model is a probability: with exact counts c of words, quantised counts q of
 pairs and the base model b,
 
-    p(w | u) = (q(u, w) + PRIOR * b(w)) / (c(u) + PRIOR + false)
+    p(w | u) = L * q(u, w) / (c(u) + false) + (1 - L) * b(w),    L = c(u) / (c(u) + PRIOR + false)
 
 and b(w) after a word that was not learned. A word is followed by a token as
 often as it occurs, so the q of a context add up to c(u) at most; `false` bounds
@@ -22,8 +22,9 @@ rate. So the probabilities after any context add up to 1 at most (less only by
 quantising and `false`).
 
 A filter of at most `max_bits` bits is broadcast with the counts of at most
-`max_broadcast` words; beyond either, each text's distinct n-grams are joined
-with the counts that words and shards give.
+`max_broadcast` words, in segments by the top bits of the hash, so that the
+driver never holds more than one; beyond either bound, each text's distinct
+n-grams are joined with the counts that words and shards give.
 
 Defined results: a null or empty text is its end token alone; a null doc_id is
 in fold crc32('') and is scored like any other; repeated rows are learned from and
@@ -35,7 +36,7 @@ not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +46,11 @@ from pyspark.sql import functions as F
 
 from .common import MAX_BROADCAST_ROWS, fold_remainder, map_rows, materialize
 
-WORDS, BITS = 3, 5
-BITS_PER_ENTRY = 24
+WORDS, BITS = 3, 6
+BITS_PER_ENTRY = 28
 MAX_BITS = 1 << 31
+#: The top bits of a hash that name its segment of the broadcast.
+SEGMENT = 4
 #: Filter shards a shuffle partition, at least.
 SHARDS = 16
 #: The weight of the base model, in tokens seen after a word.
@@ -173,20 +176,32 @@ def false_mass(n_words: int, rate: float) -> float:
 
 
 class Filter:
-    def __init__(self, shift: int, n_bytes: int, shards: Iterable[tuple[int, bytes]]):
-        self.shift = np.uint64(shift)
-        self.start, self.size = (np.zeros(1 << 64 - shift, np.int64) for _ in range(2))
-        self.words, at = np.zeros(n_bytes // 8, np.uint64), 0
+    """Shards with numbers from `low` on, in order, laid end to end."""
+
+    def __init__(self, shift: int, low: int, shards: list[tuple[int, bytes]]):
+        self.shift, self.low = np.uint64(shift), low
+        self.start, self.size = (np.zeros(1 << 64 - SEGMENT - shift, np.int64) for _ in range(2))
         for k, v in shards:
-            self.start[k], self.size[k] = at, len(v) // 8
-            self.words[at : at + len(v) // 8] = np.frombuffer(v, "<u8")
-            at += len(v) // 8
+            self.size[k - low] = len(v) // 8
+        self.start[1:] = np.cumsum(self.size)[:-1]
+        self.words = np.frombuffer(b"".join(v for _, v in shards), "<u8")
 
     def counts(self, h: np.ndarray) -> np.ndarray:
-        shard = (h >> self.shift).astype(np.int64)
+        shard = (h >> self.shift).astype(np.int64) - self.low
         return quantised(h, self.words, self.start[shard], self.size[shard].astype(np.uint64))
 
 
+def by_segment(h: np.ndarray, answer) -> np.ndarray:
+    """answer(segment, hashes) for the hashes of each segment, in their places."""
+    out, segment = np.zeros(len(h)), (h >> np.uint64(64 - SEGMENT)).astype(np.uint8)
+    order = np.argsort(segment, kind="stable")
+    edges = np.searchsorted(segment[order], np.arange((1 << SEGMENT) + 1))
+    for k in np.flatnonzero(np.diff(edges)):
+        at = order[edges[k] : edges[k + 1]]
+        out[at] = answer(k, h[at])
+    return out
+
+
 def count(docs: DataFrame) -> DataFrame:
     """(h, n) of words and pairs, counted within chunks: an n-gram has a row for each chunk that holds it."""
     def work(batches):
@@ -216,7 +231,7 @@ def count(docs: DataFrame) -> DataFrame:
 def _shards(spark: SparkSession) -> tuple[int, int]:
     """(shuffle partitions, the shift that leaves an n-gram's shard of its hash)"""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return parts, 64 - max(4, min(20, (SHARDS * parts - 1).bit_length()))
+    return parts, 64 - max(SEGMENT, min(20, (SHARDS * parts - 1).bit_length()))
 
 
 def _merge(h: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -264,14 +279,18 @@ def fill(counted: DataFrame) -> DataFrame:
     return materialize(dealt.mapInArrow(work, "shard int, h long, n long, bits binary, false double"), "model")
 
 
-def build(counted: DataFrame) -> Filter:
-    return load(fill(counted))
-
-
-def load(model: DataFrame) -> Filter:
-    shards = model.where("shard IS NOT NULL")
-    n_bytes = shards.agg(F.sum("n")).first()[0] or 0
-    return Filter(_shards(model.sparkSession)[1], n_bytes, ((r["shard"], r["bits"]) for r in shards.select("shard", "bits").toLocalIterator()))
+def load(model: DataFrame) -> Iterator[Filter]:
+    """The segments' filters, one after the other."""
+    shift = _shards(model.sparkSession)[1]
+    rows = model.where("shard IS NOT NULL").select("shard", "bits").orderBy("shard").toLocalIterator()
+    held, segment, per = [], 0, 1 << 64 - SEGMENT - shift
+    for r in rows:
+        while r["shard"] >= (segment + 1) * per:
+            yield Filter(shift, segment * per, held)
+            held, segment = [], segment + 1
+        held.append((r["shard"], r["bits"]))
+    for k in range(segment, 1 << SEGMENT):
+        yield Filter(shift, k * per, held if k == segment else [])
 
 
 def _lookup(keys: np.ndarray, n: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -285,7 +304,8 @@ def _lookup(keys: np.ndarray, n: np.ndarray, h: np.ndarray) -> np.ndarray:
 def _log_p(c: np.ndarray, before: np.ndarray, both: np.ndarray, floor: float, prior: float, false: float) -> tuple[np.ndarray, np.ndarray]:
     """log10 of each token's base and model probability by the counts of the token, the one before it and the pair."""
     base = (c + 0.1) / floor
-    return np.log10(base), np.log10(np.where(before > 0, (both + prior * base) / (before + prior + false), base))
+    share = before / (before + prior + false)
+    return np.log10(base), np.log10(share * both / (before + false) + (1 - share) * base)
 
 
 def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -315,23 +335,27 @@ SCORES = "n_tokens long, n_known long, base_score double, score double"
 
 def near_scores(docs: DataFrame, built: DataFrame, words: DataFrame, floor: float, prior: float, false: float) -> DataFrame:
     """(doc_id, SCORES) by a broadcast filter and word counts."""
-    rows = words.orderBy("h").toArrow()
-    keys, exact = np.asarray(rows["h"]), np.asarray(rows["n"])
-    if len(exact) and exact.max() < 2**32:
-        exact = exact.astype(np.uint32)
-    model = docs.sparkSession.sparkContext.broadcast((load(built), keys, exact))
+    counts = words.toArrow()
+    keys, exact = counts["h"].to_numpy().view(np.uint64), counts["n"].to_numpy()
+    del counts
+    order = np.argsort(keys)
+    keys, exact = keys[order], exact[order]
+    edges = np.searchsorted(keys, np.arange(1, 1 << SEGMENT, dtype=np.uint64) << np.uint64(64 - SEGMENT))
+    cut = lambda x: np.split(x, edges)
+    model = [docs.sparkSession.sparkContext.broadcast(x) for x in zip(load(built), cut(keys), cut(exact))]
 
     def work(batches):
-        filter_, keys, exact = model.value
-        before, h, c = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        known_count = lambda k, h: _lookup(*model[k].value[1:], h)
+        pair_count = lambda k, h: model[k].value[0].counts(h)
+        before, h, c = None, np.zeros(0, np.uint64), np.zeros(0)
         for rows, known, ids, first in chunks(batches, ("doc_id",), SCORE_TOKENS):
             if known is not before:
                 before, h, c = known, h[:0], c[:0]
             new = np.array(known.hashes[len(h) :], np.uint64)
-            h, c = np.concatenate([h, new]), np.concatenate([c, _lookup(keys, exact, new.view(np.int64))])
+            h, c = np.concatenate([h, new]), np.concatenate([c, by_segment(new, known_count)])
             own, prev = c[ids], c[np.concatenate([[0], ids[:-1]])]  # a text's first token follows the end of the one before
             both, at = np.zeros(len(ids)), np.flatnonzero((own > 0) & (prev > 0))
-            both[at] = filter_.counts(pairs(h[ids])[at])
+            both[at] = by_segment(pairs(h[ids])[at], pair_count)
             base, score = _log_p(own, prev, both, floor, prior, false)
             yield rows | {"n_tokens": np.diff(np.append(first, len(ids))), "n_known": _sums((own > 0).astype(np.int64), first), "base_score": _sums(base, first), "score": _sums(score, first)}
 
