@@ -15,6 +15,8 @@ WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A table of keys is broadcast only up to this many rows (16 bytes each); beyond it, a shuffle join does the work.
 MAX_BROADCAST_ROWS = 8_000_000
+#: Rows that are Python objects at once.
+SLICE_ROWS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,14 +57,14 @@ def restrict(docs: DataFrame, ids: DataFrame, how: str, limit: int = MAX_BROADCA
 
 
 def map_rows(df: DataFrame, work: Callable[[Iterable[dict[str, list]]], Iterator[dict]], schema: str) -> DataFrame:
-    """mapInArrow over plain Python lists: work gets each batch as a dict of columns and yields dicts of columns."""
+    """mapInArrow over plain Python lists: work gets rows, at most SLICE_ROWS at once, as a dict of columns and yields dicts of columns."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in work(b.to_pydict() for b in batches):
+        for out in work(b.slice(i, SLICE_ROWS).to_pydict() for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)

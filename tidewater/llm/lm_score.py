@@ -56,12 +56,12 @@ SHARDS = 16
 #: The weight of the base model, in tokens seen after a word.
 PRIOR = 100.0
 #: Tokens that are counted at once, and those that are scored at once, beside the filter in memory.
-FLUSH_TOKENS = 500_000
+FLUSH_TOKENS = 300_000
 SCORE_TOKENS = 120_000
 #: Rows that a task gathers before it adds up the counts of equal n-grams.
 MERGE_ROWS = 4_000_000
 #: Words that a task remembers at once.
-MAX_WORDS = 150_000
+MAX_WORDS = 100_000
 END = xxhash.xxh64_intdigest(b"\n")  # no word holds white space
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: The lowest bit of an n-gram's hash tells pairs (1) from words (0).
