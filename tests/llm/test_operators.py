@@ -275,7 +275,7 @@ def test_lm_scores_are_those_of_a_plain_model(docs, odd, nothing, far):
         rows = pairs(df)
         n, expected = brute.unigram_base(rows, LEARNED)
         built = lm_score.fill(lm_score.count(df.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 != 0)))
-        model = brute.pair_model(rows, LEARNED, false=lm_score.false_mass(built.where("shard IS NULL").count(), built.agg(F.avg("false")).first()[0]))
+        model = brute.pair_model(rows, LEARNED, false=lm_score.false_mass(*built.agg(F.sum("n_words"), F.avg("false")).first()))
         got = lm_score.lm_scores(df, **far).collect()
         key = lambda d, e: (d is None, d or 0, e[0], e[1], round(e[2], 6))
         assert all(r["train_tokens"] == n for r in got)
@@ -292,9 +292,8 @@ def test_lm_probabilities_add_up(docs):
 
     learned = docs.where(F.crc32(F.col("doc_id").cast("string")) % 10 != 0)
     built = lm_score.fill(lm_score.count(learned))
-    words = built.where("shard IS NULL").toPandas()
-    f, rate = list(lm_score.load(built)), built.agg(F.avg("false")).first()[0]
-    h, c = words["h"].to_numpy().view(np.uint64), words["n"].to_numpy()
+    parts, rate = list(lm_score.load(built)), built.agg(F.avg("false")).first()[0]
+    f, h, c = [x[0] for x in parts], np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts]).astype(float)
     floor, false = c.sum() + 0.1 * (len(c) + 1), lm_score.false_mass(len(c), rate)
     order = np.argsort(c)
     for u in order[np.linspace(0, len(c) - 1, 100).astype(int)]:
@@ -311,7 +310,7 @@ def test_lm_filter(spark):
 
     h = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000, np.uint64) * np.uint64(2) | np.uint64(1))
     true = np.array([1 + i % 100 for i in range(len(h))])
-    f = list(lm_score.load(lm_score.fill(spark.createDataFrame(list(zip(h.view(np.int64).tolist(), true.tolist())), "h long, n long"))))
+    f = [x[0] for x in lm_score.load(lm_score.fill(spark.createDataFrame(list(zip(h.view(np.int64).tolist(), true.tolist())), "h long, n long")))]
     count = lambda h: lm_score.by_segment(h, lambda k, x: f[k].counts(x))
     rough = count(h)
     assert (rough <= true).all() and (rough * 2 > true).all()

@@ -243,13 +243,12 @@ def _merge(h: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     return h[first], np.add.reduceat(n, first) if len(h) else n
 
 
+MODEL = pa.schema([("shard", pa.int32()), ("bits", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("false", pa.float64())])
+
+
 def fill(counted: DataFrame) -> DataFrame:
-    """One shuffle to the shards, written once: (h, n) of each word, shard null; (shard, n: its bytes, bits, false: its false-positive rate) of each shard."""
+    """One shuffle to the shards, written once. A row a shard: its filter words and their false-positive rate, its words' sorted hashes and their counts."""
     parts, shift = _shards(counted.sparkSession)
-    schema = pa.schema([("shard", pa.int32()), ("h", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("false", pa.float64())])
-
-    def row_batch(*columns):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     def work(batches):
         held, rows, least = ([], []), 0, MERGE_ROWS
@@ -263,34 +262,46 @@ def fill(counted: DataFrame) -> DataFrame:
         if not rows:
             return
         h, n = _merge(*held)
-        held = None
-        words = np.flatnonzero(h & _PAIR == 0)
-        for at in np.array_split(words, len(words) // 100_000 + 1):
-            yield row_batch(pa.nulls(len(at), pa.int32()), h[at].view(np.int64), n[at], pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.float64()))
-        both = np.flatnonzero(h & _PAIR)
-        h, n = h[both], n[both]
-        shard = (h >> np.uint64(shift)).astype(np.int64)
-        edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(h) else [0]
+        held, shard, pair = None, (h >> np.uint64(shift)).astype(np.int64), h & _PAIR == _PAIR
+        edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            bits = shard_bits(h[a:b], n[a:b])
-            yield row_batch([shard[a]], [None], [8 * len(bits)], [bits.tobytes()], [false_rate(bits)])
+            both = pair[a:b]
+            bits, keys, counts = shard_bits(h[a:b][both], n[a:b][both]), h[a:b][~both], n[a:b][~both]
+            row = shard[a], bits.tobytes(), keys.tobytes(), counts.tobytes(), len(keys), counts.sum(), bits.nbytes, false_rate(bits)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, MODEL.types, strict=True)], schema=MODEL)
 
     dealt = counted.repartition(parts, F.shiftrightunsigned("h", shift)).select("h", "n")
-    return materialize(dealt.mapInArrow(work, "shard int, h long, n long, bits binary, false double"), "model")
+    return materialize(dealt.mapInArrow(work, "shard int, bits binary, keys binary, counts binary, n_words long, n_tokens long, n_bytes long, false double"), "model")
 
 
-def load(model: DataFrame) -> Iterator[Filter]:
-    """The segments' filters, one after the other."""
+def load(model: DataFrame) -> Iterator[tuple[Filter, np.ndarray, np.ndarray]]:
+    """The segments, one after the other: filter, sorted words, their counts."""
     shift = _shards(model.sparkSession)[1]
-    rows = model.where("shard IS NOT NULL").select("shard", "bits").orderBy("shard").toLocalIterator()
     held, segment, per = [], 0, 1 << 64 - SEGMENT - shift
-    for r in rows:
+
+    def take(k: int, rows: list):
+        keys, counts = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (("keys", np.uint64), ("counts", np.int64)))
+        return Filter(shift, k * per, [(r["shard"], r["bits"]) for r in rows]), keys, counts.astype(np.uint32) if counts.max(initial=0) < 2**32 else counts
+
+    for r in model.select("shard", "bits", "keys", "counts").orderBy("shard").toLocalIterator():
         while r["shard"] >= (segment + 1) * per:
-            yield Filter(shift, segment * per, held)
+            yield take(segment, held)
             held, segment = [], segment + 1
-        held.append((r["shard"], r["bits"]))
+        held.append(r)
     for k in range(segment, 1 << SEGMENT):
-        yield Filter(shift, k * per, held if k == segment else [])
+        yield take(k, held if k == segment else [])
+
+
+def word_counts(model: DataFrame) -> DataFrame:
+    """(h, c) of each word."""
+    schema = pa.schema([("h", pa.int64()), ("c", pa.float64())])
+
+    def work(batches):
+        for b in batches:
+            for keys, counts in zip(b.column("keys"), b.column("counts"), strict=True):
+                yield pa.RecordBatch.from_arrays([np.frombuffer(keys.as_py(), np.int64), np.frombuffer(counts.as_py(), np.int64).astype(np.float64)], schema=schema)
+
+    return model.select("keys", "counts").mapInArrow(work, "h long, c double")
 
 
 def _lookup(keys: np.ndarray, n: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -316,33 +327,24 @@ def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, prior: float
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
     built = fill(count(docs.where(fold_remainder(F.col("doc_id"), folds) != held_out)))
-    words = built.where("shard IS NULL").select("h", "n")
-    total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    pairs_ = built.where("shard IS NOT NULL").agg(F.sum("n").alias("bytes"), F.avg("false").alias("rate")).first()
-    n_all, n_words = total["n"] or 0, total["v"]
-    floor, false = n_all + 0.1 * (n_words + 1), false_mass(n_words, pairs_["rate"] or 0.0)
-    if n_words <= max_broadcast and 8 * (pairs_["bytes"] or 0) <= max_bits:
-        scored = near_scores(docs, built, words, floor, prior, false)
+    total = built.agg(F.sum("n_tokens").alias("n"), F.sum("n_words").alias("words"), F.sum("n_bytes").alias("bytes"), F.avg("false").alias("rate")).first()
+    n_all, n_words = total["n"] or 0, total["words"] or 0
+    floor, false = n_all + 0.1 * (n_words + 1), false_mass(n_words, total["rate"] or 0.0)
+    if n_words <= max_broadcast and 8 * (total["bytes"] or 0) <= max_bits:
+        scored = near_scores(docs, built, floor, prior, false)
     else:
         version = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
         source = docs.select("doc_id", "text", version.alias("version"))
-        scored = source.select("doc_id", "version").join(far_scores(source, built, words, floor, prior, false), "version")
+        scored = source.select("doc_id", "version").join(far_scores(source, built, floor, prior, false), "version")
     return scored.select(F.col("doc_id").cast(kind).alias("doc_id"), (fold_remainder(F.col("doc_id"), folds) == held_out).alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 SCORES = "n_tokens long, n_known long, base_score double, score double"
 
 
-def near_scores(docs: DataFrame, built: DataFrame, words: DataFrame, floor: float, prior: float, false: float) -> DataFrame:
+def near_scores(docs: DataFrame, built: DataFrame, floor: float, prior: float, false: float) -> DataFrame:
     """(doc_id, SCORES) by a broadcast filter and word counts."""
-    counts = words.toArrow()
-    keys, exact = counts["h"].to_numpy().view(np.uint64), counts["n"].to_numpy()
-    del counts
-    order = np.argsort(keys)
-    keys, exact = keys[order], exact[order]
-    edges = np.searchsorted(keys, np.arange(1, 1 << SEGMENT, dtype=np.uint64) << np.uint64(64 - SEGMENT))
-    cut = lambda x: np.split(x, edges)
-    model = [docs.sparkSession.sparkContext.broadcast(x) for x in zip(load(built), cut(keys), cut(exact))]
+    model = [docs.sparkSession.sparkContext.broadcast(x) for x in load(built)]
 
     def work(batches):
         known_count = lambda k, h: _lookup(*model[k].value[1:], h)
@@ -362,7 +364,7 @@ def near_scores(docs: DataFrame, built: DataFrame, words: DataFrame, floor: floa
     return map_rows(docs.select("doc_id", "text"), work, f"doc_id {dict(docs.dtypes)['doc_id']}, {SCORES}")
 
 
-def far_scores(source: DataFrame, built: DataFrame, words: DataFrame, floor: float, prior: float, false: float) -> DataFrame:
+def far_scores(source: DataFrame, built: DataFrame, floor: float, prior: float, false: float) -> DataFrame:
     """(version, SCORES): the shards answer each distinct pair that is asked for; each text's distinct n-grams are joined with the counts and gathered to the text."""
     parts, shift = _shards(source.sparkSession)
     texts = materialize(source.select("version", "text").dropDuplicates(["version"]), "texts")
@@ -407,8 +409,8 @@ def far_scores(source: DataFrame, built: DataFrame, words: DataFrame, floor: flo
 
     asked = map_rows(texts, ask, "version string, h long")
     questions = asked.where(F.col("h").bitwiseAND(1) == 1).select("h").distinct()
-    shards = built.where("shard IS NOT NULL").select("shard", F.lit(None).cast("long").alias("h"), "bits")
+    shards = built.select("shard", F.lit(None).cast("long").alias("h"), "bits")
     met = shards.unionByName(questions.select(F.shiftrightunsigned("h", shift).cast("int").alias("shard"), "h", F.lit(None).cast("binary").alias("bits"))).repartition(parts, "shard").sortWithinPartitions("shard", F.col("bits").isNull())
-    counts = materialize(met.mapInArrow(answer, "h long, c double").unionByName(words.select("h", F.col("n").cast("double").alias("c"))), "answers")
+    counts = materialize(met.mapInArrow(answer, "h long, c double").unionByName(word_counts(built)), "answers")
     answers = asked.join(counts, "h").groupBy("version").agg(F.collect_list(F.struct("h", "c")).alias("k"))
     return map_rows(texts.join(answers, "version", "left").select("version", "text", F.col("k.h").alias("hs"), F.col("k.c").alias("cs")), score, f"version string, {SCORES}")
