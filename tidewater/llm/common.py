@@ -16,7 +16,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A table of keys is broadcast only up to this many rows (16 bytes each); beyond it, a shuffle join does the work.
 MAX_BROADCAST_ROWS = 8_000_000
 #: Rows that are Python objects at once.
-SLICE_ROWS = 2_000
+SLICE_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

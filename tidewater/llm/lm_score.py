@@ -57,7 +57,7 @@ SHARDS = 16
 PRIOR = 100.0
 #: Tokens that are counted at once, and those that are scored at once, beside the filter in memory.
 FLUSH_TOKENS = 300_000
-SCORE_TOKENS = 120_000
+SCORE_TOKENS = 80_000
 #: Rows that a task gathers before it adds up the counts of equal n-grams.
 MERGE_ROWS = 4_000_000
 #: Words that a task remembers at once.
@@ -275,21 +275,13 @@ def fill(counted: DataFrame) -> DataFrame:
 
 
 def load(model: DataFrame) -> Iterator[tuple[Filter, np.ndarray, np.ndarray]]:
-    """The segments, one after the other: filter, sorted words, their counts."""
+    """The segments, one after the other: filter, sorted words, their counts. Each is read by a job of its own."""
     shift = _shards(model.sparkSession)[1]
-    held, segment, per = [], 0, 1 << 64 - SEGMENT - shift
-
-    def take(k: int, rows: list):
+    per = 1 << 64 - SEGMENT - shift
+    for k in range(1 << SEGMENT):
+        rows = sorted(model.where(F.col("shard").between(k * per, (k + 1) * per - 1)).select("shard", "bits", "keys", "counts").collect())
         keys, counts = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (("keys", np.uint64), ("counts", np.int64)))
-        return Filter(shift, k * per, [(r["shard"], r["bits"]) for r in rows]), keys, counts.astype(np.uint32) if counts.max(initial=0) < 2**32 else counts
-
-    for r in model.select("shard", "bits", "keys", "counts").orderBy("shard").toLocalIterator():
-        while r["shard"] >= (segment + 1) * per:
-            yield take(segment, held)
-            held, segment = [], segment + 1
-        held.append(r)
-    for k in range(segment, 1 << SEGMENT):
-        yield take(k, held if k == segment else [])
+        yield Filter(shift, k * per, [(r["shard"], r["bits"]) for r in rows]), keys, counts.astype(np.uint32) if counts.max(initial=0) < 2**32 else counts
 
 
 def word_counts(model: DataFrame) -> DataFrame:
