@@ -8,8 +8,10 @@ later token can still reach (those within the longest token) run through its
 end; it is emitted then and its bytes are forgotten. `lookahead`, computed from
 the merge list, is how far a merge's outcome can depend on what follows; the
 scan tests for stable tokens once that many bytes are pending, so memory stays
-constant for a word of any length. Decoding feeds token bytes to an
-incremental UTF-8 state machine.
+constant for a word of any length. Every token comes from this scan; the tokens
+of short words are remembered, a bounded number of words a task. A text is cut
+into words, encoded, hashed and decoded block by block. Decoding feeds token
+bytes to an incremental UTF-8 state machine.
 
 Defined results: null or empty text has no tokens and decodes to the empty
 text; the special token's own string in a text becomes the special token, as
@@ -25,8 +27,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
-from functools import cached_property
-from itertools import chain
+from itertools import chain, islice
 
 import regex
 from pyspark.sql import DataFrame
@@ -39,6 +40,11 @@ WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N
 ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
+#: Characters of text that are cut into words at once, words at once in a longer text, and the longest word whose tokens are remembered.
+BLOCK = 65_536
+WORDS_AT_ONCE = 4_096
+MEMO = 64
+
 
 def _characters() -> dict[str, int]:
     """The format's character for each byte: itself if printable, else the next code point from 256 on."""
@@ -65,9 +71,14 @@ class Bpe:
             pair = vocab[a], vocab[b]
             self.rank[pair] = r
             self.made.setdefault(vocab[a + b], (r, *pair))
-        #: Trie of the tokens' bytes, first to last; key -1: the token.
-        self.ids = list(vocab.values())
-        self.forward = self._trie(1)
+        #: Trie of the tokens' bytes: of each byte the next bytes, and the token that ends with it.
+        self.trie: dict = {}
+        for i in sorted(vocab.values(), key=lambda i: len(self.bytes_of[i])):
+            *path, end = self.bytes_of[i]
+            node = self.trie
+            for x in path:
+                node = node.setdefault(x, ({}, None))[0]
+            node[end] = (node[end][0] if end in node else {}, i)
         self.longest = max(len(self.bytes_of[i]) for i in vocab.values())
         self.lookahead = self._lookahead()
         self.fits: dict[tuple[int, int], bool] = {}
@@ -79,20 +90,6 @@ class Bpe:
         self.cut = regex.compile(WORDS)
         self.cut_ascii = re.compile(ASCII_WORDS, re.ASCII)
 
-    def _trie(self, step: int) -> dict:
-        root: dict = {}
-        for i in self.ids:
-            node = root
-            for x in self.bytes_of[i][::step]:
-                node = node.setdefault(x, {})
-            node[-1] = i
-        return root
-
-    @cached_property
-    def reversed(self) -> dict:
-        """Only words longer than the lookahead need it."""
-        return self._trie(-1)
-
     def _lookahead(self) -> int:
         """How many bytes after a boundary can still decide whether a merge crosses it.
 
@@ -131,41 +128,46 @@ class Bpe:
 
     def stream(self, pieces: Iterable[bytes]) -> Iterator[int]:
         """Token ids of one word that comes in pieces, each as soon as it is stable."""
-        held, last = bytearray(), [-1]  # bytes since the last stable boundary; the last token at each position since then
+        held, last, done = bytearray(), [-1], 0  # bytes since the last stable boundary; the last token at each position since then; starts that were tried
         for piece in pieces:
             for start in range(0, len(piece), 1024):
-                held += piece[start : start + 1024]
-                self._scan(held, last)
-                if len(held) > self.lookahead + self.longest:
-                    at = self._meeting(last)
-                    if at:
-                        yield from self._chain(last, at)
-                        del held[:at], last[:at]
+                part = piece[start : start + 1024]
+                held += part
+                last += [None] * len(part)
+                ready = max(done, len(held) - self.longest + 1)
+                self._scan(held, last, done, ready)
+                done = ready
+                if done > self.lookahead + self.longest and (at := self._meeting(last, done)):
+                    yield from self._chain(last, at)
+                    del held[:at], last[:at]
+                    done -= at
+        self._scan(held, last, done, len(held))
         yield from self._chain(last, len(held))
 
-    def _scan(self, held: bytes, last: list) -> None:
-        trie, boundary = self.reversed, self.boundary
-        for i in range(len(last), len(held) + 1):
-            node, j, found = trie, i, []
-            while j:
-                node = node.get(held[j - 1])
-                if node is None:
-                    break
-                j -= 1
-                t = node.get(-1)
-                if t is not None:
-                    found.append((j, t))
-            for j, t in reversed(found):
-                before = last[j]
-                if before == -1 or before is not None and boundary(before, t):
-                    last.append(t)
+    def _scan(self, held: bytes, last: list, start: int, end: int) -> None:
+        """Tries the tokens at the starts; the first that fits what stands before, the longest, is the last one of its end."""
+        trie, fits, boundary, n = self.trie, self.fits, self.boundary, len(held)
+        for i in range(start, end):
+            before = last[i]
+            if before is None:
+                continue  # no encoding ends here
+            node, j = trie, i
+            while j < n:
+                step = node.get(held[j])
+                if step is None:
                     break
-            else:
-                last.append(None)  # no encoding ends here
-
-    def _meeting(self, last: list) -> int:
-        """The last position that the chains of all positions within reach have in common."""
-        end = len(last) - 1
+                j += 1
+                node, t = step
+                if t is not None and last[j] is None:
+                    if before == -1:
+                        last[j] = t
+                    else:
+                        fit = fits.get((before, t))
+                        if fit or fit is None and boundary(before, t):
+                            last[j] = t
+
+    def _meeting(self, last: list, end: int) -> int:
+        """The last position that the chains of all positions within reach of `end` have in common."""
         heap = [-p for p in range(max(0, end - self.longest), end + 1) if last[p] is not None]
         heapq.heapify(heap)
         while heap[0] != heap[-1] or len(set(heap)) > 1:
@@ -184,76 +186,62 @@ class Bpe:
             at -= len(self.bytes_of[last[at]])
         return out[::-1]
 
-    def within(self, data: bytes) -> tuple[int, ...]:
-        """The encoding of a word no longer than the lookahead: longest tokens first, stepping back from positions that lead nowhere.
-
-        The encoding of a prefix is unique, so a position found dead once is dead for good.
-        """
-        trie, fits, boundary = self.forward, self.fits, self.boundary
-        out: list[int] = []
-        ends, dead, pos, n = [0], set(), 0, len(data)
-        while pos < n:
-            node, j, found = trie, pos, []
-            while j < n:
-                node = node.get(data[j])
-                if node is None:
-                    break
-                j += 1
-                t = node.get(-1)
-                if t is not None:
-                    found.append((j, t))
-            for j, t in reversed(found):
-                if j in dead:
-                    continue
-                fit = not out or fits.get((out[-1], t))
-                if fit or fit is None and boundary(out[-1], t):
-                    out.append(t)
-                    ends.append(j)
-                    pos = j
-                    break
-            else:
-                dead.add(pos)
-                out.pop()
-                ends.pop()
-                pos = ends[-1]
-        return tuple(out)
-
     def encode_word(self, word: str) -> tuple[int, ...]:
+        """The transducer's output for a word of at most MEMO characters, remembered."""
         ids = self.older.get(word)
         if ids is None:
-            data = word.encode()
-            if len(data) > self.lookahead:
-                return tuple(self.stream([data]))
-            ids = self.within(data)
+            ids = tuple(self.stream((word.encode(),)))
         if len(self.words) >= self.cache_words:
             self.words, self.older = {}, self.words
         self.words[word] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def blocks(self, text: str) -> Iterator[list[int]]:
+        """The text's token ids, a bounded number at a time: beside the text itself, memory does not grow with it or with its words."""
         at = 0
         for m in self.split.finditer(text) if self.split is not None else ():
-            self._plain(text[at : m.start()], out)
-            out.append(self.special[m[0]])
+            yield from self._plain(text, at, m.start())
+            yield [self.special[m[0]]]
             at = m.end()
-        self._plain(text[at:] if at else text, out)
-        return out
+        yield from self._plain(text, at, len(text))
 
-    def _plain(self, text: str, out: list[int]) -> None:
-        if not text:
+    def _plain(self, text: str, start: int, end: int) -> Iterator[list[int]]:
+        if start == end:
             return
-        words = (self.cut_ascii if text.isascii() else self.cut).findall(text)
-        new = {w: self.encode_word(w) for w in set(words).difference(self.words)}
-        known, late = self.words, new.get
-        out.extend(chain.from_iterable([known[w] if w in known else late(w) or self.encode_word(w) for w in words] if new else map(known.__getitem__, words)))
+        if end - start <= BLOCK:
+            piece = text[start:end]
+            yield from self._block((self.cut_ascii if piece.isascii() else self.cut).findall(piece))
+        else:
+            words = (m[0] for m in (self.cut_ascii if text.isascii() else self.cut).finditer(text, start, end))
+            while some := list(islice(words, WORDS_AT_ONCE)):
+                yield from self._block(some)
+
+    def _block(self, words: list[str]) -> Iterator[list[int]]:
+        known = self.words
+        new = {w: self.encode_word(w) for w in set(words).difference(known) if len(w) <= MEMO}
+        start = 0
+        if max(map(len, words)) > MEMO:
+            for i, w in enumerate(words):
+                if len(w) > MEMO:
+                    yield self._known(words[start:i], new)
+                    ids = self.stream(w[k : k + BLOCK].encode() for k in range(0, len(w), BLOCK))
+                    while some := list(islice(ids, WORDS_AT_ONCE)):
+                        yield some
+                    start = i + 1
+        yield self._known(words[start:] if start else words, new)
+
+    def _known(self, words: list[str], new: dict) -> list[int]:
+        known = self.words
+        return list(chain.from_iterable([known[w] if w in known else new[w] if w in new else self.encode_word(w) for w in words] if new else map(known.__getitem__, words)))
+
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(self.blocks(text)))
 
     def decode(self, ids: Iterable[int], block: int = 4096) -> Iterator[str]:
         """The text, piece by piece; bytes that are not UTF-8 become U+FFFD."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        ids = list(ids)
-        for i in range(0, len(ids), block):
-            yield machine.decode(b"".join(map(self.bytes_of.__getitem__, ids[i : i + block])))
+        machine, ids = codecs.getincrementaldecoder("utf-8")("replace"), iter(ids)
+        while some := list(islice(ids, block)):
+            yield machine.decode(b"".join(map(self.bytes_of.__getitem__, some)))
         yield machine.decode(b"", True)
 
 
@@ -285,12 +273,15 @@ def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             out = {"doc_id": b["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
             for t in b["text"]:
-                ids = bpe.encode(t or "")
-                decoded = hashlib.sha256()
-                for piece in bpe.decode(ids):
-                    decoded.update(piece.encode())
-                out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
+                n, ids_hash, decoded, machine = 0, hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")
+                for ids in bpe.blocks(t or ""):
+                    if ids:
+                        ids_hash.update((("," if n else "") + ",".join(map(names.__getitem__, ids))).encode())
+                        decoded.update(machine.decode(b"".join(map(bpe.bytes_of.__getitem__, ids))).encode())
+                        n += len(ids)
+                decoded.update(machine.decode(b"", True).encode())
+                out["n_tokens"].append(n)
+                out["ids_sha256"].append(ids_hash.hexdigest())
                 out["decoded_sha256"].append(decoded.hexdigest())
             yield out
 
