@@ -120,6 +120,17 @@ def test_lines_odd(odd, nothing):
     assert set(odd.columns) <= set(kept.columns) and kept.count() == odd.count()
 
 
+def test_lines_stream_past_sorted(spark):
+    """One range exchange and a real secondary sort, no hash exchange before the first occurrences are known; a hot key is split and counted whole."""
+    seen = spark.range(0, 5000, 1, 4).select(F.lit(1).cast("long").alias("h1"), F.lit(2).cast("long").alias("h2"), (F.col("id") % 1700).alias("doc_id"), (F.col("id") % 7).cast("int").alias("pos"))
+    seen = seen.unionByName(spark.createDataFrame([(1, 2, None, 0), (3, 3, None, 1), (3, 3, None, 2)], "h1 long, h2 long, doc_id long, pos int"))
+    out = line_dedup.key_counts(seen)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    window = plan[plan.index("Window ") :]
+    assert window.index("Sort [") < window.index("rangepartitioning(h1") and "hashpartitioning" not in window and "h1" in window[: window.index("Sort [")]
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 2, 1701, 1699), (3, 3, 1, None)]
+
+
 def test_bitmaps_rebuild_the_text(docs):
     rows = line_dedup.line_dedup_digest(docs).join(docs.select("doc_id", "text"), "doc_id").collect()
     for r in rows:

@@ -44,6 +44,13 @@ def fold_remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """base, or base and as many '_' as it takes for no column of df to begin with it."""
+    while any(c.lower().startswith(base.lower()) for c in df.columns):
+        base += "_"
+    return base
+
+
 def bounded(df: DataFrame, limit: int) -> tuple[DataFrame, bool]:
     """df written once, and whether it has at most limit rows, so that it may be broadcast."""
     kept = materialize(df, "keys")

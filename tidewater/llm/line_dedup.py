@@ -1,10 +1,13 @@
 """Line dedup with DataFrame functions only.
 
-Lines are keyed by a 128-bit hash. The keys are range-partitioned with a
-secondary sort by document and position, so that each key's documents stream
-past in order and its kept (first in that order) document is known without
-holding a group; text itself is never shuffled for that. The result is one
-compressed keep bitmap per document: run lengths, alternately kept and dropped.
+Lines are keyed by a 128-bit hash. The keys are range-partitioned, with a
+secondary sort by document and position, so that each key's lines stream past
+in order: the first of each document is counted, and the first of all belongs to
+the document that keeps the key. A key's documents are dealt into SLICES parts by
+a hash, so that a key that a third of all documents hold is many ranges; what its
+slices found, a row each, is added up. Text itself is never shuffled for that.
+The result is one compressed keep bitmap per document: run lengths, alternately
+kept and dropped.
 
 Defined results: a null or empty text is one empty line; a null doc_id is one
 more document, smaller than any other; a repeated row is the same document and
@@ -14,14 +17,16 @@ the input, whatever their names, are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WHITE, let, lower_ascii, materialize
 
 
-#: Prefix of the columns that dedup_lines adds to those of its input.
+#: Prefix of the columns that dedup_lines adds to those of its input; give another if the input has such columns.
 OWN = "__lines_"
+#: Parts that the documents of a key are dealt into.
+SLICES = 64
 
 
 def _lines(text: Column) -> Column:
@@ -41,16 +46,23 @@ def line_keys(docs: DataFrame, min_chars: int, doc_id: str = "doc_id", text: str
     return docs.select(F.col(doc_id).alias("doc_id"), _version(F.col(text)).alias("version"), F.inline(hashed))
 
 
+def key_counts(seen: DataFrame) -> DataFrame:
+    """(h1, h2, n_docs, keeper) of each key: how many documents hold it, and the largest doc_id among them (null if no other is)."""
+    dealt = seen.select("h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).alias("slice"), "doc_id", "pos").repartitionByRange("h1", "h2", "slice")
+    stream = Window.partitionBy("h1", "h2", "slice").orderBy(F.desc_nulls_last("doc_id"), "pos")
+    own = F.struct("doc_id")
+    firsts = dealt.select("h1", "h2", "doc_id", F.row_number().over(stream).alias("at"), (~F.lag(own).over(stream).eqNullSafe(own)).alias("new")).where("new")
+    return firsts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max(F.when(F.col("at") == 1, F.col("doc_id"))).alias("keeper"))
+
+
 def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, version, runs): the dropped runs (start, length) of each document that loses a line.
 
     A key held by at least min_docs documents keeps its lines in the largest doc_id only.
     """
     seen = materialize(line_keys(docs, min_chars, doc_id, text), "lines")
-    # Range partitions on (key, document) split a hot key; documents of a key stream in descending order.
-    ordered = seen.repartitionByRange(F.col("h1"), F.col("h2"), F.col("doc_id")).sortWithinPartitions("h1", "h2", F.desc("doc_id"), "pos")
-    per_doc = ordered.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("first_pos"))
-    common = per_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
+    # Both sides of the join are tables, so that a hot key's partition can be split.
+    common = materialize(key_counts(seen).where(F.col("n_docs") >= min_docs), "line_keys")
     lost = seen.join(common, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     at = lost.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     starts = F.filter(F.col("at"), lambda x, i: (i == 0) | (F.get(F.col("at"), i - 1) < x - 1))
@@ -70,15 +82,15 @@ def _kept(lines: Column, runs: Column) -> Column:
     return F.concat(F.flatten(F.transform(runs, part)), F.slice(lines, end + 1, F.greatest(F.size(lines) - end, F.lit(0))))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, all columns kept, with total, dropped, kept and runs, each prefixed by OWN, added."""
-    maps = keep_bitmaps(docs, min_chars, min_docs, doc_id, text).select(F.col("doc_id").alias(f"{OWN}id"), F.col("version").alias(f"{OWN}version"), F.col("runs").alias(f"{OWN}runs"))
-    joined = docs.join(maps, F.col(doc_id).eqNullSafe(F.col(f"{OWN}id")) & (_version(F.col(text)) == F.col(f"{OWN}version")), "left")
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, doc_id: str = "doc_id", text: str = "text", own: str = OWN) -> DataFrame:
+    """docs, all columns kept, with total, dropped, kept and runs, each prefixed by own, added."""
+    maps = keep_bitmaps(docs, min_chars, min_docs, doc_id, text).select(F.col("doc_id").alias(f"{own}id"), F.col("version").alias(f"{own}version"), F.col("runs").alias(f"{own}runs"))
+    joined = docs.join(maps, F.col(doc_id).eqNullSafe(F.col(f"{own}id")) & (_version(F.col(text)) == F.col(f"{own}version")), "left")
     plain = F.coalesce(F.col(text), F.lit(""))
-    kept = F.when(F.col(f"{OWN}runs").isNull(), plain).otherwise(let(_lines(F.col(text)), lambda lines: F.array_join(_kept(lines, F.col(f"{OWN}runs")), "\n")))
-    dropped = F.coalesce(F.aggregate(f"{OWN}runs", F.lit(0), lambda a, r: a + r["length"]), F.lit(0))
+    kept = F.when(F.col(f"{own}runs").isNull(), plain).otherwise(let(_lines(F.col(text)), lambda lines: F.array_join(_kept(lines, F.col(f"{own}runs")), "\n")))
+    dropped = F.coalesce(F.aggregate(f"{own}runs", F.lit(0), lambda a, r: a + r["length"]), F.lit(0))
     n_lines = F.length(plain) - F.length(F.replace(plain, F.lit("\n"), F.lit(""))) + 1
-    return joined.withColumns({f"{OWN}total": n_lines.cast("long"), f"{OWN}dropped": dropped.cast("long"), f"{OWN}kept": kept}).drop(f"{OWN}id", f"{OWN}version")
+    return joined.withColumns({f"{own}total": n_lines.cast("long"), f"{own}dropped": dropped.cast("long"), f"{own}kept": kept}).drop(f"{own}id", f"{own}version")
 
 
 def line_dedup_digest(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
