@@ -4,6 +4,8 @@ import hashlib
 import math
 from collections import Counter
 
+import xxhash
+
 LATE = 2**63 - 2
 
 
@@ -111,6 +113,27 @@ def edits(item, text):
     return min(row)
 
 
+def fingerprint(data, k=20, s=8, size=128):
+    """[(32-bit hash, first position)] of the closed syncmers with the smallest hashes."""
+    h = lambda b: (xxhash.xxh64_intdigest(b, 42) + 2**63) % 2**64 - 2**63
+    inner, first = [h(data[i : i + s]) for i in range(len(data) - s + 1)], {}
+    for i in range(len(data) - k + 1):
+        own = inner[i : i + k - s + 1]
+        if min(own) in (own[0], own[-1]):
+            first.setdefault(h(data[i : i + k]) >> 32, i)
+    return sorted(first.items())[:size] or ([(h(data) >> 32, 0)] if data else [])
+
+
+def likeness(a, b, size=128, band=32):
+    """The share of the union's smallest hashes that both have on a common diagonal."""
+    if not a and not b:
+        return 1.0
+    a, b = dict(a), dict(b)
+    union = sorted(a.keys() | b.keys())[:size]
+    offsets = [a[h] - b[h] for h in union if h in a and h in b]
+    return sum(x == 0 or sum(abs(x - y) <= band for y in offsets) > 1 for x in offsets) / len(union)
+
+
 def pairs(df):
     return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
 

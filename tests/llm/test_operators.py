@@ -144,19 +144,21 @@ def test_bitmaps_rebuild_the_text(docs):
 # 3 fingerprints
 
 
-def test_fingerprints(docs, nothing, odd):
-    out = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs, buckets=9).collect()}
-    rows = sorted(pairs(docs), reverse=True)
-    for i, (d, t) in enumerate(rows):
-        nxt, cut = rows[(i + 1) % len(rows)], len(t) // 3
-        assert out[d]["n_chars"] == len(t) and out[d]["edited_sha256"] == sha((t[: len(t) - cut] + nxt[1][:cut]).encode())
-        a, b = (set(out[x]["fingerprint"].split()) for x in (d, nxt[0]))
-        if len(a | b) <= 128 and a | b:
-            assert out[d]["near_next"] == pytest.approx(len(a & b) / len(a | b))
-    same = {}
-    for d, t in rows:
-        assert same.setdefault(t, out[d]["fingerprint"]) == out[d]["fingerprint"]
-    long = [r for r in out.values() if r["n_chars"] > 500]
+def test_fingerprints(docs, nothing, odd, spark):
+    """All columns equal those of a plain version."""
+    text = lambda fp: " ".join(f"{h & 0xFFFFFFFF:x}@{i}" for h, i in fp)
+    for df in (docs, odd.where("doc_id IS NOT NULL AND (text IS NULL OR length(text) < 2000)").dropDuplicates(["doc_id"])):
+        out = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(df, buckets=9).collect()}
+        rows = sorted(((d, t or "") for d, t in pairs(df)), reverse=True)
+        prints = {d: brute.fingerprint(t.encode()) for d, t in rows}
+        assert len(out) == len(rows)
+        for i, (d, t) in enumerate(rows):
+            (n, u), cut = rows[(i + 1) % len(rows)], len(t) // 3
+            edited = (t[: len(t) - cut] + u[:cut]).encode()
+            own = brute.fingerprint(edited)
+            assert tuple(out[d][c] for c in ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint")) == (len(t), sha(edited), text(prints[d]), text(own))
+            assert out[d]["near_edited"] == pytest.approx(brute.likeness(prints[d], own)) and out[d]["near_next"] == pytest.approx(brute.likeness(prints[d], prints[n]))
+    long = [r for r in fingerprints.fingerprint_documents(docs).collect() if r["n_chars"] > 500]
     assert sum(r["near_edited"] for r in long) / len(long) > 0.4 > 0.05 > sum(r["near_next"] for r in long) / len(long)
     assert fingerprints.fingerprint_documents(nothing).count() == 0
     assert fingerprints.fingerprint_documents(odd, buckets=4).count() == odd.count()
@@ -165,13 +167,25 @@ def test_fingerprints(docs, nothing, odd):
 
 
 def test_syncmers_are_context_free(spark):
-    w = [f"w{i}" for i in range(60)]
-    df = spark.createDataFrame([(" ".join(w),), (" ".join(["other"] * 7 + w[20:40] + ["end"] * 9),)], "text string")
-    a, b = ({(x["hash"]) for x in r["a"]} for r in df.select(let(fingerprints.words_of(F.col("text")), fingerprints.anchors).alias("a")).collect())
-    assert len(a & b) >= 4
-    for r in df.select(fingerprints.anchors(fingerprints.words_of(F.col("text"))).alias("a")).collect():
-        at = [x["pos"] for x in r["a"]]
-        assert max(y - x for x, y in zip(at, at[1:])) <= 3
+    """A passage has the same anchors in other surroundings, each at most a k-mer's substrings apart, across pieces too."""
+    r = random.Random(3)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(9000))
+    df = spark.createDataFrame([(passage,), ("something else " * 300 + passage + " and an end",)], "text string")
+    a, b = (r["a"] for r in df.select(fingerprints.anchors(F.col("text").cast("binary")).alias("a")).collect())
+    own = [(x >> 32, x & 0xFFFFFFFF) for x in a]
+    assert {(h, p + 4500) for h, p in own} <= {(x >> 32, x & 0xFFFFFFFF) for x in b}
+    assert max(y - x for (_, x), (_, y) in zip(own, own[1:])) <= fingerprints.SPAN
+
+
+def test_likeness_is_positional(spark):
+    """Anchors in another order do not make texts alike; a shifted copy is alike."""
+    r = random.Random(4)
+    parts = ["".join(r.choice("abcdefgh ") for _ in range(60)) for _ in range(12)]
+    texts = ["".join(parts), "x" * 500 + "".join(parts), "".join(f"{p}{'.' * (97 * i % 1009)}" for i, p in enumerate(reversed(parts)))]
+    a, b, c = (r["f"] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(fingerprints.sketch(F.col("text")).alias("f")).collect())
+    near = lambda x, y: spark.createDataFrame([(x, y)], "a array<long>, b array<long>").select(fingerprints.likeness(F.col("a"), F.col("b"))).first()[0]
+    unpack = lambda f: [(x >> 32, x & 0xFFFFFFFF) for x in f]
+    assert near(a, b) > 0.7 and near(a, c) == pytest.approx(brute.likeness(unpack(a), unpack(c))) and near(a, a) == 1.0
 
 
 # 4 BPE

@@ -1,66 +1,121 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
-Tokens are lower-cased words. A k-mer of five words is an anchor if the
-smallest of its four inner two-word substrings, by hash, is the first or the
-last: that depends on the k-mer alone, so equal passages have equal anchors
-wherever they stand. A fingerprint is the bottom sketch of the anchors: the
-`size` smallest 32-bit anchor hashes. Words, not characters, are hashed because
-built-in array functions cost a few hundred ns an element.
-
-Defined results: null text counts as empty; a text without words has the empty
-fingerprint; a text with fewer words than a k-mer, or without a syncmer, has
-one anchor, its whole word sequence; likeness is the sketch's Jaccard estimate,
-1 for two empty fingerprints and 0 for one; repeated rows follow each other in
-the order of their texts' hashes; a null doc_id comes after all others; the
-next document of a table's only row is itself; other columns are not read.
+A text is its UTF-8 bytes. A k-mer of K bytes is an anchor if the smallest of
+its inner S-byte substrings, by hash, is the first or the last of them: that
+depends on the k-mer alone, so equal passages have equal anchors wherever they
+stand. A fingerprint is the bottom sketch of the anchors: the `size` smallest
+32-bit anchor hashes, each with the position of its first occurrence. An anchor
+is written as one long: the hash above, the position below.
+
+Matching is positional. Of the anchors that two fingerprints share, those count
+that stand on a common diagonal: the offset between the two positions is within
+BAND of that of another shared anchor, or is 0. Likeness is their share of the
+sketch of the union.
+
+As anchors are context-free, the edited text's fingerprint is put together from
+the sketch of the text's first part and the anchors of the rest, and no text is
+looked at twice. Texts are looked at in pieces of PIECE bytes.
+
+Defined results: null text counts as empty and has the empty fingerprint; a text
+shorter than a k-mer, or without an anchor, has one anchor, its whole text at 0;
+likeness is 1 for two empty fingerprints and 0 for one; repeated rows follow each
+other in the order of their texts' hashes; a null doc_id comes after all others;
+the next document of a table's only row is itself; other columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, let
+from .common import let
 
+K, S = 20, 8
+SPAN = K - S + 1  # inner substrings of a k-mer
+PIECE = 4_096
+BAND = 32
+HIGH = -(1 << 32)
 
-def anchors(words: Column) -> Column:
-    """Anchors (pos, hash) of an array of words, in text order."""
-    def of(w: Column) -> Column:
-        inner = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1)))
-        def pick(s: Column) -> Column:
-            first = F.sequence(F.lit(0), F.size(w) - 5)
-            edge = F.filter(first, lambda i: F.least(F.get(s, i), F.get(s, i + 3)) <= F.least(F.get(s, i + 1), F.get(s, i + 2)))
-            return F.transform(edge, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.get(s, i), F.get(s, i + 2), F.get(w, i + 4)).alias("hash")))
-        return F.when(F.size(w) >= 5, let(inner, pick)).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
 
-    return let(words, of)
+def _none() -> Column:
+    return F.array().cast("array<bigint>")
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))), "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
+def _pack(h: Column, pos: Column) -> Column:
+    return h.bitwiseAND(F.lit(HIGH)).bitwiseOR(pos.cast("long"))
 
 
-def sketch(text: Column, size: int = 128) -> Column:
-    """The fingerprint as a sorted array of at most size 32-bit hashes."""
-    def of(w: Column) -> Column:
-        def bottom(a: Column) -> Column:
-            whole = F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.array_join(w, " "))))
-            found = F.when(F.size(a) > 0, F.transform(a, lambda x: x["hash"])).otherwise(whole)
-            return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda h: F.shiftright(h, 32).cast("int")))), 1, size)
-        return let(anchors(w), bottom)
+def _hash(a: Column) -> Column:
+    return F.shiftright(a, 32)
+
+
+def _pos(a: Column) -> Column:
+    return a.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def anchors(data: Column) -> Column:
+    """Packed anchors of binary data, in text order."""
+    def piece(start: Column) -> Column:
+        def of(p: Column) -> Column:
+            inner = F.transform(F.sequence(F.lit(0), F.octet_length(p) - S), lambda i: F.xxhash64(F.substring(p, i + 1, F.lit(S))))
+
+            def pick(s: Column) -> Column:
+                # Each chain of comparisons ends at the first smaller substring, after two or three on average.
+                first = lambda i: reduce(Column.__and__, [F.get(s, i) <= F.get(s, i + j) for j in range(1, SPAN)])
+                last = lambda i: reduce(Column.__and__, [F.get(s, i + SPAN - 1) <= F.get(s, i + j) for j in range(SPAN - 2, -1, -1)])
+                edge = F.filter(F.sequence(F.lit(0), F.size(s) - SPAN), lambda i: first(i) | last(i))
+                return F.transform(edge, lambda i: _pack(F.xxhash64(F.substring(p, i + 1, F.lit(K))), start + i))
+
+            return let(inner, pick)
+
+        return let(F.substring(data, start + 1, F.lit(PIECE + K - 1)), of)
+
+    n = F.octet_length(data)
+    return F.when(n >= K, F.flatten(F.transform(F.sequence(F.lit(0), n - K, F.lit(PIECE)), piece))).otherwise(_none())
+
+
+def bottom(found: Column, size: int) -> Column:
+    """The size smallest hashes among packed anchors, each with its first position."""
+    new = lambda a: F.filter(a, lambda x, i: (i == 0) | (_hash(x) != _hash(F.get(a, F.greatest(i - 1, F.lit(0))))))
+    return F.slice(let(F.sort_array(found), new), 1, size)
+
 
-    return let(words_of(text), of)
+def _whole(data: Column, found: Column) -> Column:
+    """found, or the one anchor of a text that has none."""
+    return F.when((F.size(found) == 0) & (F.octet_length(data) > 0), F.array(_pack(F.xxhash64(data), F.lit(0)))).otherwise(found)
+
+
+def sketch(text: Column, size: int = 128) -> Column:
+    """The fingerprint as a sorted array of at most size packed anchors."""
+    return let(F.coalesce(text, F.lit("")).cast("binary"), lambda data: _whole(data, bottom(anchors(data), size)))
 
 
 def likeness(a: Column, b: Column, size: int = 128) -> Column:
-    """Jaccard estimate of two bottom sketches."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    shared = let(F.array_intersect(a, b), lambda both: let(union, lambda u: F.size(F.array_intersect(u, both)) / F.size(u).cast("double")))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(shared)
+    """The share of the union's sketch whose anchors both fingerprints have on a common diagonal."""
+    hashes = lambda x: F.transform(x, _hash)
+
+    def of(u: Column) -> Column:
+        def on_diagonals(same: Column) -> Column:
+            kept = lambda x: F.filter(x, lambda y: F.array_contains(same, _hash(y)))
+
+            def near(o: Column) -> Column:
+                close = lambda x, i: (x == 0) | ((i > 0) & (x - F.get(o, F.greatest(i - 1, F.lit(0))) <= BAND)) | F.coalesce(F.get(o, i + 1) - x <= BAND, F.lit(False))
+                return F.size(F.filter(o, close)) / F.size(u).cast("double")
+
+            offsets = F.zip_with(kept(a), kept(b), lambda x, y: _pos(x) - _pos(y))
+            return F.when(F.size(same) == 0, F.lit(0.0)).otherwise(let(F.sort_array(offsets), near))
+
+        return let(F.array_intersect(u, F.array_intersect(hashes(a), hashes(b))), on_diagonals)
+
+    both_empty = (F.size(a) == 0) & (F.size(b) == 0)
+    return F.when(both_empty, F.lit(1.0)).when(a == b, F.lit(1.0)).otherwise(let(F.slice(F.sort_array(F.array_union(hashes(a), hashes(b))), 1, size), of))
 
 
 def as_text(fingerprint: Column) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda x: F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))), " ")
+    """The anchors as hash@position, the hash in hexadecimal."""
+    return F.array_join(F.transform(fingerprint, lambda x: F.concat(F.lower(F.hex(_hash(x).bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit("@"), _pos(x).cast("string"))), " ")
 
 
 def with_next(docs: DataFrame, key: str, version: str, carried: list[str], buckets: int) -> DataFrame:
@@ -100,9 +155,24 @@ def fingerprint_documents(docs: DataFrame, size: int = 128, buckets: int | None
     """
     if buckets is None:
         buckets = min(4096, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    own = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"v": F.xxhash64("text"), "fp": sketch(F.col("text"), size)})
+    own = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    own = own.withColumns({"v": F.xxhash64("text"), "n": F.length("text"), "cut": F.floor(F.length("text") / 3).cast("int")})
+    first = F.substring("text", F.lit(1), F.col("n") - F.col("cut")).cast("binary")
+
+    def two(data: Column) -> Column:
+        """The sketches of the text and of its first part."""
+        inside = lambda a: F.filter(a, lambda x: _pos(x) + K <= F.octet_length(first))
+        return let(anchors(data), lambda a: F.struct(_whole(data, bottom(a, size)).alias("fp"), bottom(inside(a), size).alias("part")))
+
+    own = own.withColumn("s", let(F.col("text").cast("binary"), two)).select("doc_id", "text", "v", "n", "cut", "s.fp", "s.part")
     led = with_next(own, "doc_id", "v", ["text", "fp"], buckets)
-    n, cut = F.length("text"), F.floor(F.length("text") / 3).cast("int")
-    edited = led.withColumns({"n_chars": n.cast("long"), "edited": F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))}).drop("text", "next_text", "v")
-    both = edited.withColumn("efp", sketch(F.col("edited"), size))
-    return both.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("efp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp"), size).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp"), size).alias("near_next"))
+    pieces = led.withColumns({"first": first, "rest": F.substring("next_text", F.lit(1), F.col("cut")).cast("binary")}).drop("text", "next_text", "v")
+
+    def edited(data: Column) -> Column:
+        """The edited text's sketch: that of its first part, and the anchors from its last K - 1 bytes on."""
+        begin = F.greatest(F.octet_length(F.col("first")) - (K - 1), F.lit(0))
+        late = F.transform(anchors(F.substring(data, begin + 1, F.octet_length(data))), lambda x: x + begin)
+        return _whole(data, bottom(F.concat("part", late), size))
+
+    both = pieces.withColumn("data", F.concat("first", "rest")).drop("rest").withColumn("efp", let(F.col("data"), edited))
+    return both.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("data", 256).alias("edited_sha256"), as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("efp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp"), size).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp"), size).alias("near_next"))
