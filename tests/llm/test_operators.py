@@ -146,7 +146,7 @@ def test_bitmaps_rebuild_the_text(docs):
 
 def test_fingerprints(docs, nothing, odd, spark):
     """All columns equal those of a plain version."""
-    text = lambda fp: " ".join(f"{h & 0xFFFFFFFF:x}@{i}" for h, i in fp)
+    text = lambda fp: " ".join(f"{(h << 32 | i) & 2**64 - 1:x}" for h, i in fp)
     for df in (docs, odd.where("doc_id IS NOT NULL AND (text IS NULL OR length(text) < 2000)").dropDuplicates(["doc_id"])):
         out = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(df, buckets=9).collect()}
         rows = sorted(((d, t or "") for d, t in pairs(df)), reverse=True)

@@ -84,7 +84,7 @@ def bottom(found: Column, size: int) -> Column:
 
 def _whole(data: Column, found: Column) -> Column:
     """found, or the one anchor of a text that has none."""
-    return F.when((F.size(found) == 0) & (F.octet_length(data) > 0), F.array(_pack(F.xxhash64(data), F.lit(0)))).otherwise(found)
+    return let(found, lambda f: F.when((F.size(f) == 0) & (F.octet_length(data) > 0), F.array(_pack(F.xxhash64(data), F.lit(0)))).otherwise(f))
 
 
 def sketch(text: Column, size: int = 128) -> Column:
@@ -114,8 +114,8 @@ def likeness(a: Column, b: Column, size: int = 128) -> Column:
 
 
 def as_text(fingerprint: Column) -> Column:
-    """The anchors as hash@position, the hash in hexadecimal."""
-    return F.array_join(F.transform(fingerprint, lambda x: F.concat(F.lower(F.hex(_hash(x).bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit("@"), _pos(x).cast("string"))), " ")
+    """The packed anchors in hexadecimal: the last eight digits are the position, those before them the hash."""
+    return F.lower(F.array_join(F.transform(fingerprint, F.hex), " "))
 
 
 def with_next(docs: DataFrame, key: str, version: str, carried: list[str], buckets: int) -> DataFrame:
@@ -158,21 +158,23 @@ def fingerprint_documents(docs: DataFrame, size: int = 128, buckets: int | None
     own = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumns({"v": F.xxhash64("text"), "n": F.length("text"), "cut": F.floor(F.length("text") / 3).cast("int")})
     first = F.substring("text", F.lit(1), F.col("n") - F.col("cut")).cast("binary")
+    own = own.withColumn("end", F.octet_length(first))
 
     def two(data: Column) -> Column:
         """The sketches of the text and of its first part."""
-        inside = lambda a: F.filter(a, lambda x: _pos(x) + K <= F.octet_length(first))
-        return let(anchors(data), lambda a: F.struct(_whole(data, bottom(a, size)).alias("fp"), bottom(inside(a), size).alias("part")))
+        inside = lambda a: F.filter(a, lambda x: _pos(x) + K <= F.col("end"))
+        return let(anchors(data), lambda a: F.array(_whole(data, bottom(a, size)), bottom(inside(a), size)))
 
-    own = own.withColumn("s", let(F.col("text").cast("binary"), two)).select("doc_id", "text", "v", "n", "cut", "s.fp", "s.part")
-    led = with_next(own, "doc_id", "v", ["text", "fp"], buckets)
-    pieces = led.withColumns({"first": first, "rest": F.substring("next_text", F.lit(1), F.col("cut")).cast("binary")}).drop("text", "next_text", "v")
+    # An array, not a struct: Spark would compute each field of a struct by itself, before the shuffle.
+    own = own.withColumn("sketches", let(F.col("text").cast("binary"), two))
+    led = with_next(own, "doc_id", "v", ["text", "sketches"], buckets)
+    pieces = led.withColumns({"begin": F.greatest(F.col("end") - (K - 1), F.lit(0)), "first": first, "rest": F.substring("next_text", F.lit(1), F.col("cut")).cast("binary")}).drop("text", "next_text", "v")
 
     def edited(data: Column) -> Column:
         """The edited text's sketch: that of its first part, and the anchors from its last K - 1 bytes on."""
-        begin = F.greatest(F.octet_length(F.col("first")) - (K - 1), F.lit(0))
-        late = F.transform(anchors(F.substring(data, begin + 1, F.octet_length(data))), lambda x: x + begin)
-        return _whole(data, bottom(F.concat("part", late), size))
+        late = F.transform(anchors(F.substring(data, F.col("begin") + 1, F.octet_length(data))), lambda x: x + F.col("begin"))
+        return _whole(data, bottom(F.concat(F.get("sketches", F.lit(1)), late), size))
 
-    both = pieces.withColumn("data", F.concat("first", "rest")).drop("rest").withColumn("efp", let(F.col("data"), edited))
+    pieces = pieces.withColumn("data", F.concat("first", "rest"))
+    both = pieces.withColumns({"fp": F.get("sketches", F.lit(0)), "next_fp": F.get("next_sketches", F.lit(0)), "efp": let(F.col("data"), edited)})
     return both.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("data", 256).alias("edited_sha256"), as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("efp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp"), size).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp"), size).alias("near_next"))
