@@ -2,10 +2,14 @@
 
 import hashlib
 import math
+import re
+import zlib
 from collections import Counter
 
 import xxhash
 
+from tidewater.llm import toxicity as toxic
+
 LATE = 2**63 - 2
 
 
@@ -113,6 +117,46 @@ def edits(item, text):
     return min(row)
 
 
+def lexicon(rows, known, held_out=0, min_share=0.02, min_lift=20.0):
+    """(weights, exceptions) by counting texts; near copies count once."""
+    chosen = {}
+    for d, t in rows:
+        if d in known and zlib.crc32(str(d).encode()) % 5 != held_out:
+            w = (t or "").split()
+            key = min((xxhash.xxh64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0), known[d]
+            chosen[key] = min(chosen.get(key, t or ""), t or "")
+    texts = [(t, y) for (_, y), t in chosen.items()]
+    n = Counter(y for _, y in texts)
+    found = [(re.findall(r"[^\W\d_]+", toxic.fold(t)), y) for t, y in texts]
+    forms = lambda w: {w} | {f"{w[:k]}*" for k in (4, 5, 6) if len(w) > k}
+    terms = Counter((x, y) for words, y in found for x in {x for w in words for x in forms(w)})
+    weights = {}
+    for x in {x for x, _ in terms}:
+        pos, neg = terms[x, 1], terms[x, 0]
+        if pos >= max(3, min_share * n[1]) and pos / n[1] >= min_lift * neg / n[0]:
+            weights[x] = math.log((pos + 0.5) / (n[1] + 1)) - math.log((neg + 0.5) / (n[0] + 1))
+    two = Counter((f"{a} {b}", y) for words, y in found for a, b in set(zip(words, words[1:])) if forms(a) & weights.keys() or forms(b) & weights.keys())
+    return weights, {x for x, _ in two if two[x, 0] >= 5 and two[x, 1] / n[1] <= two[x, 0] / n[0]}
+
+
+def toxicity(text, lexicon):
+    """The score by looking up every word and its beginnings."""
+    words = re.findall(r"[^\W\d_]+", toxic.fold(text))
+    total = 0.0
+    for before, w, after in zip(["", *words], words, [*words[1:], ""]):
+        if f"{before} {w}" not in lexicon.exceptions and f"{w} {after}" not in lexicon.exceptions:
+            total += max(lexicon.weights.get(w, 0.0), *(lexicon.weights.get(f"{w[:k]}*", 0.0) if len(w) >= k else 0.0 for k in (4, 5, 6)))
+    a, b, c = lexicon.curve
+    x = a + b * total / math.sqrt(max(1, len(text.split()))) + c * (total > 0)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+
+
+def trigrams(text):
+    """Counts of hashed byte trigrams; all but letters and bytes over 127 is one space."""
+    b = re.sub(rb"[^a-z\x80-\xff]+", b" ", f" {text.lower()} ".encode())
+    return Counter(((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 % 2**32) >> 20 for i in range(len(b) - 2))
+
+
 def fingerprint(data, k=20, s=8, size=128):
     """[(32-bit hash, first position)] of the closed syncmers with the smallest hashes."""
     h = lambda b: (xxhash.xxh64_intdigest(b, 42) + 2**63) % 2**64 - 2**63

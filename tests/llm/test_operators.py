@@ -2,11 +2,13 @@
 
 import hashlib
 import html
+import math
 import random
 import re
 import time
 import tracemalloc
 import zlib
+from collections import Counter
 
 import brute
 import public_tokenizers
@@ -15,7 +17,7 @@ from brute import ordered, pairs
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewater.llm import bpe, decontaminate, fingerprints, html_extract, language_id, line_dedup, lm_score, ngram_join, suffix_dedup, toxicity
+from tidewater.llm import bpe, common, decontaminate, fingerprints, html_extract, language_id, line_dedup, lm_score, ngram_join, suffix_dedup, toxicity
 from tidewater.llm.common import let, shared_folder
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -275,6 +277,21 @@ def test_join_odd(odd, nothing, docs):
     assert ngram_join.component_ids(nothing).count() == 0
 
 
+def test_joins_beyond_the_broadcast_bound(odd, docs, benchmark, monkeypatch):
+    """What is broadcast while small is shuffled beyond the bound, with the same result."""
+    monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", 0)
+    assert ordered(ngram_join.component_ids(docs).collect()) == ordered(brute.components(pairs(docs)))
+    assert {r["doc_id"] for r in ngram_join.keep_one(docs, 5, 80).collect()} == {c for _, _, c in brute.components(pairs(docs), 5, 80)}
+    hits = {r["doc_id"] for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert {r["doc_id"] for r in decontaminate.clean(docs, benchmark).collect()} == {d for d, _ in pairs(docs)} - hits
+    assert ngram_join.keep_one(odd).columns == odd.columns and decontaminate.clean(odd, benchmark).columns == odd.columns
+
+
+def test_long_chains_are_one_component(spark):
+    links = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r["component"] for r in ngram_join.components(links).collect()} == {0}
+
+
 def test_keep_one(odd, docs):
     kept = ngram_join.keep_one(docs, 5, 80)
     expected = {c for _, _, c in brute.components(pairs(docs), 5, 80)}
@@ -297,6 +314,25 @@ def test_toxicity(docs, labels, odd, nothing):
     assert max(r["score"] for r in toxicity.toxicity_scores(docs, labels.limit(0)).collect()) < 1e-9
 
 
+def test_toxicity_is_that_of_a_plain_version(docs, labels, odd):
+    """Counting, weights, exceptions and scores by loops over words, without an automaton."""
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None}
+    lexicon = toxicity.learn(docs, labels)
+    weights, exceptions = brute.lexicon(pairs(docs), known)
+    assert lexicon.weights == pytest.approx(weights) and lexicon.exceptions == exceptions and weights
+    for df in (docs, odd):
+        got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["score"]) for r in toxicity.toxicity_scores(df, labels if df is docs else labels.limit(0)).collect())
+        want = sorted((d is None, d or 0, brute.toxicity(t or "", lexicon if df is docs else toxicity.Lexicon(curve=(-30.0, 0.0, 0.0)))) for d, t in pairs(df))
+        assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
+
+
+def test_exceptions_reach_long_neighbours():
+    long = "x" * 500
+    lexicon = toxicity.Lexicon({"trash": 5.0}, frozenset({f"{long} trash", f"trash {long}"}), 0.1, (-3.0, 1.0, 6.0))
+    hit = lambda t: toxicity.features(t, lexicon, lexicon.automaton())[1]
+    assert not hit(f"{long} ... 99 ... trash") and not hit(f"trash, {'-' * 300} {long}") and hit("x" * 499 + " trash")
+
+
 def test_lexicon_and_exceptions():
     lexicon = toxicity.Lexicon({"trash": 5.0}, frozenset({"trash can"}), 0.1, (-3.0, 1.0, 6.0))
     a = lexicon.automaton()
@@ -348,6 +384,29 @@ def test_language(docs, odd, nothing):
     assert {r["lang_pred"] for r in language_id.language_ids(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_is_the_nearest_centroid(docs):
+    """Document frequencies, vectors, cosines and rejection by plain loops."""
+    import numpy as np
+
+    model = language_id.learn(docs)
+    learned = [t for d, t, lang in ((r["doc_id"], r["text"], r["lang"]) for r in docs.collect()) if lang and t is not None and zlib.crc32(str(d).encode()) % 4 != 2]
+    seen = Counter(x for t in learned for x in brute.trigrams(t))
+    assert model.idf == pytest.approx([math.log((1 + len(learned)) / (1 + seen[i])) + 1 for i in range(language_id.DIMENSIONS)], rel=1e-5)
+    rows = {r["doc_id"]: r for r in language_id.language_ids(docs).collect()}
+    rejected = 0
+    for d, t in pairs(docs):
+        v = {i: math.log1p(n) * model.idf[i] for i, n in brute.trigrams(t).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        near = [sum(x * c[i] for i, x in v.items()) / norm for c in model.centroids]
+        best = int(np.argmax(near))
+        assert rows[d]["lang_pred"] == model.langs[best] and rows[d]["score"] == pytest.approx(near[best], rel=1e-4)
+        assert rows[d]["rejected"] == (near[best] < model.radius[best]) or near[best] == pytest.approx(model.radius[best], rel=1e-4)
+        rejected += rows[d]["rejected"]
+    assert 0 < rejected < len(rows) / 4
+    far = list(language_id.predict(["zzqx wvkk jjzq xqqz " * 20], model))
+    assert far[0][2]
+
+
 # 9 LM
 
 
@@ -459,6 +518,25 @@ def test_contamination(docs, benchmark, odd, nothing, spark):
     assert decontaminate.contaminated(odd, strange).count() >= 0
 
 
+def test_near_copies_of_items(spark):
+    """All and only the pairs within the edit budget, by edit distances of all pairs; edits of each kind, at the ends and in the middle."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, text(14)) for i in range(4)]
+    rows = []
+    for d in range(36):
+        near = list(items[d % 4][1])
+        for _ in range(r.randint(0, 11)):
+            at = r.randrange(len(near))
+            near[at : at + r.randint(0, 1)] = r.choice(["", "x", "yz"])
+        rows.append((d, f"{text(r.randint(0, 20))} {''.join(near)} {text(r.randint(0, 20))}"))
+    folded = {i: decontaminate.folded(t) for i, t in items}
+    want = {(d, i) for d, t in rows for i, x in folded.items() if brute.edits(x, decontaminate.folded(t)) <= len(x) // 10}
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x["doc_id"], x["item_id"]) for x in got.collect()} == want and 8 < len(want) < 36
+
+
 def test_short_items_as_whole_words(spark):
     items = spark.createDataFrame([(1, "Who wrote  Hamlet?"), (2, "a cat"), (3, "mat"), (4, "?!"), (5, None), (6, "a cat")], "item_id long, text string")
     docs = spark.createDataFrame([(10, "Q: who wrote Hamlet, and when"), (11, "a cation on a mat"), (12, "a cat"), (13, "who wrote it"), (14, None)], "doc_id long, text string")

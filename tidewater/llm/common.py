@@ -51,15 +51,15 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def bounded(df: DataFrame, limit: int) -> tuple[DataFrame, bool]:
-    """df written once, and whether it has at most limit rows, so that it may be broadcast."""
+def bounded(df: DataFrame, limit: int | None = None) -> tuple[DataFrame, bool]:
+    """df written once, and whether it has at most limit (else MAX_BROADCAST_ROWS) rows, so that it may be broadcast."""
     kept = materialize(df, "keys")
-    return kept, kept.count() <= limit
+    return kept, kept.count() <= (MAX_BROADCAST_ROWS if limit is None else limit)
 
 
-def restrict(docs: DataFrame, ids: DataFrame, how: str, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def restrict(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """docs with (left_semi) or without (left_anti) the ids; the ids are broadcast only if they are few enough, else both sides are shuffled."""
-    kept, small = bounded(ids, limit)
+    kept, small = bounded(ids)
     return docs.join(F.broadcast(kept) if small else kept, ids.columns, how)
 
 

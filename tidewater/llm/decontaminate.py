@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, restrict
+from .common import free_name, map_rows, restrict
 
 Q = 8
 ERROR_RATE = 0.1
@@ -187,6 +187,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without those that hold a benchmark item; all columns kept. Only the ids of the others are joined."""
-    keyed = docs.withColumn("__leak_row", F.xxhash64("doc_id", "text"))
-    hits = contaminated(keyed.select(F.col("__leak_row").alias("doc_id"), "text"), benchmark, rate, block_bytes=block_bytes)
-    return restrict(keyed, hits.select(F.col("doc_id").alias("__leak_row")).distinct(), "left_anti").drop("__leak_row")
+    key = free_name(docs, "__leak_row")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    hits = contaminated(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark, rate, block_bytes=block_bytes)
+    return restrict(keyed, hits.select(F.col("doc_id").alias(key)).distinct(), "left_anti").drop(key)

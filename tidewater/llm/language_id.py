@@ -4,8 +4,9 @@ A text's vector holds its hashed byte trigrams, sublinear counts times inverse
 document frequency, of length one. Document frequencies come from every learning
 row; each language's few centroids come from spherical k-means over a bounded
 sample of its rows, fitted on executors, one group a language. A text gets the
-language of the centroid with the largest cosine; below `min_cosine` the operator
-marks it rejected.
+language of the centroid with the largest cosine, and is rejected if it is further
+from that centroid than all but REJECT of the sampled texts that the centroid is
+made of.
 
 Defined results: null text and text without a letter are `und` with score 0; a
 null lang or doc_id is not learned from; repeated rows are learned from and
@@ -18,19 +19,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_remainder, map_rows
 
 DIMENSIONS = 4096
-#: Rows of a language that its centroids may be fitted on: those with the smallest hashes.
+#: Rows of a language that its centroids are fitted on, about (a binomial number): those whose id's hash is below the share that this is of its rows.
 SAMPLE_ROWS = 1_000
 CENTROIDS = 4
-MAX_LANGUAGES = 500
+#: The share of a centroid's own texts that are further away than its radius.
+REJECT = 0.01
 LETTER = re.compile(r"[^\W\d_]")
 
 #: Letters and bytes over 127 stand for themselves, all else for a space.
@@ -67,8 +70,16 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
-def learn(docs: DataFrame, folds: int = 4, held_out: int = 2, sample_rows: int = SAMPLE_ROWS, k: int = CENTROIDS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(language of each centroid, centroids, idf)."""
+class Model(NamedTuple):
+    #: Of each centroid: its language, the vector, the least cosine of its own texts.
+    langs: list[str]
+    centroids: np.ndarray
+    radius: np.ndarray
+    idf: np.ndarray
+
+
+def learn(docs: DataFrame, folds: int = 4, held_out: int = 2, sample_rows: int = SAMPLE_ROWS, k: int = CENTROIDS) -> Model:
+    """Fits the centroids; only document frequencies and centroids reach the driver."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (fold_remainder(F.col("doc_id"), folds) != held_out))
 
     def presence(batches):
@@ -82,40 +93,42 @@ def learn(docs: DataFrame, folds: int = 4, held_out: int = 2, sample_rows: int =
     found = {r["dimension"]: r["n"] for r in map_rows(rows.select("text"), presence, "dimension int, n long").groupBy("dimension").agg(F.sum("n").alias("n")).collect()}
     n = found.get(-1, 0)
     idf = np.log((1.0 + n) / (1.0 + np.array([found.get(i, 0) for i in range(DIMENSIONS)]))).astype(np.float32) + 1
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample_rows).select("doc_id", "lang")
-    sample = rows.join(F.broadcast(chosen.limit(sample_rows * MAX_LANGUAGES)), ["doc_id", "lang"])
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_lang"))  # a row a language
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    sample = rows.join(F.broadcast(sizes), "lang").where(draw * F.col("n_lang") < sample_rows).select("doc_id", "lang", "text")
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.array([vector(t, idf) for t in group.sort_values("doc_id")["text"]])
-        c = cluster(x, k)
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [v.astype(np.float32).tobytes() for v in c]})
+        x = np.array([vector(t, idf) for t in group.sort_values(["doc_id", "text"])["text"]])
+        c = cluster(x, k).astype(np.float32)
+        near = x @ c.T
+        own = np.argmax(near, 1)
+        radius = [float(np.quantile(near[own == i, i], REJECT)) if (own == i).any() else 1.0 for i in range(len(c))]
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [v.tobytes() for v in c], "radius": radius})
 
-    fitted = sorted((r["lang"], bytes(r["centroid"])) for r in sample.groupBy("lang").applyInPandas(fit, "lang string, centroid binary").collect())
-    centroids = np.array([np.frombuffer(c, np.float32) for _, c in fitted]).reshape(-1, DIMENSIONS)
-    return [lang for lang, _ in fitted], centroids, idf
+    fitted = sorted((r["lang"], bytes(r["centroid"]), r["radius"]) for r in sample.groupBy("lang").applyInPandas(fit, "lang string, centroid binary, radius double").collect())
+    centroids = np.array([np.frombuffer(c, np.float32) for _, c, _ in fitted]).reshape(-1, DIMENSIONS)
+    return Model([lang for lang, _, _ in fitted], centroids, np.array([r for _, _, r in fitted]), idf)
 
 
-def predict(texts: Iterable[str | None], model: tuple[list[str], np.ndarray, np.ndarray]) -> Iterator[tuple[str, float]]:
-    """(language, cosine mapped to 0..1) of each text."""
-    langs, centroids, idf = model
+def predict(texts: Iterable[str | None], model: Model) -> Iterator[tuple[str, float, bool]]:
+    """(language, cosine in 0..1, whether it is rejected) of each text."""
     for t in texts:
-        if not t or not langs or not LETTER.search(t):
-            yield "und", 0.0
+        if not t or not model.langs or not LETTER.search(t):
+            yield "und", 0.0, True
             continue
-        near = centroids @ vector(t, idf)
+        near = model.centroids @ vector(t, model.idf)
         best = int(np.argmax(near))
-        yield langs[best], float(min(1.0, max(0.0, near[best])))
+        yield model.langs[best], float(min(1.0, max(0.0, near[best]))), bool(near[best] < model.radius[best])
 
 
-def language_ids(docs: DataFrame, min_cosine: float = 0.05, folds: int = 4, held_out: int = 2) -> DataFrame:
+def language_ids(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score, rejected."""
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, folds, held_out))  # MAX_LANGUAGES * CENTROIDS vectors at most
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, folds, held_out))  # CENTROIDS vectors a language
 
     def work(batches):
         for b in batches:
             found = list(predict(b["text"], model.value))
-            yield {"doc_id": b["doc_id"], "lang_pred": [x for x, _ in found], "score": [s for _, s in found], "rejected": [s < min_cosine for _, s in found]}
+            yield {"doc_id": b["doc_id"], "lang_pred": [x for x, _, _ in found], "score": [s for _, s, _ in found], "rejected": [r for _, _, r in found]}
 
     out = map_rows(docs.select("doc_id", "text"), work, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double, rejected boolean")
     return out.select("doc_id", (fold_remainder(F.col("doc_id"), folds) == held_out).alias("held_out"), "lang_pred", "score", "rejected")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, map_rows, materialize, restrict
+from .common import bounded, free_name, map_rows, materialize, restrict
 
 SHARE = 3
 MAX_COMMON = 1_000_000
@@ -179,11 +179,11 @@ def _verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFram
     return materialize(both.where(k * 100 >= (F.size("x") + F.size("y") - k) * percent).select("a", "b").distinct(), "links")
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component), the smallest node of each component, by alternating large and small stars until nothing changes."""
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -212,8 +212,8 @@ def _shared_tokens(kept: DataFrame) -> DataFrame:
     """(token, rid, size, own, first): kept tokens of at least two sets; first is the holder with the most common tokens."""
     rows = kept.select("rid", "size", "own", F.explode("tokens").alias("token"))
     held = rows.groupBy("token").agg(F.min(F.struct("own", "rid"))["rid"].alias("first"), F.min("rid").alias("low"), F.max("rid").alias("high")).where("low < high").select("token", "first")
-    held = materialize(held, "held")
-    if held.count() <= MAX_BROADCAST_ROWS:
+    held, few_held = bounded(held)
+    if few_held:
         few = kept.sparkSession.sparkContext.broadcast(np.sort(np.asarray(held.select("token").toArrow()["token"])))
 
         def matching(batches):
@@ -307,8 +307,9 @@ def component_ids(docs: DataFrame) -> DataFrame:
     return jaccard_join(docs).select("doc_id", "n_shingles", "component_id")
 
 
-def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "__join_rid") -> DataFrame:
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs, all columns kept, with one document of each component: its smallest (doc_id, rid). Texts without words stay."""
+    key = free_name(docs, "__join_rid")
     found = jaccard_join(docs.select("doc_id", "text"), n, percent).where("n_shingles > 0").select("component", "rid", F.col("doc_id").alias("doc"))
     found = materialize(found, "components")
     keepers = found.groupBy("component").agg(F.min(F.struct(F.coalesce("doc", F.lit(2**63 - 1)), "rid"))["rid"].alias("keeper"))

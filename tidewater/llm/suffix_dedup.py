@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, bounded, map_rows, materialize
+from .common import bounded, map_rows, materialize
 
 LENGTH = 50
 K = 24
@@ -161,7 +161,7 @@ Finder = Callable[[np.ndarray], np.ndarray]
 class Keys:
     """Groups' keys for a pass over documents: one broadcast lookup while they are few, else each document's own, joined to it."""
 
-    def __init__(self, groups: DataFrame, limit: int):
+    def __init__(self, groups: DataFrame, limit: int | None):
         self.groups, self.few = bounded(groups, limit)
         if self.few:
             rows = self.groups.orderBy("h").toArrow()
@@ -211,7 +211,7 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(h).view(np.int64)
 
 
-def repeat_groups(docs: DataFrame, length: int = LENGTH, limit: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, dict[str, Keys]]:
+def repeat_groups(docs: DataFrame, length: int = LENGTH, limit: int | None = None) -> tuple[DataFrame, dict[str, Keys]]:
     """For rows (doc, version, text): docs with key columns; the keys of shared anchors, repeated contexts, mixed anchors, and strings at edges."""
     def own_anchors(chunk, _):
         h, a, _ = chunk.runs(length)
@@ -269,7 +269,7 @@ def covered(chunk: Chunk, shared: Finder, repeated: Finder, mixed: Finder, ends:
     return np.cumsum(cover[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, limit: int | None = None) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept (binary)."""
     kind = dict(docs.dtypes)["doc_id"]
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST - 1)).alias("doc"))
@@ -306,6 +306,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, limit: int = MAX_BROAD
     return kept.unionByName(copied)
 
 
-def repeats_digest(docs: DataFrame, length: int = LENGTH, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def repeats_digest(docs: DataFrame, length: int = LENGTH, limit: int | None = None) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return remove_repeats(docs, length, limit).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -40,7 +40,6 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 
 #: Rows that the lexicon may be learned from: the labelled rows with the smallest hashes.
 SAMPLE_ROWS = 20_000
-MAX_TERMS = 2_000
 STEMS = (4, 5, 6)
 INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
 FOLDED = str.maketrans(HOMOGLYPHS | SUBSTITUTES)
@@ -81,6 +80,15 @@ class Lexicon:
         return found
 
 
+def _word_before(folded: str, start: int) -> str:
+    while start and not folded[start - 1].isalpha():
+        start -= 1
+    end = start
+    while start and folded[start - 1].isalpha():
+        start -= 1
+    return folded[start:end]
+
+
 def features(text: str, lexicon: Lexicon, automaton) -> tuple[float, float]:
     """The hits' weight over the square root of the words, and whether there is a hit."""
     folded = fold(text)
@@ -94,10 +102,9 @@ def features(text: str, lexicon: Lexicon, automaton) -> tuple[float, float]:
         if weight <= hits.get(start, 0.0):
             continue
         if lexicon.exceptions:
-            before = LETTERS.findall(folded[max(0, start - 40) : start])[-1:]
             own = LETTERS.match(folded, start)[0]
-            after = LETTERS.findall(folded[start + len(own) : start + len(own) + 40])[:1]
-            if (before and f"{before[0]} {own}" in lexicon.exceptions) or (after and f"{own} {after[0]}" in lexicon.exceptions):
+            after = LETTERS.search(folded, start + len(own))
+            if f"{_word_before(folded, start)} {own}" in lexicon.exceptions or after and f"{own} {after[0]}" in lexicon.exceptions:
                 continue
         hits[start] = weight
     total = sum(hits.values())
@@ -127,7 +134,7 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: frozenset[str] = froze
     """A lexicon from labelled rows outside the held-out fold.
 
     A term enters if at least min_share of the toxic sample holds it and it is min_lift times likelier there. Near copies (equal
-    smallest three-word hash) count once for each label, so that a copied document cannot bring in its own words.
+    smallest three-word hash) count once for each label, by their smallest text, so that a copied document cannot bring in its own words.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold_remainder(F.col("doc_id"), folds) != held_out))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
@@ -143,7 +150,7 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: frozenset[str] = froze
             yield out
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    once = materialize(map_rows(rows.select("text", "toxic"), terms, "sketch long, toxic int, text string").dropDuplicates(["sketch", "toxic"]), "toxicity")
+    once = materialize(map_rows(rows.select("text", "toxic"), terms, "sketch long, toxic int, text string").groupBy("sketch", "toxic").agg(F.min("text").alias("text")), "toxicity")
     totals = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
@@ -164,11 +171,11 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: frozenset[str] = froze
 
     odds = F.log((F.col("pos") + 0.5) / (toxic + 1.0)) - F.log((F.col("neg") + 0.5) / (clean + 1.0))
     listed = counted(_terms).where((F.col("pos") >= max(3, min_share * toxic)) & (F.col("pos") / float(toxic) >= min_lift * F.col("neg") / float(clean)))
-    weights = {r["term"]: r["w"] for r in listed.select("term", odds.alias("w")).orderBy(F.desc("w"), "term").limit(MAX_TERMS).collect()}
+    weights = {r["term"]: r["w"] for r in listed.select("term", odds.alias("w")).collect()}  # terms that min_share of at most sample_rows texts hold
     known = lambda w: any(t in weights for t in _terms([w]))
     beside = lambda words: {f"{a} {c}" for a, c in zip(words, words[1:]) if known(a) or known(c)}
     mild = counted(beside).where((F.col("neg") >= 5) & (F.col("pos") / float(toxic) <= F.col("neg") / float(clean)))
-    phrases = frozenset(r["term"] for r in mild.select("term").orderBy("term").limit(MAX_TERMS).collect()) if weights else frozenset()
+    phrases = frozenset(r["term"] for r in mild.select("term").collect()) if weights else frozenset()
     lexicon = Lexicon(weights, exceptions | phrases, toxic / (toxic + clean))
 
     def measured(batches):
