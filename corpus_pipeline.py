@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
-from tidewater.llm.common import materialize, table
+from tidewater.llm.common import free_name, materialize, table
 
 #: Not expressible in SQL (learned lexicon, edit distances, BPE): tested against brute force instead.
 ORACLE_SQL = None
@@ -21,14 +21,14 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under 0.5."""
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    rated = toxicity.score(docs, lexicon, column="__toxicity")
-    return rated.where(F.col("__toxicity") < 0.5).drop("__toxicity")
+    score = free_name(docs, "__toxicity")
+    return toxicity.score(docs, lexicon, column=score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand in at least five of them, but in the last; n_chars follows."""
-    own = line_dedup.OWN
-    out = line_dedup.dedup_lines(docs)
+    own = free_name(docs, line_dedup.OWN)
+    out = line_dedup.dedup_lines(docs, own=own)
     changed = F.col(f"{own}dropped") > 0
     new = {"text": F.when(changed, F.col(f"{own}kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
