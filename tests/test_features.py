@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.features import FEATURES, all_features
 from tidewater.functions.registry import Feature, FeatureSet, Registry, attach
-from tidewater.operators.windows import DAY, HOUR, presence_counts, prior_count, sliced_prior, timed
+from tidewater.operators.windows import DAY, HOUR, presence_counts, prior_count, prior_rate, sliced_prior, timed
 from tidewater.sources.clicks import apply_split, split_predicate, with_row_id
 
 BASE = datetime(2024, 1, 2)
@@ -70,8 +70,10 @@ def test_three_ways_agree(spark, seed):
     for name, span in (("h_n", HOUR), ("d_n", DAY), ("a_n", None)):
         assert [n for (n,) in values(sliced, name)] == brute(own, ["app"], span)
     assert [n for (n,) in values(presence_counts(df, "app", {"n": "ip"}), "n")] == brute(own, ["app"], DAY, "ip")
-    a, b = all_features(df), all_features(df, slice_apps=False)
-    assert values(a, *FEATURES) == values(b, *FEATURES)
+    assert [n for (n,) in values(presence_counts(df, "app", {"n": "ip"}, slice_us=2 * HOUR), "n")] == brute(own, ["app"], DAY, "ip")
+    out = values(all_features(df), "f3_app_conversion_rate_24hr", "f3_app_conversion_rate_alltime", "f3_app_clicks_alltime", "f3_app_distinct_ips_24hr")
+    plain = timed(df).withColumns({"a": prior_rate(F.col("is_attributed"), ["app"], DAY), "b": prior_rate(F.col("is_attributed"), ["app"], None), "c": prior_count(["app"], None)})
+    assert [r[:3] for r in out] == values(plain, "a", "b", "c") and [r[3] for r in out] == brute(own, ["app"], DAY, "ip")
 
 
 @pytest.mark.parametrize("rows", [[], [(1, 1, 0, 0, 1)]])
@@ -120,3 +122,23 @@ def test_feature_sets(spark):
     for sql in ("SELECT row_id, 1 AS v FROM {s}", "SELECT row_id, 1 AS value FROM {s} WHERE row_id > 1", "SELECT row_id + 5 AS row_id, 1 AS value FROM {s}"):
         with pytest.raises(ValueError):
             attach(df, spark.sql(sql, s=df), "x", "int")
+
+
+def test_row_ids_of_equal_rows(spark):
+    df = clicks(spark, [(1, 1, 1, 0, 0)] * 30).drop("row_id")
+    assert sorted(r["row_id"] for r in with_row_id(df).collect()) == list(range(1, 31))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_exact_quantiles(spark, seed):
+    """Ties, gaps, nulls and few values; against numpy's interpolation."""
+    import numpy as np
+
+    from tidewater.operators.quantiles import exact_quantiles
+
+    r = random.Random(seed)
+    rows = [r.choice([0.0, 1.0, r.random(), r.gauss(0, 1000)]) for _ in range([5000, 7, 1][seed])]
+    shares = [0.0, 0.01, 0.1, 0.5, 0.77, 0.995, 1.0]
+    df = spark.createDataFrame([(x,) for x in [*rows, None]], "x double").repartition(3)
+    assert exact_quantiles(df, "x", shares) == pytest.approx([float(np.quantile(rows, q)) for q in shares])
+    assert exact_quantiles(df.limit(0), "x", [0.5]) == [None]

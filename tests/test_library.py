@@ -188,3 +188,90 @@ def test_streams_take_files_in_any_order(spark, sf, tmp_path):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+@pytest.fixture(scope="module")
+def signal(spark):
+    """(train, val) where f1 tells the label, f2 a little and f3 nothing."""
+    r = random.Random(6)
+    rows = []
+    for i in range(900):
+        y = int(r.random() < 0.4)
+        rows.append((i, y, r.gauss(2 * y, 1), r.gauss(0.3 * y, 1), r.gauss(0, 1)))
+    df = spark.createDataFrame(rows, "row_id long, is_attributed int, f1_a double, f2_b double, f3_c double").cache()
+    return df.where("row_id < 600"), df.where("row_id >= 600")
+
+
+NAMES = ["f1_a", "f2_b", "f3_c"]
+
+
+def test_linear_model(signal):
+    """The signs of the coefficients, a high area, and contributions that are coefficient times scaled value and add up to the margin."""
+    import numpy as np
+
+    train, val = signal
+    model = models.fit_logreg(train, NAMES)
+    beta, scaler = model.stages[-1].coefficients.toArray(), model.stages[1]
+    assert beta[0] > 1 and beta[0] > beta[1] > abs(beta[2]) - 0.2
+    assert metrics.scalars(models.predict(model, val, NAMES), "x").first()["roc_auc"] > 0.85
+    for r in models.linear_contributions(model, val, NAMES, 3).limit(20).collect():
+        own = {t["feature_name"]: t["shap_contribution"] for t in r["top_features"]}
+        want = beta * (np.array([r[n] for n in NAMES]) - scaler.mean.toArray()) / scaler.std.toArray()
+        assert [own[n] for n in NAMES] == pytest.approx(list(want))
+        assert np.log(r["p"] / (1 - r["p"])) == pytest.approx(want.sum() + model.stages[-1].intercept)
+
+
+def test_tree_models(signal, spark, tmp_path):
+    """Rounds are chosen on val; contributions are margins with a feature at its mean; importance, tuning, ablation, bundles."""
+    train, val = signal
+    model, value = models.fit_trees(train, val, NAMES, rounds=(1, 4), depth=2)
+    each = [models.fit_trees(train, val, NAMES, rounds=(n,), depth=2)[1] for n in (1, 4)]
+    assert value == pytest.approx(max(each)) and value > 0.7
+    part = val.limit(10).cache()
+    found = models.tree_contributions(model, part, NAMES, 3).collect()
+    margin = lambda df: {r["row_id"]: float(r["rawPrediction"][1]) for r in models.predict(model, df, NAMES).collect()}
+    base, means = margin(part), part.agg(*[F.avg(n).alias(n) for n in NAMES]).first()
+    for n in NAMES:
+        at_mean = margin(part.withColumn(n, F.lit(means[n])))
+        for r in found:
+            assert next(t["shap_contribution"] for t in r["top_features"] if t["feature_name"] == n) == pytest.approx(base[r["row_id"]] - at_mean[r["row_id"]])
+    ranked = models.importance(model, NAMES, val.limit(30)).collect()
+    assert ranked[0]["feature"] == "f1_a" and sum(r["gain"] for r in ranked) == pytest.approx(1) and max(ranked, key=lambda r: r["mean_abs"] or 0)["feature"] == "f1_a"
+    tuned = models.tune(train, val, NAMES, {"depth": (1, 2), "step": (0.1,), "rounds": (2,)}, share=0.5).collect()
+    assert len(tuned) == 2 and tuned[0]["pr_auc"] >= tuned[1]["pr_auc"]
+    without = {r["without"]: r["delta"] for r in models.ablation(train, val, 2, NAMES).collect()}
+    assert without["none"] == 0 and without["f1_"] < -0.1 and without["f1_"] == min(without.values())
+    models.save_bundle(model, NAMES, f"file://{tmp_path}/bundle")
+    again, names = models.load_bundle(f"file://{tmp_path}/bundle")
+    assert names == NAMES and margin(part) == {r["row_id"]: float(r["rawPrediction"][1]) for r in models.predict(again, part, names).collect()}
+
+
+def test_reports(signal, spark, tmp_path):
+    train, val = signal
+    scored = models.predict(models.fit_logreg(train, NAMES), val, NAMES).withColumn("p", F.col("p") * 0.5)
+    calibrator = models.fit_calibrator(scored)
+    models.save_knots(calibrator, f"file://{tmp_path}/knots")
+    table = models.load_knots(f"file://{tmp_path}/knots")
+    assert table == [(r["x"], r["y"]) for r in models.knots(calibrator).collect()]
+    report = {r["name"]: r for r in models.final_report(scored, scored, table).collect()}
+    assert report["test_raw"]["pr_auc_gap"] == pytest.approx(0) and report["test_calibrated"]["brier"] < report["test_raw"]["brier"]
+    one, two = (sorted((r["row_id"], r["c"]) for r in df.collect()) for df in (models.with_calibrated(scored, table, "c"), scored.withColumn("c", models.apply_knots(F.col("p"), table))))
+    assert [r[0] for r in one] == [r[0] for r in two] and [r[1] for r in one] == pytest.approx([r[1] for r in two])
+
+
+def test_metric_bundle_as_json(spark, tmp_path):
+    r = random.Random(8)
+    got = metrics.evaluate(scored(spark, [(r.random(), int(r.random() < 0.3)) for _ in range(500)]), "x")
+    metrics.save_json(got, spark, f"file://{tmp_path}/m")
+    import json
+
+    assert json.loads(spark.read.text(f"file://{tmp_path}/m").first()[0]) == got
+
+
+def test_reuse_is_of_the_same_input(spark, sf, tmp_path):
+    clicks, store = from_events(spark, sf), FeatureStore(spark, f"file://{tmp_path}/store")
+    part = clicks.where("row_id <= 300").cache()
+    n = materialize_features(part, store, "v0.1.0", "train", "events")
+    assert materialize_features(part.repartition(5), store, "v0.1.0", "train", "events") == n
+    with pytest.raises(ValueError, match="other input"):
+        materialize_features(part.where("row_id <> 7"), store, "v0.1.0", "train", "events")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.windows import DAY, HOUR, presence_counts, previous_gap, prior_count, prior_rate, prior_stddev, sliced_prior, timed
+from ..operators.windows import DAY, HOUR, SLICE, presence_counts, previous_gap, prior_count, prior_rate, prior_stddev, sliced_prior, timed
+from ..sources.shared import write_once
 
 _LABEL = "is_attributed"
 
@@ -56,15 +57,14 @@ def history() -> dict[str, Column]:
     }
 
 
-def app_history() -> dict[str, Column]:
-    y = F.col(_LABEL)
-    return {
-        "f3_app_conversion_rate_24hr": prior_rate(y, ["app"], DAY),
-        "f3_app_conversion_rate_alltime": prior_rate(y, ["app"], None),
-        "f3_app_clicks_alltime": prior_count(["app"], None).cast("long"),
-    }
+def app_history(df: DataFrame) -> DataFrame:
+    """df with the app features, over time slices: an app is a large part of all rows."""
+    df = sliced_prior(df, "app", F.col(_LABEL), {"day": DAY, "all": None})
+    rate = lambda n: F.when(F.col(f"{n}_n") > 0, F.col(f"{n}_sum") / F.col(f"{n}_n"))
+    return df.withColumns({"f3_app_conversion_rate_24hr": rate("day"), "f3_app_conversion_rate_alltime": rate("all"), "f3_app_clicks_alltime": F.col("all_n").cast("long")})
 
 
+APP = ("f3_app_conversion_rate_24hr", "f3_app_conversion_rate_alltime", "f3_app_clicks_alltime")
 IP_DISTINCT = {"f3_ip_distinct_apps_24hr": "app", "f3_ip_distinct_devices_24hr": "device", "f3_ip_distinct_oses_24hr": "os"}
 APP_DISTINCT = {"f3_app_distinct_ips_24hr": "ip"}
 
@@ -88,8 +88,10 @@ def feature(clicks: DataFrame, name: str) -> DataFrame:
     if name in IP_DISTINCT:
         return presence_counts(clicks, "ip", {name: IP_DISTINCT[name]}).select("row_id", name)
     if name in APP_DISTINCT:
-        return presence_counts(clicks, "app", APP_DISTINCT).select("row_id", name)
-    simple = per_click() | velocity() | history() | app_history()
+        return presence_counts(clicks, "app", APP_DISTINCT, slice_us=SLICE).select("row_id", name)
+    if name in APP:
+        return app_history(clicks).select("row_id", name)
+    simple = per_click() | velocity() | history()
     base = timed(clicks)
     if name in simple:
         return base.select("row_id", simple[name].alias(name))
@@ -97,16 +99,11 @@ def feature(clicks: DataFrame, name: str) -> DataFrame:
     return base.select("row_id", {"f2_burst_score": burst, "f2_ip_click_std_inter_arrival": deviation}[name]().alias(name))
 
 
-def all_features(clicks: DataFrame, slice_apps: bool = True) -> DataFrame:
-    """clicks with all 28 features: one shuffle by ip (ip and (ip, app) windows), then app over time slices, or by app if not slice_apps."""
+def all_features(clicks: DataFrame) -> DataFrame:
+    """clicks with all 28 features: one shuffle by ip (ip and (ip, app) windows), written once, then app over time slices."""
     df = presence_counts(clicks, "ip", IP_DISTINCT)
     df = timed(df).withColumns(velocity() | history())
-    df = df.withColumns({"f2_ip_click_std_inter_arrival": deviation(), "f2_burst_score": burst()} | per_click())
-    if slice_apps:
-        df = sliced_prior(df, "app", F.col(_LABEL), {"day": DAY, "all": None})
-        rate = lambda n: F.when(F.col(f"{n}_n") > 0, F.col(f"{n}_sum") / F.col(f"{n}_n"))
-        df = df.withColumns({"f3_app_conversion_rate_24hr": rate("day"), "f3_app_conversion_rate_alltime": rate("all"), "f3_app_clicks_alltime": F.col("all_n").cast("long")})
-    else:
-        df = df.withColumns(app_history())
-    df = presence_counts(df, "app", APP_DISTINCT)
-    return df.select(*clicks.columns, *[F.col(n).cast(t).alias(n) for n, t in FEATURES.items()])
+    df = write_once(df.withColumns({"f2_ip_click_std_inter_arrival": deviation(), "f2_burst_score": burst()} | per_click()), "ip-features")
+    df = app_history(df)
+    apps = presence_counts(df.select("row_id", "app", "ip", "click_time"), "app", APP_DISTINCT, slice_us=SLICE).select("row_id", *APP_DISTINCT)
+    return df.join(apps, "row_id").select(*clicks.columns, *[F.col(n).cast(t).alias(n) for n, t in FEATURES.items()])

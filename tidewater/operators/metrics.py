@@ -1,31 +1,36 @@
 """Exact metrics of scored rows (y_true 0/1, p in [0, 1]), computed where the rows are.
 
 Curves need running totals over descending scores. Scores are first counted by
-distinct value; running totals are taken within score bands, and the totals of
-higher bands, one row a band, are added. No task holds more than a band.
+distinct value and range-partitioned by score; running totals are taken within
+partitions, and the totals of those above, one row a partition, are added.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BANDS = 1024
+from ..sources.shared import ranged
+from .quantiles import exact_quantiles
+
 #: Fixed diagnostic thresholds of the confusion table.
 THRESHOLDS = (0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
 MAX_POINTS = 2000
 
 
 def cumulative(scored: DataFrame) -> DataFrame:
-    """(p, pos, n, tp, fp, total_pos, total_n): counts at each score, and of all scores from it up."""
-    counted = scored.groupBy("p").agg(F.sum(F.col("y_true").cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")).withColumn("band", F.least(F.floor(F.col("p") * BANDS), F.lit(BANDS - 1)))
-    above = Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)  # at most BANDS rows
-    every = Window.partitionBy()
-    bands = counted.groupBy("band").agg(F.sum("pos").alias("bp"), F.sum("n").alias("bn")).select("band", F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("cp"), F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("cn"), F.sum("bp").over(every).alias("total_pos"), F.sum("bn").over(every).alias("total_n"))
-    own = Window.partitionBy("band").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    run = counted.withColumns({"rp": F.sum("pos").over(own), "rn": F.sum("n").over(own)}).join(F.broadcast(bands), "band")
+    """(p, pos, n, tp, fp, total_pos, total_n, at, total): counts at each score, and of all scores from it up; its place by rising score among all."""
+    counted = ranged(scored.groupBy("p").agg(F.sum(F.col("y_true").cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")), F.desc("p"))
+    above, every = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()  # one row a part
+    parts = counted.groupBy("__part").agg(F.sum("pos").alias("bp"), F.sum("n").alias("bn"), F.count(F.lit(1)).alias("k"))
+    before = lambda c, name: F.coalesce(F.sum(c).over(above), F.lit(0)).alias(name)
+    parts = parts.select("__part", before("bp", "cp"), before("bn", "cn"), before("k", "ck"), F.sum("bp").over(every).alias("total_pos"), F.sum("bn").over(every).alias("total_n"), F.sum("k").over(every).alias("total_k"))
+    own = Window.partitionBy("__part").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    run = counted.withColumns({"rp": F.sum("pos").over(own), "rn": F.sum("n").over(own), "rk": F.row_number().over(own)}).join(F.broadcast(parts), "__part")
     tp, n = F.col("rp") + F.col("cp"), F.col("rn") + F.col("cn")
-    return run.select("p", "pos", "n", tp.alias("tp"), (n - tp).alias("fp"), "total_pos", "total_n")
+    return run.select("p", "pos", "n", tp.alias("tp"), (n - tp).alias("fp"), "total_pos", "total_n", (F.col("total_k") - F.col("rk") - F.col("ck")).alias("at"), F.col("total_k").alias("total"))
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
@@ -51,13 +56,8 @@ def pr_curve(scored: DataFrame, points: int = MAX_POINTS) -> DataFrame:
     """(at, threshold, precision, recall): at most about `points` evenly spaced points by rising threshold, then the anchor without one."""
     c = cumulative(scored)
     precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / F.nullif(F.col("total_pos"), F.lit(0))
-    band = F.least(F.floor(F.col("p") * BANDS), F.lit(BANDS - 1))
-    keyed = c.withColumn("band", band)
-    below = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("k")).select("band", F.coalesce(F.sum("k").over(below), F.lit(0)).alias("before"), F.sum("k").over(Window.partitionBy()).alias("total"))
-    at = F.row_number().over(Window.partitionBy("band").orderBy("p")) - 1 + F.col("before")
     step = F.greatest(F.ceil(F.col("total") / points), F.lit(1))
-    numbered = keyed.join(F.broadcast(sizes), "band").withColumn("at", at)
+    numbered = c
     chosen = numbered.where((F.col("at") % step == 0) | (F.col("at") == F.col("total") - 1))
     rows = chosen.select("at", F.col("p").alias("threshold"), precision.alias("precision"), recall.alias("recall"))
     anchor = numbered.agg(F.max("total").alias("at")).select("at", F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
@@ -66,10 +66,10 @@ def pr_curve(scored: DataFrame, points: int = MAX_POINTS) -> DataFrame:
 
 def calibration_curve(scored: DataFrame, bins: int = 10) -> DataFrame:
     """(bin, mean_score, positive_fraction, n) of quantile bins; empty bins are absent, and under two rows there is none."""
-    edges = scored.agg(F.percentile("p", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("edges"), F.count(F.lit(1)).alias("rows"))
-    placed = scored.join(F.broadcast(edges), how="cross").where("rows > 1")  # one row of edges
-    which = F.size(F.filter("edges", lambda e: e < F.col("p")))
-    return placed.groupBy(which.alias("bin")).agg(F.avg("p").alias("mean_score"), F.avg(F.col("y_true").cast("double")).alias("positive_fraction"), F.count(F.lit(1)).alias("n"))
+    edges = exact_quantiles(scored, "p", [i / bins for i in range(1, bins)])
+    placed = scored.limit(2).count() > 1  # one row has no quantile bins
+    which = F.size(F.filter(F.array(*[F.lit(e).cast("double") for e in edges]), lambda e: e < F.col("p")))
+    return scored.where(F.lit(placed)).groupBy(which.alias("bin")).agg(F.avg("p").alias("mean_score"), F.avg(F.col("y_true").cast("double")).alias("positive_fraction"), F.count(F.lit(1)).alias("n"))
 
 
 def confusion(scored: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
@@ -109,6 +109,11 @@ def evaluate(scored: DataFrame, name: str) -> dict:
     return row | {k: [r.asDict() for r in v.collect()] for k, v in parts.items()}  # bounded by MAX_POINTS
 
 
+def save_json(result: dict, spark: SparkSession, path: str) -> None:
+    """The bundle as one JSON document."""
+    spark.createDataFrame([(json.dumps(result),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def compare(results: list[DataFrame]) -> DataFrame:
     """One-row results of scalars(), best PR-AUC first."""
     out = results[0]

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import write_once
+from .quantiles import exact_quantiles
+
 COLUMNS = ("ip", "app", "device", "os", "channel")
 
 
@@ -77,13 +80,12 @@ QUANTILES = {"p01": 0.01, "p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p
 
 
 def statistics(values: DataFrame, value: str) -> DataFrame:
-    """(stat, value): count, min, interpolated quantiles, mean, max, from one aggregation.
-
-    The percentile aggregate keeps distinct values with counts; for continuous values of a very large table use percentile_approx.
-    """
+    """(stat, value): count, min, interpolated quantiles, mean, max of the non-null values, which are evaluated once."""
+    known = write_once(values.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias(value)), "values")
     x = F.col(value)
-    one = values.where(x.isNotNull()).agg(_n().cast("double").alias("count"), F.min(x).alias("min"), F.percentile(x, F.array(*map(F.lit, QUANTILES.values()))).alias("q"), F.avg(x).alias("mean"), F.max(x).alias("max"))
-    wide = one.select("count", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(QUANTILES)], "mean", "max")
+    one = known.agg(_n().cast("double").alias("count"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.max(x).alias("max"))
+    found = exact_quantiles(known, value, list(QUANTILES.values()))
+    wide = one.select("count", "min", *[F.lit(v).cast("double").alias(n) for n, v in zip(QUANTILES, found, strict=True)], "mean", "max")
     return wide.unpivot([], wide.columns, "stat", "value")
 
 

@@ -23,10 +23,15 @@ def stratified_sample(df: DataFrame, fraction: float, stratum: Column | None = N
     if not 0 < fraction < 1:
         raise ValueError(f"fraction must lie between 0 and 1, got {fraction}")
     hour = F.date_trunc("hour", "click_time") if stratum is None else stratum
-    keyed = df.withColumns({"__stratum": hour, "__key": sample_key()})
-    rank = F.row_number().over(Window.partitionBy("__stratum").orderBy("__key", "row_id"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("__stratum"))
-    return keyed.withColumns({"__at": rank, "__n": n}).where(F.col("__at") <= F.ceil(F.col("__n") * fraction)).select(*df.columns)
+    # Whole bins of hashes lie under or over a stratum's limit; only the one that holds the limit is ranked.
+    keyed = df.withColumns({"__stratum": hour, "__key": sample_key()}).withColumn("__bin", F.substring("__key", 1, 3))
+    up = Window.partitionBy("__stratum").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 bins a stratum at most
+    bins = keyed.groupBy("__stratum", "__bin").agg(F.count(F.lit(1)).alias("__n")).withColumns({"__before": F.coalesce(F.sum("__n").over(up), F.lit(0)), "__all": F.sum("__n").over(Window.partitionBy("__stratum"))})
+    bins = bins.withColumn("__room", F.ceil(F.col("__all") * fraction) - F.col("__before")).where("__room > 0").select("__stratum", "__bin", "__n", "__room")
+    inside = keyed.join(bins, ["__stratum", "__bin"])
+    rank = F.row_number().over(Window.partitionBy("__stratum", "__bin").orderBy("__key", "row_id"))
+    cut = inside.where("__n > __room").withColumn("__at", rank).where("__at <= __room")
+    return inside.where("__n <= __room").select(*df.columns).unionByName(cut.select(*df.columns))
 
 
 def fraction_sample(df: DataFrame, fraction: float, seed: int = 42, key: str = "row_id") -> DataFrame:

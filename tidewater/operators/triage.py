@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
 from .sampling import draw
 
 #: Policy constants: dollars of a blocked legitimate click, of an allowed fraud and of a review.
@@ -121,8 +122,8 @@ def route(scored: DataFrame, block: float, review: float, rate: float = 0.005, s
 
 def quantile_thresholds(scored: DataFrame, block_share: float = 0.005, review_share: float = 0.02) -> DataFrame:
     """(t_block, t_review): for demonstrations, not a policy."""
-    q = F.percentile("fraud_score", F.array(F.lit(1 - block_share), F.lit(1 - block_share - review_share)))
-    return scored.agg(q.alias("q")).select(F.col("q")[0].alias("t_block"), F.col("q")[1].alias("t_review"))
+    block, review = exact_quantiles(scored, "fraud_score", [1 - block_share, 1 - block_share - review_share])
+    return scored.sparkSession.createDataFrame([(block, review)], "t_block double, t_review double")
 
 
 def two_way(p: str = "p") -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
+SLICE = 6 * HOUR
 GAP = 1_000  # the frame ends 1 ms before t
 FIRST = Window.unboundedPreceding
 
@@ -61,7 +62,7 @@ def prior_stddev(value: str, keys: list[str], span: int) -> Column:
     return F.when(n > 1, F.stddev_samp(value).over(w))
 
 
-def sliced_prior(df: DataFrame, key: str, value: Column, spans: Mapping[str, int | None], slice_us: int = 6 * HOUR) -> DataFrame:
+def sliced_prior(df: DataFrame, key: str, value: Column, spans: Mapping[str, int | None], slice_us: int = SLICE) -> DataFrame:
     """df with <name>_n and <name>_sum for each span of the key, without putting a whole key into one task.
 
     Every row asks for prefixes at t - 1 ms and, for each span, just before t - span. Questions and facts meet in (key, time slice)
@@ -86,11 +87,12 @@ def sliced_prior(df: DataFrame, key: str, value: Column, spans: Mapping[str, int
     return df.join(wide, "row_id")
 
 
-def presence_counts(df: DataFrame, key: str, items: Mapping[str, str], span: int = DAY) -> DataFrame:
+def presence_counts(df: DataFrame, key: str, items: Mapping[str, str], span: int = DAY, slice_us: int | None = None) -> DataFrame:
     """df with one column for each name -> item: the distinct items of the key in the span before t.
 
     An item is visible from its first row + 1 ms to its last row + span; rows whose visibility touches form a segment. Segments
-    become +1 and -1 events, and a running sum over the key's events and rows gives the count at each row.
+    become +1 and -1 events, and a running sum over the key's events and rows gives the count at each row. With slice_us, the sum runs
+    within time slices of a key, and the totals of earlier slices, one row a slice, are added.
     """
     base = timed(df)
     events = None
@@ -103,9 +105,17 @@ def presence_counts(df: DataFrame, key: str, items: Mapping[str, str], span: int
         netted = steps.groupBy(key, "__t").agg(F.sum("d").alias(f"__{name}"))
         events = netted if events is None else events.unionByName(netted, allowMissingColumns=True)
     both = base.withColumn("__row", F.lit(True)).unionByName(events, allowMissingColumns=True)
-    running = Window.partitionBy(key).orderBy("__t").rangeBetween(FIRST, 0)
-    counted = both.withColumns({name: F.coalesce(F.sum(f"__{name}").over(running), F.lit(0)).cast("long") for name in items})
-    return counted.where("__row").select(*df.columns, *items)
+    if slice_us is None:
+        running = Window.partitionBy(key).orderBy("__t").rangeBetween(FIRST, 0)
+        counted = both.withColumns({name: F.coalesce(F.sum(f"__{name}").over(running), F.lit(0)).cast("long") for name in items})
+        return counted.where("__row").select(*df.columns, *items)
+    both = both.withColumn("__slice", F.floor(F.col("__t") / slice_us))
+    totals = both.groupBy(key, "__slice").agg(*[F.coalesce(F.sum(f"__{name}"), F.lit(0)).alias(f"__{name}") for name in items])
+    earlier = Window.partitionBy(key).orderBy("__slice").rangeBetween(FIRST, -1)
+    carried = totals.select(key, "__slice", *[F.coalesce(F.sum(f"__{name}").over(earlier), F.lit(0)).alias(f"__c_{name}") for name in items])
+    running = Window.partitionBy(key, "__slice").orderBy("__t").rangeBetween(FIRST, 0)
+    within = both.withColumns({f"__r_{name}": F.coalesce(F.sum(f"__{name}").over(running), F.lit(0)) for name in items}).where("__row")
+    return within.join(carried, [key, "__slice"]).select(*df.columns, *[(F.col(f"__r_{n}") + F.col(f"__c_{n}")).cast("long").alias(n) for n in items])
 
 
 def asof_last(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, delay_us: int = 0) -> DataFrame:

@@ -25,12 +25,21 @@ def feature_table(clicks: DataFrame, split: str | None = None, sample_fraction:
     return out
 
 
+def input_version(clicks: DataFrame) -> str:
+    """Rows and content hash of the input, whatever its order."""
+    one = clicks.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*clicks.columns)).alias("h"), F.sum(F.xxhash64(*clicks.columns).cast("decimal(38,0)")).alias("s")).first()
+    return f"{one['n']}-{one['h'] or 0}-{one['s'] or 0}"
+
+
 def materialize_features(clicks: DataFrame, store: FeatureStore, version: str, split: str, source: str, sample_fraction: float | None = None) -> int:
-    """Write a split's features to the store; returns its rows. A table that is there already is reused."""
-    done = store.metadata().where((F.col("version") == version) & (F.col("split") == split)).limit(1).collect()
-    if not done:
-        store.save(feature_table(clicks, split, sample_fraction), version, split, source)
-        done = store.metadata().where((F.col("version") == version) & (F.col("split") == split)).limit(1).collect()
+    """Write a split's features to the store; returns its rows. A table made from the same input is reused, one made from another raises."""
+    origin = f"{source}#{input_version(clicks)}#{sample_fraction}"
+    row = lambda: store.metadata().where((F.col("version") == version) & (F.col("split") == split)).limit(1).collect()
+    if not (done := row()):
+        store.save(feature_table(clicks, split, sample_fraction), version, split, origin)
+        done = row()
+    if done[0]["source"] != origin:
+        raise ValueError(f"{split} of {version} was made from other input: {done[0]['source']}, not {origin}")
     return done[0]["n_rows"]
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -72,9 +74,9 @@ def tune(train: DataFrame, val: DataFrame, features: list[str] = NUMERIC, grid:
     return train.sparkSession.createDataFrame(rows, "depth int, step double, rounds int, pr_auc double").orderBy(F.desc("pr_auc"), "depth", "step", "rounds")
 
 
-def ablation(train: DataFrame, val: DataFrame, rounds: int = 10) -> DataFrame:
+def ablation(train: DataFrame, val: DataFrame, rounds: int = 10, features: list[str] = NUMERIC) -> DataFrame:
     """(without, pr_auc, delta): refits without each feature family."""
-    families = {"none": NUMERIC} | {f: [n for n in NUMERIC if not n.startswith(f)] for f in ("f1_", "f2_", "f3_")}
+    families = {"none": features} | {f: [n for n in features if not n.startswith(f)] for f in ("f1_", "f2_", "f3_")}
     value = {k: float(fit_trees(train, val, v, (rounds,))[1]) for k, v in families.items()}
     return train.sparkSession.createDataFrame([(k, v, v - value["none"]) for k, v in value.items()], "without string, pr_auc double, delta double")
 
@@ -101,6 +103,17 @@ def predict(model: PipelineModel, df: DataFrame, features: list[str] | None = No
     return out.withColumns({"p": vector_to_array("probability")[1], "y_true": F.col("label").cast("int")})
 
 
+def save_bundle(model: PipelineModel, features: list[str], path: str) -> None:
+    """The model and the names of its features, in order."""
+    model.write().overwrite().save(f"{path}/model")
+    _session().createDataFrame([(i, f) for i, f in enumerate(features)], "at int, feature string").coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
+
+
+def load_bundle(path: str) -> tuple[PipelineModel, list[str]]:
+    rows = _session().read.schema("at int, feature string").parquet(f"{path}/features").orderBy("at").collect()
+    return PipelineModel.load(f"{path}/model"), [r["feature"] for r in rows]
+
+
 def fit_calibrator(scored: DataFrame) -> IsotonicRegressionModel:
     return IsotonicRegression(featuresCol="p", labelCol="y_true", isotonic=True).fit(scored.select(F.col("p").cast("double").alias("p"), F.col("y_true").cast("double").alias("y_true")))
 
@@ -110,6 +123,14 @@ def knots(model: IsotonicRegressionModel) -> DataFrame:
     return _session().createDataFrame([(float(x), float(y)) for x, y in zip(model.boundaries, model.predictions, strict=True)], "x double, y double")
 
 
+def save_knots(model: IsotonicRegressionModel, path: str) -> None:
+    knots(model).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_knots(path: str) -> list[tuple[float, float]]:
+    return [(r["x"], r["y"]) for r in _session().read.schema("x double, y double").parquet(path).orderBy("x").collect()]
+
+
 def apply_knots(p: Column, table: list[tuple[float, float]]) -> Column:
     """Linear interpolation between knots, clipped to [0, 1] and flat outside."""
     table = sorted(table)
@@ -120,16 +141,27 @@ def apply_knots(p: Column, table: list[tuple[float, float]]) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), low["y"] + (high["y"] - low["y"]) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), slope))))
 
 
+def with_calibrated(df: DataFrame, table: list[tuple[float, float]], column: str, p: str = "p") -> DataFrame:
+    """df with apply_knots of p in a column, by a search among the knots in batches: for tables of many knots."""
+    x, y = (np.array(c) for c in zip(*sorted(table), strict=True))
+
+    @F.pandas_udf("double")
+    def look_up(v: pd.Series) -> pd.Series:
+        return pd.Series(np.clip(np.interp(v, x, y), 0.0, 1.0))
+
+    return df.withColumn(column, look_up(F.col(p).cast("double")))
+
+
 def calibration_report(scored: DataFrame, seed: int = 42, key: str = "row_id") -> DataFrame:
     """(name, n, ..., brier) before and after calibration on the half that the calibrator has not seen."""
     fit_on, test_on = holdout_split(scored, seed, key=key)
     table = [(r["x"], r["y"]) for r in knots(fit_calibrator(fit_on)).collect()]
-    return scalars(test_on, "raw").unionByName(scalars(test_on.withColumn("p", apply_knots(F.col("p"), table)), "calibrated"))
+    return scalars(test_on, "raw").unionByName(scalars(with_calibrated(test_on, table, "p"), "calibrated"))
 
 
 def final_report(val: DataFrame, test: DataFrame, table: list[tuple[float, float]]) -> DataFrame:
     """Raw and calibrated metrics of the test split and the raw ones of val, with the gap to val."""
-    parts = scalars(val, "val").unionByName(scalars(test, "test_raw")).unionByName(scalars(test.withColumn("p", apply_knots(F.col("p"), table)), "test_calibrated"))
+    parts = scalars(val, "val").unionByName(scalars(test, "test_raw")).unionByName(scalars(with_calibrated(test, table, "p"), "test_calibrated"))
     base = parts.where("name = 'val'").select(F.col("pr_auc").alias("__v"))
     return parts.join(F.broadcast(base), how="cross").withColumn("pr_auc_gap", F.col("pr_auc") - F.col("__v")).drop("__v")  # one row
 

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.features import FEATURES, NUMERIC, feature
-from .functions.registry import Feature, FeatureSet
+from .functions.registry import Feature, FeatureSet, Registry
 from .operators import metrics, profile, quality, sampling, triage
 from .operators.windows import DAY, asof_last, presence_counts, prior_rate, sessionize, sliced_prior, timed
 from .plans import materialize, models
 from .sources import audit
-from .sources.clicks import create_split_views, from_events, read_csv, split_predicate, split_ranges, with_row_id, write_csv
+from .sources.clicks import apply_split, create_split_views, from_events, ingest_csv, read_csv, split_predicate, split_ranges, with_row_id, write_csv
 from .sources.shared import shared_path
 from .sources.store import FeatureStore, feature_columns
 from .streaming import velocity
@@ -91,10 +91,39 @@ def _csv_sink(clicks: DataFrame) -> DataFrame:
     return clicks.sparkSession.read.schema("is_attributed int, n_clicks long, n_null_attributed long, n_nonnull_attributed long").option("header", True).csv(path).select("is_attributed", "n_clicks")
 
 
+@register("s2_ingest", "SELECT row_number() OVER (ORDER BY click_time, ip, app, device, os, channel) AS row_id, ip, app, device, os, channel, click_time, attributed_time, is_attributed FROM clicks")
+def _ingest(clicks: DataFrame) -> DataFrame:
+    spark, text, table = clicks.sparkSession, shared_path(clicks.sparkSession, "csv"), shared_path(clicks.sparkSession, "clicks")
+    form = lambda c: F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    clicks.select("ip", "app", "device", "os", "channel", form("click_time"), form("attributed_time"), "is_attributed").write.option("header", True).csv(text)
+    n = ingest_csv(spark, text, table)
+    return spark.read.parquet(table).where(F.col("row_id") <= n).withColumn("is_attributed", F.col("is_attributed").cast("int"))
+
+
+@register("s7_run_profiles", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct, 10 AS n_reports FROM clicks" for c in profile.COLUMNS))
+def _run_profiles(clicks: DataFrame) -> DataFrame:
+    folder = shared_path(clicks.sparkSession, "profiles")
+    names = profile.run_profiles(clicks, folder)
+    return clicks.sparkSession.read.schema("column_name string, n_distinct long").option("header", True).csv(f"{folder}/e2_cardinality").withColumn("n_reports", F.lit(len(names)))
+
+
+@register("s9_register", "SELECT row_id, app AS f1_app_id, 'v1.0.0' AS version FROM clicks WHERE click_time >= TIMESTAMP '2024-01-19' AND click_time < TIMESTAMP '2024-01-25'")
+def _adopt(clicks: DataFrame) -> DataFrame:
+    spark, path = clicks.sparkSession, shared_path(clicks.sparkSession, "elsewhere")
+    clicks.where(split_predicate("val")).select("row_id", F.col("app").alias("f1_app_id")).write.parquet(path)
+    store = FeatureStore(spark, shared_path(spark, "store"))
+    store.register(path, "v1.0.0", "val", "elsewhere")
+    return store.load("v1.0.0", "val").withColumn("version", F.lit(store.versions()[0]))
+
+
 # Projections, filters, joins
 
 register("p1_split_predicate", "SELECT row_id FROM clicks WHERE click_time >= TIMESTAMP '2024-01-19' AND click_time < TIMESTAMP '2024-01-25'")(lambda c: c.where(split_predicate("val")).select("row_id"))
 register("p2_split_views", "SELECT CASE WHEN click_time < TIMESTAMP '2024-01-19' THEN 'train' WHEN click_time < TIMESTAMP '2024-01-25' THEN 'val' ELSE 'test' END AS split, count(*) AS n_rows FROM clicks GROUP BY 1")(create_split_views)
+register("p3_apply_split", "SELECT row_id, click_time FROM clicks WHERE click_time < TIMESTAMP '2024-01-19'")(lambda c: apply_split(c, "train").select("row_id", "click_time"))
+register("fn_json", "SELECT row_id, ip, app, '{\"ip\":' || ip || ',\"app\":' || app || '}' AS encoded FROM clicks")(lambda c: c.select("row_id", F.to_json(F.struct("ip", "app")).alias("encoded")).select("row_id", F.inline(F.array(F.from_json("encoded", "ip int, app int"))), "encoded"))
+register("fn_uuid", "SELECT count(*) AS n_ids, 36 AS length FROM clicks")(lambda c: c.select(F.uuid().alias("u")).agg(F.count_distinct("u").alias("n_ids"), F.max(F.length("u")).alias("length")))
+register("o4_limit_unordered", "SELECT least(count(*), 250) AS n FROM clicks")(lambda c: c.limit(250).agg(F.count(F.lit(1)).alias("n")))
 register("p4_get_splits", "SELECT 'train' AS name, min(click_time) AS start, TIMESTAMP '2024-01-19' AS end_exclusive FROM clicks UNION ALL SELECT 'val', TIMESTAMP '2024-01-19', TIMESTAMP '2024-01-25' UNION ALL SELECT 'test', TIMESTAMP '2024-01-25', NULL")(split_ranges)
 register("p8_star_exclude", "SELECT * EXCLUDE (row_id, attributed_time) FROM clicks")(lambda c: c.drop("row_id", "attributed_time").withColumn("is_attributed", F.col("is_attributed").cast("int")))
 register("p9_id_membership", "SELECT row_id, ip FROM clicks WHERE row_id IN (SELECT row_id FROM clicks WHERE is_attributed = 1 AND channel < 10)")(lambda c: c.select("row_id", "ip").join(c.where("is_attributed = 1 AND channel < 10").select("row_id"), "row_id", "left_semi"))
@@ -115,6 +144,22 @@ def _feature_set(clicks: DataFrame) -> DataFrame:
     return FeatureSet([busy, count]).compute(clicks.sparkSession, clicks).select("row_id", "n", "busy")
 
 
+@register("u3_register", "SELECT row_id, k, CASE WHEN k > 20 THEN 1 ELSE 0 END::TINYINT AS wide FROM (SELECT row_id, count(*) OVER (PARTITION BY app) AS k FROM clicks)")
+def _registered(clicks: DataFrame) -> DataFrame:
+    registry = Registry()
+    registry.register(Feature("k", "SELECT row_id, count(*) OVER (PARTITION BY app) AS value FROM {source}", "bigint"))
+    registry.feature("wide", "tinyint", dependencies=("k",))(lambda df: F.when(F.col("k") > 20, 1).otherwise(0))
+    return FeatureSet(list(registry.features.values())).compute(clicks.sparkSession, clicks).select("row_id", "k", "wide")
+
+
+@register("u6_resumable_pass", "SELECT count(*) AS n_rows, 1 AS n_saved FROM clicks WHERE click_time >= TIMESTAMP '2024-01-19' AND click_time < TIMESTAMP '2024-01-25'")
+def _resumed(clicks: DataFrame) -> DataFrame:
+    """A second pass over the same input finds the table of the first."""
+    store = FeatureStore(clicks.sparkSession, shared_path(clicks.sparkSession, "store"))
+    first, again = (materialize.materialize_features(clicks, store, "v0.1.0", "val", "events") for _ in range(2))
+    return store.metadata().where(F.lit(first == again)).agg(F.max("n_rows").alias("n_rows"), F.count(F.lit(1)).cast("int").alias("n_saved"))
+
+
 # Aggregations and profiles
 
 register("a2_global", "SELECT count(*) AS n, sum(is_attributed)::BIGINT AS y, round(avg(is_attributed), 6) AS rate, min(click_time) AS first, max(click_time) AS last FROM clicks")(lambda c: c.agg(F.count(F.lit(1)).alias("n"), F.sum("is_attributed").cast("long").alias("y"), F.avg(F.col("is_attributed").cast("double")).alias("rate"), F.min("click_time").alias("first"), F.max("click_time").alias("last")))
@@ -155,6 +200,12 @@ def _validate(clicks: DataFrame) -> DataFrame:
     return quality.validate(clicks, (0.1, 0.3), PERIOD).select("name", "ok")
 
 
+@register("v2_fetch_one", "SELECT count(*) AS n, min(click_time) AS first FROM clicks")
+def _one(clicks: DataFrame) -> DataFrame:
+    found = clicks.agg(F.count(F.lit(1)).alias("n"), F.min("click_time").alias("first"))
+    return clicks.sparkSession.createDataFrame([quality.exactly_one(found)], found.schema)
+
+
 # The 28 features
 
 _R = {"1hr": "RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND INTERVAL 1 MILLISECOND PRECEDING", "24hr": "RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND INTERVAL 1 MILLISECOND PRECEDING", "alltime": "RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MILLISECOND PRECEDING"}
@@ -229,6 +280,17 @@ _SCALARS = "SELECT '{}' AS name, (SELECT count(*) FROM scored) AS n, (SELECT sum
 on_scores("k7_evaluate", f"{_CUM} {_SCALARS.format('fixed', _AP, _AUC)}", lambda s: metrics.scalars(s, "fixed"))
 on_scores("k8_compare", f"{_CUM} {_SCALARS.format('a', _AP, _AUC)} UNION ALL {_SCALARS.format('b', _AP, _AUC)}", lambda s: metrics.compare([metrics.scalars(s, "b"), metrics.scalars(s, "a")]))
 
+def _bundle(s: DataFrame) -> DataFrame:
+    """The confusion table of the bundle, read back from its JSON."""
+    spark, path = s.sparkSession, shared_path(s.sparkSession, "metrics")
+    metrics.save_json(metrics.evaluate(s, "fixed"), spark, path)
+    kind = "confusion array<struct<threshold:double,tp:long,fp:long,tn:long,fn:long,precision:double,recall:double>>, pr_auc double"
+    return spark.read.text(path).select(F.from_json("value", kind).alias("b")).select(F.inline("b.confusion"), F.col("b.pr_auc").alias("pr_auc"))
+
+
+_K6 = ORACLES["k6_confusion"].removeprefix(f"WITH {SCORED}\n")
+on_scores("s14_metrics_sink", f"{_CUM}{_K6.replace('SELECT *, round(CASE', 'SELECT *, (SELECT round(' + _AP + ', 6) FROM c) AS pr_auc, round(CASE', 1)}", _bundle)
+
 # Costs, sweep, routing
 
 
@@ -292,7 +354,7 @@ def _logreg(clicks: DataFrame) -> DataFrame:
 @register("l5_boosted_trees")
 def _trees(clicks: DataFrame) -> DataFrame:
     train, val = _parts(clicks)
-    return metrics.scalars(models.predict(models.fit_trees(train, val, rounds=(5,), depth=3)[0], val, NUMERIC), "trees")
+    return metrics.scalars(models.predict(models.fit_trees(train, val)[0], val, NUMERIC), "trees")
 
 
 @register("l10_linear_contributions")
@@ -304,11 +366,27 @@ def _linear(clicks: DataFrame) -> DataFrame:
 @register("l11_tree_contributions")
 def _occlusion(clicks: DataFrame) -> DataFrame:
     train, val = _parts(clicks)
-    model = models.fit_trees(train, val, rounds=(3,), depth=3)[0]
+    model = models.fit_trees(train, val)[0]
     routed = models.predict(model, val, NUMERIC).where("p < 0.4").select(*val.columns)
     return models.tree_contributions(model, routed).select("row_id", "top_features")
 
 
+_KNOTS = ((0.1, 0.0), (0.45, 0.35), (0.6, 0.35), (0.95, 1.0))
+on_scores("c2_isotonic_apply", "SELECT case_id, round(CASE WHEN p <= 0.1 THEN 0.0 WHEN p <= 0.45 THEN (p - 0.1::DOUBLE) / (0.45::DOUBLE - 0.1::DOUBLE) * 0.35::DOUBLE WHEN p <= 0.6 THEN 0.35 WHEN p <= 0.95 THEN 0.35::DOUBLE + (p - 0.6::DOUBLE) / (0.95::DOUBLE - 0.6::DOUBLE) * 0.65::DOUBLE ELSE 1.0 END, 6) AS c FROM scored", lambda s: s.select("case_id", models.apply_knots(F.col("p"), list(_KNOTS)).alias("c")))
+#: Isotonic regression by its max-min formula: the largest, over starts, of the least mean, over ends, of the scores between.
+_PAV = """, d AS (SELECT p, sum(y_true)::DOUBLE AS y, count(*)::DOUBLE AS n, row_number() OVER (ORDER BY p) AS i FROM scored GROUP BY p), u AS (SELECT i, p, sum(y) OVER (ORDER BY i) AS sy, sum(n) OVER (ORDER BY i) AS sn, y, n FROM d),
+m AS (SELECT a.i AS a, b.i AS b, (b.sy - a.sy + a.y) / (b.sn - a.sn + a.n) AS v FROM u a JOIN u b ON a.i <= b.i), l AS (SELECT a, b AS i, min(v) OVER (PARTITION BY a ORDER BY b DESC) AS v FROM m), f AS (SELECT i, max(v) AS v FROM l GROUP BY i)
+SELECT p, round(v, 6) AS c FROM f JOIN u USING (i)"""
+on_scores("c1_isotonic_fit", _PAV, lambda s: models.fit_calibrator(s).transform(s.select("p").distinct()).select("p", F.col("prediction").alias("c")))
+
+
+def _kept_knots(s: DataFrame) -> DataFrame:
+    path = shared_path(s.sparkSession, "knots")
+    models.save_knots(models.fit_calibrator(s), path)
+    return models.with_calibrated(s.select("p").distinct(), models.load_knots(path), "c").select("p", "c")
+
+
+on_scores("c3_knots_io", _PAV, _kept_knots)
 on_scores("c1_calibration", None, lambda s: models.calibration_report(s.select("row_id", "p", "y_true")))
 
 # Streams
@@ -330,6 +408,12 @@ def _velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return velocity.run_to_table(spark, counts, "velocity", "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@stream("x4_stream_sessions", ", m AS (SELECT *, CASE WHEN epoch_us(click_time) - epoch_us(lag(click_time) OVER w) < 86400000000 THEN 0 ELSE 1 END AS new FROM clicks WINDOW w AS (PARTITION BY ip ORDER BY click_time, row_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY ip ORDER BY click_time, row_id ROWS UNBOUNDED PRECEDING) AS segment FROM m) SELECT ip, min(click_time) AS start, max(click_time) + INTERVAL 1 DAY AS \"end\", count(*) AS n_clicks FROM s GROUP BY ip, segment")
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = velocity.run_to_table(spark, velocity.sessions(velocity.click_stream(spark, sf_dir)), "sessions", "complete")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
 @stream("x2_stream_prior_features", f"SELECT row_id, ip, {_over('count(*)', 'ip', '24hr')} AS clicks_before, round({_over('avg(is_attributed)', 'ip', '24hr')}, 6) AS rate_before FROM clicks")
 def _prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return velocity.run_to_table(spark, velocity.prior_features(velocity.click_stream(spark, sf_dir)), "prior")

@@ -6,16 +6,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CONTRIBUTION = T.ArrayType(T.StructType([T.StructField("feature_name", T.StringType()), T.StructField("value", T.StringType()), T.StructField("shap_contribution", T.DoubleType())]))
-_KINDS = {
-    T.StringType(): ("event_id", "case_id", "model_version", "policy_version", "action", "reviewer_disposition", "notes"),
-    T.DoubleType(): ("raw_score", "calibrated_score", "threshold_block", "threshold_review"),
-    T.TimestampType(): ("event_timestamp", "reviewer_timestamp"),
-    T.TimestampNTZType(): ("click_timestamp",),
-    CONTRIBUTION: ("top_features",),
-}
-_ORDER = ("event_id", "event_timestamp", "case_id", "click_timestamp", "model_version", "policy_version", "raw_score", "calibrated_score", "threshold_block", "threshold_review", "action", "top_features", "reviewer_disposition", "reviewer_timestamp", "notes")
-AUDIT = T.StructType([T.StructField(n, next(k for k, names in _KINDS.items() if n in names)) for n in _ORDER])
+from .shared import write_once
+
+#: Fixed schema of the log.
+CONTRIBUTION = T.ArrayType(T.StructType([
+    T.StructField("feature_name", T.StringType()),
+    T.StructField("value", T.StringType()),
+    T.StructField("shap_contribution", T.DoubleType()),
+]))
+AUDIT = T.StructType([
+    T.StructField("event_id", T.StringType()),
+    T.StructField("event_timestamp", T.TimestampType()),
+    T.StructField("case_id", T.StringType()),
+    T.StructField("click_timestamp", T.TimestampNTZType()),
+    T.StructField("model_version", T.StringType()),
+    T.StructField("policy_version", T.StringType()),
+    T.StructField("raw_score", T.DoubleType()),
+    T.StructField("calibrated_score", T.DoubleType()),
+    T.StructField("threshold_block", T.DoubleType()),
+    T.StructField("threshold_review", T.DoubleType()),
+    T.StructField("action", T.StringType()),
+    T.StructField("top_features", CONTRIBUTION),
+    T.StructField("reviewer_disposition", T.StringType()),
+    T.StructField("reviewer_timestamp", T.TimestampType()),
+    T.StructField("notes", T.StringType()),
+])
 ACTIONS = ("AUTO_BLOCK", "HUMAN_REVIEW", "QA_SAMPLE", "ALLOW")
 OPTIONAL = ("reviewer_disposition", "reviewer_timestamp", "notes")
 
@@ -45,8 +60,11 @@ def violation() -> Column:
 
 
 def append(entries: DataFrame, path: str) -> int:
-    """Append checked rows; a row that breaks the schema raises, an empty batch writes nothing. Returns the number of rows."""
-    entries = entries.select(*[F.col(f.name).cast(f.dataType) for f in AUDIT])
+    """Append checked rows; a row that breaks the schema raises, an empty batch writes nothing. Returns the number of rows.
+
+    The rows are evaluated once: what is checked is what is written.
+    """
+    entries = write_once(entries.select(*[F.col(f.name).cast(f.dataType) for f in AUDIT]), "audit-batch")
     checked = entries.agg(F.count(F.lit(1)).alias("n"), F.count_if(violation().isNotNull()).alias("bad"), F.first(violation(), ignorenulls=True).alias("why")).first()
     if checked["bad"]:
         raise ValueError(f"{checked['bad']} audit rows are invalid: {checked['why']}")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import ranged
+
 #: Fixed schema of the CSV source; nothing is inferred.
 CLICKS = T.StructType([
     T.StructField("ip", T.IntegerType()),
@@ -31,14 +33,13 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 def with_row_id(clicks: DataFrame) -> DataFrame:
     """Number the rows 1..N by time, ip, app, device, os, channel.
 
-    Rows are numbered within their hour, and each hour's rows before it (one number an hour) are added: no task sees more than an hour.
+    Rows are numbered within range partitions of that order, and the rows of the parts before (one number a part) are added.
     """
-    hour = F.date_trunc("hour", "click_time").cast("timestamp_ntz")
-    keyed = clicks.withColumn("__hour", hour)
-    before = Window.orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = keyed.groupBy("__hour").agg(F.count(F.lit(1)).alias("__n")).select("__hour", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    own = Window.partitionBy("__hour").orderBy(*ROW_ORDER)
-    numbered = keyed.withColumn("__at", F.row_number().over(own)).join(offsets, "__hour")
+    parts = ranged(clicks, *ROW_ORDER)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    offsets = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    own = Window.partitionBy("__part").orderBy(*ROW_ORDER)
+    numbered = parts.withColumn("__at", F.row_number().over(own)).join(F.broadcast(offsets), "__part")
     return numbered.select((F.col("__offset") + F.col("__at")).cast("long").alias("row_id"), *clicks.columns)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,3 +22,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def write_once(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: evaluated once, and a lost executor costs no recomputation."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranged(df: DataFrame, *order: Column | str) -> DataFrame:
+    """df written once, with __part: the number of its range partition in that order. Equal rows have one part, and parts are about equally large."""
+    return write_once(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged")
