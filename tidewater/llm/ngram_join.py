@@ -272,11 +272,15 @@ def _links(docs: DataFrame, kept: DataFrame, n: int, percent: int) -> DataFrame:
     counted = bound.groupBy("rid", "grp").agg(F.count(F.lit(1)).alias("k"), F.max("size").alias("size"), F.min("low").alias("low"), F.max("high").alias("high"))
     upper = F.col("k") + F.greatest(_rest(size, percent), _rest(high, percent))
     opened = counted.where((F.col("k") >= SHARE) & _possible(upper, size, low, percent)).select("rid", "grp")
-    inside = placed.select("token", F.col("rid").alias("m"), F.col("size").alias("m_size"), F.col("reach").alias("m_reach"), "grp")
+    opened = materialize(opened, "opened")
+    # An opened group's members are met pair by pair, not token by token: a row a pair, with the kept tokens of both.
+    who = materialize(placed.groupBy("rid", "grp").agg(F.max("size").alias("size"), F.max("reach").alias("reach")), "who")
+    inside = who.select(F.col("rid").alias("m"), F.col("size").alias("m_size"), F.col("reach").alias("m_reach"), "grp")
     overlap = F.least("size", "m_size", F.when(F.col("reach").isNotNull() & F.col("m_reach").isNotNull(), F.least("reach", "m_reach")))
-    met = placed.select("token", "rid", "size", "reach").join(opened, "rid").join(inside, ["token", "grp"]).where(_possible(overlap, F.col("size"), F.col("m_size"), percent))
-    pairs = met.groupBy(F.least("rid", "m").alias("a"), F.greatest("rid", "m").alias("b")).agg(F.count_distinct("token").alias("k"), F.max(size + F.col("m_size")).alias("both"), F.max(F.greatest("size", "m_size")).alias("larger"))
-    pairs = pairs.where((F.col("k") >= SHARE) & _possible(F.col("k") + _rest(F.col("larger"), percent), F.col("both"), F.lit(0), percent))
+    met = opened.join(who.drop("grp"), "rid").join(inside, "grp").where(_possible(overlap, size, F.col("m_size"), percent)).select("rid", "m", "size", "m_size")
+    tokens = kept.select("rid", "tokens")
+    met = met.join(tokens, "rid").join(tokens.withColumnsRenamed({"rid": "m", "tokens": "m_tokens"}), "m").withColumn("k", F.size(F.array_intersect("tokens", "m_tokens")))
+    pairs = met.where((F.col("k") >= SHARE) & _possible(F.col("k") + _rest(F.greatest("size", "m_size"), percent), size, F.col("m_size"), percent)).select(F.least("rid", "m").alias("a"), F.greatest("rid", "m").alias("b"))
     return near.unionByName(_verify(docs, pairs, n, percent))
 
 
