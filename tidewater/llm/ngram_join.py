@@ -258,17 +258,20 @@ def _links(docs: DataFrame, kept: DataFrame, n: int, percent: int) -> DataFrame:
     star = shared.where("rid <> first").groupBy(F.col("first").alias("a"), F.col("rid").alias("b")).agg(F.count(F.lit(1)).alias("k")).where("k >= 2")
     near = _verify(docs, star, n, percent)
     groups = components(near)
-    placed = shared.join(groups.withColumnRenamed("node", "rid"), "rid", "left").select("token", "rid", "size", F.coalesce("component", "rid").alias("grp"))
+    groups = groups.join(groups.groupBy("component").agg(F.count_distinct("node").alias("members")), "component").withColumnRenamed("node", "rid")
+    placed = shared.join(groups, "rid", "left").select("token", "rid", "size", F.coalesce("component", "rid").alias("grp"), F.coalesce("members", F.lit(1)).alias("members"))
     placed = materialize(placed.distinct(), "placed")
     placed = materialize(placed.join(_crowded(docs, placed, n), "rid", "left"), "placed")
 
     # The matrix: each group's union of kept tokens, its sizes and reach. A query may reach what both sides reach, if both are crowded.
-    matrix = placed.groupBy("token", "grp").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max(F.coalesce("reach", "size")).alias("far"), F.count_if(F.col("reach").isNull()).alias("free"))
+    # Of two groups, the members of the smaller one ask the larger one: a link between them is found from either side.
+    matrix = placed.groupBy("token", "grp").agg(F.max("members").alias("all"), F.min("size").alias("low"), F.max("size").alias("high"), F.max(F.coalesce("reach", "size")).alias("far"), F.count_if(F.col("reach").isNull()).alias("free"))
     query = placed.withColumnRenamed("grp", "own")
+    asks = (F.col("members") < F.col("all")) | ((F.col("members") == F.col("all")) & (F.col("own") < F.col("grp")))
     size, low, high = F.col("size"), F.col("low"), F.col("high")
     most = F.when(F.col("reach").isNotNull() & (F.col("free") == 0), F.least("reach", "far")).otherwise(F.least(size, high))
     partner = F.greatest(low, F.least(most, high))  # the size that suits best
-    bound = query.join(matrix, "token").where((F.col("own") != F.col("grp")) & _possible(F.least(most, partner, size), size, partner, percent))
+    bound = query.join(matrix, "token").where(asks & _possible(F.least(most, partner, size), size, partner, percent))
     counted = bound.groupBy("rid", "grp").agg(F.count(F.lit(1)).alias("k"), F.max("size").alias("size"), F.min("low").alias("low"), F.max("high").alias("high"))
     upper = F.col("k") + F.greatest(_rest(size, percent), _rest(high, percent))
     opened = counted.where((F.col("k") >= SHARE) & _possible(upper, size, low, percent)).select("rid", "grp")
