@@ -1,12 +1,13 @@
 """Known answers and edges of the strictly prior windows."""
 
 import random
+import statistics
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.functions.features import FEATURES, all_features
+from tidewater.functions.features import FEATURES, all_features, feature
 from tidewater.functions.registry import Feature, FeatureSet, Registry, attach
 from tidewater.operators.windows import DAY, HOUR, presence_counts, prior_count, prior_rate, sliced_prior, timed
 from tidewater.sources.clicks import apply_split, split_predicate, with_row_id
@@ -48,6 +49,23 @@ def test_burst_needs_more_than_ten(spark):
     assert [b for (b,) in values(out, "f2_burst_score")] == [0] * 11 + [1]
 
 
+def test_deviation_equals_the_definition(spark):
+    """One hot ip, gaps of nothing, of seconds and of months: sample deviation of the gaps of the day before, by the statistics module."""
+    r = random.Random(4)
+    at, rows = 0.0, []
+    for _ in range(300):
+        at += r.choice([0, 0, 1, r.random(), r.randint(1, 400), r.randint(20_000, 80_000), 9_000_000])
+        rows.append((1 if r.random() < 0.8 else 2, 1, 0, at, 0))
+    df = feature(clicks(spark, rows), "f2_ip_click_std_inter_arrival").join(feature(clicks(spark, rows), "f2_inter_click_time_seconds"), "row_id").join(clicks(spark, rows), "row_id")
+    found = [(x["ip"], round(x["click_time"].timestamp() * 1e6), x["f2_inter_click_time_seconds"], x["f2_ip_click_std_inter_arrival"]) for x in df.orderBy("row_id").collect()]
+    several = 0
+    for ip, t, _, got in found:
+        gaps = [g for i, u, g, _ in found if i == ip and t - DAY <= u <= t - 1000 and g is not None]
+        several += len(gaps) > 2
+        assert got == (pytest.approx(statistics.stdev(gaps), rel=1e-12) if len(gaps) > 1 else None)
+    assert several > 50
+
+
 def test_edges_and_peers(spark):
     """Same time is not seen; 1 ms before is; exactly a day before is, a microsecond more is not."""
     rows = [(1, 1, 0, 0, 1), (1, 2, 1, 0, 0), (1, 3, 2, 0.0005, 0), (1, 4, 3, 0.001, 0), (1, 5, 4, 86400, 0), (1, 6, 5, 86400.000001, 0), (1, 7, 6, 86400.0015, 0)]

@@ -56,10 +56,17 @@ def previous_gap() -> Column:
 
 
 def prior_stddev(value: str, keys: list[str], span: int) -> Column:
-    """Sample deviation over the span before t. Per-key partitions are small, so the native frame is kept (no cancellation)."""
-    w = Window.partitionBy(*keys).orderBy("__t").rangeBetween(-span, -GAP)
-    n = F.count(value).over(w)
-    return F.when(n > 1, F.stddev_samp(value).over(w))
+    """Sample deviation of a whole-numbered value over the span before t, from prefixes of its count, sum and sum of squares.
+
+    Nothing cancels: n * sum(x^2) - sum(x)^2 is computed in whole numbers (decimals of 38 digits) and only then divided.
+    """
+    exact = lambda c, digits=38: c.cast(f"decimal({digits},0)")
+    x = F.col(value)
+    n = prior_sum(F.when(x.isNotNull(), 1), keys, span)
+    total = prior_sum(x, keys, span)
+    squares = prior_sum(exact(x * x, 20), keys, span)
+    spread = exact(exact(n, 19) * exact(squares, 30)) - exact(exact(total, 19) * exact(total, 19))
+    return F.when(n > 1, F.sqrt(spread.cast("double") / (n * (n - 1))))
 
 
 def sliced_prior(df: DataFrame, key: str, value: Column, spans: Mapping[str, int | None], slice_us: int = SLICE) -> DataFrame:
