@@ -20,7 +20,7 @@ Each group is aggregated before and after the shuffle (counts, smallest
 document), so a passage in a third of all documents gathers nowhere. Groups go
 back to the documents as a broadcast table while they are few, else by a join.
 Exact copies are found by the text's digest first; only the first of them takes
-part.
+part. The join that finds them deals the copies of a text into SALTS parts.
 
 Defined results: null and empty texts have no bytes; a text shorter than
 `length` loses nothing; a null doc_id comes after all others; rows of equal doc_id
@@ -44,6 +44,8 @@ K = 24
 LAST = 2**63 - 1
 #: Bytes of text that are looked at together.
 CHUNK = 500_000
+#: Parts that the copies of one text are dealt into when they are joined to the first of them.
+SALTS = 16
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -276,7 +278,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, limit: int | None = No
     digest = F.unhex(F.md5(F.col("text").cast("binary")))
     texts = keyed.select("doc", digest.alias("digest"))
     several = texts.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("digest", "first")
-    copies = texts.join(several, "digest").where(F.col("doc") > F.col("first")).select("doc", F.xxhash64("digest").alias("version"), F.lit(True).alias("copy")).distinct()
+    salted = texts.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    several = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = salted.join(several, ["digest", "salt"]).where(F.col("doc") > F.col("first")).select("doc", F.xxhash64("digest").alias("version"), F.lit(True).alias("copy")).distinct()
     copies, few = bounded(copies, limit)
     keyed = keyed.withColumn("version", F.xxhash64(digest)).join(F.broadcast(copies) if few else copies, ["doc", "version"], "left")
     first = keyed.where(F.col("copy").isNull()).select("doc", "version", "text")
