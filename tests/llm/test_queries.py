@@ -13,6 +13,7 @@ COLUMNS = {
     "op1": {"page_id", "url", "text", "n_chars"}, "op2": {"doc_id", "n_lines", "n_dropped", "kept_sha256"}, "op3": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
     "op4": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}, "op5": {"doc_id", "n_shingles", "component_id"}, "op6": {"doc_id", "held_out", "score", "predicted"}, "op7": {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"},
     "op8": {"doc_id", "held_out", "lang_pred", "score"}, "op9": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"}, "op10": {"doc_id", "item_id"},
+    "op11": {"word", "form", "root", "n", "n_near", "form_n"}, "op12": {"item_id", "rank", "doc_id", "score"}, "op13": {"doc_id", "keep_id", "group_size", "kept", "text_sha256"},
 }
 
 
@@ -20,12 +21,12 @@ COLUMNS = {
 def test_query(spark, sf, name):
     df = queries.QUERIES[name](spark, sf)
     assert COLUMNS[name.split("_")[0]] <= set(df.columns)
-    if not name.startswith("op10"):
+    if name.split("_")[0] not in ("op10", "op11", "op12"):
         assert df.count() == spark.read.parquet(f"{sf}/{'pages' if name.startswith('op1_') else 'documents'}.parquet").count()
 
 
-def test_all_ten_are_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+def test_all_are_registered():
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))

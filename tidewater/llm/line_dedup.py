@@ -20,10 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, let, lower_ascii, materialize
+from .common import WHITE, free_name, let, lower_ascii, materialize
 
 
-#: Prefix of the columns that dedup_lines adds to those of its input; give another if the input has such columns.
+#: Prefix of the columns that dedup_lines adds to those of its input.
 OWN = "__lines_"
 #: Parts that the documents of a key are dealt into.
 SLICES = 64
@@ -82,8 +82,9 @@ def _kept(lines: Column, runs: Column) -> Column:
     return F.concat(F.flatten(F.transform(runs, part)), F.slice(lines, end + 1, F.greatest(F.size(lines) - end, F.lit(0))))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, doc_id: str = "doc_id", text: str = "text", own: str = OWN) -> DataFrame:
-    """docs, all columns kept, with total, dropped, kept and runs, each prefixed by own, added."""
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, doc_id: str = "doc_id", text: str = "text", own: str | None = None) -> DataFrame:
+    """docs, all columns kept, with total, dropped, kept and runs, each prefixed by own, added; own is OWN, followed by as many '_' as docs' column names need."""
+    own = free_name(docs, OWN) if own is None else own
     maps = keep_bitmaps(docs, min_chars, min_docs, doc_id, text).select(F.col("doc_id").alias(f"{own}id"), F.col("version").alias(f"{own}version"), F.col("runs").alias(f"{own}runs"))
     joined = docs.join(maps, F.col(doc_id).eqNullSafe(F.col(f"{own}id")) & (_version(F.col(text)) == F.col(f"{own}version")), "left")
     plain = F.coalesce(F.col(text), F.lit(""))

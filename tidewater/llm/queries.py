@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprints, html_extract, language_id, line_dedup, lm_score, ngram_join, suffix_dedup, toxicity
+from . import bpe, decontaminate, exact_dedup, fingerprints, html_extract, language_id, line_dedup, lm_score, ngram_join, ranked_search, spelling, suffix_dedup, toxicity
 from .common import table
 
 
@@ -51,6 +51,18 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.component_ids(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_line_dedup": op2_line_dedup,
@@ -62,5 +74,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_lm_score": op9_lm_score,
     "op10_decontamination": op10_decontamination,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_exact_dedup": op13_exact_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_spelling_variants": spelling.ORACLE_SQL,
+    "op12_ranked_search": ranked_search.ORACLE_SQL,
+    "op13_exact_dedup": exact_dedup.ORACLE_SQL,
 }
-ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL}
