@@ -1,15 +1,15 @@
-"""The 28 features: 8 of the click itself, 6 of velocity, 14 of history. Each is a Column over windows.timed(clicks)."""
+"""The 28 features: 8 of the click itself, 6 of velocity, 14 of history, from sums over the clicks before (windows.carry_scan)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.windows import DAY, HOUR, SLICE, presence_counts, previous_gap, prior_count, prior_rate, prior_stddev, sliced_prior, timed
+from ..operators.windows import DAY, HOUR, SLICE_ROWS, Measure, carry_scan, closes, neighbours, opens, sliced, timed
 from ..sources.shared import write_once
 
-_LABEL = "is_attributed"
-
 
 def per_click() -> dict[str, Column]:
     text = lambda a, b: F.concat(F.col(a).cast("string"), F.lit("_"), F.col(b).cast("string"))
@@ -25,48 +25,43 @@ def per_click() -> dict[str, Column]:
     }
 
 
-def velocity() -> dict[str, Column]:
-    """The gap column comes first: the deviation reads it."""
-    return {
-        "f2_clicks_per_ip_last_1hr": prior_count(["ip"], HOUR).cast("long"),
-        "f2_clicks_per_ip_last_24hr": prior_count(["ip"], DAY).cast("long"),
-        "f2_clicks_per_ip_app_last_1hr": prior_count(["ip", "app"], HOUR).cast("long"),
-        "f2_inter_click_time_seconds": previous_gap(),
-    }
-
-
-def burst() -> Column:
-    """1 where more than 10 clicks in the hour before and under 60 s since the last; a first click is 0."""
-    return F.when((F.col("f2_clicks_per_ip_last_1hr") > 10) & (F.col("f2_inter_click_time_seconds") < 60), 1).otherwise(0).cast("byte")
-
-
-def deviation() -> Column:
-    return prior_stddev("f2_inter_click_time_seconds", ["ip"], DAY)
-
+_GAP = "f2_inter_click_time_seconds"
+#: What is summed over the rows of an ip, or of an (ip, app), before each row: SQL over a row.
+IP_MEASURES: dict[str, Measure] = {
+    "ip_n_1h": Measure("1", HOUR), "ip_n_24h": Measure("1", DAY), "ip_y_24h": Measure("is_attributed", DAY), "ip_n": Measure("1", None), "ip_y": Measure("is_attributed", None),
+    "pair_n_1h": Measure("1", HOUR, "app"), "pair_n_24h": Measure("1", DAY, "app"), "pair_y_24h": Measure("is_attributed", DAY, "app"), "pair_n": Measure("1", None, "app"), "pair_y": Measure("is_attributed", None, "app"),
+    "gap_n": Measure(f"if({_GAP} IS NOT NULL, 1, 0)", DAY), "gap_s": Measure(_GAP, DAY), "gap_ss": Measure(f"CAST({_GAP} AS DECIMAL(19,0)) * {_GAP}", DAY, kind="decimal(38,0)"),
+    **{f"ip_{c}s": Measure(f"{c}_opens", DAY, leaving=f"{c}_closes") for c in ("app", "device", "os")},
+}
+APP_MEASURES: dict[str, Measure] = {
+    "app_n_24h": Measure("1", DAY), "app_y_24h": Measure("is_attributed", DAY), "app_n": Measure("1", None), "app_y": Measure("is_attributed", None),
+    "app_ips": Measure("app_opens", DAY, leaving="app_closes"),
+}
 
-def history() -> dict[str, Column]:
-    y = F.col(_LABEL)
-    return {
-        "f3_ip_conversion_rate_24hr": prior_rate(y, ["ip"], DAY),
-        "f3_ip_conversion_rate_alltime": prior_rate(y, ["ip"], None),
-        "f3_ip_clicks_alltime": prior_count(["ip"], None).cast("long"),
-        "f3_ip_app_conversion_rate_24hr": prior_rate(y, ["ip", "app"], DAY),
-        "f3_ip_app_clicks_24hr": prior_count(["ip", "app"], DAY).cast("long"),
-        "f3_ip_app_conversion_rate_alltime": prior_rate(y, ["ip", "app"], None),
-        "f3_ip_app_clicks_alltime": prior_count(["ip", "app"], None).cast("long"),
-    }
 
+def _rate(y: str, n: str) -> str:
+    return f"if({n} > 0, {y} / {n}, NULL)"
 
-def app_history(df: DataFrame) -> DataFrame:
-    """df with the app features, over time slices: an app is a large part of all rows."""
-    df = sliced_prior(df, "app", F.col(_LABEL), {"day": DAY, "all": None})
-    rate = lambda n: F.when(F.col(f"{n}_n") > 0, F.col(f"{n}_sum") / F.col(f"{n}_n"))
-    return df.withColumns({"f3_app_conversion_rate_24hr": rate("day"), "f3_app_conversion_rate_alltime": rate("all"), "f3_app_clicks_alltime": F.col("all_n").cast("long")})
 
+#: 1 where more than 10 clicks in the hour before and under 60 s since the last; a first click is 0.
+_BURST = f"CASE WHEN ip_n_1h > 10 AND {_GAP} < 60 THEN 1 ELSE 0 END"
+#: Sample deviation of the gaps. Nothing cancels: n * sum(x^2) - sum(x)^2 is computed in whole numbers (decimals of 38 digits) and only then divided.
+_SPREAD = "CAST(CAST(gap_n AS DECIMAL(19,0)) * CAST(gap_ss AS DECIMAL(30,0)) AS DECIMAL(38,0)) - CAST(CAST(gap_s AS DECIMAL(19,0)) * CAST(gap_s AS DECIMAL(19,0)) AS DECIMAL(38,0))"
+_DEVIATION = f"if(gap_n > 1, sqrt(CAST({_SPREAD} AS DOUBLE) / (gap_n * (gap_n - 1))), NULL)"
 
-APP = ("f3_app_conversion_rate_24hr", "f3_app_conversion_rate_alltime", "f3_app_clicks_alltime")
-IP_DISTINCT = {"f3_ip_distinct_apps_24hr": "app", "f3_ip_distinct_devices_24hr": "device", "f3_ip_distinct_oses_24hr": "os"}
-APP_DISTINCT = {"f3_app_distinct_ips_24hr": "ip"}
+#: The features of each pass, as SQL over the measures: of the clicks before with the same ip (and app), and with the same app.
+IP_FEATURES: dict[str, str] = {
+    "f2_clicks_per_ip_last_1hr": "ip_n_1h", "f2_clicks_per_ip_last_24hr": "ip_n_24h", "f2_clicks_per_ip_app_last_1hr": "pair_n_1h",
+    "f2_inter_click_time_seconds": _GAP, "f2_ip_click_std_inter_arrival": _DEVIATION, "f2_burst_score": _BURST,
+    "f3_ip_conversion_rate_24hr": _rate("ip_y_24h", "ip_n_24h"), "f3_ip_conversion_rate_alltime": _rate("ip_y", "ip_n"), "f3_ip_clicks_alltime": "ip_n",
+    "f3_ip_app_conversion_rate_24hr": _rate("pair_y_24h", "pair_n_24h"), "f3_ip_app_clicks_24hr": "pair_n_24h",
+    "f3_ip_app_conversion_rate_alltime": _rate("pair_y", "pair_n"), "f3_ip_app_clicks_alltime": "pair_n",
+    "f3_ip_distinct_apps_24hr": "ip_apps", "f3_ip_distinct_devices_24hr": "ip_devices", "f3_ip_distinct_oses_24hr": "ip_oss",
+}
+APP_FEATURES: dict[str, str] = {
+    "f3_app_conversion_rate_24hr": _rate("app_y_24h", "app_n_24h"), "f3_app_conversion_rate_alltime": _rate("app_y", "app_n"),
+    "f3_app_clicks_alltime": "app_n", "f3_app_distinct_ips_24hr": "app_ips",
+}
 
 #: All names in their order, with the frozen types.
 FEATURES: dict[str, str] = {
@@ -83,27 +78,66 @@ FEATURES: dict[str, str] = {
 NUMERIC = [n for n, t in FEATURES.items() if t != "string"]
 
 
-def feature(clicks: DataFrame, name: str) -> DataFrame:
-    """(row_id, <name>): one feature by itself."""
-    if name in IP_DISTINCT:
-        return presence_counts(clicks, "ip", {name: IP_DISTINCT[name]}).select("row_id", name)
-    if name in APP_DISTINCT:
-        return presence_counts(clicks, "app", APP_DISTINCT, slice_us=SLICE).select("row_id", name)
-    if name in APP:
-        return app_history(clicks).select("row_id", name)
-    simple = per_click() | velocity() | history()
-    base = timed(clicks)
-    if name in simple:
-        return base.select("row_id", simple[name].alias(name))
-    base = base.withColumns({k: v for k, v in velocity().items() if k in ("f2_clicks_per_ip_last_1hr", "f2_inter_click_time_seconds")})
-    return base.select("row_id", {"f2_burst_score": burst, "f2_ip_click_std_inter_arrival": deviation}[name]().alias(name))
-
-
-def all_features(clicks: DataFrame) -> DataFrame:
-    """clicks with all 28 features: one shuffle by ip (ip and (ip, app) windows), written once, then app over time slices."""
-    df = presence_counts(clicks, "ip", IP_DISTINCT)
-    df = timed(df).withColumns(velocity() | history())
-    df = write_once(df.withColumns({"f2_ip_click_std_inter_arrival": deviation(), "f2_burst_score": burst()} | per_click()), "ip-features")
-    df = app_history(df)
-    apps = presence_counts(df.select("row_id", "app", "ip", "click_time"), "app", APP_DISTINCT, slice_us=SLICE).select("row_id", *APP_DISTINCT)
-    return df.join(apps, "row_id").select(*clicks.columns, *[F.col(n).cast(t).alias(n) for n, t in FEATURES.items()])
+def with_edges(clicks: DataFrame, items: tuple[str, ...] = ("app", "device", "os"), limit: int = SLICE_ROWS) -> DataFrame:
+    """clicks with the seconds since the ip's click before, and where the segments of each item of an ip open and close."""
+    out = neighbours(sliced(timed(clicks), "ip", limit), "ip")
+    seconds = lambda t: F.floor(F.col(t) / 1_000_000)
+    out = out.withColumn("f2_inter_click_time_seconds", (seconds("__t") - seconds("__before")).cast("long")).drop("__before", "__after")
+    for c in items:
+        out = neighbours(out, "ip", c).withColumns({f"{c}_opens": opens(DAY).cast("byte"), f"{c}_closes": closes(DAY).cast("byte")}).drop("__before", "__after")
+    return out.drop("__t", "__w")
+
+
+def with_ip_features(edges: DataFrame, names: Iterable[str] = tuple(IP_FEATURES), measures: Iterable[str] = tuple(IP_MEASURES), limit: int = SLICE_ROWS) -> DataFrame:
+    """with_edges(clicks) with features of the ip and of the (ip, app): one shuffle by (ip, time slice)."""
+    out = carry_scan(sliced(timed(edges), "ip", limit), "ip", {m: IP_MEASURES[m] for m in measures})
+    return out.withColumns({n: F.expr(IP_FEATURES[n]).cast(FEATURES[n]) for n in names}).drop(*measures, "__t", "__w")
+
+
+def with_app_features(edges: DataFrame, names: Iterable[str] = tuple(APP_FEATURES), measures: Iterable[str] = tuple(APP_MEASURES), limit: int = SLICE_ROWS) -> DataFrame:
+    """with_edges(clicks) with features of the app: one shuffle by (app, time slice)."""
+    out = carry_scan(sliced(timed(edges), "app", limit), "app", {m: APP_MEASURES[m] for m in measures})
+    return out.withColumns({n: F.expr(APP_FEATURES[n]).cast(FEATURES[n]) for n in names}).drop(*measures, "__t", "__w")
+
+
+#: What a feature reads: its measures, and the items whose segments they count.
+_READS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "f2_clicks_per_ip_last_1hr": (("ip_n_1h",), ()), "f2_clicks_per_ip_last_24hr": (("ip_n_24h",), ()), "f2_clicks_per_ip_app_last_1hr": (("pair_n_1h",), ()),
+    "f2_ip_click_std_inter_arrival": (("gap_n", "gap_s", "gap_ss"), ()), "f2_burst_score": (("ip_n_1h",), ()),
+    "f3_ip_conversion_rate_24hr": (("ip_n_24h", "ip_y_24h"), ()), "f3_ip_conversion_rate_alltime": (("ip_n", "ip_y"), ()), "f3_ip_clicks_alltime": (("ip_n",), ()),
+    "f3_ip_app_conversion_rate_24hr": (("pair_n_24h", "pair_y_24h"), ()), "f3_ip_app_clicks_24hr": (("pair_n_24h",), ()),
+    "f3_ip_app_conversion_rate_alltime": (("pair_n", "pair_y"), ()), "f3_ip_app_clicks_alltime": (("pair_n",), ()),
+    "f3_ip_distinct_apps_24hr": (("ip_apps",), ("app",)), "f3_ip_distinct_devices_24hr": (("ip_devices",), ("device",)), "f3_ip_distinct_oses_24hr": (("ip_oss",), ("os",)),
+    "f3_app_conversion_rate_24hr": (("app_n_24h", "app_y_24h"), ()), "f3_app_conversion_rate_alltime": (("app_n", "app_y"), ()),
+    "f3_app_clicks_alltime": (("app_n",), ()), "f3_app_distinct_ips_24hr": (("app_ips",), ("app",)),
+}
+_READS_GAP = ("f2_inter_click_time_seconds", "f2_ip_click_std_inter_arrival", "f2_burst_score")
+
+
+def feature(clicks: DataFrame, name: str, limit: int = SLICE_ROWS) -> DataFrame:
+    """(row_id, <name>): one feature by itself, from the measures that it reads and no others."""
+    if name in per_click():
+        return clicks.select("row_id", per_click()[name].alias(name))
+    measures, items = _READS.get(name, ((), ()))
+    rows = with_edges(clicks, items, limit) if items or name in _READS_GAP else clicks
+    if not measures:
+        return rows.select("row_id", name)
+    scan = with_app_features if name in APP_FEATURES else with_ip_features
+    return scan(rows, (name,), measures, limit).select("row_id", name)
+
+
+#: The passes over the clicks, in their order: each a shuffle of the clicks and a function of the table before.
+PASSES: dict[str, Callable[[DataFrame, int], DataFrame]] = {
+    "edges": lambda clicks, limit: with_edges(clicks, limit=limit),
+    "ip": lambda edges, limit: with_ip_features(edges, limit=limit),
+    "app": lambda rows, limit: with_app_features(rows, limit=limit).withColumns(per_click()),
+}
+
+
+def all_features(clicks: DataFrame, limit: int = SLICE_ROWS, keep: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None) -> DataFrame:
+    """clicks with all 28 features, without a join by row: three passes, each written once (keep(name, pass) keeps them elsewhere or finds them again)."""
+    out = clicks
+    for name, run in PASSES.items():
+        step = lambda out=out, run=run: run(out, limit)
+        out = write_once(step(), f"pass-{name}") if keep is None and name != "app" else step() if keep is None else keep(name, step)
+    return out.select(*clicks.columns, *[F.col(n).cast(t).alias(n) for n, t in FEATURES.items()])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import write_once
 from .quantiles import exact_quantiles
+from .windows import neighbours, sliced, timed
 
 COLUMNS = ("ip", "app", "device", "os", "channel")
 
@@ -95,8 +96,9 @@ def seconds_between(later: str | Column, earlier: str | Column) -> Column:
 
 
 def inter_click_time(clicks: DataFrame) -> DataFrame:
-    before = F.lag("click_time").over(Window.partitionBy("ip").orderBy("click_time"))
-    return statistics(clicks.select(seconds_between("click_time", before).alias("gap_seconds")), "gap_seconds")
+    """Gaps between an ip's clicks; an ip with many clicks is cut into time slices."""
+    out = neighbours(sliced(timed(clicks), "ip"), "ip")
+    return statistics(out.select(((F.col("__t") - F.col("__before")) / 1e6).alias("gap_seconds")), "gap_seconds")
 
 
 def attributed_lag(clicks: DataFrame) -> DataFrame:

@@ -2,22 +2,56 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+from collections.abc import Callable
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.features import NUMERIC, all_features
 from ..operators.sampling import stratified_sample
 from ..operators.triage import fraud_score, quantile_thresholds, route, two_way
 from ..sources import audit
 from ..sources.clicks import EVENT_SPLITS, Split, split_predicate
+from ..sources.shared import publish, published
 from ..sources.store import FeatureStore
 from .models import F1F2, fit_logreg, linear_contributions, predict, tree_contributions
 
 
-def feature_table(clicks: DataFrame, split: str | None = None, sample_fraction: float | None = None, splits: tuple[Split, ...] = EVENT_SPLITS) -> DataFrame:
+#: Name of what the passes compute; another name makes kept passes of older code count as missing.
+PASSES_VERSION = "1"
+
+
+class KeptPasses:
+    """Passes of all_features kept as tables, so that a build that was broken off goes on after its last whole pass.
+
+    A pass belongs to the input that it was made from (its content, whatever its order). Its manifest, which is written last, names its
+    folder; a folder without one is what a broken run has left and is not read. All splits of one input share the passes.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, made_from: str):
+        self.spark, self.root, self.made = spark, f"{root.rstrip('/')}/{hashlib.sha256(f'{PASSES_VERSION} {made_from}'.encode()).hexdigest()[:24]}", 0
+
+    def keep(self, name: str, run: Callable[[], DataFrame]) -> DataFrame:
+        manifest = f"{self.root}/{name}.json"
+        if (found := published(self.spark, manifest)) is None:
+            folder = f"{self.root}/{name}-{uuid.uuid4().hex}"
+            table = run()
+            table.write.parquet(folder)
+            publish(self.spark, manifest, json.dumps({"folder": folder, "schema": table.schema.jsonValue()}))
+            self.made += 1
+            found = published(self.spark, manifest)  # of two runs at a time, the first to publish
+        entry = json.loads(found)
+        return self.spark.read.schema(StructType.fromJson(entry["schema"])).parquet(entry["folder"])
+
+
+def feature_table(clicks: DataFrame, split: str | None = None, sample_fraction: float | None = None, splits: tuple[Split, ...] = EVENT_SPLITS, kept: KeptPasses | None = None) -> DataFrame:
     """All features. Windows see all earlier rows; the split and the sample are taken after them."""
-    out = all_features(clicks)
+    out = all_features(clicks, keep=kept.keep if kept else None)
     if split is not None:
         out = out.where(split_predicate(split, splits))
     if sample_fraction is not None:
@@ -32,11 +66,16 @@ def input_version(clicks: DataFrame) -> str:
 
 
 def materialize_features(clicks: DataFrame, store: FeatureStore, version: str, split: str, source: str, sample_fraction: float | None = None) -> int:
-    """Write a split's features to the store; returns its rows. A table made from the same input is reused, one made from another raises."""
-    origin = f"{source}#{input_version(clicks)}#{sample_fraction}"
+    """Write a split's features to the store; returns its rows. A table made from the same input is reused, one made from another raises.
+
+    The passes are kept in the store, for the other splits and for a run after a broken one.
+    """
+    made_from = input_version(clicks)
+    origin = f"{source}#{made_from}#{sample_fraction}"
     row = lambda: store.metadata().where((F.col("version") == version) & (F.col("split") == split)).limit(1).collect()
     if not (done := row()):
-        store.save(feature_table(clicks, split, sample_fraction), version, split, origin)
+        kept = KeptPasses(clicks.sparkSession, f"{store.root}/passes", made_from)
+        store.save(feature_table(clicks, split, sample_fraction, kept=kept), version, split, origin)
         done = row()
     if done[0]["source"] != origin:
         raise ValueError(f"{split} of {version} was made from other input: {done[0]['source']}, not {origin}")

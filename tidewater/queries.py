@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.features import FEATURES, NUMERIC, feature
+from .functions.features import FEATURES, NUMERIC, PASSES, feature
 from .functions.registry import Feature, FeatureSet, Registry
 from .operators import metrics, profile, quality, sampling, triage
-from .operators.windows import DAY, asof_last, presence_counts, prior_rate, sessionize, sliced_prior, timed
+from .operators.windows import DAY, SLICE_ROWS, asof_last, presence_counts, prior_rate, sessionize, sliced_prior, timed
 from .plans import materialize, models
 from .sources import audit
 from .sources.clicks import apply_split, create_split_views, from_events, ingest_csv, read_csv, split_predicate, split_ranges, with_row_id, write_csv
@@ -152,14 +152,6 @@ def _registered(clicks: DataFrame) -> DataFrame:
     return FeatureSet(list(registry.features.values())).compute(clicks.sparkSession, clicks).select("row_id", "k", "wide")
 
 
-@register("u6_resumable_pass", "SELECT count(*) AS n_rows, 1 AS n_saved FROM clicks WHERE click_time >= TIMESTAMP '2024-01-19' AND click_time < TIMESTAMP '2024-01-25'")
-def _resumed(clicks: DataFrame) -> DataFrame:
-    """A second pass over the same input finds the table of the first."""
-    store = FeatureStore(clicks.sparkSession, shared_path(clicks.sparkSession, "store"))
-    first, again = (materialize.materialize_features(clicks, store, "v0.1.0", "val", "events") for _ in range(2))
-    return store.metadata().where(F.lit(first == again)).agg(F.max("n_rows").alias("n_rows"), F.count(F.lit(1)).cast("int").alias("n_saved"))
-
-
 # Aggregations and profiles
 
 register("a2_global", "SELECT count(*) AS n, sum(is_attributed)::BIGINT AS y, round(avg(is_attributed), 6) AS rate, min(click_time) AS first, max(click_time) AS last FROM clicks")(lambda c: c.agg(F.count(F.lit(1)).alias("n"), F.sum("is_attributed").cast("long").alias("y"), F.avg(F.col("is_attributed").cast("double")).alias("rate"), F.min("click_time").alias("first"), F.max("click_time").alias("last")))
@@ -248,7 +240,22 @@ def _materialize(clicks: DataFrame) -> DataFrame:
     return materialize.feature_table(clicks, "val").select("row_id", *FEATURES)
 
 
-register("w8_sessionize", ", m AS (SELECT *, CASE WHEN epoch_us(click_time) - epoch_us(lag(click_time) OVER w) <= 86400000000 THEN 0 ELSE 1 END AS new FROM clicks WINDOW w AS (PARTITION BY ip ORDER BY click_time, row_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY ip ORDER BY click_time, row_id ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM m) SELECT ip, segment, min(click_time) AS first, max(click_time) AS last, count(*) AS n_clicks FROM s GROUP BY 1, 2")(lambda c: sessionize(c, ["ip"]))
+@register("u6_resumable_pass", f"{_WITH_GAP}, f AS (SELECT row_id, click_time, {_ALL} FROM g) SELECT * EXCLUDE (click_time), 1 AS passes_before, {len(PASSES) - 1} AS passes_after FROM f WHERE click_time < TIMESTAMP '2024-01-25'")
+def _resumed(clicks: DataFrame) -> DataFrame:
+    """A build that stops after its first pass, then train and val of the same input: the second build goes on, the third finds all passes."""
+    spark, root = clicks.sparkSession, shared_path(clicks.sparkSession, "store")
+    store, version = FeatureStore(spark, root), materialize.input_version(clicks)
+    first = materialize.KeptPasses(spark, f"{root}/passes", version)
+    first.keep("edges", lambda: PASSES["edges"](clicks, SLICE_ROWS))
+    then = materialize.KeptPasses(spark, f"{root}/passes", version)
+    materialize.feature_table(clicks, "train", kept=then)
+    for split in ("train", "val"):
+        materialize.materialize_features(clicks, store, "v0.1.0", split, "events")
+    both = store.load("v0.1.0", "train").unionByName(store.load("v0.1.0", "val"))
+    return both.select("row_id", *FEATURES).withColumns({"passes_before": F.lit(first.made), "passes_after": F.lit(then.made)})
+
+
+register("w8_sessionize", ", m AS (SELECT *, CASE WHEN epoch_us(click_time) - epoch_us(lag(click_time) OVER w) <= 86400000000 THEN 0 ELSE 1 END AS new FROM clicks WINDOW w AS (PARTITION BY ip ORDER BY click_time, row_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY ip ORDER BY click_time, row_id ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM m) SELECT ip, segment, min(click_time) AS first, max(click_time) AS last, count(*) AS n_clicks FROM s GROUP BY 1, 2")(lambda c: sessionize(c, "ip"))
 register("w9_presence_count", f"SELECT row_id, {_over('count(DISTINCT channel)', 'ip', '24hr')} AS channels FROM clicks")(lambda c: presence_counts(c, "ip", {"channels": "channel"}).select("row_id", "channels"))
 register("w10_prefix_diff", f"SELECT row_id, {_over('count(*)', 'app', '24hr')} AS day_n, coalesce({_over('sum(is_attributed)', 'app', '24hr')}, 0)::BIGINT AS day_sum FROM clicks")(lambda c: sliced_prior(c, "app", F.col("is_attributed"), {"day": DAY}).select("row_id", "day_n", "day_sum"))
 
@@ -404,19 +411,19 @@ def stream(name: str, sql: str | None = None) -> Callable:
 
 @stream("x1_stream_velocity", "SELECT ip, date_trunc('hour', click_time) AS start, count(*) AS n_clicks FROM clicks GROUP BY 1, 2")
 def _velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = velocity.windowed_counts(velocity.click_stream(spark, sf_dir))
-    return velocity.run_to_table(spark, counts, "velocity", "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    counts = velocity.windowed_counts(velocity.click_stream(spark, sf_dir, closing=True))
+    return velocity.run_to_table(spark, counts, "velocity").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @stream("x4_stream_sessions", ", m AS (SELECT *, CASE WHEN epoch_us(click_time) - epoch_us(lag(click_time) OVER w) < 86400000000 THEN 0 ELSE 1 END AS new FROM clicks WINDOW w AS (PARTITION BY ip ORDER BY click_time, row_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY ip ORDER BY click_time, row_id ROWS UNBOUNDED PRECEDING) AS segment FROM m) SELECT ip, min(click_time) AS start, max(click_time) + INTERVAL 1 DAY AS \"end\", count(*) AS n_clicks FROM s GROUP BY ip, segment")
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = velocity.run_to_table(spark, velocity.sessions(velocity.click_stream(spark, sf_dir)), "sessions", "complete")
+    found = velocity.run_to_table(spark, velocity.sessions(velocity.click_stream(spark, sf_dir, closing=True)), "sessions")
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
 @stream("x2_stream_prior_features", f"SELECT row_id, ip, {_over('count(*)', 'ip', '24hr')} AS clicks_before, round({_over('avg(is_attributed)', 'ip', '24hr')}, 6) AS rate_before FROM clicks")
 def _prior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return velocity.run_to_table(spark, velocity.prior_features(velocity.click_stream(spark, sf_dir)), "prior")
+    return velocity.run_to_table(spark, velocity.prior_features(velocity.click_stream(spark, sf_dir)), "prior", rocksdb=True)
 
 
 @stream("x3_stream_route", f"SELECT action, count(*) AS n FROM (SELECT {_ACTION.replace('fraud_score', 's')} AS action FROM (SELECT row_id AS case_id, 1.0::DOUBLE - ((row_id * 7919) % 1000)::DOUBLE / 1000.0::DOUBLE AS s FROM clicks)) WHERE action <> 'ALLOW' GROUP BY 1")
@@ -425,3 +432,19 @@ def _route(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "stream-audit")
     velocity.stream_route(spark, clicks, path, 0.8, 0.6, 0.05).awaitTermination()
     return triage.action_mix(audit.read(spark, path))
+
+
+@stream("x5_stream_late", """, mark AS (SELECT max(click_time) - INTERVAL 1 DAY AS mark FROM clicks WHERE row_id % 10 <> 0),
+c AS (SELECT ip, date_trunc('hour', click_time) AS start, row_id % 20 = 10 AND date_trunc('hour', click_time) + INTERVAL 1 HOUR <= mark AS late FROM clicks, mark)
+SELECT ip, start, count(*) FILTER (WHERE NOT late) AS n_clicks, count(*) FILTER (WHERE late) AS n_late FROM c GROUP BY 1, 2""")
+def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth click comes after all others, in two batches; the first of them still meets open windows, the second is too late for most."""
+    clicks = velocity.with_closing(velocity.stream_clicks(spark, sf_dir))
+    path = shared_path(spark, "clicks-late")
+    turn = F.when(F.col("row_id") % 10 != 0, 0).when(F.col("row_id") % 20 == 0, 1).otherwise(2)
+    clicks.repartitionByRange(3, turn).write.parquet(path)
+    arriving = lambda: velocity.file_stream(spark, path, clicks.schema)
+    counted = velocity.run_to_table(spark, velocity.windowed_counts(arriving()), "velocity")
+    late = velocity.late_clicks(spark, arriving(), "late").groupBy("ip", F.date_trunc("hour", "click_time").alias("start")).agg(F.count(F.lit(1)).alias("n_late"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return counted.join(late, ["ip", "start"], "full").select("ip", F.col("start").cast("timestamp_ntz").alias("start"), zero("n_clicks"), zero("n_late"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import write_once
+from .shared import names_in, publish, published
 
 #: Fixed schema of the log.
 CONTRIBUTION = T.ArrayType(T.StructType([
@@ -59,22 +62,36 @@ def violation() -> Column:
     return out
 
 
-def append(entries: DataFrame, path: str) -> int:
-    """Append checked rows; a row that breaks the schema raises, an empty batch writes nothing. Returns the number of rows.
+def append(entries: DataFrame, path: str, batch: str | None = None) -> int:
+    """Append checked rows as one batch; a row that breaks the schema raises, and nothing of its batch is in the log. Returns the number of rows.
 
-    The rows are evaluated once: what is checked is what is written.
+    The rows are evaluated and written once, into the batch's own folder, and counted and checked on the way. A batch is in the log when its
+    commit record is, which comes last. A batch of a name that is committed is not written again, one that failed before is replaced: so a
+    stream that gives its batch number may repeat a batch. An empty batch is committed and writes no rows.
     """
-    entries = write_once(entries.select(*[F.col(f.name).cast(f.dataType) for f in AUDIT]), "audit-batch")
-    checked = entries.agg(F.count(F.lit(1)).alias("n"), F.count_if(violation().isNotNull()).alias("bad"), F.first(violation(), ignorenulls=True).alias("why")).first()
-    if checked["bad"]:
-        raise ValueError(f"{checked['bad']} audit rows are invalid: {checked['why']}")
-    if checked["n"]:
-        entries.write.mode("append").partitionBy("action").parquet(path)
-    return checked["n"]
+    spark, batch = entries.sparkSession, batch or uuid.uuid4().hex
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", batch):
+        raise ValueError(f"not a batch name: {batch!r}")
+    if (done := published(spark, f"{path}/commits/{batch}")) is not None:
+        return int(done)
+    seen = Observation(f"audit-{uuid.uuid4().hex}")
+    checked = entries.select(*[F.col(f.name).cast(f.dataType) for f in AUDIT]).observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(violation().isNotNull()).alias("bad"), F.max(violation()).alias("why"))
+    checked.write.mode("overwrite").partitionBy("action").parquet(f"{path}/batches/batch={batch}")
+    found = seen.get
+    if found["bad"]:
+        raise ValueError(f"{found['bad']} audit rows are invalid: {found['why']}")
+    publish(spark, f"{path}/commits/{batch}", str(found["n"]))
+    return found["n"]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(AUDIT).parquet(path).select(*AUDIT.names)
+    """The rows of the committed batches."""
+    done = [f"{path}/batches/batch={b}" for b in names_in(spark, f"{path}/commits") if not b.endswith(".tmp") and not b.startswith(".")]
+    parts = [spark.read.schema(AUDIT).option("basePath", f"{path}/batches").parquet(*done[i : i + 1000]).select(*AUDIT.names) for i in range(0, len(done), 1000)]
+    out = parts[0] if parts else spark.createDataFrame([], AUDIT)
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def review_queue(log: DataFrame, limit: int = 500) -> DataFrame:

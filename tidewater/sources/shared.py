@@ -31,6 +31,43 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop's classes: paths may be in any store that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def publish(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file so that readers see all of it or none: under another name first, then renamed. An existing file stays."""
+    fs, target = file_system(spark, path)
+    _, draft = file_system(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(draft, target):
+        fs.delete(draft, False)
+        if not fs.exists(target):
+            raise OSError(f"could not write {path}")
+
+
+def published(spark: SparkSession, path: str) -> str | None:
+    """The text of a published file, None where there is none."""
+    fs, p = file_system(spark, path)
+    if not fs.exists(p):
+        return None
+    source = fs.open(p)
+    try:
+        return str(spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+    finally:
+        source.close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in a folder, none where there is no folder."""
+    fs, p = file_system(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def ranged(df: DataFrame, *order: Column | str) -> DataFrame:
     """df written once, with __part: the number of its range partition in that order. Equal rows have one part, and parts are about equally large."""
     return write_once(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged")

@@ -3,31 +3,52 @@
 from __future__ import annotations
 
 import time
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import StructType
 
 from ..operators.triage import fraud_score, route
 from ..sources import audit
 from ..sources.shared import shared_path
 
 HOUR_MS, DAY_MS = 3_600_000, 86_400_000
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
-def click_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
+def click_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1, closing: bool = False) -> DataFrame:
     """The events table as a stream of (row_id, ip, click_time, is_attributed), in the order of time.
 
     Rows that come a day late are left out behind a watermark, and the table's files may be in any order, so the stream reads a copy ranged by time.
+    closing: with_closing.
     """
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    clicks = e.select((F.col("event_id") + 1).alias("row_id"), F.col("user_id").cast("int").alias("ip"), F.col("ts").cast("timestamp").alias("click_time"), F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("is_attributed"))
+    clicks = stream_clicks(spark, sf_dir)
+    clicks = with_closing(clicks) if closing else clicks
     path = shared_path(spark, "clicks-by-time")
     clicks.repartitionByRange("click_time").write.parquet(path)
+    return file_stream(spark, path, clicks.schema, files_per_trigger)
+
+
+def stream_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select((F.col("event_id") + 1).alias("row_id"), F.col("user_id").cast("int").alias("ip"), F.col("ts").cast("timestamp").alias("click_time"), F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("is_attributed"))
+
+
+def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
+    """A folder's files as a stream, in the order of their numbers."""
     order_files(spark, path)
-    return spark.readStream.schema(clicks.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+def with_closing(clicks: DataFrame, days: int = 3) -> DataFrame:
+    """clicks and one row of no ip, days after the last: it moves the watermark past all windows, so that a finite stream gives them all out."""
+    last = clicks.agg((F.max("click_time") + F.make_dt_interval(F.lit(days))).alias("click_time"))
+    return clicks.unionByName(last, allowMissingColumns=True)
 
 
 def order_files(spark: SparkSession, path: str) -> None:
@@ -41,7 +62,10 @@ def order_files(spark: SparkSession, path: str) -> None:
 
 
 def windowed_counts(clicks: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """(ip, start, n_clicks) of tumbling windows; clicks later than the watermark are left out."""
+    """(ip, start, n_clicks) of tumbling windows, given out in append mode when the watermark has passed them; their state goes then.
+
+    Clicks of windows that are closed are left out: late_clicks collects them.
+    """
     w = F.window("click_time", width)
     return clicks.withWatermark("click_time", late).groupBy("ip", w).agg(F.count(F.lit(1)).alias("n_clicks")).select("ip", F.col("window.start").alias("start"), "n_clicks")
 
@@ -52,53 +76,139 @@ def sessions(clicks: DataFrame, gap: str = "1 day", late: str = "1 day") -> Data
     return clicks.withWatermark("click_time", late).groupBy("ip", w).agg(F.count(F.lit(1)).alias("n_clicks")).select("ip", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n_clicks")
 
 
-def prior_features(clicks: DataFrame, span_ms: int = DAY_MS) -> DataFrame:
+class PriorCounts(StatefulProcessor):
+    """Of each click of an ip, how many clicks and attributed clicks its last span holds.
+
+    The state is a map by time bucket: the bucket's totals, and its times and labels in order. Whole buckets of a span are read as totals and only
+    those at its two ends as rows; a batch writes the buckets that it has clicks in, whatever the ip's history. A timer removes each bucket.
+    """
+
+    def __init__(self, span_us: int, bucket_us: int):
+        self.span, self.bucket = span_us, bucket_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.totals = handle.getMapState("totals", "bucket long", "n long, y long")
+        self.rows = handle.getMapState("rows", "bucket long", "times array<long>, labels array<int>")
+
+    def _rows(self, b: int) -> tuple[list[int], list[int]]:
+        found = self.rows.getValue((b,)) if self.rows.containsKey((b,)) else None
+        return (list(found[0]), list(found[1])) if found is not None else ([], [])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values(["click_time", "row_id"])
+        at = new["click_time"].astype("datetime64[us]").astype("int64").tolist()
+        changed: dict[int, list[tuple[int, int]]] = {}
+        for t, y in zip(at, new["is_attributed"].tolist(), strict=True):
+            changed.setdefault(t // self.bucket, []).append((t, int(y)))
+        held: dict[int, tuple[list[int], list[int]]] = {}
+        for b, added in changed.items():
+            times, labels = self._rows(b)
+            merged = sorted([*zip(times, labels, strict=True), *added], key=lambda r: r[0])
+            held[b] = [t for t, _ in merged], [y for _, y in merged]
+            self.rows.updateValue((b,), held[b])
+            self.totals.updateValue((b,), (len(merged), sum(held[b][1])))
+            if not times:
+                self.handle.registerTimer((b + 1) * self.bucket // 1000 + self.span // 1000 * 3)
+        reach = range((at[0] - self.span - 1) // self.bucket, at[-1] // self.bucket + 1)
+        first, n, y = reach[0], [0], [0]
+        for b in reach:
+            total = self.totals.getValue((b,)) if self.totals.containsKey((b,)) else (0, 0)
+            n.append(n[-1] + total[0])
+            y.append(y[-1] + total[1])
+        sums: dict[int, list[int]] = {}
+
+        def up_to(x: int) -> tuple[int, int]:
+            """Clicks and attributed clicks at or before x, of the buckets in reach."""
+            b = x // self.bucket
+            if b not in held:
+                held[b] = self._rows(b)
+            if b not in sums:
+                sums[b] = [0, *accumulate(held[b][1])]
+            k = bisect_right(held[b][0], x)
+            return n[b - first] + k, y[b - first] + sums[b][k]
+
+        out = []
+        for t in at:
+            (n1, y1), (n0, y0) = up_to(t - 1000), up_to(t - self.span - 1)
+            out.append((n1 - n0, (y1 - y0) / (n1 - n0) if n1 > n0 else None))
+        yield pd.DataFrame({"row_id": new["row_id"].to_numpy(), "ip": key[0], "clicks_before": [c for c, _ in out], "rate_before": [r for _, r in out]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        b = (expiredTimerInfo.getExpiryTimeInMs() - self.span // 1000 * 3) * 1000 // self.bucket - 1
+        self.rows.removeKey((b,))
+        self.totals.removeKey((b,))
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def prior_features(clicks: DataFrame, span_ms: int = DAY_MS, bucket_ms: int = HOUR_MS) -> DataFrame:
     """(row_id, ip, clicks_before, rate_before): counts over [t - span, t - 1 ms], emitted when the click comes.
 
-    The state of an ip holds the times and labels of one span only, and goes when the ip is idle for longer.
+    Rows later than a day are left out. The state store must be RocksDB: run_to_table(..., rocksdb=True) sees to it.
     """
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times, labels = (list(x) for x in state.get) if state.exists else ([], [])
-        rows = pd.concat(list(batches)).sort_values(["click_time", "row_id"])
-        at = rows["click_time"].astype("datetime64[us]").astype("int64").to_numpy()
-        seen = pd.Series([*times, *at.tolist()])
-        label = pd.Series([*labels, *rows["is_attributed"].tolist()])
-        order = seen.sort_values(kind="stable").index
-        seen, total = seen[order].to_numpy(), label[order].cumsum().to_numpy()
-        lo, hi = seen.searchsorted(at - span_ms * 1000, "left"), seen.searchsorted(at - 1000, "right")
-        before = lambda k: pd.Series([0, *total.tolist()]).to_numpy()[k]
-        n = hi - lo
-        yield pd.DataFrame({"row_id": rows["row_id"].to_numpy(), "ip": key[0], "clicks_before": n, "rate_before": [(a / b if b else None) for a, b in zip(before(hi) - before(lo), n, strict=True)]})
-        keep = seen >= seen[-1] - 2 * span_ms * 1000
-        own = label[order].to_numpy()
-        state.update((seen[keep].tolist(), own[keep].tolist()))
-        state.setTimeoutTimestamp(int(seen[-1] // 1000) + 3 * span_ms)
-
-    return clicks.withWatermark("click_time", "1 day").groupBy("ip").applyInPandasWithState(update, "row_id long, ip int, clicks_before long, rate_before double", "times array<long>, labels array<int>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run the stream over what is there now, into Parquet in the shared folder (complete results: the last batch)."""
-    out, log = shared_path(spark, name), shared_path(spark, f"{name}-log")
+    return (
+        clicks.withWatermark("click_time", "1 day").groupBy("ip")
+        .transformWithStateInPandas(PriorCounts(span_ms * 1000, bucket_ms * 1000), "row_id long, ip int, clicks_before long, rate_before double", "append", "EventTime")
+    )
+
+
+def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None, rocksdb: bool = False) -> DataFrame:
+    """Run the stream over what is there now, into Parquet in the shared folder (complete results: the last batch).
+
+    Each batch has a folder of its number, so a batch that is run again replaces what it wrote before.
+    """
+    out, log = shared_path(spark, name), checkpoint or shared_path(spark, f"{name}-log")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/__batch={number}")
+
+    before = spark.conf.get(_STATE_STORE)
+    if rocksdb:
+        spark.conf.set(_STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream.writeStream.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    finally:
+        spark.conf.set(_STATE_STORE, before)
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
 
+def stream_route(spark: SparkSession, scored: DataFrame, log_path: str, block: float, review: float, rate: float = 0.005, seed: int = 42, checkpoint: str | None = None, name: str = "route"):
+    """Start a stream of (case_id, click_time, p): score, route and append each batch to the audit log, repeated cases once.
 
-def stream_route(spark: SparkSession, scored: DataFrame, log_path: str, block: float, review: float, rate: float = 0.005, seed: int = 42):
-    """Start a stream of (case_id, click_time, p): score, route and append each batch to the audit log, repeated cases once."""
+    A batch goes to the log under the stream's name and its number, with a commit record: a batch that is run again after a failure is there once.
+    A stream that is to go on after a stop is given the checkpoint and the name that it had.
+    """
     once = scored.withWatermark("click_time", "1 day").dropDuplicatesWithinWatermark(["case_id"])
     ready = once.withColumns({"fraud_score": fraud_score("p"), "raw_score": F.col("p"), "calibrated_score": F.col("p")})
 
     def write(batch: DataFrame, number: int) -> None:
         routed = route(batch, block, review, rate, seed).withColumn("click_time", F.col("click_time").cast("timestamp_ntz"))
-        audit.append(audit.rows(routed, "stream-v1", "cost-v1", block, review), log_path)
+        audit.append(audit.rows(routed, "stream-v1", "cost-v1", block, review), log_path, f"{name}-{number}")
 
-    return ready.writeStream.option("checkpointLocation", shared_path(spark, "route-log")).trigger(availableNow=True).foreachBatch(write).start()
+    return ready.writeStream.option("checkpointLocation", checkpoint or shared_path(spark, "route-log")).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def late_clicks(spark: SparkSession, clicks: DataFrame, name: str, width_s: int = 3600, late_s: int = 86400, checkpoint: str | None = None) -> DataFrame:
+    """The clicks that windowed_counts leaves out, as a table: those whose window was closed when they came, with the batch that they came in.
+
+    A window is closed when the watermark of the batch before has reached its end, by which Spark judges too: the latest click of all batches up to the
+    last but one, less the delay. What each batch's latest
+    click was is kept beside the table, a row a batch, so a stream that goes on after a stop knows its watermark.
+    """
+    out, log = shared_path(spark, name), checkpoint or shared_path(spark, f"{name}-log")
+    folders = {k: f"{log}-{k}" for k in ("latest", "rows")} if checkpoint else {k: f"{out}-{k}" for k in ("latest", "rows")}
+
+    def write(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()
+        kept.agg(F.max("click_time").alias("latest")).write.mode("overwrite").parquet(f"{folders['latest']}/batch={number}")
+        before = spark.read.schema("latest timestamp, batch int").parquet(folders["latest"]).where(F.col("batch") < number - 1).agg(F.max("latest")).first()[0]
+        mark = F.lit(before).cast("timestamp") - F.make_dt_interval(secs=F.lit(late_s))
+        closed = F.window("click_time", f"{width_s} seconds")["end"] <= mark
+        kept.where(F.lit(before is not None) & F.coalesce(closed, F.lit(False))).write.mode("overwrite").parquet(f"{folders['rows']}/batch={number}")
+        kept.unpersist()
+
+    clicks.writeStream.option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(f"{', '.join(f'{n} {t}' for n, t in clicks.dtypes)}, batch int").parquet(folders["rows"])
