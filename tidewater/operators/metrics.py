@@ -20,17 +20,23 @@ THRESHOLDS = (0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
 MAX_POINTS = 2000
 
 
-def cumulative(scored: DataFrame) -> DataFrame:
-    """(p, pos, n, tp, fp, total_pos, total_n, at, total): counts at each score, and of all scores from it up; its place by rising score among all."""
-    counted = ranged(scored.groupBy("p").agg(F.sum(F.col("y_true").cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")), F.desc("p"))
-    above, every = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()  # one row a part
-    parts = counted.groupBy("__part").agg(F.sum("pos").alias("bp"), F.sum("n").alias("bn"), F.count(F.lit(1)).alias("k"))
+def cumulative(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """([by,] p, pos, n, tp, fp, total_pos, total_n, at, total): counts at each score, and of all scores from it up; its place by rising score among all."""
+    counted = ranged(scored.groupBy(*by, "p").agg(F.sum(F.col("y_true").cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")), *by, F.desc("p"))
+    above, every = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)  # one row a part
+    parts = counted.groupBy(*by, "__part").agg(F.sum("pos").alias("bp"), F.sum("n").alias("bn"), F.count(F.lit(1)).alias("__k"))
     before = lambda c, name: F.coalesce(F.sum(c).over(above), F.lit(0)).alias(name)
-    parts = parts.select("__part", before("bp", "cp"), before("bn", "cn"), before("k", "ck"), F.sum("bp").over(every).alias("total_pos"), F.sum("bn").over(every).alias("total_n"), F.sum("k").over(every).alias("total_k"))
-    own = Window.partitionBy("__part").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    run = counted.withColumns({"rp": F.sum("pos").over(own), "rn": F.sum("n").over(own), "rk": F.row_number().over(own)}).join(F.broadcast(parts), "__part")
+    parts = parts.select(*by, "__part", before("bp", "cp"), before("bn", "cn"), before("__k", "ck"), F.sum("bp").over(every).alias("total_pos"), F.sum("bn").over(every).alias("total_n"), F.sum("__k").over(every).alias("total_k"))
+    own = Window.partitionBy(*by, "__part").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    run = counted.withColumns({"rp": F.sum("pos").over(own), "rn": F.sum("n").over(own), "rk": F.row_number().over(own)}).join(F.broadcast(parts), [*by, "__part"])
     tp, n = F.col("rp") + F.col("cp"), F.col("rn") + F.col("cn")
-    return run.select("p", "pos", "n", tp.alias("tp"), (n - tp).alias("fp"), "total_pos", "total_n", (F.col("total_k") - F.col("rk") - F.col("ck")).alias("at"), F.col("total_k").alias("total"))
+    return run.select(*by, "p", "pos", "n", tp.alias("tp"), (n - tp).alias("fp"), "total_pos", "total_n", (F.col("total_k") - F.col("rk") - F.col("ck")).alias("at"), F.col("total_k").alias("total"))
+
+
+def average_precision_by(scored: DataFrame, by: str) -> DataFrame:
+    """(by, pr_auc) of each of several few scorings, in one pass."""
+    c = cumulative(scored, (by,))
+    return c.groupBy(by).agg((F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.nullif(F.max("total_pos"), F.lit(0))).alias("pr_auc"))
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
@@ -53,23 +59,23 @@ def brier(scored: DataFrame) -> DataFrame:
 
 
 def pr_curve(scored: DataFrame, points: int = MAX_POINTS) -> DataFrame:
-    """(at, threshold, precision, recall): at most about `points` evenly spaced points by rising threshold, then the anchor without one."""
+    """(at, threshold, precision, recall) by rising threshold, then the anchor without one: all points, or as many evenly spaced ones as the cap allows, both ends among them."""
     c = cumulative(scored)
     precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / F.nullif(F.col("total_pos"), F.lit(0))
-    step = F.greatest(F.ceil(F.col("total") / points), F.lit(1))
-    numbered = c
-    chosen = numbered.where((F.col("at") % step == 0) | (F.col("at") == F.col("total") - 1))
+    # The anchor is number total. Of the numbers i * total / (points - 1), rounded down, the nearest at or above a place is the only one that may be it.
+    chosen = c.where((F.col("total") < points) | (F.expr(f"((at * {points - 1} + total - 1) div total) * total div {points - 1}") == F.col("at")))
     rows = chosen.select("at", F.col("p").alias("threshold"), precision.alias("precision"), recall.alias("recall"))
-    anchor = numbered.agg(F.max("total").alias("at")).select("at", F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    anchor = c.agg(F.max("total").alias("at")).select("at", F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return rows.unionByName(anchor)
 
 
-def calibration_curve(scored: DataFrame, bins: int = 10) -> DataFrame:
-    """(bin, mean_score, positive_fraction, n) of quantile bins; empty bins are absent, and under two rows there is none."""
+def calibration_curve(scored: DataFrame, bins: int | None = None) -> DataFrame:
+    """(bin, mean_score, positive_fraction, n) of quantile bins: a tenth as many as rows, at least 2 and at most 10. Empty bins are absent, and under two rows there is none."""
+    n = scored.count()
+    bins = bins or min(10, max(2, n // 10))
     edges = exact_quantiles(scored, "p", [i / bins for i in range(1, bins)])
-    placed = scored.limit(2).count() > 1  # one row has no quantile bins
     which = F.size(F.filter(F.array(*[F.lit(e).cast("double") for e in edges]), lambda e: e < F.col("p")))
-    return scored.where(F.lit(placed)).groupBy(which.alias("bin")).agg(F.avg("p").alias("mean_score"), F.avg(F.col("y_true").cast("double")).alias("positive_fraction"), F.count(F.lit(1)).alias("n"))
+    return scored.where(F.lit(n > 1)).groupBy(which.alias("bin")).agg(F.avg("p").alias("mean_score"), F.avg(F.col("y_true").cast("double")).alias("positive_fraction"), F.count(F.lit(1)).alias("n"))
 
 
 def confusion(scored: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from .operators.windows import DAY, SLICE_ROWS, asof_last, presence_counts, prio
 from .plans import materialize, models
 from .sources import audit
 from .sources.clicks import apply_split, create_split_views, from_events, ingest_csv, read_csv, split_predicate, split_ranges, with_row_id, write_csv
-from .sources.shared import shared_path
+from .sources.shared import shared_path, write_once
 from .sources.store import FeatureStore, feature_columns
 from .streaming import velocity
 
@@ -280,8 +281,11 @@ def on_scores(name: str, sql: str | None, f: Callable[[DataFrame], DataFrame]) -
 on_scores("k1_average_precision", f"{_CUM} SELECT round({_AP}, 6) AS pr_auc FROM c", metrics.average_precision)
 on_scores("k2_roc_auc", f"{_CUM} SELECT round({_AUC}, 6) AS roc_auc FROM c", metrics.roc_auc)
 on_scores("k3_brier", "SELECT round(avg((p - y_true) * (p - y_true)), 6) AS brier FROM scored", metrics.brier)
-on_scores("k4_pr_curve", f"{_CUM}, a AS (SELECT *, row_number() OVER (ORDER BY p) - 1 AS \"at\", count(*) OVER () AS total FROM c) SELECT \"at\", p AS threshold, round(tp / al, 6) AS precision, round(tp / tpos, 6) AS recall FROM a WHERE \"at\" % greatest(ceil(total / 2000.0), 1)::BIGINT = 0 OR \"at\" = total - 1 UNION ALL SELECT count(*), NULL, 1.0, 0.0 FROM c", metrics.pr_curve)
-on_scores("k5_calibration_curve", ", e AS (SELECT quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM scored) SELECT len([x FOR x IN q IF x < p])::INT AS bin, round(avg(p), 6) AS mean_score, round(avg(y_true), 6) AS positive_fraction, count(*) AS n FROM scored, e GROUP BY 1", metrics.calibration_curve)
+on_scores("k4_pr_curve", f"{_CUM}, a AS (SELECT *, row_number() OVER (ORDER BY p) - 1 AS \"at\", count(*) OVER () AS total FROM c), w AS (SELECT DISTINCT CASE WHEN t.total < 2000 THEN i ELSE i * t.total // 1999 END AS \"at\" FROM range(2000) r(i), (SELECT count(*) AS total FROM c) t) SELECT \"at\", p AS threshold, round(tp / al, 6) AS precision, round(tp / tpos, 6) AS recall FROM a WHERE \"at\" IN (SELECT \"at\" FROM w) UNION ALL SELECT count(*), NULL, 1.0, 0.0 FROM c", metrics.pr_curve)
+_BINS = """, l AS (SELECT list(p ORDER BY p) AS s FROM scored), b AS (SELECT s, len(s) AS n, least(10, greatest(2, len(s) // 10)) AS bins FROM l),
+e AS (SELECT list_transform(range(1, bins), lambda i: s[((n - 1) * i // bins + 1)::BIGINT] + (s[least((n - 1) * i // bins + 2, n)::BIGINT] - s[((n - 1) * i // bins + 1)::BIGINT]) * ((n - 1) * i % bins / bins::DOUBLE)) AS q FROM b)
+SELECT len([x FOR x IN q IF x < p])::INT AS bin, round(avg(p), 6) AS mean_score, round(avg(y_true), 6) AS positive_fraction, count(*) AS n FROM scored, e GROUP BY 1"""
+on_scores("k5_calibration_curve", _BINS, metrics.calibration_curve)
 on_scores("k6_confusion", ", t AS (SELECT unnest([0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS threshold), m AS (SELECT threshold, count(*) FILTER (WHERE p >= threshold AND y_true = 1) AS tp, count(*) FILTER (WHERE p >= threshold AND y_true = 0) AS fp, count(*) FILTER (WHERE p < threshold AND y_true = 0) AS tn, count(*) FILTER (WHERE p < threshold AND y_true = 1) AS fn FROM scored, t GROUP BY 1) SELECT *, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall FROM m", metrics.confusion)
 _SCALARS = "SELECT '{}' AS name, (SELECT count(*) FROM scored) AS n, (SELECT sum(y_true)::BIGINT FROM scored) AS n_positive, round({}, 6) AS pr_auc, round({}, 6) AS roc_auc, (SELECT round(avg((p - y_true) * (p - y_true)), 6) FROM scored) AS brier FROM c"
 on_scores("k7_evaluate", f"{_CUM} {_SCALARS.format('fixed', _AP, _AUC)}", lambda s: metrics.scalars(s, "fixed"))
@@ -345,13 +349,15 @@ register("l2_pair_rate_score", f", r AS (SELECT *, {_over('avg(is_attributed)',
 
 
 def _parts(clicks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    table = materialize.feature_table(clicks)
-    path = shared_path(clicks.sparkSession, "features")
-    table.write.parquet(path)
-    table = clicks.sparkSession.read.parquet(path)
+    table = write_once(materialize.feature_table(clicks), "features")
     return table.where(split_predicate("train")), table.where(split_predicate("val"))
 
 
+def _trees(clicks: DataFrame) -> tuple[DataFrame, DataFrame, PipelineModel]:
+    train, val = _parts(clicks)
+    return train, val, models.fit_trees(train, val)[0]
+
+
 @register("l3_logreg")
 def _logreg(clicks: DataFrame) -> DataFrame:
     train, val = _parts(clicks)
@@ -359,9 +365,49 @@ def _logreg(clicks: DataFrame) -> DataFrame:
 
 
 @register("l5_boosted_trees")
-def _trees(clicks: DataFrame) -> DataFrame:
+def _boosted(clicks: DataFrame) -> DataFrame:
+    _, val, model = _trees(clicks)
+    return metrics.scalars(models.predict(model, val, NUMERIC), "trees").withColumn("rounds", F.lit(len(model.stages[-1].treeWeights)))
+
+
+@register("l6_tune")
+def _tuned(clicks: DataFrame) -> DataFrame:
     train, val = _parts(clicks)
-    return metrics.scalars(models.predict(models.fit_trees(train, val)[0], val, NUMERIC), "trees")
+    return models.halving_search(train, val, shared_path(clicks.sparkSession, "trials"), rounds=10)
+
+
+@register("l7_ablation")
+def _ablated(clicks: DataFrame) -> DataFrame:
+    return models.ablation(*_parts(clicks))
+
+
+@register("l8_importance")
+def _important(clicks: DataFrame) -> DataFrame:
+    return models.importance(_trees(clicks)[2], NUMERIC)
+
+
+_VAL = "click_time >= TIMESTAMP '2024-01-19' AND click_time < TIMESTAMP '2024-01-25'"
+
+
+@register("l9_score", f"SELECT row_id, is_attributed AS y_true, true AS scored, true AS same_again FROM clicks WHERE {_VAL}")
+def _scored_rows(clicks: DataFrame) -> DataFrame:
+    """Every row of val once, scored by the saved and reloaded bundle as by the model."""
+    _, val, model = _trees(clicks)
+    path = shared_path(clicks.sparkSession, "bundle")
+    models.save_bundle(model, NUMERIC, path)
+    again, names = models.load_bundle(path)
+    out = models.predict(again, models.predict(model, val, NUMERIC).select(*val.columns, F.col("p").alias("first")), names)
+    return out.select("row_id", "y_true", F.coalesce(F.col("p").between(0, 1), F.lit(False)).alias("scored"), (F.abs(F.col("p") - F.col("first")) < 1e-12).alias("same_again"))
+
+
+@register("k9_final_report")
+def _final(clicks: DataFrame) -> DataFrame:
+    """Model and calibrator from train and val, reported on test."""
+    table = write_once(materialize.feature_table(clicks), "features")
+    train, val, test = (table.where(split_predicate(s)) for s in ("train", "val", "test"))
+    model = models.fit_trees(train, val)[0]
+    scored_val, scored_test = (write_once(models.predict(model, part, NUMERIC).select("row_id", "p", "y_true"), "scored") for part in (val, test))
+    return models.final_report(scored_val, scored_test, models.isotonic_knots(scored_val))
 
 
 @register("l10_linear_contributions")
@@ -372,8 +418,7 @@ def _linear(clicks: DataFrame) -> DataFrame:
 
 @register("l11_tree_contributions")
 def _occlusion(clicks: DataFrame) -> DataFrame:
-    train, val = _parts(clicks)
-    model = models.fit_trees(train, val)[0]
+    _, val, model = _trees(clicks)
     routed = models.predict(model, val, NUMERIC).where("p < 0.4").select(*val.columns)
     return models.tree_contributions(model, routed).select("row_id", "top_features")
 
@@ -384,17 +429,29 @@ on_scores("c2_isotonic_apply", "SELECT case_id, round(CASE WHEN p <= 0.1 THEN 0.
 _PAV = """, d AS (SELECT p, sum(y_true)::DOUBLE AS y, count(*)::DOUBLE AS n, row_number() OVER (ORDER BY p) AS i FROM scored GROUP BY p), u AS (SELECT i, p, sum(y) OVER (ORDER BY i) AS sy, sum(n) OVER (ORDER BY i) AS sn, y, n FROM d),
 m AS (SELECT a.i AS a, b.i AS b, (b.sy - a.sy + a.y) / (b.sn - a.sn + a.n) AS v FROM u a JOIN u b ON a.i <= b.i), l AS (SELECT a, b AS i, min(v) OVER (PARTITION BY a ORDER BY b DESC) AS v FROM m), f AS (SELECT i, max(v) AS v FROM l GROUP BY i)
 SELECT p, round(v, 6) AS c FROM f JOIN u USING (i)"""
-on_scores("c1_isotonic_fit", _PAV, lambda s: models.fit_calibrator(s).transform(s.select("p").distinct()).select("p", F.col("prediction").alias("c")))
+on_scores("c1_isotonic_fit", _PAV, lambda s: models.with_calibrated(s.select("p").distinct(), models.isotonic_knots(s), "c"))
 
 
 def _kept_knots(s: DataFrame) -> DataFrame:
     path = shared_path(s.sparkSession, "knots")
-    models.save_knots(models.fit_calibrator(s), path)
-    return models.with_calibrated(s.select("p").distinct(), models.load_knots(path), "c").select("p", "c")
+    models.save_knots(models.isotonic_knots(s), path)
+    return models.with_calibrated(s.select("p").distinct(), models.read_knots(path), "c").select("p", "c")
 
 
 on_scores("c3_knots_io", _PAV, _kept_knots)
-on_scores("c1_calibration", None, lambda s: models.calibration_report(s.select("row_id", "p", "y_true")))
+
+
+def _scalars(name: str, rows: str) -> str:
+    """The scalars of the rows, as a query of its own."""
+    return f"""(WITH d AS (SELECT p, sum(y_true) AS pos, count(*) AS n FROM {rows} GROUP BY p), c AS (SELECT *, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(n) OVER (ORDER BY p DESC) AS al, sum(pos) OVER () AS tpos, sum(n) OVER () AS tn FROM d)
+SELECT '{name}' AS name, (SELECT count(*) FROM {rows}) AS n, (SELECT sum(y_true)::BIGINT FROM {rows}) AS n_positive, round({_AP}, 6) AS pr_auc, round({_AUC}, 6) AS roc_auc, (SELECT round(avg((p - y_true) * (p - y_true)), 6) FROM {rows}) AS brier FROM c)"""
+
+
+_HALVES = f", fit AS (SELECT * FROM scored WHERE {_DRAW.format('case_id')} < 0.5), held AS (SELECT * FROM scored WHERE {_DRAW.format('case_id')} >= 0.5)"
+_LINE = """, k AS (SELECT p AS x, c AS y FROM pav), b AS (SELECT h.p, h.y_true, lo.x AS x0, lo.y AS y0 FROM held h ASOF LEFT JOIN k lo ON h.p >= lo.x), e AS (SELECT b.*, hi.x AS x1, hi.y AS y1 FROM b ASOF LEFT JOIN k hi ON b.p < hi.x),
+calibrated AS (SELECT CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL THEN y0 ELSE y0 + (y1 - y0) * ((p - x0) / (x1 - x0)) END AS p, y_true FROM e)"""
+_PAV_FIT = _PAV.replace("FROM scored", "FROM fit").replace("SELECT p, round(v, 6) AS c FROM f JOIN u USING (i)", ", pav AS (SELECT p, v AS c FROM f JOIN u USING (i))")
+on_scores("c1_calibration", f"{_HALVES}{_PAV_FIT}{_LINE} {_scalars('raw', 'held')} UNION ALL {_scalars('calibrated', 'calibrated')}", lambda s: models.calibration_report(s.select("row_id", "p", "y_true")))
 
 # Streams
 
