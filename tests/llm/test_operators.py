@@ -54,6 +54,17 @@ def test_html_edges(page, text):
     assert html_extract.main_text(page) == text
 
 
+def test_html_end_tags_find_their_element():
+    """However many elements stand between: an inline end tag closes its element through any number of inline ones, and through no block."""
+    many = "".join(f"<{t} class='ad'>" for t in ["i", "b"] * 60)
+    page = "<article><p>Before words</p><em class='ad'>%s</em><p>After %s more words</p></article>"
+    start = time.perf_counter()
+    found, elements = html_extract.blocks("<p>" + "<span>" * 20000 + "one two" + "</b></span>" * 20000 + " three</p>")
+    assert [b.text for b in found] == ["one two three"] and time.perf_counter() - start < 5
+    found, _ = html_extract.blocks(page % (many, "</em>"))
+    assert [b.text for b in found] == ["Before words", "After more words"]
+
+
 @pytest.mark.parametrize("around", ["<body class='has-sidebar'>%s</body>", "<html class='modal-open'><body class='no-sidebar'>%s</body></html>", "<body><div class='article-with-sidebar'>%s</div></body>", "<body><form id='aspnetForm'>%s</form></body>", "<body class='sidebar'>%s</body>"])
 def test_html_page_wrappers(around):
     """A name of the whole page takes nothing out; a part of it with such a name still goes, by a whole token or by its score."""
@@ -537,6 +548,30 @@ def test_near_copies_of_items(spark):
     assert {(x["doc_id"], x["item_id"]) for x in got.collect()} == want and 8 < len(want) < 36
 
 
+@pytest.mark.parametrize("length", [10, 14, 19, 20, 23, 29, 31, 38, 44, 49, 55])
+def test_short_items_with_edits(length):
+    """Of every length from one edit on, an item is found if and only if its edits are within the budget."""
+    r = random.Random(length)
+    found = 0
+    for _ in range(40):
+        item = bytes(r.choice(b"abcdefgh") for _ in range(length))
+        changed = bytearray(item)
+        for _ in range(r.randint(0, length // 10 + 1)):
+            at = r.randrange(len(changed))
+            changed[at : at + r.randint(0, 1)] = r.choice([b"", b"x", b"yz"])
+        doc = bytes(r.choice(b"mnop ") for _ in range(r.randint(0, 60))).strip() + bytes(changed) + bytes(r.choice(b"mnop ") for _ in range(30)).strip()
+        doc = decontaminate.folded(doc.decode())
+        got = decontaminate.Index([(1, item.decode())]).matches(doc)
+        assert bool(got) == (brute.edits(item, doc) <= length // 10)
+        found += bool(got)
+    assert 5 < found
+
+
+def test_an_index_is_built_once_a_worker():
+    first = decontaminate._index_of("a", [(1, "some item of a benchmark")], 0.1)
+    assert decontaminate._index_of("a", [], 0.1) is first and decontaminate._index_of("b", [], 0.1) is not first
+
+
 def test_short_items_as_whole_words(spark):
     items = spark.createDataFrame([(1, "Who wrote  Hamlet?"), (2, "a cat"), (3, "mat"), (4, "?!"), (5, None), (6, "a cat")], "item_id long, text string")
     docs = spark.createDataFrame([(10, "Q: who wrote Hamlet, and when"), (11, "a cation on a mat"), (12, "a cat"), (13, "who wrote it"), (14, None)], "doc_id long, text string")

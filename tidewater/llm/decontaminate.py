@@ -7,9 +7,10 @@ position) that differ by at most e. Shared q-grams are counted in diagonal bands
 of width 2 * (e + 1) that overlap by half; a band that reaches the bound is a
 region, and a banded alignment decides. q-grams that many items share count only
 for items that would lose their bound without them; the lemma holds for any
-subset of an item's q-grams.
+subset of an item's q-grams. q is Q bytes, or less for a short item, so that the
+bound is at least 1.
 
-Items shorter than min_bytes after folding are found only as they are, as whole words.
+An item so short that its edit budget is 0 is found as it is, as whole words.
 
 Defined results: null or empty texts match nothing; equal items all match; repeated rows match
 alike; a null doc_id keeps its matches under null; empty tables give an empty
@@ -19,6 +20,7 @@ result; other columns are not read.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -27,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import free_name, map_rows, restrict
 
+#: Bytes of a q-gram, at most.
 Q = 8
 ERROR_RATE = 0.1
-MIN_BYTES = 50
 #: Items are searched for in blocks of at most this many bytes, each a broadcast index of some 30 bytes a byte.
 BLOCK_BYTES = 4_000_000
 COMMON = 4
@@ -41,42 +43,39 @@ def folded(text: str | None) -> bytes:
     return b" ".join((text or "").lower().encode().translate(_TABLE).split())
 
 
-def grams(data: bytes) -> np.ndarray:
-    """The 8 bytes from each position on, as integers."""
-    if len(data) < Q:
+def gram_size(length: int, budget: int) -> int:
+    """The q of an item: length - q + 1 - q * budget, the least number of shared q-grams, is at least 1."""
+    return min(Q, length // (budget + 1))
+
+
+def grams(data: bytes, q: int = Q) -> np.ndarray:
+    """The q bytes from each position on, as integers."""
+    if len(data) < q:
         return np.empty(0, np.uint64)
-    return np.lib.stride_tricks.as_strided(np.frombuffer(data, np.uint8), (len(data) - Q + 1, Q), (1, 1)).copy().view("<u8").ravel()
+    eight = np.lib.stride_tricks.as_strided(np.frombuffer(data + bytes(8 - q), np.uint8), (len(data) - q + 1, 8), (1, 1)).copy().view("<u8").ravel()
+    return eight & np.uint64((1 << 8 * q) - 1)
 
 
 def _slot(g: np.ndarray) -> np.ndarray:
     return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _LUT_BITS)).astype(np.int64)
 
 
-class Index:
-    """The q-grams of a block of items."""
-
-    def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE, min_bytes: int = MIN_BYTES):
-        every = [(i, d) for i, t in items if (d := folded(t))]
-        kept = [(i, d) for i, d in every if len(d) >= max(min_bytes, Q)]
-        short = [(i, d, set(d.split())) for i, d in every if len(d) < max(min_bytes, Q)]
-        uses = Counter(w for _, _, words in short for w in words)
-        #: Short items by their word that the fewest short items have.
-        self.short: dict[bytes, list[tuple[int, bytes]]] = defaultdict(list)
-        for i, d, words in short:
-            self.short[min(words, key=lambda w: (uses[w], w))].append((i, b" %b " % d))
-        self.ids = [i for i, _ in kept]
-        self.data = [d for _, d in kept]
-        self.budget = np.array([math.floor(rate * len(d)) for d in self.data], np.int64)
-        all_grams = [grams(d) for d in self.data]
-        gram = np.concatenate(all_grams) if kept else np.empty(0, np.uint64)
-        item = np.repeat(np.arange(len(kept)), [len(g) for g in all_grams]) if kept else np.empty(0, np.int64)
-        pos = np.concatenate([np.arange(len(g)) for g in all_grams]) if kept else np.empty(0, np.int64)
+class Grams:
+    """The q-grams of the items of one q."""
+
+    def __init__(self, q: int, items: list[tuple[int, bytes, int]]):
+        self.q, self.ids, self.data = q, [i for i, _, _ in items], [d for _, d, _ in items]
+        self.budget = np.array([e for _, _, e in items], np.int64)
+        all_grams = [grams(d, q) for d in self.data]
+        gram = np.concatenate(all_grams)
+        item = np.repeat(np.arange(len(items)), [len(g) for g in all_grams])
+        pos = np.concatenate([np.arange(len(g)) for g in all_grams])
         pairs = np.unique(np.rec.fromarrays([gram, item]))
-        key, share = np.unique(pairs["f0"], return_counts=True) if kept else (gram, gram)
-        rare = share[np.searchsorted(key, gram)] <= COMMON if kept else np.empty(0, bool)
-        n_all, n_rare = (np.bincount(item, w, len(kept)).astype(np.int64) for w in (None, rare))
-        enough = n_rare - Q * self.budget >= 4
-        self.least = np.maximum(1, np.where(enough, n_rare, n_all) - Q * self.budget)
+        key, share = np.unique(pairs["f0"], return_counts=True)
+        rare = share[np.searchsorted(key, gram)] <= COMMON
+        n_all, n_rare = (np.bincount(item, w, len(items)).astype(np.int64) for w in (None, rare))
+        enough = n_rare - q * self.budget >= 4
+        self.least = np.maximum(1, np.where(enough, n_rare, n_all) - q * self.budget)
         use = rare | ~enough[item]
         order = np.argsort(gram[use], kind="stable")
         gram, self.item, self.pos = gram[use][order], item[use][order], pos[use][order]
@@ -86,8 +85,8 @@ class Index:
 
     def regions(self, doc: bytes) -> list[tuple[int, int]]:
         """(item index, lowest diagonal) of each band that reaches its bound."""
-        g = grams(doc)
-        if not len(g) or not len(self.keys):
+        g = grams(doc, self.q)
+        if not len(g):
             return []
         at = np.flatnonzero(self.lut[_slot(g)])
         if not len(at):
@@ -117,14 +116,36 @@ class Index:
             found = align(self.data[i], doc[start:end], e, low - start)
             if found is not None and (i not in best or found[2] < best[i][2]):
                 best[i] = found[0] + start, found[1] + start, found[2]
-        return [(self.ids[i], *v) for i, v in best.items()] + self.exact(doc)
+        return [(self.ids[i], *v) for i, v in best.items()]
+
+
+class Index:
+    """A block of items: their q-grams by q, and the items without an edit budget by their word that the fewest of those items have."""
+
+    def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE):
+        every = [(i, d, math.floor(rate * len(d))) for i, t in items if (d := folded(t))]
+        by_q: dict[int, list[tuple[int, bytes, int]]] = defaultdict(list)
+        for i, d, e in every:
+            if e:
+                by_q[gram_size(len(d), e)].append((i, d, e))
+        self.parts = [Grams(q, held) for q, held in sorted(by_q.items())]
+        self.data, self.budget = [d for p in self.parts for d in p.data], [int(e) for p in self.parts for e in p.budget]
+        plain = [(i, d, set(d.split())) for i, d, e in every if not e]
+        uses = Counter(w for _, _, words in plain for w in words)
+        self.plain: dict[bytes, list[tuple[int, bytes]]] = defaultdict(list)
+        for i, d, words in plain:
+            self.plain[min(words, key=lambda w: (uses[w], w))].append((i, b" %b " % d))
+
+    def matches(self, doc: bytes) -> list[tuple[int, int, int, int]]:
+        """(item id, start, end, edits) of the best place of each item."""
+        return [m for part in self.parts for m in part.matches(doc)] + self.exact(doc)
 
     def exact(self, doc: bytes) -> list[tuple[int, int, int, int]]:
-        """(item id, start, end, 0) of the first place of each short item."""
-        if not self.short:
+        """(item id, start, end, 0) of the first place of each item without an edit budget."""
+        if not self.plain:
             return []
         spaced = b" %b " % doc
-        return [(i, at, at + len(d) - 2, 0) for w in self.short.keys() & set(doc.split()) for i, d in self.short[w] if (at := spaced.find(d)) >= 0]
+        return [(i, at, at + len(d) - 2, 0) for w in self.plain.keys() & set(doc.split()) for i, d in self.plain[w] if (at := spaced.find(d)) >= 0]
 
 
 def align(item: bytes, window: bytes, budget: int, low: int = 0) -> tuple[int, int, int] | None:
@@ -163,7 +184,19 @@ def align(item: bytes, window: bytes, budget: int, low: int = 0) -> tuple[int, i
     return int(begin[k]), int(base + k + len(item)), int(cost[k])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_bytes: int = MIN_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+#: The index that this Python worker has built last, with the name of its block: a worker's tasks share it.
+_built: tuple[str, Index] | None = None
+
+
+def _index_of(name: str, items: list[tuple[int, str]], rate: float) -> Index:
+    global _built
+    if _built is None or _built[0] != name:
+        _built = None
+        _built = name, Index(items, rate)
+    return _built[1]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, start, end, edits): each benchmark item that stands in a document, positions in the folded text."""
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -174,8 +207,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
         block = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def work(batches, shared=shared):
-            index = Index(shared.value, rate, min_bytes)
+        def work(batches, shared=shared, name=uuid.uuid4().hex):
+            index = _index_of(name, shared.value, rate)
             for b in batches:
                 rows = [(d, *m) for d, t in zip(b["doc_id"], b["text"], strict=True) for m in index.matches(folded(t))]
                 yield {n: [r[i] for r in rows] for i, n in enumerate(("doc_id", "item_id", "start", "end", "edits"))}

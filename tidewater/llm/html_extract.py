@@ -57,8 +57,6 @@ WORD = re.compile(r"[a-z]+")
 LEAST, MOST = -0.3, 3.0
 #: The bounds of a tag's score.
 LEAST_TAG, MOST_TAG = -0.2, -0.02
-#: So many open inline elements are looked at for the one that a tag closes.
-NESTED = 50
 #: Log odds that leave nothing to say for the elements further out, and those that are taken for even.
 SURE, EVEN = 3.0, 0.7
 #: A few pages tell little about a single word: so many words at even odds are added to its counts.
@@ -176,7 +174,10 @@ def blocks(html: str) -> tuple[list[Block], list[Element]]:
     """
     out: list[Block] = []
     elements = [Element("", frozenset(), 0, False)]
-    stack, is_open = [0], Counter()
+    stack = [0]
+    #: Where each tag's open elements, and those of blocks, are on the stack: the innermost is found at once.
+    places: dict[str, list[int]] = defaultdict(list)
+    walls: list[int] = []
     pieces: list[str] = []
     own: frozenset[str] = frozenset()
     tags: list[str] = []
@@ -216,17 +217,17 @@ def blocks(html: str) -> tuple[list[Block], list[Element]]:
                     names = names - {tag} | {f"{tag}@article"}
                 elements.append(Element(tag, names, stack[-1], inside or tag in ("article", "main")))
                 stack.append(len(elements) - 1)
-                is_open[tag] += 1
-        elif is_open[tag]:
-            inner = stack[: -NESTED - 1 : -1] if tag not in BLOCKS else reversed(stack)
-            for n, k in enumerate(inner):
-                if elements[k].tag == tag:
-                    flush()
-                    is_open.subtract(elements[x].tag for x in stack[-n - 1 :])
-                    del stack[-n - 1 :]
-                    break
-                if tag not in BLOCKS and elements[k].tag in BLOCKS:
-                    break
+                places[tag].append(len(stack) - 1)
+                if tag in BLOCKS:
+                    walls.append(len(stack) - 1)
+        elif places[tag] and (tag in BLOCKS or not walls or walls[-1] < places[tag][-1]):
+            flush()
+            at = places[tag][-1]
+            for k in stack[at:]:
+                places[elements[k].tag].pop()
+            del stack[at:]
+            while walls and walls[-1] >= at:
+                walls.pop()
     flush()
     return out, elements
 
