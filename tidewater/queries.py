@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .functions.features import FEATURES, NUMERIC, PASSES, feature
 from .functions.registry import Feature, FeatureSet, Registry
 from .operators import metrics, profile, quality, sampling, triage
-from .operators.windows import DAY, SLICE_ROWS, asof_last, presence_counts, prior_rate, sessionize, sliced_prior, timed
+from .operators.sketches import HourlySketches, distinct_error
+from .operators.windows import DAY, SLICE_ROWS, asof_last, neighbours, presence_counts, prior_rate, sessionize, sliced, sliced_prior, timed
 from .plans import materialize, models
 from .sources import audit
 from .sources.clicks import apply_split, create_split_views, from_events, ingest_csv, read_csv, split_predicate, split_ranges, with_row_id, write_csv
@@ -185,6 +186,34 @@ for _name, _f in profile.PROFILES.items():
     register(_name, _PROFILE_SQL[_name])(lambda c, f=_f: (lambda d: d.withColumn("day", F.col("day").cast("string")) if "day" in d.columns else d)(f(c)))
 
 
+def _sketched(clicks: DataFrame) -> HourlySketches:
+    """The clicks' sketches from two updates: the second reads the hours of the second half only."""
+    kept = HourlySketches(clicks.sparkSession, shared_path(clicks.sparkSession, "sketches"))
+    for upto in ("2024-01-16 00:00:00", "2024-03-01 00:00:00"):
+        kept.update(clicks, upto)
+    return kept
+
+
+@register("e2_cardinality_approx", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_exact, true AS within FROM clicks" for c in profile.COLUMNS))
+def _cardinality_approx(clicks: DataFrame) -> DataFrame:
+    """The exact counts, and whether the sketches' are within three standard errors (and one, for small counts) of them."""
+    exact, estimate = F.col("n_exact"), F.col("n_distinct")
+    both = profile.cardinality(clicks).withColumnRenamed("n_distinct", "n_exact").join(_sketched(clicks).cardinality(), "column_name")
+    return both.select("column_name", "n_exact", (F.abs(exact - estimate) <= 1 + exact * distinct_error(1.0)).alias("within"))
+
+
+@register("e7_inter_click_time_approx", "SELECT stat, true AS within FROM (VALUES " + ", ".join(f"('{n}')" for n in ("count", "min", *profile.QUANTILES, "mean", "max")) + ") v(stat)")
+def _gaps_approx(clicks: DataFrame) -> DataFrame:
+    """Whether each statistic of the sketches is within its bound: 2 % of the ranks for quantiles, equal else."""
+    gaps = neighbours(sliced(timed(clicks), "ip"), "ip").select(((F.col("__t") - F.col("__before")) / 1e6).alias("g")).where("g IS NOT NULL")
+    found = {r["stat"]: r["value"] for r in _sketched(clicks).statistics("gap_seconds").collect()}  # a row a statistic
+    ranks = [e for n in profile.QUANTILES for e in (F.count_if(F.col("g") < found[n]).alias(f"{n}_below"), F.count_if(F.col("g") <= found[n]).alias(f"{n}_upto"))]
+    one = gaps.agg(F.count("g").alias("n"), F.min("g").alias("lo"), F.max("g").alias("hi"), F.avg("g").alias("mid"), *ranks)
+    share = lambda n, q: (F.col(f"{n}_below") <= (q + 0.02) * F.col("n")) & (F.col(f"{n}_upto") >= (q - 0.02) * F.col("n"))
+    tests = {"count": F.col("n") == found["count"], "min": F.col("lo") == found["min"], **{n: share(n, q) for n, q in profile.QUANTILES.items()}, "mean": F.abs(F.col("mid") - found["mean"]) <= 1e-6 * F.abs(F.col("mid")), "max": F.col("hi") == found["max"]}
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("stat"), t.alias("within")) for n, t in tests.items()])))
+
+
 @register("v1_validate", f""", o AS (SELECT count(*) AS n, min(click_time) AS lo, max(click_time) AS hi, avg(is_attributed) AS m, count(*) FILTER (WHERE is_attributed NOT IN (0, 1)) AS bad,
   {', '.join(f'count(*) FILTER (WHERE {c} IS NULL) AS n_{c}' for c in quality.REQUIRED if c != 'row_id')} FROM clicks)
 SELECT 'row_count' AS name, n > 0 AS ok FROM o {' '.join(f"UNION ALL SELECT 'not_null_{c}', n_{c} = 0 FROM o" for c in quality.REQUIRED if c != 'row_id')}
