@@ -41,6 +41,8 @@ SHARE = 3
 MAX_COMMON = 1_000_000
 COMMON_SETS = 12
 CROWD = 30
+#: Edges of a file, about.
+FILE_ROWS = 200_000
 LOW = np.uint64(1 << 62)  # a quarter of all hashes
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -180,7 +182,10 @@ def _verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFram
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component), the smallest node of each component, by alternating large and small stars until nothing changes."""
+    """(node, component), the smallest node of each component, by alternating large and small stars until nothing changes.
+
+    A round's tables are written in as many files as the edges before it fill, at FILE_ROWS each.
+    """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:
@@ -188,13 +193,14 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+        files = 1 + 2 * now[0] // FILE_ROWS
         all_ = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = all_.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = all_.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large, "edges")
+        large = materialize(large.coalesce(files), "edges")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = materialize(small.where("u <> v").distinct(), "edges")
+        edges = materialize(small.where("u <> v").distinct().coalesce(files), "edges")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
