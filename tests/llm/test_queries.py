@@ -1,5 +1,7 @@
 """The registered queries, and the pipeline against plain versions of its stages."""
 
+import hashlib
+
 import brute
 import public_tokenizers
 import pytest
@@ -55,7 +57,31 @@ def test_pipeline(spark, sf):
     state = [(d, t) for d, t in state if not any(brute.edits(i, decontaminate.folded(t)) <= len(i) // 10 for i in items if i in decontaminate.folded(t))]
     out = corpus_pipeline.run(spark, sf).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    assert {r["doc_id"]: r["n_tokens"] for r in out} == {d: len(tokenizer.encode(t, add_special_tokens=False).ids) for d, t in state}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = {}
+    for d, t in state:
+        ids = tokenizer.encode(t, add_special_tokens=False).ids
+        want[d] = len(ids), sha(",".join(map(str, ids)).encode()), sha(tokenizer.decode(ids, skip_special_tokens=False).encode())
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in out} == want and len(out) == len(want)
+
+
+def test_stage_rules(spark, sf):
+    """Each stage on null and empty texts, null ids, ties and repeated rows: what its docstring says, all columns as they were."""
+    same = "the same forty and more characters stand in each of these"
+    rows = [(1, None), (2, ""), (4, same), (4, same), (3, same), (None, same), (5, "another text, one without any copy in this table")]
+    docs = spark.createDataFrame([(d, t, None, "x", None if t is None else len(t), "own") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, __leak_row string")
+    got = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert name == "bpe" or out.columns == docs.columns
+        got[name] = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) if name != "bpe" else sorted((r["n_tokens"] for r in out.collect()))
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    assert got["toxicity"] == got["line_dedup"] == got["decontamination"] == sorted(rows, key=str)
+    assert got["ngram_join"] == sorted([rows[0], rows[1], rows[4], rows[6]], key=str)
+    assert got["bpe"][:2] == [0, 0] and got["bpe"][2] > 0
+    five = spark.createDataFrame([(d, same, None, "x", len(same)) for d in (1, 2, 2, 3, 4, 5, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.STAGES[1][1](spark, five, sf).collect()
+    assert sorted((str(r["doc_id"]), r["text"], r["n_chars"]) for r in kept) == sorted((str(d), same if d == 5 else "", 57 if d == 5 else 0) for d in (1, 2, 2, 3, 4, 5, None))
 
 
 def test_stages_on_odd_tables(spark, sf, odd):
