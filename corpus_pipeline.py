@@ -3,6 +3,10 @@
 Each stage takes all that its predecessor kept; every stage but the last returns
 the columns of documents. Stages are written as Parquet in the shared folder and
 read again, so a lost executor never costs more than a stage.
+
+For every stage: documents may hold any other columns, whatever their names, and
+get them back as they were; an empty table gives an empty one; repeated rows fare
+alike, but in the n-gram join. Each says what becomes of null and empty texts.
 """
 
 from __future__ import annotations
@@ -19,14 +23,17 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored under 0.5."""
+    """Documents scored under 0.5. A null or empty text holds no term and stays; ids are not read, null ones neither."""
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     score = free_name(docs, "__toxicity")
     return toxicity.score(docs, lexicon, column=score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand in at least five of them, but in the last; n_chars follows."""
+    """Documents without the lines that stand in at least five of them, but in the last; n_chars follows.
+
+    A null text stays null, an empty one empty. A null doc_id is one more document, before all others; rows with one doc_id are one document.
+    """
     own = free_name(docs, line_dedup.OWN)
     out = line_dedup.dedup_lines(docs, own=own)
     changed = F.col(f"{own}dropped") > 0
@@ -37,17 +44,21 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles."""
+    """One document of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles.
+
+    The smallest doc_id stays, a null one only where there is no other; of repeated rows one. Null texts, and texts without a word, are like nothing
+    and all stay.
+    """
     return ngram_join.keep_one(docs, n=5, percent=80).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none and stay; so does everything if the benchmark is empty."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; a null text is an empty one, of no tokens."""
     return bpe.bpe_digest(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -23,7 +23,7 @@ BLOCK, REVIEW, SAMPLE, ALLOW = "AUTO_BLOCK", "HUMAN_REVIEW", "QA_SAMPLE", "ALLOW
 
 
 def fraud_score(p: str | Column) -> Column:
-    """The label is attribution, 1 = legitimate, so fraud is 1 - p. The one place that turns it round."""
+    """1 - p: p is the probability of an attributed, that is legitimate, click."""
     return F.lit(1.0) - (F.col(p) if isinstance(p, str) else p)
 
 

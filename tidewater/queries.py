@@ -109,6 +109,12 @@ def _run_profiles(clicks: DataFrame) -> DataFrame:
     return clicks.sparkSession.read.schema("column_name string, n_distinct long").option("header", True).csv(f"{folder}/e2_cardinality").withColumn("n_reports", F.lit(len(names)))
 
 
+def _each_report() -> str:
+    """The number of rows of each profile's SQL."""
+    inner = {n: f"WITH {q[1:].lstrip()}" if q.startswith(",") else q for n, q in _PROFILE_SQL.items()}
+    return " UNION ALL ".join(f"SELECT '{n}' AS report, (SELECT count(*) FROM ({q})) AS n_rows" for n, q in inner.items())
+
+
 @register("s9_register", "SELECT row_id, app AS f1_app_id, 'v1.0.0' AS version FROM clicks WHERE click_time >= TIMESTAMP '2024-01-19' AND click_time < TIMESTAMP '2024-01-25'")
 def _adopt(clicks: DataFrame) -> DataFrame:
     spark, path = clicks.sparkSession, shared_path(clicks.sparkSession, "elsewhere")
@@ -181,6 +187,17 @@ _PROFILE_SQL = {
     "e9_null_patterns": "SELECT is_attributed::TINYINT AS is_attributed, count(*) AS n_clicks, count(*) FILTER (WHERE attributed_time IS NULL) AS n_null_attributed, count(attributed_time) AS n_nonnull_attributed FROM clicks GROUP BY 1",
     "e10_anomalies": ", i AS (SELECT ip::BIGINT AS ip, count(*) AS n_clicks, count(DISTINCT app) AS n_distinct_apps, count(DISTINCT channel) AS n_distinct_channels, round(avg(is_attributed), 6) AS positive_rate FROM clicks GROUP BY 1) (SELECT 'high_click_count' AS bucket, * FROM i WHERE n_clicks > 500 ORDER BY n_clicks DESC, ip LIMIT 50) UNION ALL (SELECT 'high_distinct_apps', * FROM i WHERE n_distinct_apps >= 10 ORDER BY n_distinct_apps DESC, n_clicks DESC, ip LIMIT 50)",
 }
+@register("s7_reports", _each_report())
+def _reports(clicks: DataFrame) -> DataFrame:
+    """The rows of each of the ten reports, as written."""
+    spark, folder = clicks.sparkSession, shared_path(clicks.sparkSession, "profiles")
+    out = None
+    for name in profile.run_profiles(clicks, folder):
+        one = spark.read.option("header", True).csv(f"{folder}/{name}").agg(F.lit(name).alias("report"), F.count(F.lit(1)).alias("n_rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 for _name, _f in profile.PROFILES.items():
     # Dates as text: engines hand them over in different ways.
     register(_name, _PROFILE_SQL[_name])(lambda c, f=_f: (lambda d: d.withColumn("day", F.col("day").cast("string")) if "day" in d.columns else d)(f(c)))
