@@ -33,7 +33,15 @@ def test_models_without_sql(spark, sf):
         assert len(size) == 5 and size == sorted(size, reverse=True)
     report = {r["name"]: r for r in QUERIES["c1_calibration"](spark, sf).collect()}
     assert report["raw"]["n"] == report["calibrated"]["n"] and report["calibrated"]["brier"] < report["raw"]["brier"]
-    assert QUERIES.keys() - ORACLES.keys() == {"l3_logreg", "l5_boosted_trees", "l10_linear_contributions", "l11_tree_contributions", "c1_calibration"}
+    trials = QUERIES["l6_tune"](spark, sf).collect()
+    assert [r["rung"] for r in trials] == [2] + [1] * 3 + [0] * 9 and all(0 <= r["pr_auc"] <= 1 for r in trials)
+    assert {r["without"]: r["delta"] for r in QUERIES["l7_ablation"](spark, sf).collect()}["none"] == 0
+    assert sum(r["gain"] for r in QUERIES["l8_importance"](spark, sf).collect()) == pytest.approx(1)
+    final = {r["name"]: r for r in QUERIES["k9_final_report"](spark, sf).collect()}
+    test = from_events(spark, sf).where(split_predicate("test"))
+    assert final["val"]["n"] == n and final["val"]["pr_auc_gap"] == 0 and final["test_raw"]["n"] == final["test_calibrated"]["n"] == test.count()
+    assert final["test_calibrated"]["brier"] < final["test_raw"]["brier"]
+    assert QUERIES.keys() - ORACLES.keys() == {"l3_logreg", "l5_boosted_trees", "l6_tune", "l7_ablation", "l8_importance", "k9_final_report", "l10_linear_contributions", "l11_tree_contributions"}
 
 
 def test_entry_has_unique_columns(spark, sf):
