@@ -276,3 +276,34 @@ def test_prior_state_of_a_hot_ip(spark, tmp_path, few_state_partitions):
         own = [y for _, i, s, y in rows if i == ip and us(t) - DAY <= us(s) <= us(t) - 1000]
         assert x["clicks_before"] == len(own) and x["rate_before"] == (pytest.approx(sum(own) / len(own)) if own else None)
     assert len(got) == 300
+
+
+def test_prior_state_is_called_by_shard_and_hour(spark, tmp_path, few_state_partitions):
+    """The state of many ips is read and written a few times a shard and hour, not once and more an ip; a click without an ip counts as one ip's."""
+    import numpy as np
+    import pandas as pd
+
+    calls = []
+
+    class Kept(dict):
+        def containsKey(self, k):
+            calls.append(k)
+            return k in self
+
+        def getValue(self, k):
+            calls.append(k)
+            return self[k]
+
+        def updateValue(self, k, v):
+            calls.append(k)
+            self[k] = v
+
+    one = velocity.PriorCounts(DAY, DAY // 24)
+    states = {"totals": Kept(), "rows": Kept()}
+    one.init(type("Handle", (), {"getMapState": lambda self, name, *_: states[name], "registerTimer": lambda self, at: calls.append(at)})())
+    ips, n = np.arange(5000) % 2500, 5000
+    at = pd.Timestamp("2024-01-02") + pd.to_timedelta(np.arange(n), unit="s")
+    out = pd.concat(one.handleInputRows((0,), iter([pd.DataFrame({"row_id": np.arange(n), "click_time": at, "is_attributed": 1, "ip_code": ips})]), None))
+    assert out["clicks_before"].tolist() == [0] * 2500 + [1] * 2500 and len(calls) < 200
+    got = velocity.run_to_table(spark, velocity.prior_features(stream_of(spark, tmp_path, [[(1, None, 0, 1), (2, 0, 5, 0)], [(3, None, 60, 0)]])), "prior", rocksdb=True)
+    assert sorted(map(tuple, got.collect())) == [(1, None, 0, None), (2, 0, 0, None), (3, None, 1, 1.0)]

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import time
-from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, MapState, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
 
 from ..operators.triage import fraud_score, route
@@ -77,10 +76,12 @@ def sessions(clicks: DataFrame, gap: str = "1 day", late: str = "1 day") -> Data
 
 
 class PriorCounts(StatefulProcessor):
-    """Of each click of an ip, how many clicks and attributed clicks its last span holds.
+    """Of each click, how many clicks and attributed clicks of its ip the last span holds. A group is a shard of ips, so that a batch calls the state a few
+    times a shard and hour, whatever the number of ips.
 
-    The state is a map by time bucket: the bucket's totals, and its times and labels in order. Whole buckets of a span are read as totals and only
-    those at its two ends as rows; a batch writes the buckets that it has clicks in, whatever the ip's history. A timer removes each bucket.
+    The state is two maps by time bucket, packed as int64: the clicks (ip, time, label) and each ip's totals (ip, n, y). Whole buckets of a span
+    are read as totals and only those at its two ends as clicks; a batch writes the buckets that it has clicks in, whatever the history. A timer
+    removes each bucket.
     """
 
     def __init__(self, span_us: int, bucket_us: int):
@@ -88,51 +89,41 @@ class PriorCounts(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.totals = handle.getMapState("totals", "bucket long", "n long, y long")
-        self.rows = handle.getMapState("rows", "bucket long", "times array<long>, labels array<int>")
-
-    def _rows(self, b: int) -> tuple[list[int], list[int]]:
-        found = self.rows.getValue((b,)) if self.rows.containsKey((b,)) else None
-        return (list(found[0]), list(found[1])) if found is not None else ([], [])
+        self.totals = handle.getMapState("totals", "bucket long", "packed binary")
+        self.rows = handle.getMapState("rows", "bucket long", "packed binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["click_time", "row_id"])
-        at = new["click_time"].astype("datetime64[us]").astype("int64").tolist()
-        changed: dict[int, list[tuple[int, int]]] = {}
-        for t, y in zip(at, new["is_attributed"].tolist(), strict=True):
-            changed.setdefault(t // self.bucket, []).append((t, int(y)))
-        held: dict[int, tuple[list[int], list[int]]] = {}
-        for b, added in changed.items():
-            times, labels = self._rows(b)
-            merged = sorted([*zip(times, labels, strict=True), *added], key=lambda r: r[0])
-            held[b] = [t for t, _ in merged], [y for _, y in merged]
-            self.rows.updateValue((b,), held[b])
-            self.totals.updateValue((b,), (len(merged), sum(held[b][1])))
-            if not times:
+        new = pd.concat(list(rows), ignore_index=True)
+        at = new["click_time"].astype("datetime64[us]").astype("int64").to_numpy()
+        ips = new["ip_code"].to_numpy()
+        clicks = np.stack([ips, at, new["is_attributed"].to_numpy().astype("int64")])
+        own, since, until = at // self.bucket, (at - self.span - 1) // self.bucket, (at - 1000) // self.bucket
+        held: dict[int, np.ndarray] = {}
+        for b in np.unique(own).tolist():
+            before = _packed(self.rows, b)
+            held[b] = np.concatenate([before, clicks[:, own == b]], axis=1)
+            found, which = np.unique(held[b][0], return_inverse=True)
+            totals = np.zeros((3, len(found)), "int64")
+            totals[0] = found
+            np.add.at(totals[1], which, 1)
+            np.add.at(totals[2], which, held[b][2])
+            self.rows.updateValue((b,), (held[b].tobytes(),))
+            self.totals.updateValue((b,), (totals.tobytes(),))
+            if not before.shape[1]:
                 self.handle.registerTimer((b + 1) * self.bucket // 1000 + self.span // 1000 * 3)
-        reach = range((at[0] - self.span - 1) // self.bucket, at[-1] // self.bucket + 1)
-        first, n, y = reach[0], [0], [0]
-        for b in reach:
-            total = self.totals.getValue((b,)) if self.totals.containsKey((b,)) else (0, 0)
-            n.append(n[-1] + total[0])
-            y.append(y[-1] + total[1])
-        sums: dict[int, list[int]] = {}
-
-        def up_to(x: int) -> tuple[int, int]:
-            """Clicks and attributed clicks at or before x, of the buckets in reach."""
-            b = x // self.bucket
-            if b not in held:
-                held[b] = self._rows(b)
-            if b not in sums:
-                sums[b] = [0, *accumulate(held[b][1])]
-            k = bisect_right(held[b][0], x)
-            return n[b - first] + k, y[b - first] + sums[b][k]
-
-        out = []
-        for t in at:
-            (n1, y1), (n0, y0) = up_to(t - 1000), up_to(t - self.span - 1)
-            out.append((n1 - n0, (y1 - y0) / (n1 - n0) if n1 > n0 else None))
-        yield pd.DataFrame({"row_id": new["row_id"].to_numpy(), "ip": key[0], "clicks_before": [c for c, _ in out], "rate_before": [r for _, r in out]})
+        ends = {*since.tolist(), *until.tolist()}
+        parts = []
+        for b in sorted({b for first, last in set(zip(since.tolist(), until.tolist(), strict=True)) for b in range(first, last + 1)}):
+            if b in ends:
+                ip, t, y = held[b] if b in held else _packed(self.rows, b)
+                parts.append(np.stack([ip, t, np.ones_like(ip), y]))
+            else:  # no span ends within the bucket, so its totals may stand at its start
+                ip, n, y = _packed(self.totals, b)
+                parts.append(np.stack([ip, np.full_like(ip, b * self.bucket), n, y]))
+        n1, y1, n0, y0 = _sums(np.concatenate(parts, axis=1), ips, at - 1000, at - self.span - 1)
+        n, y = n1 - n0, y1 - y0
+        rate = pd.Series(np.divide(y, n, out=np.zeros(len(n)), where=n > 0)).astype(object).where(n > 0, None)
+        yield pd.DataFrame({"row_id": new["row_id"], "ip": pd.Series(ips).where(ips != NO_IP).astype("Int32"), "clicks_before": n, "rate_before": rate})
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         b = (expiredTimerInfo.getExpiryTimeInMs() - self.span // 1000 * 3) * 1000 // self.bucket - 1
@@ -144,13 +135,36 @@ class PriorCounts(StatefulProcessor):
         pass
 
 
-def prior_features(clicks: DataFrame, span_ms: int = DAY_MS, bucket_ms: int = HOUR_MS) -> DataFrame:
+def _packed(state: MapState, bucket: int) -> np.ndarray:
+    """A bucket's three columns, without rows where the state has none."""
+    return np.frombuffer(state.getValue((bucket,))[0] if state.containsKey((bucket,)) else b"", "int64").reshape(3, -1)
+
+
+def _sums(counted: np.ndarray, ips: np.ndarray, *times: np.ndarray) -> list[np.ndarray]:
+    """n and y, for each of times, summed over the counted (ip, time, n, y) at or before it: of the ip, and of all ips before it in order."""
+    asked = len(ips) * len(times)
+    ip, t = np.concatenate([counted[0], *[ips] * len(times)]), np.concatenate([counted[1], *times])
+    asks = np.concatenate([np.zeros(counted.shape[1], "int8"), np.ones(asked, "int8")])
+    order = np.lexsort((asks, t, ip))
+    back = np.empty(len(order), "int64")
+    back[order] = np.arange(len(order))
+    total = [np.cumsum(np.concatenate([c, np.zeros(asked, "int64")])[order])[back[counted.shape[1] :]].reshape(len(times), -1) for c in counted[2:]]
+    return [c[i] for i in range(len(times)) for c in total]
+
+
+#: Shards of ips with a state of their own each. A stream that goes on from a checkpoint has the number that it had.
+SHARDS = 64
+NO_IP = 1 << 40  # beyond every int
+
+
+def prior_features(clicks: DataFrame, span_ms: int = DAY_MS, bucket_ms: int = HOUR_MS, shards: int = SHARDS) -> DataFrame:
     """(row_id, ip, clicks_before, rate_before): counts over [t - span, t - 1 ms], emitted when the click comes.
 
     Rows later than a day are left out. The state store must be RocksDB: run_to_table(..., rocksdb=True) sees to it.
     """
+    coded = clicks.select("row_id", "click_time", "is_attributed", F.coalesce(F.col("ip").cast("long"), F.lit(NO_IP)).alias("ip_code")).withColumn("shard", F.pmod(F.xxhash64("ip_code"), F.lit(shards)).cast("int"))
     return (
-        clicks.withWatermark("click_time", "1 day").groupBy("ip")
+        coded.withWatermark("click_time", "1 day").groupBy("shard")
         .transformWithStateInPandas(PriorCounts(span_ms * 1000, bucket_ms * 1000), "row_id long, ip int, clicks_before long, rate_before double", "append", "EventTime")
     )
 
