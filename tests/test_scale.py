@@ -307,3 +307,17 @@ def test_prior_state_is_called_by_shard_and_hour(spark, tmp_path, few_state_part
     assert out["clicks_before"].tolist() == [0] * 2500 + [1] * 2500 and len(calls) < 200
     got = velocity.run_to_table(spark, velocity.prior_features(stream_of(spark, tmp_path, [[(1, None, 0, 1), (2, 0, 5, 0)], [(3, None, 60, 0)]])), "prior", rocksdb=True)
     assert sorted(map(tuple, got.collect())) == [(1, None, 0, None), (2, 0, 0, None), (3, None, 1, 1.0)]
+
+
+def test_turns_are_batches_of_many_files(spark, tmp_path):
+    """A turn is several files, none empty, all of it in one batch; with few rows it is one file."""
+    clicks = spark.range(2_000).select(F.col("id").alias("row_id"), F.lit(1).alias("ip"), F.timestamp_seconds("id").alias("click_time"))
+    turn = F.when(F.col("row_id") % 10 != 0, 0).when(F.col("row_id") % 20 == 0, 1).otherwise(2)
+    for rows, files in ((20, 5), (1000, 1)):
+        path = f"file://{tmp_path}/in{files}"
+        assert velocity.write_turns(clicks, turn, 3, path, rows) == files
+        assert len(list((tmp_path / f"in{files}").glob("part-*.parquet"))) == 3 * files
+        batches = []
+        stream = velocity.file_stream(spark, path, clicks.schema, files)
+        stream.writeStream.option("checkpointLocation", f"file://{tmp_path}/cp{files}").trigger(availableNow=True).foreachBatch(lambda b, i, batches=batches: batches.append({r[0] for r in b.select(turn).distinct().collect()})).start().awaitTermination()
+        assert batches == [{0}, {1}, {2}]

@@ -545,9 +545,9 @@ def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = velocity.with_closing(velocity.stream_clicks(spark, sf_dir))
     path = shared_path(spark, "clicks-late")
     turn = F.when(F.col("row_id") % 10 != 0, 0).when(F.col("row_id") % 20 == 0, 1).otherwise(2)
-    clicks.repartitionByRange(3, turn).write.parquet(path)
-    arriving = lambda: velocity.file_stream(spark, path, clicks.schema)
-    counted = velocity.run_to_table(spark, velocity.windowed_counts(arriving()), "velocity")
+    files = velocity.write_turns(clicks, turn, 3, path)
+    arriving = lambda: velocity.file_stream(spark, path, clicks.schema, files)
+    counted = velocity.run_to_table(spark, velocity.windowed_counts(arriving()), "velocity", rocksdb=True)
     late = velocity.late_clicks(spark, arriving(), "late").groupBy("ip", F.date_trunc("hour", "click_time").alias("start")).agg(F.count(F.lit(1)).alias("n_late"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return counted.join(late, ["ip", "start"], "full").select("ip", F.col("start").cast("timestamp_ntz").alias("start"), zero("n_clicks"), zero("n_late"))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, MapState, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
@@ -60,6 +60,22 @@ def order_files(spark: SparkSession, path: str) -> None:
         fs.setTimes(f, (now + i) * 1000, -1)
 
 
+#: Rows of a file of write_turns, about, in the smallest turn.
+TURN_ROWS = 20_000
+
+
+def write_turns(clicks: DataFrame, turn: Column, turns: int, path: str, rows: int = TURN_ROWS) -> int:
+    """Write clicks so that a file stream takes turn 0 first, then turn 1, and so on; returns how many files a turn has, the same for all: a batch.
+
+    The number grows with the smallest turn, so that no task reads a whole turn. Rows are dealt to a turn's files by a hash, which leaves none of
+    them empty.
+    """
+    counts = {r["turn"]: r["count"] for r in clicks.groupBy(turn.alias("turn")).count().collect()}  # a row a turn
+    files = max(1, min(counts.get(i, 0) for i in range(turns)) // rows)
+    clicks.repartitionById(turns * files, (turn * files + F.pmod(F.xxhash64(*clicks.columns), F.lit(files))).cast("int")).write.parquet(path)
+    return files
+
+
 def windowed_counts(clicks: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """(ip, start, n_clicks) of tumbling windows, given out in append mode when the watermark has passed them; their state goes then.
 
@@ -216,13 +232,11 @@ def late_clicks(spark: SparkSession, clicks: DataFrame, name: str, width_s: int
     folders = {k: f"{log}-{k}" for k in ("latest", "rows")} if checkpoint else {k: f"{out}-{k}" for k in ("latest", "rows")}
 
     def write(batch: DataFrame, number: int) -> None:
-        kept = batch.persist()
-        kept.agg(F.max("click_time").alias("latest")).write.mode("overwrite").parquet(f"{folders['latest']}/batch={number}")
+        batch.agg(F.max("click_time").alias("latest")).write.mode("overwrite").parquet(f"{folders['latest']}/batch={number}")
         before = spark.read.schema("latest timestamp, batch int").parquet(folders["latest"]).where(F.col("batch") < number - 1).agg(F.max("latest")).first()[0]
         mark = F.lit(before).cast("timestamp") - F.make_dt_interval(secs=F.lit(late_s))
         closed = F.window("click_time", f"{width_s} seconds")["end"] <= mark
-        kept.where(F.lit(before is not None) & F.coalesce(closed, F.lit(False))).write.mode("overwrite").parquet(f"{folders['rows']}/batch={number}")
-        kept.unpersist()
+        batch.where(F.lit(before is not None) & F.coalesce(closed, F.lit(False))).write.mode("overwrite").parquet(f"{folders['rows']}/batch={number}")
 
     clicks.writeStream.option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     return spark.read.schema(f"{', '.join(f'{n} {t}' for n, t in clicks.dtypes)}, batch int").parquet(folders["rows"])
