@@ -160,3 +160,15 @@ def test_exact_quantiles(spark, seed):
     df = spark.createDataFrame([(x,) for x in [*rows, None]], "x double").repartition(3)
     assert exact_quantiles(df, "x", shares) == pytest.approx([float(np.quantile(rows, q)) for q in shares])
     assert exact_quantiles(df.limit(0), "x", [0.5]) == [None]
+
+
+def test_spread_of_gaps_beyond_twenty_bits(spark):
+    """Squares are summed in parts of longs, exact for gaps of weeks and of years; no measure is a decimal."""
+    import statistics
+
+    from tidewater.functions.features import IP_MEASURES
+
+    at = [0, 3_456_001, 3_456_011, 3_456_031, 1_003_456_031, 1_003_456_038, 1_003_456_100]
+    got = values(all_features(clicks(spark, [(1, 1, 0, t, 0) for t in at])), "f2_ip_click_std_inter_arrival")
+    assert [g[0] for g in got] == [None, None, None, pytest.approx(statistics.stdev([3_456_001, 10]), rel=1e-14), None, None, pytest.approx(statistics.stdev([10**9, 7]), rel=1e-14)]
+    assert {m.kind for m in IP_MEASURES.values()} == {"bigint"}

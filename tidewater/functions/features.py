@@ -26,11 +26,15 @@ def per_click() -> dict[str, Column]:
 
 
 _GAP = "f2_inter_click_time_seconds"
+_LOW, _HIGH = f"({_GAP} & 1048575)", f"shiftright({_GAP}, 20)"
+#: Parts of a gap's square, high * high * 2^40 + 2 * high * low * 2^20 + low * low: sums of longs, that cost a fraction of one of decimals. None can
+#: overflow, as an ip's gaps add up to less than 2^38 seconds.
+_SQUARES = {"hh": f"{_HIGH} * {_HIGH}", "hl": f"{_HIGH} * {_LOW}", "ll": f"{_LOW} * {_LOW}"}
 #: What is summed over the rows of an ip, or of an (ip, app), before each row: SQL over a row.
 IP_MEASURES: dict[str, Measure] = {
     "ip_n_1h": Measure("1", HOUR), "ip_n_24h": Measure("1", DAY), "ip_y_24h": Measure("is_attributed", DAY), "ip_n": Measure("1", None), "ip_y": Measure("is_attributed", None),
     "pair_n_1h": Measure("1", HOUR, "app"), "pair_n_24h": Measure("1", DAY, "app"), "pair_y_24h": Measure("is_attributed", DAY, "app"), "pair_n": Measure("1", None, "app"), "pair_y": Measure("is_attributed", None, "app"),
-    "gap_n": Measure(f"if({_GAP} IS NOT NULL, 1, 0)", DAY), "gap_s": Measure(_GAP, DAY), "gap_ss": Measure(f"CAST({_GAP} AS DECIMAL(19,0)) * {_GAP}", DAY, kind="decimal(38,0)"),
+    "gap_n": Measure(f"if({_GAP} IS NOT NULL, 1, 0)", DAY), "gap_s": Measure(_GAP, DAY), **{f"gap_{x}": Measure(v, DAY) for x, v in _SQUARES.items()},
     **{f"ip_{c}s": Measure(f"{c}_opens", DAY, leaving=f"{c}_closes") for c in ("app", "device", "os")},
 }
 APP_MEASURES: dict[str, Measure] = {
@@ -46,8 +50,11 @@ def _rate(y: str, n: str) -> str:
 #: 1 where more than 10 clicks in the hour before and under 60 s since the last; a first click is 0.
 _BURST = f"CASE WHEN ip_n_1h > 10 AND {_GAP} < 60 THEN 1 ELSE 0 END"
 #: Sample deviation of the gaps. Nothing cancels: n * sum(x^2) - sum(x)^2 is computed in whole numbers (decimals of 38 digits) and only then divided.
-_SPREAD = "CAST(CAST(gap_n AS DECIMAL(19,0)) * CAST(gap_ss AS DECIMAL(30,0)) AS DECIMAL(38,0)) - CAST(CAST(gap_s AS DECIMAL(19,0)) * CAST(gap_s AS DECIMAL(19,0)) AS DECIMAL(38,0))"
-_DEVIATION = f"if(gap_n > 1, sqrt(CAST({_SPREAD} AS DOUBLE) / (gap_n * (gap_n - 1))), NULL)"
+_SQUARE_SUM = "CAST(gap_hh AS DECIMAL(19,0)) * 1099511627776BD + CAST(gap_hl AS DECIMAL(19,0)) * 2097152BD + CAST(gap_ll AS DECIMAL(19,0))"
+_WIDE_SPREAD = f"CAST(CAST(CAST(gap_n AS DECIMAL(19,0)) * CAST({_SQUARE_SUM} AS DECIMAL(30,0)) AS DECIMAL(38,0)) - CAST(CAST(gap_s AS DECIMAL(19,0)) * CAST(gap_s AS DECIMAL(19,0)) AS DECIMAL(38,0)) AS DOUBLE)"
+#: In longs where they hold it: the square of the sum is at most n times the sum of squares.
+_SPREAD = f"if(gap_hh = 0 AND gap_n < 1048576 AND gap_ll < 4398046511104, CAST(gap_n * gap_ll - gap_s * gap_s AS DOUBLE), {_WIDE_SPREAD})"
+_DEVIATION = f"if(gap_n > 1, sqrt(({_SPREAD}) / (gap_n * (gap_n - 1))), NULL)"
 
 #: The features of each pass, as SQL over the measures: of the clicks before with the same ip (and app), and with the same app.
 IP_FEATURES: dict[str, str] = {
@@ -103,7 +110,7 @@ def with_app_features(edges: DataFrame, names: Iterable[str] = tuple(APP_FEATURE
 #: What a feature reads: its measures, and the items whose segments they count.
 _READS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "f2_clicks_per_ip_last_1hr": (("ip_n_1h",), ()), "f2_clicks_per_ip_last_24hr": (("ip_n_24h",), ()), "f2_clicks_per_ip_app_last_1hr": (("pair_n_1h",), ()),
-    "f2_ip_click_std_inter_arrival": (("gap_n", "gap_s", "gap_ss"), ()), "f2_burst_score": (("ip_n_1h",), ()),
+    "f2_ip_click_std_inter_arrival": (("gap_n", "gap_s", *(f"gap_{x}" for x in _SQUARES)), ()), "f2_burst_score": (("ip_n_1h",), ()),
     "f3_ip_conversion_rate_24hr": (("ip_n_24h", "ip_y_24h"), ()), "f3_ip_conversion_rate_alltime": (("ip_n", "ip_y"), ()), "f3_ip_clicks_alltime": (("ip_n",), ()),
     "f3_ip_app_conversion_rate_24hr": (("pair_n_24h", "pair_y_24h"), ()), "f3_ip_app_clicks_24hr": (("pair_n_24h",), ()),
     "f3_ip_app_conversion_rate_alltime": (("pair_n", "pair_y"), ()), "f3_ip_app_clicks_alltime": (("pair_n",), ()),
