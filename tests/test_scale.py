@@ -321,3 +321,12 @@ def test_turns_are_batches_of_many_files(spark, tmp_path):
         stream = velocity.file_stream(spark, path, clicks.schema, files)
         stream.writeStream.option("checkpointLocation", f"file://{tmp_path}/cp{files}").trigger(availableNow=True).foreachBatch(lambda b, i, batches=batches: batches.append({r[0] for r in b.select(turn).distinct().collect()})).start().awaitTermination()
         assert batches == [{0}, {1}, {2}]
+
+
+def test_a_known_input_is_not_hashed_again(spark, tmp_path, monkeypatch):
+    from tidewater.plans import materialize
+
+    rows = clicks(spark, [(1, 1, 0, 60 * i, 0) for i in range(5)])
+    store, version = FeatureStore(spark, f"file://{tmp_path}/store"), input_version(rows)
+    monkeypatch.setattr(materialize, "input_version", lambda c: pytest.fail("hashed"))
+    assert materialize_features(rows, store, "v0.1.0", "train", "t", made_from=version) == materialize_features(rows, store, "v0.1.0", "train", "t", made_from=version)

@@ -65,12 +65,14 @@ def input_version(clicks: DataFrame) -> str:
     return f"{one['n']}-{one['h'] or 0}-{one['s'] or 0}"
 
 
-def materialize_features(clicks: DataFrame, store: FeatureStore, version: str, split: str, source: str, sample_fraction: float | None = None) -> int:
+def materialize_features(clicks: DataFrame, store: FeatureStore, version: str, split: str, source: str, sample_fraction: float | None = None, made_from: str | None = None) -> int:
     """Write a split's features to the store; returns its rows. A table made from the same input is reused, one made from another raises.
 
+    made_from: input_version(clicks), where the caller has it; else it is taken from the clicks, a pass over them.
+
     The passes are kept in the store, for the other splits and for a run after a broken one.
     """
-    made_from = input_version(clicks)
+    made_from = input_version(clicks) if made_from is None else made_from
     origin = f"{source}#{made_from}#{sample_fraction}"
     row = lambda: store.metadata().where((F.col("version") == version) & (F.col("split") == split)).limit(1).collect()
     if not (done := row()):

@@ -297,7 +297,7 @@ def _resumed(clicks: DataFrame) -> DataFrame:
     then = materialize.KeptPasses(spark, f"{root}/passes", version)
     materialize.feature_table(clicks, "train", kept=then)
     for split in ("train", "val"):
-        materialize.materialize_features(clicks, store, "v0.1.0", split, "events")
+        materialize.materialize_features(clicks, store, "v0.1.0", split, "events", made_from=version)
     both = store.load("v0.1.0", "train").unionByName(store.load("v0.1.0", "val"))
     return both.select("row_id", *FEATURES).withColumns({"passes_before": F.lit(first.made), "passes_after": F.lit(then.made)})
 
