@@ -130,3 +130,20 @@ def test_precision_of_several_scorings_at_once(spark):
     df = spark.createDataFrame([(k, round(r.random(), 1 + k), int(r.random() < 0.3)) for k in range(3) for _ in range(200)], "k int, p double, y_true int")
     got = {x["k"]: x["pr_auc"] for x in metrics.average_precision_by(df, "k").collect()}
     assert got == {k: pytest.approx(metrics.average_precision(df.where(F.col("k") == k)).first()[0]) for k in range(3)}
+
+
+def test_ablation_fits_side_by_side(signal, monkeypatch):
+    """Two refits at once: each waits until another has begun."""
+    import threading
+
+    two = threading.Barrier(2)
+    monkeypatch.setattr(models, "fit_trees", lambda train, val, names, rounds: (two.wait(30), (None, len(names) / 10))[1])
+    got = {r["without"]: (r["pr_auc"], round(r["delta"], 6)) for r in models.ablation(*signal, 2, NAMES).collect()}
+    assert got == {"none": (0.3, 0.0), "f1_": (0.2, -0.1), "f2_": (0.2, -0.1), "f3_": (0.2, -0.1)}
+
+
+def test_trees_keep_vectors_only(signal, monkeypatch):
+    seen, fit = [], models.GBTClassifier.fit
+    monkeypatch.setattr(models.GBTClassifier, "fit", lambda self, data, *a: (seen.append(data.columns), fit(self, data, *a))[1])
+    models.fit_trees(*signal, NAMES, rounds=1, depth=1)
+    assert seen == [["features", "label", "weight"]]
