@@ -2,9 +2,11 @@
 
 import hashlib
 import html
+import itertools
 import math
 import random
 import re
+import sys
 import time
 import tracemalloc
 import zlib
@@ -254,6 +256,38 @@ def test_bpe_long_texts_need_little_memory(text):
     assert peak < 4 * len(text) + 6_000_000
 
 
+def test_bpe_new_words_share_work():
+    """A word not met before costs little where its beginning was met: dictionary look-ups a byte, counted; and bounded memories lose nothing."""
+    parts = ["under", "heit", "keit", "ver", "schä", "tion", "lich", "ing"]
+    words = [" " + "".join(w) for w in itertools.product(parts, repeat=4)]
+    b, t = bpe.Bpe(BPE), Tokenizer.from_file(BPE)
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: event == "c_call" and calls.update([arg.__name__]))
+    try:
+        got = [b.encode_word(w) for w in words]
+    finally:
+        sys.setprofile(None)
+    assert got == [tuple(t.encode(w, add_special_tokens=False).ids) for w in words]
+    assert calls["get"] < 1.5 * sum(len(w.encode()) for w in words)
+    r, small = random.Random(5), bpe.Bpe(BPE, cache_words=3)
+    words = [" " * r.randint(0, 1) + "".join(r.choice(["a", "b", "the", "é", "ing", "中", "ß", "ab"]) for _ in range(r.randint(1, 21))) for _ in range(3000)]
+    words = [w for w in words if small.cut.findall(w) == [w] and len(w) <= bpe.MEMO]
+    for w in [*words, *words[:500]]:
+        assert list(small.encode_word(w)) == t.encode(w, add_special_tokens=False).ids == list(small.stream(w.encode()[i : i + 5] for i in range(0, len(w.encode()), 5)))
+        assert len(small.words) <= 3 and len(small.older) <= 3 and len(small.starts) <= 3
+
+
+def test_bpe_cuts_latin_texts_alike():
+    """Both matchers cut every text of code points below 0x250 in the same words."""
+    b, r = bpe.Bpe(BPE), random.Random(6)
+    latin = [chr(c) for c in range(0x250)]
+    texts = [x + y + z for x in ("", " ", "a", "1", "!") for y in latin for z in ("", " ", "é", "²", "'s", "\xa0")]
+    texts += ["".join(r.choice(latin) for _ in range(300)) for _ in range(200)]
+    for text in texts:
+        assert b.cut_latin.findall(text) == b.cut.findall(text)
+    assert b._cut("é\u0250") is b.cut and b._cut("é") is b.cut_latin and b._cut("e") is b.cut_ascii
+
+
 # 5 join
 
 

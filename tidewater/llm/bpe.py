@@ -8,8 +8,10 @@ later token can still reach (those within the longest token) run through its
 end; it is emitted then and its bytes are forgotten. `lookahead`, computed from
 the merge list, is how far a merge's outcome can depend on what follows; the
 scan tests for stable tokens once that many bytes are pending, so memory stays
-constant for a word of any length. Every token comes from this scan; the tokens
-of short words are remembered, a bounded number of words a task. A text is cut
+constant for a word of any length. A word of up to MEMO characters is there
+whole, so of the same table only the positions that its end depends on are
+filled, from the end back; the tokens of such words and of their beginnings,
+which many words share, are remembered, a bounded number a task. A text is cut
 into words, encoded, hashed and decoded block by block. Decoding feeds token
 bytes to an incremental UTF-8 state machine.
 
@@ -38,6 +40,9 @@ from .common import map_rows
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+#: The same for text of code points below 0x250 alone, whose letters and numbers are few ranges: re is faster than regex.
+LATIN, LETTERS, NUMBERS = "\0-\u024f", "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+LATIN_WORDS = WORDS.replace(r"\p{L}", f"[{LETTERS}]", 1).replace(r"\p{N}", f"[{NUMBERS}]", 1).replace(r"\p{L}\p{N}", LETTERS + NUMBERS)
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 #: Characters of text that are cut into words at once, words at once in a longer text, and the longest word whose tokens are remembered.
@@ -52,6 +57,17 @@ def _characters() -> dict[str, int]:
     return {chr(b): b for b in PRINTABLE} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _trie(tokens: Iterable[tuple[bytes, int]]) -> dict:
+    """Of each byte the next bytes, and the token that ends with it; shorter tokens come first."""
+    root: dict = {}
+    for (*path, end), i in tokens:
+        node = root
+        for x in path:
+            node = node.setdefault(x, ({}, None))[0]
+        node[end] = (node[end][0] if end in node else {}, i)
+    return root
+
+
 class Bpe:
     """One tokenizer file, with the tables of the transducer. cache_words bounds the memory of encoded words."""
 
@@ -71,23 +87,24 @@ class Bpe:
             pair = vocab[a], vocab[b]
             self.rank[pair] = r
             self.made.setdefault(vocab[a + b], (r, *pair))
-        #: Trie of the tokens' bytes: of each byte the next bytes, and the token that ends with it.
-        self.trie: dict = {}
-        for i in sorted(vocab.values(), key=lambda i: len(self.bytes_of[i])):
-            *path, end = self.bytes_of[i]
-            node = self.trie
-            for x in path:
-                node = node.setdefault(x, ({}, None))[0]
-            node[end] = (node[end][0] if end in node else {}, i)
+        #: Tries of the tokens' bytes: from the first one on, and from the last one back.
+        plain = sorted(vocab.values(), key=lambda i: len(self.bytes_of[i]))
+        self.trie = _trie((self.bytes_of[i], i) for i in plain)
+        self.ends = _trie((self.bytes_of[i][::-1], i) for i in plain)
         self.longest = max(len(self.bytes_of[i]) for i in vocab.values())
         self.lookahead = self._lookahead()
-        self.fits: dict[tuple[int, int], bool] = {}
+        #: Of each token: the tokens tried after it, and whether they can stand there. Forgotten when known_pairs grows too large.
+        self.fits: dict[int, dict[int, bool]] = {}
+        self.known_pairs = 0
         #: Encoded words, the newer and the older half; each holds at most cache_words.
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        #: Tokens of the beginnings of short words, which other words share.
+        self.starts: dict[bytes, tuple[int, ...]] = {}
         self.cache_words = cache_words
         self.split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.cut = regex.compile(WORDS)
+        self.cut_latin, self.beyond_latin = re.compile(LATIN_WORDS), re.compile(f"[^{LATIN}]")
         self.cut_ascii = re.compile(ASCII_WORDS, re.ASCII)
 
     def _lookahead(self) -> int:
@@ -106,7 +123,7 @@ class Bpe:
 
     def boundary(self, a: int, b: int) -> bool:
         """Whether tokens a and b can stand side by side: undoing their merges from the last one on, no pair at the boundary would have merged earlier."""
-        known = self.fits.get((a, b))
+        known = self.fits.setdefault(a, {}).get(b)
         if known is None:
             x, y, before, fits = a, b, len(self.rank) + 1, True
             while True:
@@ -121,9 +138,12 @@ class Bpe:
                     before, x = rx, self.made[x][2]
                 else:
                     before, y = ry + 1, self.made[y][1]
-            if len(self.fits) > 250_000:
-                self.fits.clear()
-            known = self.fits[a, b] = fits
+            if self.known_pairs >= 250_000:
+                for after in self.fits.values():  # a scan may hold one of them
+                    after.clear()
+                self.known_pairs = 0
+            known = self.fits[a][b] = fits
+            self.known_pairs += 1
         return known
 
     def stream(self, pieces: Iterable[bytes]) -> Iterator[int]:
@@ -141,19 +161,25 @@ class Bpe:
                     yield from self._chain(last, at)
                     del held[:at], last[:at]
                     done -= at
-        self._scan(held, last, done, len(held))
+        self._scan(held, last, done, len(held), True)
         yield from self._chain(last, len(held))
 
-    def _scan(self, held: bytes, last: list, start: int, end: int) -> None:
-        """Tries the tokens at the starts; the first that fits what stands before, the longest, is the last one of its end."""
-        trie, fits, boundary, n = self.trie, self.fits, self.boundary, len(held)
+    def _scan(self, held: bytes, last: list, start: int, end: int, ends: bool = False) -> None:
+        """Tries the tokens at the starts; the first that fits what stands before, the longest, is the last one of its end.
+
+        If the word ends with held, the scan does so with the token that reaches the word's end: its chain has only positions that were tried.
+        """
+        trie, fits, boundary, longest = self.trie, self.fits, self.boundary, self.longest
         for i in range(start, end):
             before = last[i]
             if before is None:
                 continue  # no encoding ends here
             node, j = trie, i
-            while j < n:
-                step = node.get(held[j])
+            after = fits.get(before)
+            if after is None:
+                after = fits[before] = {}
+            for x in held[i : i + longest]:
+                step = node.get(x)
                 if step is None:
                     break
                 j += 1
@@ -162,9 +188,42 @@ class Bpe:
                     if before == -1:
                         last[j] = t
                     else:
-                        fit = fits.get((before, t))
+                        fit = after.get(t)
                         if fit or fit is None and boundary(before, t):
                             last[j] = t
+            if ends and last[-1] is not None:
+                break
+
+    def _whole(self, back: bytes) -> tuple[int, ...]:
+        """Tokens of a short word that is there whole, its bytes from the last to the first; none if no encoding ends there.
+
+        The last token at its end is, as in _scan, the longest of those that end there and fit what stands before; so only the positions that it depends on are asked for. What was found for the beginnings of words is remembered, at most cache_words of them.
+        """
+        node, n, found = self.ends, 0, []
+        for x in back:
+            step = node.get(x)
+            if step is None:
+                break
+            n += 1
+            node, t = step
+            if t is not None:
+                found.append((n, t))
+        for n, t in reversed(found):
+            if n == len(back):
+                return (t,)
+            start = back[n:]
+            head = self.starts.get(start)
+            if head is None:
+                head = self._whole(start)
+                if len(self.starts) >= self.cache_words:
+                    self.starts.clear()
+                self.starts[start] = head
+            if head:
+                after = self.fits.get(head[-1])
+                fit = after.get(t) if after is not None else None
+                if fit or fit is None and self.boundary(head[-1], t):
+                    return (*head, t)
+        return ()
 
     def _meeting(self, last: list, end: int) -> int:
         """The last position that the chains of all positions within reach of `end` have in common."""
@@ -188,9 +247,14 @@ class Bpe:
 
     def encode_word(self, word: str) -> tuple[int, ...]:
         """The transducer's output for a word of at most MEMO characters, remembered."""
+        ids = self.words.get(word)
+        if ids is not None:
+            return ids
         ids = self.older.get(word)
         if ids is None:
-            ids = tuple(self.stream((word.encode(),)))
+            ids = self._whole(word.encode()[::-1])
+            if not ids:
+                raise KeyError(word)  # the file has no token for one of its bytes
         if len(self.words) >= self.cache_words:
             self.words, self.older = {}, self.words
         self.words[word] = ids
@@ -205,34 +269,36 @@ class Bpe:
             at = m.end()
         yield from self._plain(text, at, len(text))
 
+    def _cut(self, text: str) -> re.Pattern | regex.Pattern:
+        if text.isascii():
+            return self.cut_ascii
+        return self.cut if self.beyond_latin.search(text) else self.cut_latin
+
     def _plain(self, text: str, start: int, end: int) -> Iterator[list[int]]:
         if start == end:
             return
         if end - start <= BLOCK:
             piece = text[start:end]
-            yield from self._block((self.cut_ascii if piece.isascii() else self.cut).findall(piece))
+            yield from self._block(self._cut(piece).findall(piece))
         else:
-            words = (m[0] for m in (self.cut_ascii if text.isascii() else self.cut).finditer(text, start, end))
+            words = (m[0] for m in self._cut(text).finditer(text, start, end))
             while some := list(islice(words, WORDS_AT_ONCE)):
                 yield from self._block(some)
 
     def _block(self, words: list[str]) -> Iterator[list[int]]:
-        known = self.words
-        new = {w: self.encode_word(w) for w in set(words).difference(known) if len(w) <= MEMO}
-        start = 0
-        if max(map(len, words)) > MEMO:
-            for i, w in enumerate(words):
-                if len(w) > MEMO:
-                    yield self._known(words[start:i], new)
-                    ids = self.stream(w[k : k + BLOCK].encode() for k in range(0, len(w), BLOCK))
-                    while some := list(islice(ids, WORDS_AT_ONCE)):
-                        yield some
-                    start = i + 1
-        yield self._known(words[start:] if start else words, new)
-
-    def _known(self, words: list[str], new: dict) -> list[int]:
-        known = self.words
-        return list(chain.from_iterable([known[w] if w in known else new[w] if w in new else self.encode_word(w) for w in words] if new else map(known.__getitem__, words)))
+        """One look into the remembered words for each; those not there are encoded, and a long one cuts the block."""
+        found, start = list(map(self.words.get, words)), 0
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            w = words[i]
+            if len(w) <= MEMO:
+                found[i] = self.encode_word(w)
+            else:
+                yield list(chain.from_iterable(found[start:i]))
+                ids = self.stream(w[k : k + BLOCK].encode() for k in range(0, len(w), BLOCK))
+                while some := list(islice(ids, WORDS_AT_ONCE)):
+                    yield some
+                start = i + 1
+        yield list(chain.from_iterable(found[start:] if start else found))
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.blocks(text)))
