@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import exchange, suffix_dedup
+from tidewater.llm import exchange, lm_score, suffix_dedup
 from tidewater.sources.shared import shared_folder
 
 
@@ -85,3 +85,22 @@ def test_anchors_spread(spark):
     row = exchange.pack(docs.limit(300).coalesce(1)).first().asDict()
     n = np.diff(exchange.edges(suffix_dedup.Unit(row, 8, 50).anchors()[0][0], 8))
     assert n.min() > 0.8 * n.mean() and n.max() < 1.2 * n.mean()
+
+
+def test_lm_scores_take_little_disk(spark):
+    """Beyond the bounds of a broadcast, shuffles and tables are under 4 times the table (11 times, when each text's n-grams were joined to the counts)."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    assert grown(spark, lambda: lm_score.lm_scores(docs, max_broadcast=1).agg(F.max("score")).collect()) < 4 * 1_428_373
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_lm_scores_of_units(spark, monkeypatch, most):
+    """Units of a few texts, shuffled or broadcast: the same scores to the last digits as by the broadcast filter."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    near = {r["doc_id"]: r for r in lm_score.lm_scores(docs).collect()}
+    monkeypatch.setattr(exchange, "UNIT_BYTES", 20_000)
+    far = lm_score.lm_scores(docs, max_broadcast=most, max_bits=64).collect()
+    assert len(far) == len(near)
+    for r in far:
+        for c, x in r.asDict().items():
+            assert x == (pytest.approx(near[r["doc_id"]][c], rel=1e-12) if isinstance(x, float) else near[r["doc_id"]][c])

@@ -57,16 +57,18 @@ def expand_keys(data: bytes) -> np.ndarray:
 
 
 class Groups:
-    """Equal keys: the distinct ones in order, and the group of each."""
+    """Equal keys: the distinct ones in order, and the group of each. At most 2^31 at once, as units and ranges hold far fewer."""
 
     def __init__(self, x: np.ndarray):
-        self.order = np.argsort(x)
-        s = x[self.order]
+        order = np.argsort(x)
+        s = x[order]
         new = np.ones(len(x), bool)
         new[1:] = s[1:] != s[:-1]
         self.start, self.keys = np.flatnonzero(new), s[new]
-        self.of = np.empty(len(x), np.int64)
-        self.of[self.order] = np.cumsum(new) - 1
+        del s
+        self.of = np.empty(len(x), np.int32)
+        self.of[order] = np.cumsum(new, dtype=np.int32) - 1
+        self.order = order.astype(np.int32)
 
     def fold(self, how: np.ufunc, x: np.ndarray) -> np.ndarray:
         """how (np.minimum, np.add, ...) over the numbers of each group."""

@@ -21,10 +21,13 @@ what false positives can add over the whole vocabulary, from the filter's measur
 rate. So the probabilities after any context add up to 1 at most (less only by
 quantising and `false`).
 
-A filter of at most `max_bits` bits is broadcast with the counts of at most
-`max_broadcast` words, in segments by the top bits of the hash, so that the
-driver never holds more than one; beyond either bound, each text's distinct
-n-grams are joined with the counts that words and shards give.
+Texts too few to reach `max_bits` bits or `max_broadcast` words, however they read,
+are scored with the filter and the counts as a broadcast, in segments by the top bits
+of the hash, so that the driver never holds more than one. Beyond that, the n-grams of
+a unit of texts are questions (`exchange`): they go once, with how often the unit's
+learning rows have each, to the shard's task, which adds up the counts, fills the
+shard and sends back a level for each pair and a count for each word. So the filter is
+where it is asked, and n-grams are dealt out once for counting and scoring together.
 
 Defined results: a null or empty text is its end token alone; a null doc_id is
 in fold crc32('') and is scored like any other; repeated rows are learned from and
@@ -44,7 +47,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, fold_remainder, map_rows, materialize
+from .common import MAX_BROADCAST_ROWS, SLICE_ROWS, fold_remainder, map_rows, materialize
+from .exchange import Groups, ask, attach, expand, expand_keys, pack, part_count, rows, squeeze, unpack
 
 WORDS, BITS = 3, 6
 BITS_PER_ENTRY = 28
@@ -284,18 +288,6 @@ def load(model: DataFrame) -> Iterator[tuple[Filter, np.ndarray, np.ndarray]]:
         yield Filter(shift, k * per, [(r["shard"], r["bits"]) for r in rows]), keys, counts.astype(np.uint32) if counts.max(initial=0) < 2**32 else counts
 
 
-def word_counts(model: DataFrame) -> DataFrame:
-    """(h, c) of each word."""
-    schema = pa.schema([("h", pa.int64()), ("c", pa.float64())])
-
-    def work(batches):
-        for b in batches:
-            for keys, counts in zip(b.column("keys"), b.column("counts"), strict=True):
-                yield pa.RecordBatch.from_arrays([np.frombuffer(keys.as_py(), np.int64), np.frombuffer(counts.as_py(), np.int64).astype(np.float64)], schema=schema)
-
-    return model.select("keys", "counts").mapInArrow(work, "h long, c double")
-
-
 def _lookup(keys: np.ndarray, n: np.ndarray, h: np.ndarray) -> np.ndarray:
     """The number at each hash among the sorted keys, 0 where it is none."""
     if not len(keys):
@@ -317,17 +309,15 @@ def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def lm_scores(docs: DataFrame, folds: int = 10, held_out: int = 0, prior: float = PRIOR, max_broadcast: int = MAX_BROADCAST_ROWS, max_bits: int = MAX_BITS) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
-    built = fill(count(docs.where(fold_remainder(F.col("doc_id"), folds) != held_out)))
-    total = built.agg(F.sum("n_tokens").alias("n"), F.sum("n_words").alias("words"), F.sum("n_bytes").alias("bytes"), F.avg("false").alias("rate")).first()
+    kind, learned = dict(docs.dtypes)["doc_id"], fold_remainder(F.col("doc_id"), folds) != held_out
+    units = pack(docs.select("doc_id", "text", learned.alias("learned")))
+    most = (units.agg(F.sum("size")).first()[0] or 0) // 2  # a token takes two bytes, or is the end of a row
+    near = most <= max_broadcast and BITS_PER_ENTRY * most <= max_bits
+    built = fill(count(docs.where(learned))).withColumn("n_shards", F.lit(1)) if near else answered(units)
+    total = built.agg(F.sum("n_tokens").alias("n"), F.sum("n_words").alias("words"), (F.sum("false") / F.sum("n_shards")).alias("rate")).first()
     n_all, n_words = total["n"] or 0, total["words"] or 0
     floor, false = n_all + 0.1 * (n_words + 1), false_mass(n_words, total["rate"] or 0.0)
-    if n_words <= max_broadcast and 8 * (total["bytes"] or 0) <= max_bits:
-        scored = near_scores(docs, built, floor, prior, false)
-    else:
-        version = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-        source = docs.select("doc_id", "text", version.alias("version"))
-        scored = source.select("doc_id", "version").join(far_scores(source, built, floor, prior, false), "version")
+    scored = near_scores(docs, built, floor, prior, false) if near else far_scores(attach(units, {"given": built.where("unit IS NOT NULL")}, max_broadcast), docs, floor, prior, false)
     return scored.select(F.col("doc_id").cast(kind).alias("doc_id"), (fold_remainder(F.col("doc_id"), folds) == held_out).alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -356,53 +346,97 @@ def near_scores(docs: DataFrame, built: DataFrame, floor: float, prior: float, f
     return map_rows(docs.select("doc_id", "text"), work, f"doc_id {dict(docs.dtypes)['doc_id']}, {SCORES}")
 
 
-def far_scores(source: DataFrame, built: DataFrame, floor: float, prior: float, false: float) -> DataFrame:
-    """(version, SCORES): the shards answer each distinct pair that is asked for; each text's distinct n-grams are joined with the counts and gathered to the text."""
-    parts, shift = _shards(source.sparkSession)
-    texts = materialize(source.select("version", "text").dropDuplicates(["version"]), "texts")
+class Unit:
+    """A unit's texts as numbers of words, and its distinct n-grams."""
 
-    def ask(batches):
-        for rows, known, ids, first in chunks(batches, ("version",)):
-            h = np.array(known.hashes, np.uint64)[ids]
-            both = pairs(h)
-            for v, a, b in zip(rows["version"], first, [*first[1:], len(ids)], strict=True):
-                own = np.unique(np.concatenate([h[a:b], both[a:b]])).view(np.int64)
-                yield {"version": [v] * len(own), "h": own}
-
-    schema = pa.schema([("h", pa.int64()), ("c", pa.float64())])
+    def __init__(self, data: bytes):
+        table, before, both = unpack(data), None, []
+        self.docs, self.chunks, self.words = table["doc_id"], [], []
+        batches = (b.to_pydict() for b in table.select(["text", "learned"]).to_batches(SLICE_ROWS))
+        for learned, known, ids, first in chunks(batches, ("learned",)):
+            if known is not before:
+                before = known
+                self.words.append(np.zeros(0, np.uint64))
+            h = np.concatenate([self.words[-1], np.array(known.hashes[len(self.words[-1]) :], np.uint64)])
+            self.words[-1] = h
+            self.chunks.append((learned["learned"], len(self.words) - 1, ids, first))
+            both.append(pairs(h[ids]))
+        self.at = np.cumsum([0, *map(len, both), *map(len, self.words)])
+        h = np.concatenate([*both, *self.words])
+        both.clear()
+        self.grams = Groups(h)
+
+    def counts(self) -> np.ndarray:
+        """How often the learning rows have each n-gram."""
+        taken = [np.repeat(np.array(learned, bool), np.diff(np.append(first, len(ids)))) for learned, _, ids, first in self.chunks]
+        own = [sum(np.bincount(ids[t], minlength=len(w)) for (_, k, ids, _), t in zip(self.chunks, taken, strict=True) if k == i) for i, w in enumerate(self.words)]
+        return self.grams.fold(np.add, np.concatenate([*taken, *own]).astype(np.int64))
+
+    def each(self, value: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(values of the tokens, of those before them, of their pairs; first token of each row) of each chunk, by the n-grams' values."""
+        found = [value[self.grams.of[a:b]] for a, b in zip(self.at[:-1], self.at[1:], strict=True)]
+        for (_, k, ids, first), both in zip(self.chunks, found, strict=False):
+            c = found[len(self.chunks) + k]
+            yield c[ids], c[np.concatenate([[0], ids[:-1]])], both, first  # a text's first token follows the end of the one before
+
+
+GIVEN = pa.schema([("unit", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("levels", pa.binary()), ("counts", pa.binary()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("n_shards", pa.int64()), ("false", pa.float64())])
+
+
+def answered(units: DataFrame) -> DataFrame:
+    """For each unit and range its pairs' levels and its words' counts; without a unit, what fill() gives of the range's shards, added up. Written once."""
+    shift, parts = _shards(units.sparkSession)[1], part_count(units)
+
+    def questions(row):
+        unit = Unit(row["data"])
+        return [(unit.grams.keys, unit.counts())]
 
     def answer(batches):
-        # A shard's bits come before its questions; a shard without bits has no entries.
-        at, data = -1, np.zeros(0, np.uint64)
-        for b in batches:
-            shard, bits = b.column("shard").to_numpy(), b.column("bits")
-            edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else [0]
-            for first, end in zip(edges[:-1], edges[1:], strict=True):
-                if bits[first].is_valid:
-                    at, data, first = shard[first], np.frombuffer(bits[first].as_py(), "<u8"), first + 1
-                if end > first and shard[first] == at and len(data):
-                    h = b.column("h").slice(first, end - first).to_numpy()
-                    c = quantised(h.view(np.uint64), data, np.zeros(len(h), np.int64), np.full(len(h), len(data), np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(h[c > 0]), pa.array(c[c > 0])], schema=schema)
-
+        held = list(rows(batches))
+        if not held:
+            return
+        keys = [expand_keys(r["keys"]) for r in held]
+        grams = Groups(np.concatenate(keys))
+        h, n = grams.keys, grams.fold(np.add, np.concatenate([expand(r["numbers"], np.int64) for r in held]))
+        shard, pair, stats = (h >> np.uint64(shift)).astype(np.int64), h & _PAIR == _PAIR, [0, 0, 0, 0.0]
+        value = np.where(pair, 0, n)
+        at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            own, c = h[a:b], n[a:b]
+            if not c.any():
+                continue
+            both, word = np.flatnonzero(pair[a:b]), (c > 0) & ~pair[a:b]
+            learned = both[c[both] > 0]
+            bits = shard_bits(own[learned], c[learned])
+            q = quantised(own[both], bits, np.zeros(len(both), np.int64), np.full(len(both), len(bits), np.uint64))
+            value[a + both] = np.where(q > 0, np.log2(np.maximum(q, 1)) + 1, 0)
+            stats = [x + y for x, y in zip(stats, (int(word.sum()), int(c[word].sum()), 1, false_rate(bits)), strict=True)]
+        out = [(None, None, None, None, None, *stats)]
+        for r, k, v in zip(held, keys, np.split(value[grams.of], np.cumsum([len(k) for k in keys])[:-1]), strict=True):
+            both = k & _PAIR == _PAIR
+            out.append((r["unit"], r["kind"], r["part"], squeeze(v[both].astype(np.uint8)), squeeze(v[~both]), None, None, None, None))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), GIVEN.types, strict=True)], schema=GIVEN)
+
+    asked = ask(units, questions, parts, shift)
+    return materialize(asked.mapInArrow(answer, "unit long, kind int, part int, levels binary, counts binary, n_words long, n_tokens long, n_shards long, false double"), "answers")
+
+
+def far_scores(units: DataFrame, docs: DataFrame, floor: float, prior: float, false: float) -> DataFrame:
+    """(doc_id, SCORES) of units with the answers to their questions."""
     def score(batches):
-        for rows, known, ids, first in chunks(batches, ("version", "hs", "cs")):
-            h = np.array(known.hashes, np.uint64)[ids]
-            both, out = pairs(h).view(np.int64), {k: [] for k in ("version", "n_tokens", "n_known", "base_score", "score")}
-            for v, a, b, hs, cs in zip(rows["version"], first, [*first[1:], len(ids)], rows["hs"], rows["cs"], strict=True):
-                keys, c = np.array(hs or [], np.int64), np.array(cs or [], np.float64)
-                order = np.argsort(keys)
-                own, pair = (_lookup(keys[order], c[order], k) for k in (h[a:b].view(np.int64), both[a:b]))
-                # The token before the first is an end, as the last is.
-                base, each = _log_p(own, np.concatenate([own[-1:], own[:-1]]), pair, floor, prior, false)
-                for k, x in zip(out, (v, b - a, int((own > 0).sum()), base.sum(), each.sum()), strict=True):
-                    out[k].append(x)
-            yield out
-
-    asked = map_rows(texts, ask, "version string, h long")
-    questions = asked.where(F.col("h").bitwiseAND(1) == 1).select("h").distinct()
-    shards = built.select("shard", F.lit(None).cast("long").alias("h"), "bits")
-    met = shards.unionByName(questions.select(F.shiftrightunsigned("h", shift).cast("int").alias("shard"), "h", F.lit(None).cast("binary").alias("bits"))).repartition(parts, "shard").sortWithinPartitions("shard", F.col("bits").isNull())
-    counts = materialize(met.mapInArrow(answer, "h long, c double").unionByName(word_counts(built)), "answers")
-    answers = asked.join(counts, "h").groupBy("version").agg(F.collect_list(F.struct("h", "c")).alias("k"))
-    return map_rows(texts.join(answers, "version", "left").select("version", "text", F.col("k.h").alias("hs"), F.col("k.c").alias("cs")), score, f"version string, {SCORES}")
+        for row in rows(batches):
+            unit, given = Unit(row["data"]), row["given"] or ()
+            pair = unit.grams.keys & _PAIR == _PAIR
+            level, value = (np.concatenate([np.zeros(0, t), *(expand(x[c], t) for x in given)]) for c, t in (("levels", np.uint8), ("counts", np.int64)))
+            if len(level) + len(value) != len(pair):
+                raise RuntimeError(f"{len(level) + len(value)} of {len(pair)} n-grams have an answer")
+            c = np.empty(len(pair))
+            c[pair], c[~pair] = np.where(level > 0, 2.0 ** (level - 1.0), 0.0), value
+            out = []
+            for own, prev, both, first in unit.each(c):
+                base, each = _log_p(own, prev, np.where((own > 0) & (prev > 0), both, 0.0), floor, prior, false)
+                out.append((np.diff(np.append(first, len(own))), _sums((own > 0).astype(np.int64), first), _sums(base, first), _sums(each, first)))
+            yield pa.RecordBatch.from_arrays([unit.docs.combine_chunks(), *(pa.array(np.concatenate(x)) for x in zip(*out, strict=True))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            unit = given = c = out = None  # before the next one is in memory
+
+    return units.mapInArrow(score, f"doc_id {dict(docs.dtypes)['doc_id']}, {SCORES}")
